@@ -110,12 +110,7 @@ def trailing_twelve_months(
     return (
         rows.withColumn("__ttm", trailing_sum(F.col("data"), window, calendar))
         .where(F.col("__ttm").isNotNull())
-        .select(
-            ENTITY,
-            F.concat("category_code", F.lit("_TTM")).alias("category_code"),
-            "year",
-            "quarter",
-            F.col("__ttm").alias("data"),
-            "date_added",
-        )
+        .withColumn("data", F.col("__ttm"))
+        .withColumn("category_code", F.concat("category_code", F.lit("_TTM")))
+        .drop("__ttm")
     )

@@ -44,12 +44,7 @@ def with_trailing_rows(facts: DataFrame, calendar: bool = True) -> DataFrame:
     eligible = facts.where(
         F.col("category_code").isNotNull() & st.ttm_candidates(F.col("category_code"))
     )
-    trailing = growth.trailing_twelve_months(eligible, calendar=calendar)
-    if "segment" in facts.columns:
-        # An entity belongs to one segment, so its label follows from the entity.
-        owner = facts.groupBy("stock_code").agg(F.first("segment").alias("segment"))
-        trailing = trailing.join(owner, "stock_code")
-    return facts.unionByName(trailing, allowMissingColumns=True)
+    return facts.unionByName(growth.trailing_twelve_months(eligible, calendar=calendar))
 
 
 def account_dimension(standard: DataFrame, notes: DataFrame) -> DataFrame:
