@@ -42,8 +42,7 @@ def in_range(time: Column, start: str, end: str, whole_end_day: bool = False) ->
 
     With ``whole_end_day`` the later hours of the end day count too.
     """
+    # Text bounds take the column's own type, so the comparison reaches the scan.
     if whole_end_day:
-        return (time >= F.lit(start).cast("timestamp_ntz")) & (
-            time < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz")
-        )
-    return time.between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))
+        return (time >= F.lit(start)) & (time < F.date_add(F.lit(end).cast("date"), 1))
+    return time.between(F.lit(start), F.lit(end))
