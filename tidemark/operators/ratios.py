@@ -1,21 +1,20 @@
 """Financial ratios from long statement facts.
 
-The facts of a segment are laid out once per (entity, period), all ratios are
-column expressions over that row and its neighbouring periods, and one
-``inline`` turns them back into long rows: one scan, one aggregation, one sort
-per entity for any number of families.
+The facts of a segment are laid out once per (entity, period). Neighbouring
+periods are then read with windows that all sort by entity, the ratios are SQL
+expressions over the resulting row, and one ``inline`` turns them back into
+long rows: one scan, one aggregation and one exchange by entity for any number
+of families. A window holds one entity's periods, five rows a year.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.measures import null_if_zero, quotient
-from tidemark.operators import growth
 from tidemark.operators import ratio_bindings as rb
 
 KEYS = ("stock_code", "year", "quarter")
@@ -37,28 +36,24 @@ DEFAULT_FAMILIES = (
     "notes",
 )
 
-_PLAIN = ("structure", "liquidity", "risk", "income", "price", "days", "notes")
-
 
 def column_for(code: str) -> str:
     return "a_" + code.replace(".", "_")
 
 
+def _account_sums(codes: Iterable[str], function: str = "sum") -> list:
+    return [
+        F.expr(f"{function}(CASE WHEN category_code = '{c}' THEN data END)").alias(column_for(c))
+        for c in codes
+    ]
+
+
 def account_frame(
     facts: DataFrame, codes: Sequence[str], keys: Sequence[str] = KEYS, how: str = "sum"
 ) -> DataFrame:
     """One row per key with a column per account (null where the account is absent)."""
-    combine = {"sum": F.sum, "avg": F.avg}[how]
-    return (
-        facts.where(F.col("category_code").isin(list(codes)))
-        .groupBy(*keys)
-        .agg(
-            *[
-                combine(F.when(F.col("category_code") == c, F.col("data"))).alias(column_for(c))
-                for c in codes
-            ]
-        )
-    )
+    rows = facts.where(F.col("category_code").isin(list(codes)))
+    return rows.groupBy(*keys).agg(*_account_sums(codes, how))
 
 
 def codes_present(facts: DataFrame, codes: Iterable[str]) -> set[str]:
@@ -70,88 +65,111 @@ def codes_present(facts: DataFrame, codes: Iterable[str]) -> set[str]:
 # -- formulas -------------------------------------------------------------------
 
 
-def _per_share_book(eps: Column, income: Column, equity: Column) -> Column:
-    return F.when(eps == 0, F.lit(0.0)).otherwise(quotient(equity, quotient(income, eps)))
+def over(numerator: str, denominator: str) -> str:
+    """Guarded division: null when the denominator is 0."""
+    return f"try_divide({numerator}, {denominator})"
+
 
+def _book_per_share(eps: str, income: str, equity: str) -> str:
+    return f"CASE WHEN {eps} = 0 THEN 0D ELSE {over(equity, over(income, eps))} END"
 
-def _turns(amount: Column, flow: Column) -> Column:
-    return F.when(flow == 0, F.lit(0.0)).otherwise(quotient(amount, flow))
 
+def _turns(amount: str, flow: str) -> str:
+    return f"CASE WHEN {flow} = 0 THEN 0D ELSE {over(amount, flow)} END"
 
-_FORMULAS: dict[str, Callable[..., Column]] = {
-    "EBIT": lambda pretax, interest=None: pretax if interest is None else pretax + interest,
-    "EBITDA": lambda ebit, depreciation: ebit + depreciation,
-    "free_cash_flow": lambda operating, capital, dividends: operating - capital - dividends,
-    "quick_ratio": lambda assets, stock, debt: quotient(assets - stock, debt),
-    "debt_to_tangible_net_worth_ratio": lambda debt, equity, intangible: quotient(
-        debt, equity - intangible
+
+_FORMULAS = {
+    "EBIT": lambda pretax, interest=None: pretax if interest is None else f"({pretax} + {interest})",
+    "EBITDA": lambda ebit, depreciation: f"({ebit} + {depreciation})",
+    "free_cash_flow": lambda operating, capital, paid: f"({operating} - {capital} - {paid})",
+    "quick_ratio": lambda assets, stock, debt: over(f"({assets} - {stock})", debt),
+    "debt_to_tangible_net_worth_ratio": lambda debt, equity, intangible: over(
+        debt, f"({equity} - {intangible})"
     ),
-    "profitability_of_operating_expenses": lambda income, costs, less=None: quotient(
-        income if less is None else income - less, costs
+    "profitability_of_operating_expenses": lambda income, costs, less=None: over(
+        income if less is None else f"({income} - {less})", costs
     ),
     "operating_profit_margin": lambda income, b, c=None: (
-        quotient(income, b) if c is None else quotient(income - b, c)
+        over(income, b) if c is None else over(f"({income} - {b})", c)
     ),
-    "cash_interest_coverage": lambda cash, interest: quotient(cash + interest, interest),
+    "cash_interest_coverage": lambda cash, interest: over(f"({cash} + {interest})", interest),
     "earning_per_share": lambda eps: eps,
-    "book_value_per_share": _per_share_book,
-    "price_to_book_ratio": lambda price, *book: quotient(price, _per_share_book(*book)),
+    "book_value_per_share": _book_per_share,
+    "price_to_book_ratio": lambda price, *book: over(price, _book_per_share(*book)),
     "days_sales_outstanding": _turns,
     "days_inventory_outstanding": _turns,
-    "days_payable_outstanding": lambda short, long, cost: _turns(short + long, cost),
+    "days_payable_outstanding": lambda short, long, cost: _turns(f"({short} + {long})", cost),
     "cash_conversion_cycle": lambda due, short, long, stock, cost, sales: (
-        _turns(due, sales) + _turns(stock, cost) - _turns(short + long, cost)
+        f"({_turns(due, sales)} + {_turns(stock, cost)} - {_turns(f'({short} + {long})', cost)})"
     ),
-    "current_account_saving_account_ratio": lambda total, demand, margin: quotient(
-        demand + margin, total
+    "current_account_saving_account_ratio": lambda total, demand, margin: over(
+        f"({demand} + {margin})", total
     ),
-    "bad_debt_ratio": lambda total, bad: quotient(bad, total),
-    "non_performing_loan_coverage_ratio": lambda allowance, bad: quotient(-allowance, bad),
+    "bad_debt_ratio": lambda total, bad: over(bad, total),
+    "non_performing_loan_coverage_ratio": lambda allowance, bad: over(f"(-{allowance})", bad),
 }
 
 
-def formula(name: str) -> Callable[..., Column]:
-    """Column builder of a ratio; most are the first input over the second."""
-    return _FORMULAS.get(name, quotient)
+def formula(name: str):
+    """Expression builder of a ratio; most are the first input over the second."""
+    return _FORMULAS.get(name, over)
 
 
 # -- expressions over the account frame -------------------------------------------
 
+_ENTITY = "PARTITION BY stock_code"
+_LAST_YEAR = f"({_ENTITY} ORDER BY year RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)"
+_SAME_PERIOD = f"({_ENTITY}, quarter ORDER BY year)"
+_RUN = f"{_ENTITY}, annual ORDER BY year, quarter"
+
 
 @dataclass(frozen=True)
 class _Ratio:
     family: str
     name: str
-    value: Column
-    shown: Column | None = None
+    value: str
+    shown: str | None = None
 
 
 class _Segment:
-    """Turns one segment's bindings into expressions; ``present`` are its account codes."""
+    """One segment's bindings as expressions; ``present`` are its account codes.
 
-    def __init__(self, bindings: dict, present: set[str], averaged: dict[str, tuple[str, ...]], derived_inputs: bool, calendar: bool):
+    Intermediate columns are collected in three layers: ``base`` reads the
+    account frame, ``near`` reads neighbouring rows of ``base``, and the ratios
+    read both.
+    """
+
+    def __init__(self, bindings: dict, present: set[str], averaged: dict, derived_inputs: bool, calendar: bool):
         self.bindings = bindings
         self.present = present
         self.averaged = averaged
         self.derived_inputs = derived_inputs
         self.calendar = calendar
+        self.base: dict[str, str] = {}
+        self.near: dict[str, str] = {}
 
-    def account(self, code: str) -> Column:
-        return F.col(column_for(code))
-
-    def total(self, codes: Iterable[str]) -> Column:
+    def total(self, codes: Iterable[str]) -> str:
         """Sum over the codes the segment has; null if one of them is null."""
-        terms = [self.account(c) for c in codes if c in self.present]
-        result = F.lit(0.0)
-        for i, term in enumerate(terms):
-            result = term if i == 0 else result + term
-        return result
+        terms = [column_for(c) for c in codes if c in self.present]
+        return f"({' + '.join(terms)})" if terms else "0D"
 
-    def operand(self, entry) -> Column | None:
+    def operand(self, entry) -> str | None:
         """Expression of one input, or None when a single account is absent from the segment."""
         if isinstance(entry, tuple):
             return self.total(entry)
-        return self.account(entry) if entry in self.present else None
+        return column_for(entry) if entry in self.present else None
+
+    def _name(self, layer: dict[str, str], prefix: str, expression: str) -> str:
+        for name, known in layer.items():
+            if known == expression:
+                return name
+        name = f"{prefix}{len(layer)}"
+        layer[name] = expression
+        return name
+
+    def prior_annual(self, value: str) -> str:
+        """The annual figure of the year before."""
+        return self._name(self.near, "n", f"max(CASE WHEN annual THEN {value} END) OVER {_LAST_YEAR}")
 
     def ratio(self, family: str, name: str) -> _Ratio | None:
         build = getattr(self, f"_{family}", None) or self._plain
@@ -167,7 +185,7 @@ class _Segment:
 
     def _with_prior_annual(self, family: str, name: str, inputs, chosen) -> _Ratio | None:
         """Inputs listed in ``chosen`` are averaged; no row without a prior annual figure."""
-        values, needs_prior = [], False
+        values, shown = [], None
         for entry in inputs:
             if self.derived_inputs and entry == "free_cash_flow":
                 flow = self.ratio(family, "free_cash_flow")
@@ -177,9 +195,9 @@ class _Segment:
             if value is None:
                 return None
             if entry in chosen:
-                value, needs_prior = growth.annual_average(value), True
+                value = f"(({value} + {self.prior_annual(value)}) / 2)"
+                shown = f"{self.prior_annual('1')} IS NOT NULL"
             values.append(value)
-        shown = growth.has_prior_annual() if needs_prior else None
         return _Ratio(family, name, formula(name)(*values), shown)
 
     def _profitability(self, family, name, inputs):
@@ -195,68 +213,75 @@ class _Segment:
         income, balance = (self.operand(i) for i in inputs)
         if income is None or balance is None:
             return None
-        mean = growth.trailing_average(balance, growth.run_window(), self.calendar)
-        shown = (F.col("quarter") != 0) & ~F.coalesce(mean == 0, F.lit(False))
-        return _Ratio(family, name, quotient(income, mean), shown)
+        whole = f"count({balance}) OVER ({_RUN} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) = 4"
+        if self.calendar:
+            whole += f" AND idx - lag(idx, 3) OVER ({_RUN}) = 3"
+        first = f"lag({balance}, 3) OVER ({_RUN})"
+        mean = self._name(self.near, "n", f"CASE WHEN {whole} THEN ({first} + {balance}) / 2 END")
+        shown = f"NOT annual AND NOT coalesce({mean} = 0, false)"
+        return _Ratio(family, name, over(income, mean), shown)
 
     def _turnover(self, family, name, inputs):
-        flow, balances = self.operand(inputs[0]), [c for c in inputs[1] if c in self.present]
+        flow = self.operand(inputs[0])
+        balances = [column_for(c) for c in inputs[1] if c in self.present]
         if flow is None or not balances:
             return None
-        known = F.coalesce(*[self.account(c) for c in balances]).isNotNull()
-        parts = [F.coalesce(self.account(c), F.lit(0.0)) for c in balances]
-        balance = parts[0]
-        for part in parts[1:]:
-            balance = balance + part
-        mean = growth.previous_row_average(F.when(known, balance), growth.run_window())
-        value = quotient(flow, null_if_zero(mean))
+        known = f"coalesce({', '.join(balances)}) IS NOT NULL"
+        added = " + ".join(f"coalesce({b}, 0D)" for b in balances)
+        balance = self._name(self.base, "b", f"CASE WHEN {known} THEN {added} END")
+        earlier = self._name(
+            self.near,
+            "n",
+            f"last({balance}, true) OVER ({_RUN} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
+        )
+        value = over(flow, f"(({balance} + coalesce({earlier}, 0D)) / 2)")
         if name == "cost_of_fund":
-            value = -value
-        return _Ratio(family, name, value, known & flow.isNotNull())
-
-    def growth_inputs(self) -> list[str]:
-        entries = self.bindings.get("growth", {}).values()
-        codes = [c for e in entries for c in (e if isinstance(e, tuple) else (e,))]
-        return [c for c in dict.fromkeys(codes) if c in self.present]
+            value = f"(-{value})"
+        return _Ratio(family, name, value, f"{balance} IS NOT NULL AND {flow} IS NOT NULL")
 
-    def _growth_base(self, entry, reported: Callable[[str], Column]) -> Column | None:
+    def _growth_base(self, entry, rows: str) -> str | None:
         if entry in ("EBIT", "EBITDA"):
             family = "structure" if entry == "EBIT" else "cashflow"
-            base = self.ratio(family, entry) if entry in self.bindings[family] else None
-            return base.value if base else None
+            found = self.ratio(family, entry) if entry in self.bindings[family] else None
+            return found.value if found else None
         if isinstance(entry, tuple):
             # An account the entity never reports counts as 0, a gap stays a gap.
-            result = F.lit(0.0)
-            for code in entry:
-                if code in self.present:
-                    value = self.account(code)
-                    result = result + F.when(reported(code), value).otherwise(F.lit(0.0))
-            return result
+            terms = []
+            for c in (column_for(c) for c in entry if c in self.present):
+                reported = f"count(CASE WHEN {rows} THEN {c} END) OVER ({_ENTITY}) > 0"
+                terms.append(f"CASE WHEN {reported} THEN {c} ELSE 0D END")
+            return " + ".join(terms) if terms else "0D"
         return self.operand(entry)
 
     def growth(self, suffix: str) -> list[_Ratio]:
+        """Change against the same period last year (YoY) or the quarter before (QoQ)."""
         yearly = suffix == "YoY"
-        every = growth.Window.partitionBy(growth.ENTITY)
-        rows = F.lit(True) if yearly else F.col("quarter") != 0
-
-        def reported(code: str) -> Column:
-            return F.count(F.when(rows, self.account(code))).over(every) > 0
-
-        shown = None
-        if not yearly:
-            known = [self.account(c).isNotNull() for c in self.growth_inputs()]
-            anything = F.lit(False)
-            for k in known:
-                anything = anything | k
-            shown = rows & anything
-        change = growth.yearly_growth if yearly else growth.quarterly_growth
+        bindings = self.bindings.get("growth", {})
+        if yearly:
+            window = _SAME_PERIOD
+            near = f"lag(year) OVER {window} = year - 1"
+            rows, shown = "true", None
+        else:
+            window = f"({_RUN})"
+            near = f"NOT annual AND lag(idx) OVER {window} = idx - 1"
+            rows = "NOT annual"
+            codes = rb.account_codes({"growth": bindings})
+            known = [column_for(c) for c in codes if c in self.present]
+            shown = f"NOT annual AND coalesce({', '.join(known)}) IS NOT NULL" if known else "false"
+        is_near = self._name(self.near, "n", near)
         result = []
-        for base, entry in self.bindings.get("growth", {}).items():
+        for base, entry in bindings.items():
             if not yearly and base in rb.YEARLY_ONLY:
                 continue
-            value = self._growth_base(entry, reported)
-            data = F.lit(None).cast("double") if value is None else change(value)
-            result.append(_Ratio(suffix.lower(), rb.growth_name(base, suffix), data, shown))
+            name, expression = rb.growth_name(base, suffix), self._growth_base(entry, rows)
+            if expression is None:
+                value = "CAST(NULL AS DOUBLE)"
+            else:
+                current = self._name(self.base, "b", expression)
+                before = self._name(self.near, "n", f"lag({current}) OVER {window}")
+                previous = f"CASE WHEN {is_near} THEN {before} END"
+                value = over(f"({current} - {before})", previous)
+            result.append(_Ratio(suffix.lower(), name, value, shown))
         return result
 
     def every(self, families: Sequence[str]) -> list[_Ratio]:
@@ -279,6 +304,7 @@ def financial_ratios(
     averaging: str = "reference",
     derived_inputs: bool = False,
     calendar: bool = True,
+    period_columns: Sequence[str] = (),
 ) -> DataFrame:
     """Long ratios ``(stock_code, year, quarter, family, function_name, data)`` of one segment.
 
@@ -286,6 +312,7 @@ def financial_ratios(
     are looked up in the facts. Undefined ratios are null. ``averaging="all"``
     averages corporate balances too; ``derived_inputs`` lets a ratio use
     another ratio; ``calendar=False`` lets four-row averages ignore gaps.
+    The largest value per period of each of ``period_columns`` is carried along.
     """
     bindings = rb.BINDINGS[segment] if bindings is None else bindings
     used = [f for f in bindings if f in families or (f == "growth" and {"yoy", "qoq"} & set(families))]
@@ -298,49 +325,42 @@ def financial_ratios(
         "profitability": every or rb.AVERAGED_PROFITABILITY[segment],
         "cashflow": every or rb.AVERAGED_CASHFLOW[segment],
     }
-    plan = _Segment(bindings, present, averaged, derived_inputs, calendar).every(families)
-    ordered = [c for c in wanted if c in present]
-    keys = list(KEYS)
-    # Rows of entities and periods stay even if none of the wanted accounts is reported there.
-    frame = facts.groupBy(*keys).agg(
-        *[
-            F.sum(F.when(F.col("category_code") == c, F.col("data"))).alias(column_for(c))
-            for c in ordered
-        ],
-        F.lit(1).alias("__row"),
-    )
-    frame = frame.select(
-        *keys,
-        *[r.value.alias(f"v{i}") for i, r in enumerate(plan)],
-        *[r.shown.alias(f"s{i}") for i, r in enumerate(plan) if r.shown is not None],
+    layout = _Segment(bindings, present, averaged, derived_inputs, calendar)
+    plan = layout.every(families)
+    # Periods stay even if none of the wanted accounts is reported there.
+    frame = facts.groupBy(*KEYS).agg(
+        *_account_sums(c for c in wanted if c in present),
+        *[F.max(c).alias(c) for c in period_columns],
+        F.lit(1).alias("period"),
     )
-    return _long(frame, plan)
+    frame = frame.selectExpr("*", "quarter = 0 AS annual", "year * 4 + quarter - 1 AS idx")
+    for layer in (layout.base, layout.near):
+        if layer:
+            frame = frame.selectExpr("*", *[f"{e} AS {n}" for n, e in layer.items()])
+    return _long(frame, plan, [*KEYS, *period_columns])
 
 
-def _long(frame: DataFrame, plan: list[_Ratio]) -> DataFrame:
+def _long(frame: DataFrame, plan: list[_Ratio], kept: list[str]) -> DataFrame:
+    if not plan:
+        empty = ["'' AS family", "'' AS function_name", "0D AS data"]
+        return frame.selectExpr(*kept, *empty).where("false")
     entries, seen = [], {}
     for i, r in enumerate(plan):
-        value, shown = F.col(f"v{i}"), None if r.shown is None else F.col(f"s{i}")
+        shown = r.shown
         for j in seen.get(r.name, ()):
             # A name bound twice gives a second row only where its value differs.
-            differs = ~value.eqNullSafe(F.col(f"v{j}"))
-            shown = differs if shown is None else shown & differs
+            differs = f"NOT (v{i} <=> v{j})"
+            shown = differs if shown is None else f"{shown} AND {differs}"
         seen.setdefault(r.name, []).append(i)
-        entry = F.struct(
-            F.lit(r.family).alias("family"),
-            F.lit(r.name).alias("function_name"),
-            value.cast("double").alias("data"),
-        )
-        entries.append(entry if shown is None else F.when(shown, entry))
-    if not entries:
-        return frame.select(
-            *KEYS,
-            F.lit("").alias("family"),
-            F.lit("").alias("function_name"),
-            F.lit(0.0).alias("data"),
-        ).where(F.lit(False))
-    return frame.select(*KEYS, F.inline(F.array(*entries))).where(
-        F.col("function_name").isNotNull()
+        entry = f"named_struct('family', '{r.family}', 'function_name', '{r.name}', 'data', v{i})"
+        entries.append(entry if shown is None else f"CASE WHEN {shown} THEN {entry} END")
+    needed = sorted({c for c in frame.columns if any(c in (r.shown or "") for r in plan)})
+    values = frame.selectExpr(
+        *dict.fromkeys(kept + needed),
+        *[f"CAST({r.value} AS DOUBLE) AS v{i}" for i, r in enumerate(plan)],
+    )
+    return values.selectExpr(*kept, f"inline(array({', '.join(entries)}))").where(
+        "function_name IS NOT NULL"
     )
 
 
@@ -352,9 +372,6 @@ def ratio_dimension(spark) -> DataFrame:
 
 def with_ratio_codes(ratios: DataFrame) -> DataFrame:
     """Attach code and name; a ratio without a code is an error at run time."""
-    dim = ratio_dimension(ratios.sparkSession)
-    joined = ratios.join(dim, "function_name", "left")
-    missing = F.concat(F.lit("no ratio code for "), F.col("function_name"))
-    return joined.withColumn(
-        "ratio_code", F.coalesce("ratio_code", F.raise_error(missing).cast("string"))
-    )
+    joined = ratios.join(ratio_dimension(ratios.sparkSession), "function_name", "left")
+    missing = "CAST(raise_error(concat('no ratio code for ', function_name)) AS STRING)"
+    return joined.withColumn("ratio_code", F.expr(f"coalesce(ratio_code, {missing})"))

@@ -8,7 +8,8 @@ from tidemark.operators import ratios as r
 from tidemark.operators import statements as st
 from tidemark.plans import ratio_sql, ratio_tables, statement_tables
 from tidemark.plans.registry import query
-from tidemark.plans.test_views import SEGMENTS
+from tidemark.plans.test_views import SEGMENTS, base_codes
+from tidemark.sources.workspace import through_table
 
 _TRAILING = """
     SELECT stock_code, segment, category_code || '_TTM' AS category_code, year, quarter, ttm AS data FROM (
@@ -24,6 +25,24 @@ def facts(t, segment):
     return statement_tables.with_trailing_rows(t.segment_statement(segment))
 
 
+def stored_facts(t):
+    """Facts with trailing rows, written once and read per segment."""
+    table = through_table(statement_tables.with_trailing_rows(t.statement), "facts")
+    return {s: table.where(F.col("segment") == s) for s in SEGMENTS}
+
+
+def segment_facts(t, segment, families):
+    """Facts the families need, and the segment's chart of accounts.
+
+    Trailing accounts exist only where four quarters follow each other, so
+    families that use them look their codes up.
+    """
+    wanted = r.rb.account_codes(r.rb.BINDINGS[segment], families)
+    if any(c.endswith("_TTM") for c in wanted):
+        return facts(t, segment), None
+    return t.segment_statement(segment), [*base_codes(segment), "Price"]
+
+
 def with_prices(t, rows):
     """Facts with the quarter-end prices of the same entities."""
     own = rows.select("stock_code").distinct()
@@ -46,9 +65,9 @@ def family(name: str, *families: str, price: bool = False):
             bindings = r.rb.BINDINGS[segment]
             if not any(bindings.get(f) or f in ("yoy", "qoq") for f in families):
                 continue
-            rows = facts(t, segment)
+            rows, codes = segment_facts(t, segment, families)
             rows = with_prices(t, rows) if price else rows
-            parts.append(r.financial_ratios(rows, segment, families))
+            parts.append(r.financial_ratios(rows, segment, families, codes))
         return st.stacked(*parts)
 
     build.__doc__ = f"Ratios of the families {', '.join(families)}, every segment."
@@ -72,7 +91,8 @@ family("rat_notes", "notes")
 
 def one_segment(name: str, segment: str, families: tuple[str, ...], doc: str):
     def build(t):
-        return r.financial_ratios(facts(t, segment), segment, families)
+        rows, codes = segment_facts(t, segment, families)
+        return r.financial_ratios(rows, segment, families, codes)
 
     build.__doc__ = doc
     query(
@@ -110,8 +130,9 @@ _DATE = "strftime(make_date(year, CASE WHEN quarter = 0 THEN 12 ELSE quarter * 3
 )
 def rat_assemble(t):
     """Finished ratio rows of all segments."""
+    stored = stored_facts(t)
     parts = [
-        ratio_tables.segment_ratios(facts(t, s), s, t.prices).drop("family") for s in SEGMENTS
+        ratio_tables.segment_ratios(stored[s], s, t.prices).drop("family") for s in SEGMENTS
     ]
     return st.stacked(*parts).withColumn("date_added", F.date_format("date_added", "yyyy-MM-dd"))
 
@@ -146,7 +167,7 @@ _IND = """SELECT industry AS stock_code, year, quarter, ratio_code, round(avg(da
 
 def whole_table(t):
     rows = ratio_tables.ratio_table(
-        {s: facts(t, s) for s in SEGMENTS}, t.companies, t.prices, universal=t.statement
+        stored_facts(t), t.companies, t.prices, universal=t.statement
     )
     return rows.withColumns(
         {"data": F.round("data", 6), "date_added": F.date_format("date_added", "yyyy-MM-dd")}

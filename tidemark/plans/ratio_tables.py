@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.measures import days_scaled
 from tidemark.operators import ratios as r
 from tidemark.operators import statements as st
+from tidemark.sources.workspace import through_table
 
 COLUMNS = ["stock_code", "year", "quarter", "ratio_code", "data", "date_added", "segment"]
 
@@ -33,10 +34,8 @@ def segment_ratios(
     rows = facts.select(columns)
     if notes is not None:
         rows = st.stacked(rows, notes.select([c for c in columns if c in notes.columns]))
-    dated = rows
     if prices is not None:
-        own = facts.select("stock_code").distinct()
-        price_rows = prices.join(own, "stock_code", "left_semi").select(
+        price_rows = prices.select(
             "stock_code",
             "year",
             "quarter",
@@ -44,8 +43,11 @@ def segment_ratios(
             F.col("close").cast("double").alias("data"),
         )
         rows = st.stacked(rows, price_rows)
-    long = r.with_ratio_codes(r.financial_ratios(rows, segment, families, codes))
-    long = st.without_annual_ttm(st.with_period_dates(long, dated))
+    # A period's date comes out of the same aggregation as its accounts. Periods
+    # (and entities) known from prices alone have none and drop out here.
+    long = r.financial_ratios(rows, segment, families, codes, period_columns=["date_added"])
+    long = r.with_ratio_codes(long.where(F.col("date_added").isNotNull()))
+    long = st.without_annual_ttm(long)
     long = long.withColumn(
         "data", days_scaled(F.col("ratio_code"), F.col("quarter"), F.col("data"))
     ).withColumn("segment", F.lit(segment))
@@ -72,7 +74,8 @@ def ratio_table(
         segment_ratios(f, s, prices, notes if s == "bank" else None, **options).select(COLUMNS)
         for s, f in facts_by_segment.items()
     ]
-    ratios = st.stacked(*parts)
+    # Written once: the industry means read the same rows again.
+    ratios = through_table(st.stacked(*parts), "ratios")
     ranked_by = universal if universal is not None else st.stacked(*facts_by_segment.values())
     means = st.industry_ratios(ratios, ranked_by, companies, top=top)
     industry_rows = means.select(
