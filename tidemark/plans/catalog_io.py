@@ -1 +1,331 @@
-"""Queries to come."""
+"""Source, sink and streaming queries: each writes whole tables and reads them back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark import schemas
+from tidemark.operators import datasets as ds
+from tidemark.operators import documents
+from tidemark.operators import statements as st
+from tidemark.plans.catalog_datasets import (
+    _INDEXED,
+    _MARKET,
+    _TALKS,
+    json_lines,
+    split_questions,
+    talks,
+)
+from tidemark.plans.registry import query
+from tidemark.sources import readers, writers
+from tidemark.sources.workspace import new_folder
+from tidemark.streaming import ingest
+
+FACT = "stock_code, category_code, year, quarter, data"
+DATE_ADDED = "strftime(date_added, '%Y-%m-%d') AS date_added"
+
+
+def typed_statement(t):
+    """Statement rows with the stated schema of the statement table."""
+    return writers.loadable(t.statement, schemas.STATEMENT)
+
+
+def dated(df, column="date_added"):
+    return df.withColumn(column, F.date_format(column, "yyyy-MM-dd"))
+
+
+# -- sources ------------------------------------------------------------------------
+
+
+@query("src1", f"SELECT {FACT}, segment, {DATE_ADDED} FROM statement WHERE year >= 1999", "statement")
+def src1(t):
+    """Parquet facts read with a stated schema; filter and columns reach the scan."""
+    path = new_folder(t.spark, "src1")
+    writers.to_parquet(typed_statement(t), path)
+    return dated(readers.facts(t.spark, path, schemas.STATEMENT).where(F.col("year") >= 1999))
+
+
+@query("src2", "SELECT p_partkey AS ratio_code, p_name AS ratio_name, p_brand AS function_name FROM part")
+def src2(t):
+    """CSV dimension with a padded column, trimmed on reading."""
+    path = new_folder(t.spark, "src2")
+    padded = t["part"].select(
+        "p_partkey", "p_name", F.concat(F.lit("  "), "p_brand", F.lit(" ")).alias("function_name")
+    )
+    writers.to_csv(padded, path)
+    dim = readers.dimension(t.spark, path, "ratio_code long, ratio_name string, function_name string", ["function_name"])
+    return dim
+
+
+@query(
+    "src3",
+    """SELECT count(*) FILTER (event_id % 6 NOT IN (0, 2)) AS kept, count(*) FILTER (event_id % 6 IN (0, 2)) AS skipped FROM events""",
+)
+def src3(t):
+    """JSON lines with damage and blank lines: how many were kept and skipped."""
+    path = new_folder(t.spark, "src3")
+    lines = json_lines(t).unionByName(t["nation"].select(F.lit("").alias("value")))
+    lines.write.text(path)
+    loose = T.StructType([T.StructField(c, T.StringType()) for c in ("data_source", "prompt", "extra_info")])
+    return readers.line_counts(readers.json_lines(t.spark, path, loose))
+
+
+@query(
+    "src4",
+    """SELECT series_key, count(*) AS days, max(close) AS highest FROM bars
+    WHERE time BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' AND series_key IN ('1-URGENT', '5-LOW') AND volume >= 2 GROUP BY 1""",
+    "bars",
+)
+def src4(t):
+    """SQL with named, typed parameters, one of them a list."""
+    return readers.query(
+        t.spark,
+        """SELECT series_key, count(*) AS days, max(close) AS highest FROM {bars}
+        WHERE time BETWEEN CAST(:start AS DATE) AND CAST(:end AS DATE) AND array_contains(:keys, series_key)
+          AND volume >= :least GROUP BY series_key""",
+        {"start": "1996-01-01", "end": "1998-12-31", "keys": F.array(F.lit("1-URGENT"), F.lit("5-LOW")), "least": 2},
+        bars=t.bars,
+    )
+
+
+@query(
+    "src5",
+    "SELECT n_name AS entity, c_custkey, c_acctbal + 1 AS c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey",
+)
+def src5(t):
+    """Newest file of each nation; an older one is left aside."""
+    path = new_folder(t.spark, "src5")
+    rows = t["customer"].join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "n_name", "c_custkey", "c_acctbal"
+    )
+    rows.write.partitionBy("n_name").parquet(f"{path}/a")
+    newer = rows.withColumn("c_acctbal", F.col("c_acctbal") + 1)
+    newer.repartition("n_name").write.partitionBy("n_name").parquet(f"{path}/b")
+    found = readers.latest_files(
+        t.spark, f"{path}/*/*", "c_custkey long, c_acctbal double", r"n_name=([^/]+)/"
+    )
+    return found.withColumn("entity", F.regexp_replace("entity", "%20", " "))
+
+
+@query(
+    "src6",
+    "SELECT conv_id, CAST(n AS INTEGER) AS messages, first_role FROM talks",
+    extra={"talks": _TALKS},
+)
+def src6(t):
+    """Nested message lists written as JSON and read with a stated schema."""
+    path = new_folder(t.spark, "src6")
+    talks(t).select("conv_id", "prompt").write.json(path)
+    schema = T.StructType(
+        [T.StructField("conv_id", T.LongType()), T.StructField("prompt", T.ArrayType(schemas.MESSAGE))]
+    )
+    rows = readers.messages(t.spark, path, schema)
+    return rows.select("conv_id", F.size("prompt").alias("messages"), F.col("prompt")[0]["role"].alias("first_role"))
+
+
+# -- sinks -----------------------------------------------------------------------------
+
+
+@query("snk1", f"SELECT {FACT}, segment, {DATE_ADDED} FROM statement", "statement")
+def snk1(t):
+    """Parquet write."""
+    path = new_folder(t.spark, "snk1")
+    writers.to_parquet(typed_statement(t), path)
+    return dated(readers.facts(t.spark, path, schemas.STATEMENT))
+
+
+@query("snk2", f"SELECT {FACT} FROM statement", "statement")
+def snk2(t):
+    """CSV write with a header."""
+    path = new_folder(t.spark, "snk2")
+    writers.to_csv(t.statement.select(*FACT.split(", ")), path)
+    schema = "stock_code string, category_code string, year int, quarter int, data double"
+    return readers.dimension(t.spark, path, schema)
+
+
+@query(
+    "snk3",
+    """SELECT series_key AS index_name, strftime(time, '%Y-%m-%d') AS time, close, volume FROM bars WHERE volume > 1
+    UNION ALL SELECT series_key, strftime(time, '%Y-%m-%d'), close, volume FROM bars WHERE volume > 1""",
+    "bars",
+)
+def snk3(t):
+    """Two appends to a table; rows without the required close are dropped."""
+    path = new_folder(t.spark, "snk3")
+    schema = T.StructType([f for f in schemas.series("index_name", ()).fields])
+    rows = t.bars.select(
+        "time",
+        F.when(F.col("volume") > 1, F.col("close")).alias("close"),
+        "volume",
+        F.col("series_key").alias("index_name"),
+        F.lit("daily").alias("duration"),
+    )
+    for _ in range(2):
+        writers.append(rows, path, schema, unused=["duration"])
+    return dated(readers.facts(t.spark, path, schema), "time")
+
+
+@query(
+    "snk4",
+    """SELECT series_key, strftime(time, '%Y-%m-%d') AS time, close FROM bars
+    WHERE time BETWEEN DATE '1996-03-15' AND DATE '1996-07-10'""",
+    "bars",
+)
+def snk4(t):
+    """Table with a folder per month, clustered by series; a range reads only its months."""
+    path = new_folder(t.spark, "snk4")
+    rows = t.bars.withColumn("time", F.col("time").cast("timestamp_ntz"))
+    writers.to_month_table(rows, path, "time", ["series_key"])
+    schema = "series_key string, time timestamp_ntz, close double, month string"
+    table = t.spark.read.schema(schema).parquet(path)
+    found = writers.month_table_range(table, "time", "1996-03-15", "1996-07-10")
+    return dated(found.select("series_key", "time", "close"), "time")
+
+
+@query(
+    "snk5",
+    "SELECT url, source, true AS stamped FROM news UNION ALL SELECT url, source, true FROM news",
+    "news",
+)
+def snk5(t):
+    """Articles appended twice with creation times; both copies stay."""
+    path = new_folder(t.spark, "snk5")
+    for _ in range(2):
+        writers.append_documents(t.news.drop("text"), path)
+    rows = t.spark.read.parquet(path)
+    stamped = F.col("created_at").isNotNull() & (F.col("created_at") == F.col("updated_at"))
+    return rows.select("url", "source", stamped.alias("stamped"))
+
+
+@query(
+    "snk6",
+    "SELECT split, index, id, question_raw AS content FROM indexed WHERE answer IS NOT NULL",
+    "bars",
+    _MARKET | {"indexed": _INDEXED},
+)
+def snk6(t):
+    """Question records as JSON lines, a folder per split, with a running index."""
+    path = new_folder(t.spark, "snk6")
+    records = ds.as_records(split_questions(t)).withColumn("split", F.col("extra_info.split"))
+    writers.to_split_json(records, path)
+    schema = T.StructType([*schemas.QUESTION.fields, T.StructField("split", T.StringType())])
+    rows = readers.good_lines(readers.json_lines(t.spark, path, schema))
+    return rows.select(
+        "split", F.col("extra_info.index").alias("index"), F.col("extra_info.id").alias("id"),
+        F.col("prompt")[0]["content"].alias("content"),
+    )
+
+
+@query(
+    "snk7",
+    """SELECT item_id, CASE WHEN item_id % 4 = 0 THEN 'test' ELSE 'train' END AS split, text FROM benchmark""",
+)
+def snk7(t):
+    """Training and test sets as parquet."""
+    path = new_folder(t.spark, "snk7")
+    split = F.when(F.col("item_id") % 4 == 0, "test").otherwise("train")
+    t["benchmark"].withColumn("split", split).write.partitionBy("split").parquet(path)
+    return t.spark.read.schema("item_id long, text string, split string").parquet(path)
+
+
+@query(
+    "snk8",
+    """SELECT stock_code, category_code, year, quarter, CASE WHEN year >= 1999 THEN data * 2 ELSE data END AS data FROM statement""",
+    "statement",
+)
+def snk8(t):
+    """Newer snapshot over an older one, last row per key."""
+    old = t.statement.select(*FACT.split(", "))
+    new = old.where(F.col("year") >= 1999).withColumn("data", F.col("data") * 2)
+    return st.keep_last(old, new, ["stock_code", "year", "quarter", "category_code"])
+
+
+@query(
+    "snk9",
+    "SELECT url, source FROM news WHERE url NOT IN (SELECT url FROM points)",
+    "news points",
+)
+def snk9(t):
+    """Processed keys recorded; the next reader leaves them out."""
+    path = new_folder(t.spark, "snk9")
+    writers.mark_processed(t.points, path)
+    done = t.spark.read.schema("url string").parquet(path)
+    return t.news.join(done, "url", "left_anti").select("url", "source")
+
+
+# -- streaming ---------------------------------------------------------------------------
+
+
+def article_files(t, label):
+    """Articles as a folder of files that arrive one by one, plus its schema."""
+    path = new_folder(t.spark, label)
+    rows = t.news.select("url", "channel_name", "pub_date", "text")
+    rows.repartitionByRange(4, "pub_date", "url").sortWithinPartitions("pub_date", "url").write.parquet(path)
+    return path, rows.schema
+
+
+@query(
+    "str1",
+    """SELECT url, channel_name FROM news""",
+    "news",
+)
+def str1(t):
+    """High-water ingest of files that arrive in time order, then the same files again."""
+    path, schema = article_files(t, "str1")
+    target, mark = new_folder(t.spark, "str1-out"), new_folder(t.spark, "str1-cp")
+    # All articles in one batch; the second stream brings nothing newer than the mark.
+    stream = ingest.file_stream(t.spark, path, schema, files_per_batch=1000)
+    ingest.high_water_ingest(stream, target, mark).awaitTermination()
+    t.spark.read.schema(schema).parquet(path).write.mode("append").parquet(path)
+    again = ingest.file_stream(t.spark, path, schema, files_per_batch=1000)
+    ingest.high_water_ingest(again, target, mark).awaitTermination()
+    return t.spark.read.schema(schema).parquet(target).select("url", "channel_name")
+
+
+@query(
+    "str2",
+    """SELECT url, len(text) AS length FROM news""",
+    "news",
+)
+def str2(t):
+    """Queue drained in batches; every article is worked on once."""
+    path, schema = article_files(t, "str2")
+    target, mark = new_folder(t.spark, "str2-out"), new_folder(t.spark, "str2-cp")
+
+    def work(batch):
+        return batch.select("url", F.length("text").cast("bigint").alias("length"))
+
+    for _ in range(2):
+        stream = ingest.file_stream(t.spark, path, schema, files_per_batch=2)
+        ingest.drain(stream, work, target, mark).awaitTermination()
+    return t.spark.read.schema("url string, length long").parquet(target).select("url", "length")
+
+
+@query("str3", "SELECT url, channel_name FROM news", "news")
+def str3(t):
+    """Repeated arrivals dropped within the watermark."""
+    path, schema = article_files(t, "str3")
+    t.spark.read.schema(schema).parquet(path).write.mode("append").parquet(path)
+    target, mark = new_folder(t.spark, "str3-out"), new_folder(t.spark, "str3-cp")
+    stream = ingest.file_stream(t.spark, path, schema, files_per_batch=3)
+    unique = ingest.without_repeats(stream).select("url", "channel_name")
+    ingest.append_stream(unique, target, mark).awaitTermination()
+    return t.spark.read.schema("url string, channel_name string").parquet(target)
+
+
+@query(
+    "vec4_stream",
+    """SELECT url, CAST(len(text) > 0 AS BOOLEAN) AS has_text FROM news""",
+    "news",
+)
+def vec4_stream(t):
+    """Chunk table filled incrementally from arriving articles; one row per article compared."""
+    path = new_folder(t.spark, "vec4")
+    rows = t.news.select("url", "title", "pub_date", "text")
+    rows.repartitionByRange(3, "pub_date", "url").write.parquet(path)
+    target, mark = new_folder(t.spark, "vec4-out"), new_folder(t.spark, "vec4-cp")
+    stream = ingest.file_stream(t.spark, path, rows.schema, files_per_batch=1)
+    ingest.drain(stream, documents.chunk_table, target, mark).awaitTermination()
+    chunks = t.spark.read.schema("url string, chunk string").parquet(target)
+    return chunks.groupBy("url").agg(F.max(F.length("chunk") > 0).alias("has_text"))

@@ -25,14 +25,18 @@ def dimension(
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON lines; a line that does not parse is kept in ``_bad``, blank lines are skipped."""
+    """JSON lines; a line that is not a JSON object of the schema is kept whole in ``_bad``.
+
+    Blank lines are skipped.
+    """
     tolerant = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
-    return (
-        spark.read.schema(tolerant)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _BAD)
-        .json(path)
-    )
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
+    lines = raw_lines(spark, path)
+    record = F.from_json("value", tolerant, options)
+    is_object = F.startswith(F.trim("value"), F.lit("{"))
+    rows = lines.select("value", F.when(is_object, record).alias("r"))
+    bad = F.when(is_object, F.col("r")[_BAD]).otherwise(F.col("value"))
+    return rows.select(*[F.col("r")[f.name].alias(f.name) for f in schema.fields], bad.alias(_BAD))
 
 
 def good_lines(lines: DataFrame) -> DataFrame:
