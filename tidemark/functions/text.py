@@ -26,24 +26,40 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda t: t != ""))
 
 
-def has_all_tokens(text: Column, query: Column) -> Column:
-    """True when every query token occurs in the text; false for an empty query."""
-    wanted = tokens(query)
-    return (F.size(wanted) > 0) & (F.size(F.array_except(wanted, tokens(text))) == 0)
+def query_words(query: str) -> list[str]:
+    """Distinct tokens of a query text, the same way ``tokens`` sees them."""
+    spaced = "".join(ch if ch.isalnum() else " " for ch in query.lower())
+    return list(dict.fromkeys(spaced.split()))
 
 
-def name_match_score(name: Column, query: Column) -> Column:
+def has_all_words(text: Column, words: list[str]) -> Column:
+    """True when every word is a token of the text; false without words.
+
+    A plain substring test goes first, so most texts are never cut into tokens.
+    """
+    if not words:
+        return F.lit(False)
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    result = F.lit(True)
+    for word in words:
+        result = result & F.contains(lowered, F.lit(word))
+    found = tokens(text)
+    wanted = F.array(*[F.lit(w) for w in words])
+    return result & (F.size(F.array_except(wanted, found)) == 0)
+
+
+def name_match_score(name: Column, query: str) -> Column:
     """3 for an equal name, 2 more for a common start, 1 more for all tokens."""
     return (
         F.when(name == query, 3).otherwise(0)
-        + F.when(F.startswith(name, query), 2).otherwise(0)
-        + F.when(has_all_tokens(name, query), 1).otherwise(0)
+        + F.when(F.startswith(name, F.lit(query)), 2).otherwise(0)
+        + F.when(has_all_words(name, query_words(query)), 1).otherwise(0)
     )
 
 
-def news_match_score(title: Column, text: Column, query: Column) -> Column:
-    return F.when(has_all_tokens(title, query), 2).otherwise(0) + F.when(
-        has_all_tokens(text, query), 1
+def news_match_score(title: Column, text: Column, words: list[str]) -> Column:
+    return F.when(has_all_words(title, words), 2).otherwise(0) + F.when(
+        has_all_words(text, words), 1
     ).otherwise(0)
 
 

@@ -248,17 +248,20 @@ def message_blocks(messages: DataFrame, conversation: str, turn: str) -> DataFra
     return messages.select(conversation, turn, block.alias("block"))
 
 
-def transcripts(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """One text per conversation, messages in turn order.
+def transcripts(
+    messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", part_turns: int = 10_000
+) -> DataFrame:
+    """Text of each conversation, messages in turn order, in parts of ``part_turns`` turns.
 
-    The text of a conversation is one value, so a conversation's messages meet
-    in one row; use ``message_blocks`` to keep them apart.
+    An ordinary conversation is one part (0). The parts of a longer one follow
+    each other, so no conversation has to fit in one row.
     """
     blocks = message_blocks(messages, conversation, turn)
     ordered = F.array_sort(F.collect_list(F.struct(turn, "block")))
     joined = F.array_join(F.transform(ordered, lambda m: m["block"]), "\n")
     text = F.regexp_replace(joined, r"^\s+|\s+$", "")
-    return blocks.groupBy(conversation).agg(text.alias("transcript"))
+    part = F.floor(F.col(turn) / part_turns).cast("int").alias("part")
+    return blocks.groupBy(conversation, part).agg(text.alias("transcript"))
 
 
 def transcript_words(messages: DataFrame, conversation: str = "conv_id") -> DataFrame:

@@ -71,7 +71,7 @@ def all_similar_companies(companies: DataFrame, top: int = 5) -> DataFrame:
 def search_names(dim: DataFrame, columns: Sequence[str], query: str) -> DataFrame:
     """Dimension rows whose listed columns together hold every query token."""
     joined = F.concat_ws(" ", *columns)
-    return dim.where(tx.has_all_tokens(joined, F.lit(query)))
+    return dim.where(tx.has_all_words(joined, tx.query_words(query)))
 
 
 def best_names(
@@ -79,7 +79,7 @@ def best_names(
 ) -> DataFrame:
     """The ``top`` names by match score; rows with score 0 fill the list up."""
     return (
-        dim.select(code, name, tx.name_match_score(F.col(name), F.lit(query)).alias("score"))
+        dim.select(code, name, tx.name_match_score(F.col(name), query).alias("score"))
         .orderBy(F.col("score").desc(), code)
         .limit(top)
     )

@@ -66,27 +66,29 @@ def moving_averages(
     """
     keys = list(keys)
     decay = {s: 1.0 - 2.0 / (s + 1.0) for s in spans}
-    given = df.withColumn(_BUCKET, calendar_bucket(time, bucket))
-    rows = given.where(F.col(value).isNotNull())
+    x = F.col(value).cast("double")
+    known = F.col(value).isNotNull()
 
+    rows = df.withColumn(_BUCKET, calendar_bucket(time, bucket))
     inside = Window.partitionBy(*keys, _BUCKET).orderBy(time)
-    rows = rows.withColumn("__n", F.row_number().over(inside) - 1)
+    counted = F.count(value).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("__n", F.greatest(counted - 1, F.lit(0)))
     rows = rows.withColumn("__block", F.floor(F.col("__n") / block).cast("int"))
     rows = rows.withColumn("__pos", F.col("__n") % block)
     running = (
         Window.partitionBy(*keys, _BUCKET, "__block")
-        .orderBy("__pos")
+        .orderBy(time)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    x = F.col(value).cast("double")
     for s, q in decay.items():
         scaled = F.sum(x * F.pow(F.lit(q), -F.col("__pos"))).over(running)
         rows = rows.withColumn(f"__local{s}", F.pow(F.lit(q), F.col("__pos")) * scaled * (1.0 - q))
 
+    at = F.when(known, F.col("__pos"))
     ends = rows.groupBy(*keys, _BUCKET, "__block").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.min_by(x, F.col("__pos")).alias("first"),
-        *[F.max_by(F.col(f"__local{s}"), F.col("__pos")).alias(f"end{s}") for s in spans],
+        F.count(value).alias("rows"),
+        F.min_by(x, at).alias("first"),
+        *[F.max_by(F.col(f"__local{s}"), at).alias(f"end{s}") for s in spans],
     )
     carried = _chain_blocks(ends, keys, decay)
 
@@ -94,14 +96,16 @@ def moving_averages(
     rows = rows.join(carried, [*keys, _BUCKET], "left").withColumn(
         "__in", F.element_at("__carries", F.col("__block") + 1)
     )
-    for s, q in decay.items():
-        rows = rows.withColumn(
-            f"{prefix}{s}",
-            F.col(f"__local{s}") + F.pow(F.lit(q), weight) * F.col("__in")[f"carry{s}"],
-        )
-    averaged = rows.select(*df.columns, *[f"{prefix}{s}" for s in spans])
-    missing = df.where(F.col(value).isNull())
-    return averaged.unionByName(missing, allowMissingColumns=True)
+    return rows.select(
+        *df.columns,
+        *[
+            F.when(
+                known,
+                F.col(f"__local{s}") + F.pow(F.lit(q), weight) * F.col("__in")[f"carry{s}"],
+            ).alias(f"{prefix}{s}")
+            for s, q in decay.items()
+        ],
+    )
 
 
 def _chain_blocks(ends: DataFrame, keys: list[str], decay: dict[int, float]) -> DataFrame:
@@ -114,7 +118,7 @@ def _chain_blocks(ends: DataFrame, keys: list[str], decay: dict[int, float]) ->
         return F.struct(*[values[s].alias(f"carry{s}") for s in spans])
 
     # State: averages entering the next block, and the ones recorded so far.
-    opening = F.element_at("__ends", 1)["first"]
+    opening = F.get(F.filter("__ends", lambda e: e["first"].isNotNull()), F.lit(0))["first"]
     start = F.struct(
         carry_struct({s: opening for s in spans}).alias("now"),
         F.array(carry_struct({s: opening for s in spans})).alias("seen"),
@@ -123,7 +127,7 @@ def _chain_blocks(ends: DataFrame, keys: list[str], decay: dict[int, float]) ->
     def step(state: Column, block: Column) -> Column:
         after = carry_struct(
             {
-                s: block[f"end{s}"]
+                s: F.coalesce(block[f"end{s}"], F.lit(0.0))
                 + F.pow(F.lit(decay[s]), block["rows"].cast("double")) * state["now"][f"carry{s}"]
                 for s in spans
             }
@@ -193,6 +197,6 @@ def hash_order(identity: Column, seed: int | str = 0) -> Column:
     return F.md5(F.concat(identity.cast("string"), F.lit(f":{seed}")))
 
 
-def hash_bucket(digest: Column, digits: int = 3) -> Column:
+def hash_bucket(digest: Column, digits: int = 4) -> Column:
     """Leading digits of a hash, a bucket that follows the hash order."""
     return F.substring(digest, 1, digits)

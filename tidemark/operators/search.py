@@ -27,11 +27,11 @@ def search_news(
     equals. Without a channel the shortened text is returned too.
     """
     start, end = guards.limited_range(start, end, as_of)
-    words = F.lit(query)
+    words = tx.query_words(query)
     rows = news.where(guards.in_range(F.col("pub_date"), start, end, whole_end_day))
     if channel is not None:
         rows = rows.where(F.col("channel_name") == channel)
-    rows = rows.where(tx.has_all_tokens(F.concat_ws(" ", "title", "text"), words))
+    rows = rows.where(tx.has_all_words(F.concat_ws(" ", "title", "text"), words))
     scored = rows.withColumn("score", tx.news_match_score(F.col("title"), F.col("text"), words))
     columns = ["url", "title", "source", "pub_date", "score"]
     if channel is None:
@@ -55,9 +55,7 @@ def search_tokens(table: DataFrame, key: str, query: str) -> DataFrame:
 
     The token filter reaches the scan; only matching rows are grouped.
     """
-    spark = table.sparkSession
-    row = spark.range(1).select(tx.tokens(F.lit(query)).alias("t")).first()
-    words = list(row["t"])
+    words = tx.query_words(query)
     return (
         table.where(F.col("token").isin(words))
         .groupBy(key)

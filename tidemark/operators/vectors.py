@@ -14,6 +14,9 @@ from tidemark.functions import text as tx
 # Query vectors shipped to the tasks at once; more queries take more passes.
 QUERIES_PER_PASS = 1024
 
+# Rows of (query, url, score, place) that may be sent to every task.
+LARGEST_BROADCAST = 100_000
+
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
@@ -21,56 +24,64 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
 
 
 def _nearest_in_pass(
-    points: DataFrame, query_ids: list, vectors: list, k: int, key: str, vector: str
+    points: DataFrame, query_ids: list, vectors: list, k: int, key: str, vector: str, payload: list[str]
 ) -> DataFrame:
     """k best points of every query; each task keeps k candidates per query."""
     queries = _unit(np.asarray(vectors, dtype=np.float64))
-    field = points.schema[key]
-    schema = f"query_id {_ddl(query_ids)}, {key} {field.dataType.simpleString()}, score double"
-    id_type = pa.string() if isinstance(query_ids[0], str) else pa.int64()
+    kept = [key, *payload]
+    id_type = "string" if isinstance(query_ids[0], str) else "bigint"
+    columns = [f"{c} {points.schema[c].dataType.simpleString()}" for c in kept]
+    schema = ", ".join([f"query_id {id_type}", *columns, "score double"])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_keys: list[np.ndarray] = [np.empty(0, dtype=object)] * len(query_ids)
-        kept_scores: list[np.ndarray] = [np.empty(0)] * len(query_ids)
-        key_type = None
+        # Per query: rows (key, payload…) and their scores, best first.
+        rows: list[list[tuple]] = [[] for _ in query_ids]
+        scores: list[np.ndarray] = [np.empty(0) for _ in query_ids]
+        types = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            keys = batch.column(0)
-            key_type = keys.type
-            names = np.asarray(keys.to_pylist(), dtype=object)
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            scores = _unit(flat.astype(np.float64).reshape(batch.num_rows, -1)) @ queries.T
+            types = [batch.column(i).type for i in range(len(kept))]
+            flat = batch.column(len(kept)).flatten().to_numpy(zero_copy_only=False)
+            found = _unit(flat.astype(np.float64).reshape(batch.num_rows, -1)) @ queries.T
             for q in range(len(query_ids)):
-                column, worst = scores[:, q], kept_scores[q][-1:]
-                # Once k are kept only rows at least as good as the worst can enter.
-                enter = column >= worst[0] if len(kept_scores[q]) == k else slice(None)
-                all_keys = np.concatenate([kept_keys[q], names[enter]])
-                all_scores = np.concatenate([kept_scores[q], column[enter]])
-                order = np.lexsort((all_keys, -all_scores))[:k]
-                kept_keys[q], kept_scores[q] = all_keys[order], all_scores[order]
-        if key_type is None:
+                column = found[:, q]
+                # The k-th best of the batch or of what is kept bounds what can enter;
+                # equal scores stay in, so ties are settled by key below.
+                bound = -np.inf
+                if len(column) > k:
+                    bound = np.partition(column, -k)[-k]
+                if len(scores[q]) == k:
+                    bound = max(bound, scores[q][-1])
+                enter = np.flatnonzero(column >= bound)
+                if not len(enter):
+                    continue
+                chosen = batch.select(range(len(kept))).take(pa.array(enter))
+                new = list(zip(*(c.to_pylist() for c in chosen.columns)))
+                pool = rows[q] + new
+                pool_scores = np.concatenate([scores[q], column[enter]])
+                order = sorted(range(len(pool)), key=lambda i: (-pool_scores[i], pool[i][0]))[:k]
+                rows[q] = [pool[i] for i in order]
+                scores[q] = pool_scores[order]
+        if types is None:
             return
-        sizes = [len(s) for s in kept_scores]
+        ids = [i for i, r in zip(query_ids, rows) for _ in r]
+        flat_rows = [r for group in rows for r in group]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([i for i, n in zip(query_ids, sizes) for _ in range(n)], type=id_type),
-                pa.array(np.concatenate(kept_keys).tolist(), type=key_type),
-                pa.array(np.concatenate(kept_scores)),
+                pa.array(ids, type=pa.string() if id_type == "string" else pa.int64()),
+                *[pa.array([r[j] for r in flat_rows], type=t) for j, t in enumerate(types)],
+                pa.array(np.concatenate(scores)),
             ],
-            names=["query_id", key, "score"],
+            names=["query_id", *kept, "score"],
         )
 
-    usable = points.where(F.col(vector).isNotNull()).select(key, vector)
+    usable = points.where(F.col(vector).isNotNull()).select(*kept, vector)
     candidates = usable.mapInArrow(best, schema)
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), key)
     return candidates.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= k)
 
 
-def _ddl(ids: list) -> str:
-    return "string" if isinstance(ids[0], str) else "bigint"
-
-
 def nearest(
     points: DataFrame,
     queries: Sequence[tuple],
@@ -80,11 +91,12 @@ def nearest(
     time: str | None = None,
     start=None,
     end=None,
+    payload: Sequence[str] = (),
 ) -> DataFrame:
     """Exact k nearest points by cosine for ``queries`` given as (id, vector) pairs.
 
     Points outside ``[start, end]`` of ``time`` are left out before scoring.
-    Ties go by key. Result: ``query_id, key, score, place``.
+    Ties go by key. Result: ``query_id, key, payload…, score, place``.
     """
     if time is not None and start is not None:
         points = points.where(F.col(time) >= F.lit(start))
@@ -93,7 +105,11 @@ def nearest(
     parts = []
     for i in range(0, len(queries), QUERIES_PER_PASS):
         ids, vectors = zip(*queries[i : i + QUERIES_PER_PASS])
-        parts.append(_nearest_in_pass(points, list(ids), [list(v) for v in vectors], k, key, vector))
+        parts.append(
+            _nearest_in_pass(
+                points, list(ids), [list(v) for v in vectors], k, key, vector, list(payload)
+            )
+        )
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -114,16 +130,18 @@ def retrieve_articles(
     **window,
 ) -> DataFrame:
     """Nearest chunks -> best score per article -> the first ``urls`` articles with short text."""
-    hits = nearest(points, queries, k, **window)
-    located = hits.join(points.select("vec_id", "url"), "vec_id")
+    hits = nearest(points, queries, k, payload=["url"], **window)
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "url")
     kept = (
-        best_per_url(located)
+        best_per_url(hits)
         .withColumn("place", F.row_number().over(ranked))
         .where(F.col("place") <= urls)
     )
+    if len(queries) * urls <= LARGEST_BROADCAST:
+        # At most ``urls`` rows per query: the articles are filtered where they lie.
+        kept = F.broadcast(kept)
     articles = news.select("url", "title", "source", "pub_date", "text")
-    return kept.join(articles, "url").withColumn("text", tx.shorten(F.col("text"), length))
+    return articles.join(kept, "url").withColumn("text", tx.shorten(F.col("text"), length))
 
 
 def retrieve(

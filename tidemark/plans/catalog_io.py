@@ -209,10 +209,11 @@ def snk6(t):
     path = new_folder(t.spark, "snk6")
     records = ds.as_records(split_questions(t)).withColumn("split", F.col("extra_info.split"))
     writers.to_split_json(records, path)
-    schema = T.StructType([*schemas.QUESTION.fields, T.StructField("split", T.StringType())])
-    rows = readers.good_lines(readers.json_lines(t.spark, path, schema))
+    rows = readers.good_lines(readers.json_lines(t.spark, path, schemas.QUESTION))
     return rows.select(
-        "split", F.col("extra_info.index").alias("index"), F.col("extra_info.id").alias("id"),
+        F.col("extra_info.split").alias("split"),
+        F.col("extra_info.index").alias("index"),
+        F.col("extra_info.id").alias("id"),
         F.col("prompt")[0]["content"].alias("content"),
     )
 

@@ -79,7 +79,7 @@ def scl13(t):
 def scl15(t):
     """Match score of names against a query."""
     return t["part"].select(
-        "p_partkey", tx.name_match_score(F.col("p_name"), F.lit("red bolt")).alias("score")
+        "p_partkey", tx.name_match_score(F.col("p_name"), "red bolt").alias("score")
     )
 
 
@@ -272,7 +272,7 @@ def set4(t):
 
 @query(
     "txt9",
-    r"""SELECT conv_id, regexp_replace(string_agg('## ' || upper(role[1]) || lower(role[2:]) || ':' || chr(10) || chr(10) || text || chr(10),
+    r"""SELECT conv_id, 0 AS part, regexp_replace(string_agg('## ' || upper(role[1]) || lower(role[2:]) || ':' || chr(10) || chr(10) || text || chr(10),
         chr(10) ORDER BY turn), '^\s+|\s+$', '', 'g') AS transcript FROM conversations GROUP BY conv_id""",
 )
 def txt9(t):
@@ -352,8 +352,8 @@ _BEST = "SELECT query_id, url, max(score) AS score FROM hits GROUP BY ALL"
 )
 def agg17(t):
     """Best score per article."""
-    hits = vectors.nearest(t.points, t.topic_vectors(), k=8, **WINDOW)
-    return rounded(vectors.best_per_url(hits.join(t.points.select("vec_id", "url"), "vec_id")))
+    hits = vectors.nearest(t.points, t.topic_vectors(), k=8, payload=["url"], **WINDOW)
+    return rounded(vectors.best_per_url(hits))
 
 
 _FIRST = """

@@ -26,13 +26,15 @@ def _write_batch(df: DataFrame, target: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{target}/batch={batch}")
 
 
-def _earlier(spark: SparkSession, target: str, batch: int, schema: T.StructType) -> DataFrame | None:
-    """What earlier batches wrote, or None if there is nothing."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(target)
+def _marks(spark: SparkSession, folder: str, batch: int, schema: T.StructType) -> DataFrame | None:
+    """Newest time per channel over the batches before ``batch``, or None at the start."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
     if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
         return None
-    withbatch = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])
-    return spark.read.schema(withbatch).parquet(target).where(F.col("batch") < batch)
+    stored = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])
+    channel, time = schema.names
+    rows = spark.read.schema(stored).parquet(folder).where(F.col("batch") < batch)
+    return rows.groupBy(channel).agg(F.max(time).alias("__mark"))
 
 
 def high_water_ingest(
@@ -40,21 +42,25 @@ def high_water_ingest(
 ) -> StreamingQuery:
     """Append what is strictly newer than the newest item of its channel so far.
 
-    As a consequence an article that arrives late is not taken.
+    As a consequence an article that arrives late is not taken. The marks are
+    kept in a small table of their own, so the ingested rows are not read again.
     """
     schema = stream.schema
+    mark_schema = T.StructType([schema[channel], schema[time]])
+    folder = f"{checkpoint}-marks"
 
     def take(batch: DataFrame, number: int) -> None:
-        earlier = _earlier(batch.sparkSession, target, number, schema)
-        if earlier is not None:
-            marks = earlier.groupBy(channel).agg(F.max(time).alias("__mark"))
+        spark = batch.sparkSession
+        marks = _marks(spark, folder, number, mark_schema)
+        if marks is not None:
             batch = (
                 batch.join(marks, channel, "left")
                 .where(F.col("__mark").isNull() | (F.col(time) > F.col("__mark")))
-                .drop("__mark")
                 .select(schema.names)
             )
         _write_batch(batch, target, number)
+        written = spark.read.schema(schema).parquet(f"{target}/batch={number}")
+        _write_batch(written.groupBy(channel).agg(F.max(time).alias(time)), folder, number)
 
     return (
         stream.writeStream.foreachBatch(take)
