@@ -27,11 +27,19 @@ def answer_part(response: Column) -> Column:
     return F.substring_index(F.substring_index(response, "</tool_call>", -1), "</think>", -1)
 
 
+def boxed_numbers(text: Column) -> Column:
+    r"""The two texts of the first ``\boxed{a} \pm \boxed{b}`` as an array, found in one search."""
+    whole = F.regexp_substr(text, F.lit(_BOXED))
+    inner = F.regexp_extract_all(whole, F.lit(r"\\boxed\{([^}]*)\}"), F.lit(1))
+    return inner
+
+
 def boxed_pair(text: Column) -> Column:
     r"""``\boxed{a} \pm \boxed{b}`` -> struct(mean, std); nulls when absent or not numeric."""
+    pair = boxed_numbers(text)
     return F.struct(
-        F.regexp_extract(text, _BOXED, 1).try_cast("double").alias("mean"),
-        F.regexp_extract(text, _BOXED, 2).try_cast("double").alias("std"),
+        F.get(pair, F.lit(0)).try_cast("double").alias("mean"),
+        F.get(pair, F.lit(1)).try_cast("double").alias("std"),
     )
 
 
@@ -54,20 +62,3 @@ def gaussian_divergence(mean: Column, std: Column, true_mean: Column, true_std:
     p = spread(std, mean, ANSWER_SPREAD)
     miss = mean - true_mean
     return F.log(t / p) + (p * p + miss * miss) / (t * t * 2) - 0.5
-
-
-def answer_score(response: Column, true_mean: Column, true_std: Column) -> Column:
-    """struct(tool_call_score, nll_score, total_score, error) of one answer."""
-    pair = boxed_pair(answer_part(response))
-    mean, std = pair["mean"], pair["std"]
-    call_score = chi_square_density(tool_calls(response))
-    failed = mean.isNull() | std.isNull()
-    nll = F.greatest(
-        F.lit(1.0) - gaussian_divergence(mean, std, true_mean, true_std) * NLL_WEIGHT, F.lit(-1.0)
-    )
-    return F.struct(
-        call_score.alias("tool_call_score"),
-        F.when(failed, F.lit(-1.0)).otherwise(nll).alias("nll_score"),
-        F.when(failed, F.lit(-1.0)).otherwise(call_score + nll).alias("total_score"),
-        F.when(failed, F.lit("Failed to extract numerical answer")).alias("error"),
-    )

@@ -37,8 +37,7 @@ def previous_value(
     inside = Window.partitionBy(*keys, _BUCKET).orderBy(time)
     first = F.row_number().over(inside) == 1
     return (
-        rows.withColumn("__first", first)
-        .withColumn("__prev", F.lag(value).over(inside))
+        rows.withColumns({"__first": first, "__prev": F.lag(value).over(inside)})
         .join(borders, [*keys, _BUCKET], "left")
         .withColumn(out, F.when(F.col("__first"), F.col(_CARRY)).otherwise(F.col("__prev")))
         .drop(_BUCKET, _CARRY, "__first", "__prev")
@@ -72,17 +71,24 @@ def moving_averages(
     rows = df.withColumn(_BUCKET, calendar_bucket(time, bucket))
     inside = Window.partitionBy(*keys, _BUCKET).orderBy(time)
     counted = F.count(value).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("__n", F.greatest(counted - 1, F.lit(0)))
-    rows = rows.withColumn("__block", F.floor(F.col("__n") / block).cast("int"))
-    rows = rows.withColumn("__pos", F.col("__n") % block)
+    rows = rows.withColumn("__n", F.greatest(counted - 1, F.lit(0))).withColumns(
+        {
+            "__block": F.floor(F.col("__n") / block).cast("int"),
+            "__pos": F.col("__n") % block,
+        }
+    )
     running = (
         Window.partitionBy(*keys, _BUCKET, "__block")
         .orderBy(time)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    for s, q in decay.items():
+
+    def local(q: float) -> Column:
+        """Average of the block so far, started from zero."""
         scaled = F.sum(x * F.pow(F.lit(q), -F.col("__pos"))).over(running)
-        rows = rows.withColumn(f"__local{s}", F.pow(F.lit(q), F.col("__pos")) * scaled * (1.0 - q))
+        return F.pow(F.lit(q), F.col("__pos")) * scaled * (1.0 - q)
+
+    rows = rows.withColumns({f"__local{s}": local(q) for s, q in decay.items()})
 
     at = F.when(known, F.col("__pos"))
     ends = rows.groupBy(*keys, _BUCKET, "__block").agg(

@@ -151,46 +151,33 @@ class Tables:
             + status * 2
             + F.col("l_quantity").cast("bigint") % 2
         )
+        arrays = {s: F.array(*[F.lit(c) for c in base_codes(s)]) for s in SEGMENTS}
+        account = F.coalesce(
+            *[
+                F.when(F.col("segment") == s, F.get(a, F.col("slot") % len(base_codes(s))))
+                for s, a in arrays.items()
+            ]
+        )
+        owners = self["supplier"].select(
+            "s_suppkey", self._segment(F.col("s_nationkey")).alias("segment")
+        )
         lines = (
             self["lineitem"]
+            .join(owners, F.col("l_suppkey") == F.col("s_suppkey"))
             .select(
-                "l_suppkey",
+                F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("stock_code"),
+                "segment",
                 slot.cast("int").alias("slot"),
                 F.year("l_shipdate").alias("year"),
-                F.quarter("l_shipdate").alias("quarter"),
+                F.explode(F.array(F.quarter("l_shipdate"), F.lit(0))).alias("quarter"),
                 cents("l_extendedprice").alias("x"),
             )
-            .groupBy("l_suppkey", "year", "quarter", "slot")
-            .agg(F.sum("x").alias("x"))
         )
-        both = lines.withColumn("quarter", F.explode(F.array("quarter", F.lit(0))))
-        arrays = {s: F.array(*[F.lit(c) for c in base_codes(s)]) for s in SEGMENTS}
-        pick = F.coalesce(
-            *[
-                F.when(
-                    F.col("segment") == s,
-                    F.get(a, F.col("slot") % len(base_codes(s))),
-                )
-                for s, a in arrays.items()
-            ]
-        )
-        owners = self["supplier"].select("s_suppkey", self._segment(F.col("s_nationkey")).alias("segment"))
+        month = F.when(F.col("quarter") == 0, 12).otherwise(F.col("quarter") * 3)
         return (
-            both.join(owners, F.col("l_suppkey") == F.col("s_suppkey"))
-            .groupBy(
-                F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("stock_code"),
-                pick.alias("category_code"),
-                "year",
-                "quarter",
-                "segment",
-            )
+            lines.groupBy("stock_code", account.alias("category_code"), "year", "quarter", "segment")
             .agg(F.sum("x").cast("double").alias("data"))
-            .withColumn(
-                "date_added",
-                F.make_date(
-                    "year", F.when(F.col("quarter") == 0, 12).otherwise(F.col("quarter") * 3), F.lit(30)
-                ),
-            )
+            .withColumn("date_added", F.make_date("year", month, F.lit(30)))
         )
 
     def segment_statement(self, segment: str) -> DataFrame:
