@@ -363,8 +363,8 @@ _FIRST = """
 
 @query(
     "srt6",
-    "SELECT query_id, url, CAST(place AS INTEGER) AS place FROM first",
-    "points topics",
+    "SELECT query_id, url, CAST(place AS INTEGER) AS place FROM first WHERE url IN (SELECT url FROM news)",
+    "points topics news",
     {"scores": _SCORES, "hits": _HITS, "best": _BEST, "first": _FIRST.format(n=3)},
 )
 def srt6(t):
