@@ -45,8 +45,9 @@ def year_label_date(label: Column) -> Column:
 
 
 def epoch_seconds(moment: Column) -> Column:
-    """Seconds since 1970 in UTC (the session time zone is UTC)."""
-    return F.unix_timestamp(moment.cast("timestamp"))
+    """Seconds since 1970, the wall-clock time taken as UTC."""
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("SECOND", start, moment.cast("timestamp_ntz"))
 
 
 def article_time(text: Column) -> Column:

@@ -90,16 +90,19 @@ def suggestions(requested: DataFrame, dim: DataFrame, code: str, name: str) -> D
     missing = requested.select(F.col(code).alias("requested")).distinct().join(
         dim.select(F.col(code).alias("requested")), "requested", "left_anti"
     )
-    wanted = missing.withColumn("words", tx.tokens(F.col("requested"))).select(
-        "requested", F.size("words").alias("n"), F.explode("words").alias("token")
-    )
-    known = dim.select(
-        code, name, F.explode(tx.tokens(F.concat_ws(" ", code, name))).alias("token")
+    wanted = missing.withColumn("words", tx.tokens(F.col("requested")))
+    known = dim.select(code, name, tx.tokens(F.concat_ws(" ", code, name)).alias("tokens"))
+    by_token = known.select("*", F.explode("tokens").alias("token"))
+    # Only the rarest word of a request is looked up; the others are checked on what it finds.
+    frequency = by_token.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rarest = (
+        wanted.select("requested", "words", F.explode("words").alias("token"))
+        .join(frequency, "token", "left")
+        .groupBy("requested", "words")
+        .agg(F.min_by("token", F.coalesce("n", F.lit(0))).alias("token"))
     )
     return (
-        wanted.join(known, "token")
-        .groupBy("requested", "n", code, name)
-        .agg(F.count(F.lit(1)).alias("found"))
-        .where(F.col("found") == F.col("n"))
+        rarest.join(by_token, "token")
+        .where(F.size(F.array_except("words", "tokens")) == 0)
         .select("requested", code, name)
     )

@@ -61,7 +61,8 @@ def moving_averages(
     The recurrence is linear, so each block of rows is averaged from a zero
     start with running sums, and the value carried in from earlier blocks is
     added with its decayed weight. Blocks are short enough that the powers
-    stay far from overflow. Per series only one summary per block is chained.
+    stay far from overflow. Only one summary per block is chained. A bucket
+    should fit a task: years suit daily bars, days suit intraday rows.
     """
     keys = list(keys)
     decay = {s: 1.0 - 2.0 / (s + 1.0) for s in spans}
@@ -115,53 +116,92 @@ def moving_averages(
 
 
 def _chain_blocks(ends: DataFrame, keys: list[str], decay: dict[int, float]) -> DataFrame:
-    """Per (key, bucket): array over blocks of the averages that enter each block."""
+    """Per (key, bucket): array over blocks of the averages that enter each block.
+
+    Blocks are combined inside their bucket first, then whole buckets along the
+    series, so an array holds one bucket's blocks or one series' buckets.
+    """
     spans = list(decay)
-    summary = F.struct(_BUCKET, "__block", "rows", "first", *[f"end{s}" for s in spans])
-    chained = ends.groupBy(*keys).agg(F.array_sort(F.collect_list(summary)).alias("__ends"))
 
-    def carry_struct(values: dict[int, Column]) -> Column:
-        return F.struct(*[values[s].alias(f"carry{s}") for s in spans])
+    def averages(of) -> list[Column]:
+        return [of(s).alias(f"z{s}") for s in spans]
 
-    # State: averages entering the next block, and the ones recorded so far.
-    opening = F.get(F.filter("__ends", lambda e: e["first"].isNotNull()), F.lit(0))["first"]
-    start = F.struct(
-        carry_struct({s: opening for s in spans}).alias("now"),
-        F.array(carry_struct({s: opening for s in spans})).alias("seen"),
-    )
+    def append(seen: Column, item: Column) -> Column:
+        return F.concat(seen, F.array(item))
 
-    def step(state: Column, block: Column) -> Column:
-        after = carry_struct(
-            {
-                s: F.coalesce(block[f"end{s}"], F.lit(0.0))
-                + F.pow(F.lit(decay[s]), block["rows"].cast("double")) * state["now"][f"carry{s}"]
-                for s in spans
-            }
-        )
-        return F.struct(after.alias("now"), F.concat(state["seen"], F.array(after)).alias("seen"))
+    # Inside a bucket, from a zero start: rows and average before each block.
+    zero = F.struct(F.lit(0.0).alias("n"), *averages(lambda s: F.lit(0.0)))
 
-    entering = F.aggregate("__ends", start, step, lambda state: state["seen"])
-    pairs = F.arrays_zip(
-        F.transform("__ends", lambda e: F.struct(e[_BUCKET].alias("b"), e["__block"].alias("k"))),
-        F.slice(entering, F.lit(1), F.size("__ends")),
-    ).cast(_pair_type(spans))
-    return (
-        chained.select(*keys, F.explode(pairs).alias("p"))
+    def next_block(state: Column, block: Column) -> Column:
+        now, n = state["now"], block["rows"].cast("double")
+        after = F.struct(
+            (now["n"] + n).alias("n"),
+            *averages(
+                lambda s: F.coalesce(block[f"end{s}"], F.lit(0.0))
+                + F.pow(F.lit(decay[s]), n) * now[f"z{s}"]
+            ),
+        )
+        return F.struct(after.alias("now"), append(state["seen"], now).alias("seen"))
+
+    item = f"struct<n:double,{','.join(f'z{s}:double' for s in spans)}>"
+    start = F.struct(zero.alias("now"), F.array().cast(f"array<{item}>").alias("seen"))
+    summary = F.struct("__block", "rows", "first", *[f"end{s}" for s in spans])
+    buckets = (
+        ends.groupBy(*keys, _BUCKET)
+        .agg(F.array_sort(F.collect_list(summary)).alias("__b"))
+        .select(
+            *keys,
+            _BUCKET,
+            F.aggregate("__b", start, next_block).alias("__f"),
+            _first_known("__b").alias("first"),
+        )
         .select(
             *keys,
-            F.col("p.at.b").alias(_BUCKET),
-            F.col("p.at.k").alias("k"),
-            F.col("p.carry").alias("carry"),
+            _BUCKET,
+            F.col("__f.now").alias("total"),
+            F.col("__f.seen").alias("before"),
+            "first",
         )
-        .groupBy(*keys, _BUCKET)
-        .agg(F.array_sort(F.collect_list(F.struct("k", "carry"))).alias("c"))
-        .select(*keys, _BUCKET, F.transform("c", lambda e: e["carry"]).alias("__carries"))
+    )
+
+    # Along the series: the average that enters each bucket.
+    chained = buckets.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(_BUCKET).alias("at"), "total", "first"))).alias("__k")
+    )
+    opening = F.struct(*averages(lambda s: _first_known("__k")))
+
+    def next_bucket(state: Column, part: Column) -> Column:
+        now, total = state["now"], part["total"]
+        after = F.struct(
+            *averages(lambda s: total[f"z{s}"] + F.pow(F.lit(decay[s]), total["n"]) * now[f"z{s}"])
+        )
+        entry = F.struct(part["at"].alias("at"), now.alias("carry"))
+        return F.struct(after.alias("now"), append(state["seen"], entry).alias("seen"))
+
+    carry = f"struct<{','.join(f'z{s}:double' for s in spans)}>"
+    nothing = F.array().cast(f"array<struct<at:date,carry:{carry}>>")
+    entering = F.aggregate(
+        "__k", F.struct(opening.alias("now"), nothing.alias("seen")), next_bucket, lambda x: x["seen"]
+    )
+    carries = chained.select(*keys, F.inline(entering)).withColumnRenamed("at", _BUCKET)
+
+    def entering_block(before: Column) -> Column:
+        return F.struct(
+            *[
+                (
+                    before[f"z{s}"] + F.pow(F.lit(decay[s]), before["n"]) * F.col("carry")[f"z{s}"]
+                ).alias(f"carry{s}")
+                for s in spans
+            ]
+        )
+
+    return buckets.join(carries, [*keys, _BUCKET]).select(
+        *keys, _BUCKET, F.transform("before", entering_block).alias("__carries")
     )
 
 
-def _pair_type(spans: list[int]) -> str:
-    carry = ",".join(f"carry{s}:double" for s in spans)
-    return f"array<struct<at:struct<b:date,k:int>,carry:struct<{carry}>>>"
+def _first_known(array: str) -> Column:
+    return F.get(F.filter(array, lambda e: e["first"].isNotNull()), F.lit(0))["first"]
 
 
 def numbered(

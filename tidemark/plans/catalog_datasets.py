@@ -11,7 +11,7 @@ from tidemark.operators import evaluation, sampling, series
 from tidemark.operators import statements as st
 from tidemark.plans import catalog_ratios, catalog_series, ratio_sql, ratio_tables
 from tidemark.plans.registry import query
-from tidemark.plans.test_views import SEGMENTS
+from tidemark.plans.derived_views import SEGMENTS
 
 KEY = "series_key"
 

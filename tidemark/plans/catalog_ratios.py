@@ -8,7 +8,7 @@ from tidemark.operators import ratios as r
 from tidemark.operators import statements as st
 from tidemark.plans import ratio_sql, ratio_tables, statement_tables
 from tidemark.plans.registry import query
-from tidemark.plans.test_views import SEGMENTS, base_codes
+from tidemark.plans.derived_views import SEGMENTS, base_codes
 from tidemark.sources.workspace import through_table
 
 _TRAILING = """

@@ -251,6 +251,16 @@ def txt7(t):
     return documents.extract_articles(t["pages"], "page_id", layout=PAGE_LAYOUT)
 
 
+@query(
+    "txt7_titles",
+    """SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'),
+        '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')) AS title FROM pages""",
+)
+def txt7_titles(t):
+    """Titles alone, which SQL can find too."""
+    return documents.extract_articles(t["pages"], "page_id", layout=PAGE_LAYOUT).select("page_id", "title")
+
+
 @query(
     "txt8",
     """SELECT page_id, unnest(list_distinct(list_transform(regexp_extract_all(html, 'href="(/[^"]+)"', 1),

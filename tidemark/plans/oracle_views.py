@@ -1,8 +1,8 @@
-"""The tables of ``test_views`` once more, as SQL for the comparison engine."""
+"""The tables of ``derived_views`` once more, as SQL for the comparison engine."""
 
 from __future__ import annotations
 
-from tidemark.plans.test_views import SEGMENTS, base_codes
+from tidemark.plans.derived_views import SEGMENTS, base_codes
 
 
 def _accounts() -> str:

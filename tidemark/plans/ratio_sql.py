@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark.operators import ratio_bindings as rb
-from tidemark.plans.test_views import SEGMENTS
+from tidemark.plans.derived_views import SEGMENTS
 
 # SQL of the ratios that are not the first input over the second.
 SHAPES = {
