@@ -115,3 +115,15 @@ def test_shared_folder_is_the_configured_one(spark):
     assert workspace.shared_folder(spark) == configured
     df = workspace.through_table(spark.range(3), "x")
     assert df.count() == 3 and configured in df.inputFiles()[0]
+
+
+def test_averages_scan_and_shuffle_the_data_once(spark, bars_path):
+    from tidemark.operators.ordered import moving_averages
+
+    df = spark.read.parquet(bars_path).select("key", "time", "close")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = plan(moving_averages(df, ["key"], "time", "close", (20, 50)))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert text.count("FileScan") == 1 and text.count("ReusedExchange") == 2

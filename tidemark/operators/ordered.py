@@ -22,12 +22,23 @@ def calendar_bucket(time: str, size: str) -> Column:
     return day if size == "day" else F.trunc(day, size)
 
 
+def _bucketed(df: DataFrame, keys: Sequence[str], time: str, size: str) -> DataFrame:
+    """Rows with their bucket. Keys and time are required; rows without them drop out.
+
+    Saying so here keeps the plans of all uses alike, so their exchanges are shared.
+    """
+    rows = df.withColumn(_BUCKET, calendar_bucket(time, size))
+    for column in (*keys, time, _BUCKET):
+        rows = rows.where(F.col(column).isNotNull())
+    return rows
+
+
 def previous_value(
     df: DataFrame, keys: Sequence[str], time: str, value: str, out: str, bucket: str = "month"
 ) -> DataFrame:
     """``lag(value)`` per key in time order."""
     keys = list(keys)
-    rows = df.withColumn(_BUCKET, calendar_bucket(time, bucket))
+    rows = _bucketed(df, keys, time, bucket)
     borders = (
         rows.groupBy(*keys, _BUCKET)
         .agg(F.max_by(value, time).alias("__last"))
@@ -38,7 +49,7 @@ def previous_value(
     first = F.row_number().over(inside) == 1
     return (
         rows.withColumns({"__first": first, "__prev": F.lag(value).over(inside)})
-        .join(borders, [*keys, _BUCKET], "left")
+        .join(borders, [*keys, _BUCKET])
         .withColumn(out, F.when(F.col("__first"), F.col(_CARRY)).otherwise(F.col("__prev")))
         .drop(_BUCKET, _CARRY, "__first", "__prev")
     )
@@ -69,7 +80,7 @@ def moving_averages(
     x = F.col(value).cast("double")
     known = F.col(value).isNotNull()
 
-    rows = df.withColumn(_BUCKET, calendar_bucket(time, bucket))
+    rows = _bucketed(df, keys, time, bucket)
     inside = Window.partitionBy(*keys, _BUCKET).orderBy(time)
     counted = F.count(value).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = rows.withColumn("__n", F.greatest(counted - 1, F.lit(0))).withColumns(
@@ -100,7 +111,7 @@ def moving_averages(
     carried = _chain_blocks(ends, keys, decay)
 
     weight = F.col("__pos") + 1
-    rows = rows.join(carried, [*keys, _BUCKET], "left").withColumn(
+    rows = rows.join(carried, [*keys, _BUCKET]).withColumn(
         "__in", F.element_at("__carries", F.col("__block") + 1)
     )
     return rows.select(
