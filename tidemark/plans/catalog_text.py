@@ -253,8 +253,8 @@ def txt7(t):
 
 @query(
     "txt7_titles",
-    """SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'),
-        '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')) AS title FROM pages""",
+    """SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'),
+        '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;?', '&', 'g')) AS title FROM pages""",
 )
 def txt7_titles(t):
     """Titles alone, which SQL can find too."""
