@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import periods
 from tidemark.functions import text as tx
 
+# The task functions travel with the job, so workers need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def chunk_table(news: DataFrame, size: int = 3076) -> DataFrame:
     """One row per non-blank chunk of every non-blank text, with id and position."""
