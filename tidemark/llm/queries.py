@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm.exact_dedup import exact_duplicates
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.near_dedup import near_duplicates
+from tidemark.llm.packing import pack_sequences
 from tidemark.llm.secrets import BASE_RULES, scan_secrets
 from tidemark.llm.warc import read_warc, write_warc
 from tidemark.sources.workspace import new_folder
@@ -142,3 +144,18 @@ SELECT doc_id, size, source_size, target, CAST(size * coalesce(n, 0) AS BIGINT)
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_register("op9_minhash")
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_register("op10_pack")
+def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = pack_sequences(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
