@@ -11,6 +11,7 @@ from tidemark.llm.mixing import mix_sources
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import pack_sequences
 from tidemark.llm.secrets import BASE_RULES, scan_secrets
+from tidemark.llm.toxicity import fit_toxicity, score_toxicity
 from tidemark.llm.warc import read_warc, write_warc
 from tidemark.sources.workspace import new_folder
 
@@ -159,3 +160,19 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+def fold(id_column, folds: int = 5):
+    """crc32 of the id as text modulo ``folds``."""
+    return F.pmod(F.crc32(id_column.cast("string").cast("binary")), F.lit(folds))
+
+
+@_register("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the rows whose fold is 0 are never learned."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels, learns=lambda key: fold(key) != 0)
+    scored = score_toxicity(docs, model)
+    return scored.select(
+        "doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", "predicted"
+    )
