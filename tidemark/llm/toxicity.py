@@ -208,11 +208,11 @@ class ToxicityModel:
 
 def _features(words_col: str, prefixes: tuple[int, ...]) -> Column:
     """Whole words (marked with =) and beginnings of a row's distinct words."""
+    def begin(n: int) -> Column:
+        return F.transform(F.filter(words_col, lambda w: F.length(w) >= n), lambda w: F.substring(w, 1, n))
+
     whole = F.transform(words_col, lambda w: F.concat(F.lit("="), w))
-    parts = [
-        F.transform(F.filter(words_col, lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.substring(w, 1, n)) for n in prefixes
-    ]
-    return F.array_distinct(F.concat(whole, *parts))
+    return F.array_distinct(F.concat(whole, *map(begin, prefixes)))
 
 
 def _surely(n1: float, n0: float, w1: float, w0: float, z: float = 2.6) -> float:
