@@ -205,6 +205,13 @@ class ToxicityModel:
                 best = max(best, rules.get(word[:n], 0.0))
         return best
 
+    def joint(self, chances: list[float]) -> float:
+        """Rules of 0.5 or more add up; weaker ones only rank texts that have no other."""
+        strong = [p for p in chances if p >= 0.5]
+        if strong:
+            return 1 - math.prod(1 - p for p in strong)
+        return max([self.base, *chances])
+
 
 def _features(words_col: str, prefixes: tuple[int, ...]) -> Column:
     """Whole words (marked with =) and beginnings of a row's distinct words."""
@@ -215,7 +222,7 @@ def _features(words_col: str, prefixes: tuple[int, ...]) -> Column:
     return F.array_distinct(F.concat(whole, *map(begin, prefixes)))
 
 
-def _surely(n1: float, n0: float, w1: float, w0: float, z: float = 2.6) -> float:
+def _surely(n1: float, n0: float, w1: float, w0: float, z: float = 1.64) -> float:
     """Lower confidence bound of the share of toxic documents among those with a feature."""
     n = n1 + n0
     p = n1 * w1 / (n1 * w1 + n0 * w0)
@@ -278,12 +285,12 @@ def fit_toxicity(
         taught.select("label", F.explode("features").alias("feature"))
         .groupBy("feature")
         .agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0"))
-        .where("n1 >= 3 AND n1 * 2 >= n0")
+        .where("n1 >= 2 AND n1 * 2 >= n0")
     )
     sure = {}
     for r in counts.toLocalIterator():
         p = _surely(r["n1"], r["n0"], weight[1], weight.get(0, 1.0))
-        if p > 0.5:
+        if p > 0.25:
             sure[r["feature"]] = p
     # Rules by coverage, on the toxic rows of the sample.
     has = defaultdict(set)
@@ -335,7 +342,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
                     if len(mine):
                         row = rows[mine[0]]
                         spoke[row] = sorted({found[c] for c in codes[hot[mine]]})
-                        scores[row] = 1 - (1 - m.base) * math.prod(1 - m.of_word(w) for w in spoke[row])
+                        scores[row] = m.joint([m.of_word(w) for w in spoke[row]])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(spoke, pa.list_(pa.string()))],
                     ["id", "score", "predicted", "restored"],
