@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm.exact_dedup import exact_duplicates
+from tidemark.llm.lm import score_texts
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import pack_sequences
@@ -176,3 +177,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", "predicted"
     )
+
+
+@_register("op8_lm_score")
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from all rows but those of fold 1."""
+    scored = score_texts(_table(spark, sf_dir, "documents"), learns=lambda key: fold(key) != 1)
+    return scored.select(
+        "doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
