@@ -11,6 +11,7 @@ from tidemark.llm.lm import score_texts
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import pack_sequences
+from tidemark.llm.repeats import remove_repeats
 from tidemark.llm.secrets import BASE_RULES, scan_secrets
 from tidemark.llm.toxicity import fit_toxicity, score_toxicity
 from tidemark.llm.warc import read_warc, write_warc
@@ -186,3 +187,15 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@_register("op5_repeats")
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = remove_repeats(_table(spark, sf_dir, "documents"))
+    return removed.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
