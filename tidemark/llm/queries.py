@@ -13,6 +13,7 @@ from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import pack_sequences
 from tidemark.llm.repeats import remove_repeats
 from tidemark.llm.secrets import BASE_RULES, scan_secrets
+from tidemark.llm.topk import top_k
 from tidemark.llm.toxicity import fit_toxicity, score_toxicity
 from tidemark.llm.warc import read_warc, write_warc
 from tidemark.sources.workspace import new_folder
@@ -199,3 +200,18 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@_register(
+    "op3_topk",
+    """
+WITH good AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, p.vec_id, CAST(list_inner_product(q.v, p.v) AS BIGINT) AS score
+  FROM good q JOIN good p ON q.vec_id <> p.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+)
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
