@@ -46,8 +46,12 @@ def test_repeats_are_dropped_across_files(spark, tmp_path):
     src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
     put(spark, src, [("u1", "a", "2024-01-01"), ("u2", "a", "2024-01-02")])
     put(spark, src, [("u1", "a", "2024-01-03")])
-    ingest.append_stream(ingest.without_repeats(stream(spark, src)), out, cp).awaitTermination()
-    assert sorted(r["url"] for r in spark.read.parquet(out).collect()) == ["u1", "u2"]
+    put(spark, src, [("u3", "a", "2022-01-03"), ("u2", "a", "2026-01-01"), (None, "a", "2024-01-01")])
+    put(spark, src, [(None, "b", "2024-01-01"), ("u4", "a", "2020-05-05")])
+    for _ in range(2):
+        ingest.first_arrivals(stream(spark, src), out, cp).awaitTermination()
+    got = spark.read.parquet(out).collect()
+    assert sorted(str(r["url"]) for r in got) == ["None", "u1", "u2", "u3", "u4"]
 
 
 # -- plans ---------------------------------------------------------------------

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from tidemark.functions import scoring
 from tidemark.functions import text as tx
 from tidemark.operators import documents, search, vectors
-from tidemark.operators.documents import ArticleLayout, Selector, read_article
+from tidemark.operators.documents import ArticleLayout, Selector
 
 
 def plain_chunks(text, size):
-    """Restatement in plain Python: pack sentences, repeat the last one, keep five chunks."""
+    """Restatement in plain Python: pack sentences, repeat the last one."""
     result, current, used = [], [], 0
     for s in re.split(r"(?<=[.!?])\s+", text):
         if current and used + len(s) > size:
@@ -23,7 +23,7 @@ def plain_chunks(text, size):
             current.append(s)
             used += len(s) + 1
     result.append(" ".join(current))
-    return result[:3] + result[-2:] if len(result) > 5 else result
+    return result
 
 
 def test_chunks_match_restatement(spark):
@@ -86,15 +86,28 @@ PAGE = """<html><head><title>no</title><script>var a = "<p>no</p>";</script></he
 <p>outside</p></body></html>"""
 
 
-def test_article_parts():
-    assert read_article(PAGE) == ("Aboldtitle", "24-07-2024 - 15:20 PM", "Firstlinkend.\nSec&ond")
-    assert read_article("") == ("", "", "") and read_article(None) == ("", "", "")
+def read_article(spark, html, layout=ArticleLayout()):
+    row = documents.extract_articles(spark.createDataFrame([(1, html)], "k int, html string"), "k", layout=layout).first()
+    return row["title"], row["pub_date"] and row["pub_date"].isoformat(), row["text"]
 
 
-def test_unclosed_paragraph_holds_the_next():
+def test_article_parts(spark):
+    assert read_article(spark, PAGE) == ("Aboldtitle", "2024-07-24T15:20:00", "Firstlinkend.\nSec&ond")
+    assert read_article(spark, "") == read_article(spark, None) == ("", None, "")
+
+
+def test_unclosed_paragraph_holds_the_next(spark):
     layout = ArticleLayout(title=Selector("h1"), content=Selector("article"))
     html = "<article><h1>T</h1><p>a<br><p>b</p><p>c</article><p>d</p>"
-    assert read_article(html, layout) == ("T", "", "abc\nb\nc")
+    assert read_article(spark, html, layout) == ("T", None, "abc\nb\nc")
+
+
+def test_nested_boxes_and_references(spark):
+    html = (
+        '<div class="contentdetail"><div>x</div><P class="k">a &#233;&#x1F600;&lt;b&gt;</P><div><p>in</p></div></p>'
+        "<p>b &amp;lt; &nbsp;</p></div><div><p>out</p></div>"
+    )
+    assert read_article(spark, html)[2] == "a \u00e9\U0001f600<b>\nin\nb &lt;"
 
 
 def test_article_rows(spark):
@@ -132,9 +145,9 @@ def test_long_conversation_comes_in_parts(spark):
     assert len(parts) == 3 and joined == documents.transcripts(df).first()["transcript"]
 
 
-@pytest.mark.parametrize("per_pass", [1024, 2])
-def test_nearest_matches_brute_force(spark, monkeypatch, per_pass):
-    monkeypatch.setattr(vectors, "QUERIES_PER_PASS", per_pass)
+@pytest.mark.parametrize("together", [1024, 2])
+def test_nearest_matches_brute_force(spark, monkeypatch, together):
+    monkeypatch.setattr(vectors, "QUERIES_TOGETHER", together)
     rng = np.random.default_rng(2)
     points = rng.normal(size=(400, 6)).round(2)
     points[50:90] = points[10:50]  # equal vectors: ties go by id
@@ -142,7 +155,13 @@ def test_nearest_matches_brute_force(spark, monkeypatch, per_pass):
     queries = [(f"q{i}", points[i * 11].tolist()) for i in range(5)]
     rows = [(i, p.tolist(), f"u{i % 60}") for i, p in enumerate(points)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, url string").repartition(7)
-    got = vectors.nearest(df, queries, k=6, payload=["url"]).collect()
+    odd = [(900, [1.0], "x"), (901, [float("nan")] * 6, "x"), (902, None, "x"), (903, [1.0, None] * 3, "x")]
+    df = df.unionByName(spark.createDataFrame(odd, df.schema))
+    asked = spark.createDataFrame(queries + [("bad", [None] * 6), ("none", None)], "query_id string, embedding array<double>")
+    got = vectors.nearest(df, asked, k=6, payload=["url"]).collect()
+    assert {r["query_id"] for r in got} == {name for name, _ in queries}
+    other = vectors.nearest(df, spark.createDataFrame([(1, [-2.0])], "query_id long, embedding array<double>"), k=6)
+    assert [(r["vec_id"], r["score"]) for r in other.collect()] == [(900, -1.0)]
     unit = points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-300)
     for name, q in queries:
         scores = unit @ (np.array(q) / np.linalg.norm(q))

@@ -113,6 +113,106 @@ def links(html: Column, pattern: str, base: str) -> Column:
     return F.array_distinct(absolute)
 
 
+# -- HTML -----------------------------------------------------------------------
+
+#: Stands where a tag or comment was taken out, so that text on both sides stays apart.
+_GAP = "<!>"
+# Named character references that articles use.
+_ENTITIES = {
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "middot": "·",
+    "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’",
+    "ldquo": "“", "rdquo": "”",
+}
+
+
+def strip(text: Column) -> Column:
+    """Without white space at both ends, no-break spaces included."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def visible(html: Column) -> Column:
+    """Without scripts, styles and comments."""
+    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?(</\1\s*>|\z)", _GAP)
+    return F.regexp_replace(bare, r"(?s)<!--.*?(-->|\z)", _GAP)
+
+
+def unescape(text: Column) -> Column:
+    """Named references of the table above, and numbered ones, replaced; ``&amp`` comes last."""
+    code = r"&#(?:x[0-9a-fA-F]{1,6}|[0-9]{1,7});"
+    between = F.split(text, code, -1)
+    numbers = F.transform(
+        F.regexp_extract_all(text, F.lit(code), F.lit(0)),
+        lambda c: F.when(F.startswith(c, F.lit("&#x")), F.conv(F.regexp_extract(c, "[0-9a-fA-F]+", 0), 16, 10))
+        .otherwise(F.regexp_extract(c, "[0-9]+", 0)).cast("int"),
+    )
+    letters = F.transform(
+        numbers, lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")
+    )
+    joined = F.array_join(F.transform(between, lambda b, i: F.concat(b, F.coalesce(F.get(letters, i), F.lit("")))), "")
+    out = F.when(F.contains(text, F.lit("&#")), joined).otherwise(text)
+    for name, letter in _ENTITIES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(letter))
+    return F.regexp_replace(out, "&amp;?", "&")
+
+
+def plain_text(html: Column) -> Column:
+    """Text of a fragment: the stripped pieces between tags, joined; empty for null."""
+    pieces = F.split(F.coalesce(html, F.lit("")), r"<[^>]*>", -1)
+    return F.array_join(F.transform(pieces, lambda p: strip(unescape(p))), "")
+
+
+def _start_tag(tag: str, css_class: str | None) -> str:
+    held = ""
+    if css_class:
+        held = rf"""(?=[^>]*\sclass\s*=\s*(?:["'](?:[^"'>]*\s)?{css_class}(?:\s[^"'>]*)?["']|{css_class}[\s>]))"""
+    return rf"(?is)<{tag}\b{held}[^>]*>"
+
+
+def _depths(tags: Column, begin: int) -> Column:
+    """How many elements are open after each tag; ends without a start do not count."""
+    start = F.struct(F.lit(begin).alias("d"), F.array().cast("array<int>").alias("all"))
+
+    def step(state: Column, tag: Column) -> Column:
+        now = F.when(F.startswith(tag, F.lit("</")), F.greatest(state["d"] - 1, F.lit(0))).otherwise(state["d"] + 1)
+        return F.struct(now.alias("d"), F.concat(state["all"], F.array(now)).alias("all"))
+
+    return F.aggregate(tags, start, step, lambda state: state["all"])
+
+
+def element(html: Column, tag: str, css_class: str | None = None) -> Column:
+    """What the first matching element holds, nested ones of its name included; null without one."""
+    rest = F.get(F.split(html, _start_tag(tag, css_class), 2), F.lit(1))
+    either = rf"(?is)</?{tag}\b[^>]*>"
+    pieces = F.split(rest, either, -1)
+    depths = _depths(F.regexp_extract_all(rest, F.lit(either), F.lit(0)), 1)
+    end = F.array_position(depths, F.lit(0))
+    inner = F.when(end > 0, F.slice(pieces, F.lit(1), end.cast("int"))).otherwise(pieces)
+    return F.array_join(inner, _GAP)
+
+
+def elements(html: Column, tag: str, css_class: str | None = None) -> Column:
+    """Texts of all matching elements; one in another is part of both, empty ones stay."""
+    html = F.coalesce(html, F.lit(""))
+    either = rf"(?is)</?{tag}\b[^>]*>"
+    tags = F.regexp_extract_all(html, F.lit(either), F.lit(0))
+    texts = F.transform(F.split(html, either, -1), lambda p: plain_text(p))
+    marked = F.struct(tags.alias("tags"), texts.alias("texts"), _depths(tags, 0).alias("depths"))
+    # The arrays are made once a row, as an array of one.
+    return F.flatten(F.transform(F.array(marked), lambda m: _spans(m, _start_tag(tag, css_class))))
+
+
+def _spans(m: Column, start: str) -> Column:
+    count = F.size(m["tags"])
+    places = F.filter(F.sequence(F.lit(0), count), lambda i: F.coalesce(F.get(m["tags"], i), F.lit("")).rlike(start))
+
+    def text(i: Column) -> Column:
+        later = F.filter(F.sequence(i, count), lambda j: (j > i) & (F.get(m["depths"], j) < F.get(m["depths"], i)))
+        end = F.coalesce(F.array_min(later), count)
+        return F.array_join(F.slice(m["texts"], i + 2, end - i), "")
+
+    return F.transform(places, text)
+
+
 def sentences(text: Column) -> Column:
     """Split after ``.``, ``!`` or ``?`` at the white space that follows."""
     return F.split(text, r"(?<=[.!?])\s+")
@@ -121,8 +221,8 @@ def sentences(text: Column) -> Column:
 def chunks(text: Column, size: int = 3076) -> Column:
     """Pack sentences greedily into chunks of about ``size`` characters.
 
-    Each new chunk repeats the last sentence of the chunk before it. A text of
-    more than five chunks keeps the first three and the last two.
+    Each new chunk repeats the last sentence of the chunk before it. Every
+    sentence is in a chunk, however long the text.
     """
     start = F.struct(
         F.array().cast("array<string>").alias("done"),
@@ -150,9 +250,6 @@ def chunks(text: Column, size: int = 3076) -> Column:
         )
 
     def finish(state: Column) -> Column:
-        every = F.concat(state["done"], F.array(state["open"]))
-        return F.when(
-            F.size(every) > 5, F.concat(F.slice(every, 1, 3), F.slice(every, -2, 2))
-        ).otherwise(every)
+        return F.concat(state["done"], F.array(state["open"]))
 
     return F.aggregate(sentences(text), start, step, finish)

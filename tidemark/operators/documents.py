@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
 from dataclasses import dataclass
-from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import periods
 from tidemark.functions import text as tx
 
-# The task functions travel with the job, so workers need no installed package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 
 def chunk_table(news: DataFrame, size: int = 3076) -> DataFrame:
     """One row per non-blank chunk of every non-blank text, with id and position."""
@@ -43,15 +35,11 @@ def chunk_table(news: DataFrame, size: int = 3076) -> DataFrame:
 
 
 def vectorize_queue(
-    news: DataFrame, done: DataFrame, limit: int = 1000, key: str = "url", time: str = "pub_date"
+    news: DataFrame, done: DataFrame, limit: int | None = None, key: str = "url", time: str = "pub_date"
 ) -> DataFrame:
-    """The oldest articles with text that are not in ``done`` yet."""
-    return (
-        news.where(F.col("text").isNotNull())
-        .join(done.select(key), key, "left_anti")
-        .orderBy(time, key)
-        .limit(limit)
-    )
+    """Articles with text that are not in ``done`` yet; the ``limit`` oldest if one is given."""
+    waiting = news.where(F.col("text").isNotNull()).join(done.select(key), key, "left_anti")
+    return waiting if limit is None else waiting.orderBy(time, key).limit(limit)
 
 
 # -- HTML ---------------------------------------------------------------------
@@ -64,9 +52,6 @@ class Selector:
     tag: str
     css_class: str | None = None
 
-    def matches(self, tag: str, classes: list[str]) -> bool:
-        return tag == self.tag and (self.css_class is None or self.css_class in classes)
-
 
 @dataclass(frozen=True)
 class ArticleLayout:
@@ -79,123 +64,29 @@ class ArticleLayout:
     paragraph: Selector = Selector("p")
 
 
-_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_HIDDEN = frozenset(("script", "style", "template"))
-
-
-class _ArticleReader(HTMLParser):
-    """Collects the text of the first title, date and content box of a page.
-
-    An element stays open until its end tag, or until one of the elements
-    around it ends, so an unclosed paragraph holds the ones after it.
-    """
-
-    def __init__(self, layout: ArticleLayout):
-        super().__init__(convert_charrefs=True)
-        self.layout = layout
-        self.open: list[tuple[str, str | None, int]] = []
-        self.taken: set[str] = set()
-        self.title: list[str] = []
-        self.date: list[str] = []
-        self.paragraphs: list[list[str]] = []
-        self.buffer: list[str] = []
-
-    def _inside(self, role: str) -> bool:
-        return any(r == role for _, r, _ in self.open)
-
-    def _role(self, tag: str, classes: list[str]) -> str | None:
-        layout = self.layout
-        if "title" not in self.taken and layout.title.matches(tag, classes):
-            return "title"
-        if "date_box" not in self.taken and layout.date_box.matches(tag, classes):
-            return "date_box"
-        if "date" not in self.taken and self._inside("date_box") and layout.date.matches(tag, classes):
-            return "date"
-        if "content" not in self.taken and layout.content.matches(tag, classes):
-            return "content"
-        if self._inside("content") and layout.paragraph.matches(tag, classes):
-            return "paragraph"
-        return None
-
-    def handle_starttag(self, tag, attrs):
-        self._end_text()
-        classes = (dict(attrs).get("class") or "").split()
-        role = self._role(tag, classes)
-        if role == "paragraph":
-            self.paragraphs.append([])
-        elif role:
-            self.taken.add(role)
-        if tag not in _VOID:
-            self.open.append((tag, role, len(self.paragraphs) - 1))
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in _VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
-        self._end_text()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
-
-    def handle_comment(self, data):
-        self._end_text()
-
-    def handle_data(self, data):
-        if not any(t in _HIDDEN for t, _, _ in self.open):
-            self.buffer.append(data)
-
-    def _end_text(self):
-        piece = "".join(self.buffer).strip()
-        self.buffer.clear()
-        if not piece:
-            return
-        for _, role, index in self.open:
-            if role == "title":
-                self.title.append(piece)
-            elif role == "date":
-                self.date.append(piece)
-            elif role == "paragraph":
-                self.paragraphs[index].append(piece)
-
-    def result(self, html: str) -> tuple[str, str, str]:
-        self.feed(html)
-        self.close()
-        self._end_text()
-        body = "\n".join("".join(p) for p in self.paragraphs)
-        return "".join(self.title), "".join(self.date), body.strip()
-
-
-def read_article(html: str, layout: ArticleLayout = ArticleLayout()) -> tuple[str, str, str]:
-    """(title, date text, body) of one page."""
-    return _ArticleReader(layout).result(html or "")
-
-
 def extract_articles(
     pages: DataFrame, key: str, html: str = "html", layout: ArticleLayout = ArticleLayout()
 ) -> DataFrame:
-    """Title, publication time and text of each page."""
-    key_type = pages.schema[key].dataType.simpleString()
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [read_article(h, layout) for h in frame[html]]
-            yield pd.DataFrame(
-                {
-                    key: frame[key],
-                    "title": [f[0] for f in found],
-                    "date_text": [f[1] for f in found],
-                    "text": [f[2] for f in found],
-                }
-            )
-
-    rows = pages.select(key, html).mapInPandas(
-        read, f"{key} {key_type}, title string, date_text string, text string"
+    """Title, publication time and text of each page.
+
+    An element reaches to its end tag, counting nested ones of its name, or to the end of what
+    holds it; so an unclosed paragraph holds the ones after it. Everything is built-in
+    expressions. Without the element the text is empty and the time null.
+    """
+    page = tx.visible(F.coalesce(F.col(html), F.lit("")))
+    found = pages.select(
+        key,
+        tx.plain_text(tx.element(page, layout.title.tag, layout.title.css_class)).alias("title"),
+        tx.element(page, layout.date_box.tag, layout.date_box.css_class).alias("__box"),
+        tx.element(page, layout.content.tag, layout.content.css_class).alias("__content"),
     )
-    return rows.select(
-        key, "title", periods.article_time(F.col("date_text")).alias("pub_date"), "text"
+    date = tx.plain_text(tx.element(F.col("__box"), layout.date.tag, layout.date.css_class))
+    paragraphs = tx.elements(F.col("__content"), layout.paragraph.tag, layout.paragraph.css_class)
+    return found.select(
+        key,
+        "title",
+        periods.article_time(date).alias("pub_date"),
+        tx.strip(F.array_join(paragraphs, "\n")).alias("text"),
     )
 
 

@@ -16,11 +16,9 @@ from tidemark.functions import text as tx
 # The task functions travel with the job, so workers need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Query vectors shipped to the tasks at once; more queries take more passes.
-QUERIES_PER_PASS = 1024
-
-# Rows of (query, url, score, place) that may be sent to every task.
-LARGEST_BROADCAST = 100_000
+#: Queries up to this number are sent to every task that reads points; more are dealt, with the
+#: points, into groups of so many. Both ways score every query against every point.
+QUERIES_TOGETHER = 1024
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -28,68 +26,55 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _nearest_in_pass(
-    points: DataFrame, query_ids: list, vectors: list, k: int, key: str, vector: str, payload: list[str]
-) -> DataFrame:
-    """k best points of every query; each task keeps k candidates per query."""
-    queries = _unit(np.asarray(vectors, dtype=np.float64))
-    kept = [key, *payload]
-    id_type = "string" if isinstance(query_ids[0], str) else "bigint"
-    columns = [f"{c} {points.schema[c].dataType.simpleString()}" for c in kept]
-    schema = ", ".join([f"query_id {id_type}", *columns, "score double"])
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Per query: rows (key, payload…) and their scores, best first.
-        rows: list[list[tuple]] = [[] for _ in query_ids]
-        scores: list[np.ndarray] = [np.empty(0) for _ in query_ids]
-        types = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            types = [batch.column(i).type for i in range(len(kept))]
-            flat = batch.column(len(kept)).flatten().to_numpy(zero_copy_only=False)
-            found = _unit(flat.astype(np.float64).reshape(batch.num_rows, -1)) @ queries.T
-            for q in range(len(query_ids)):
-                column = found[:, q]
-                # The k-th best of the batch or of what is kept bounds what can enter;
-                # equal scores stay in, so ties are settled by key below.
-                bound = -np.inf
-                if len(column) > k:
-                    bound = np.partition(column, -k)[-k]
-                if len(scores[q]) == k:
-                    bound = max(bound, scores[q][-1])
-                enter = np.flatnonzero(column >= bound)
-                if not len(enter):
-                    continue
-                chosen = batch.select(range(len(kept))).take(pa.array(enter))
-                new = list(zip(*(c.to_pylist() for c in chosen.columns)))
-                pool = rows[q] + new
-                pool_scores = np.concatenate([scores[q], column[enter]])
-                order = sorted(range(len(pool)), key=lambda i: (-pool_scores[i], pool[i][0]))[:k]
-                rows[q] = [pool[i] for i in order]
-                scores[q] = pool_scores[order]
-        if types is None:
-            return
-        ids = [i for i, r in zip(query_ids, rows) for _ in r]
-        flat_rows = [r for group in rows for r in group]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids, type=pa.string() if id_type == "string" else pa.int64()),
-                *[pa.array([r[j] for r in flat_rows], type=t) for j, t in enumerate(types)],
-                pa.array(np.concatenate(scores)),
-            ],
-            names=["query_id", *kept, "score"],
-        )
+def _usable(vector: str):
+    """Vectors without missing or non-finite components."""
+    component = F.transform(F.col(vector).cast("array<double>"), lambda x: x)
+    good = F.forall(component, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.col(vector).isNotNull() & (F.size(vector) > 0) & good
 
-    usable = points.where(F.col(vector).isNotNull()).select(*kept, vector)
-    candidates = usable.mapInArrow(best, schema)
-    ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), key)
-    return candidates.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= k)
+
+class _Best:
+    """k best rows of each query: higher scores first, then smaller keys."""
+
+    def __init__(self, queries: pa.Table, k: int):
+        self.k, self.groups = k, {}
+        found = list(zip(queries.column(0).to_pylist(), queries.column(1).to_pylist()))
+        for size in {len(v) for _, v in found}:
+            same = [(i, v) for i, v in found if len(v) == size]
+            units = _unit(np.array([v for _, v in same], dtype=np.float64))
+            self.groups[size] = ([i for i, _ in same], units, [[] for _ in same])
+
+    def offer(self, rows: pa.RecordBatch | pa.Table, vectors: pa.Array) -> None:
+        """Score the rows, whose first column is the key, against queries of their length."""
+        sizes = np.diff(vectors.offsets.to_numpy())
+        for size, (_, units, kept) in self.groups.items():
+            place = np.flatnonzero(sizes == size)
+            if not len(place):
+                continue
+            same = vectors.take(pa.array(place))
+            points = same.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(place), size)
+            scores = _unit(points) @ units.T
+            for q, column in enumerate(scores.T):
+                # Equal scores stay in, so ties are settled by key below.
+                least = np.partition(column, -self.k)[-self.k] if len(column) > self.k else -np.inf
+                if len(kept[q]) == self.k:
+                    least = max(least, -kept[q][-1][0])
+                enter = np.flatnonzero(column >= least)
+                if len(enter):
+                    chosen = rows.take(pa.array(place[enter]))
+                    new = [(-float(s), *r) for s, r in zip(column[enter], zip(*(c.to_pylist() for c in chosen.columns)))]
+                    kept[q] = sorted(kept[q] + new, key=lambda r: r[:2])[: self.k]
+
+    def table(self, query_type: pa.DataType, types: list[pa.DataType], names: list[str]) -> pa.Table:
+        flat = [(i, *r[1:], -r[0]) for ids, _, kept in self.groups.values() for i, rows in zip(ids, kept) for r in rows]
+        columns = list(zip(*flat)) if flat else [[] for _ in range(len(types) + 2)]
+        kinds = [query_type, *types, pa.float64()]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["query_id", *names, "score"])
 
 
 def nearest(
     points: DataFrame,
-    queries: Sequence[tuple],
+    queries: DataFrame,
     k: int = 5,
     key: str = "vec_id",
     vector: str = "embedding",
@@ -98,27 +83,56 @@ def nearest(
     end=None,
     payload: Sequence[str] = (),
 ) -> DataFrame:
-    """Exact k nearest points by cosine for ``queries`` given as (id, vector) pairs.
+    """Exact k nearest points by cosine for ``queries`` (``query_id`` and a vector named as the points').
 
-    Points outside ``[start, end]`` of ``time`` are left out before scoring.
-    Ties go by key. Result: ``query_id, key, payload…, score, place``.
+    Points outside ``[start, end]`` of ``time`` are left out before scoring; so are vectors with
+    missing or non-finite components, and a query only meets points of its length. Ties go by
+    key. Points are read once for any number of queries; a task keeps k candidates per query,
+    and k per query and map task are ranked after the shuffle. Result: ``query_id, key,
+    payload…, score, place``.
     """
     if time is not None and start is not None:
         points = points.where(F.col(time) >= F.lit(start))
     if time is not None and end is not None:
         points = points.where(F.col(time) <= F.lit(end))
-    parts = []
-    for i in range(0, len(queries), QUERIES_PER_PASS):
-        ids, vectors = zip(*queries[i : i + QUERIES_PER_PASS])
-        parts.append(
-            _nearest_in_pass(
-                points, list(ids), [list(v) for v in vectors], k, key, vector, list(payload)
-            )
-        )
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    names = [key, *payload]
+    asked = queries.where(_usable(vector)).select("query_id", F.col(vector).cast("array<double>").alias("asked"))
+    points = points.where(_usable(vector)).select(*names, F.col(vector).cast("array<double>").alias("vector"))
+    query_type = asked.schema["query_id"].dataType.simpleString()
+    columns = [f"{c} {points.schema[c].dataType.simpleString()}" for c in names]
+    schema = ", ".join([f"query_id {query_type}", *columns, "score double"])
+    few = asked.limit(QUERIES_TOGETHER + 1).toArrow()
+
+    if few.num_rows <= QUERIES_TOGETHER:
+        held = points.sparkSession.sparkContext.broadcast(few)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best, types = _Best(held.value, k), None
+            for batch in batches:
+                types = [batch.column(i).type for i in range(len(names))]
+                best.offer(batch.select(range(len(names))), batch.column(len(names)))
+            if types is not None:
+                yield from best.table(held.value.column(0).type, types, names).to_batches()
+
+        candidates = points.mapInArrow(scan, schema)
+    else:
+        groups = -(-asked.count() // QUERIES_TOGETHER)
+        parts = max(1, points.rdd.getNumPartitions())
+        dealt = asked.withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
+        dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        spread = points.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+        spread = spread.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")))
+
+        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+            best = _Best(left.select(["query_id", "asked"]), k)
+            rows = right.select(names).combine_chunks()
+            if rows.num_rows:
+                best.offer(rows, right.column("vector").combine_chunks())
+            return best.table(left.schema.field("query_id").type, [f.type for f in rows.schema], names)
+
+        candidates = dealt.groupBy("part", "group").cogroup(spread.groupBy("part", "group")).applyInArrow(meet, schema)
+    ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), key)
+    return candidates.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= k)
 
 
 def best_per_url(hits: DataFrame, by: Sequence[str] = ("query_id",)) -> DataFrame:
@@ -128,7 +142,7 @@ def best_per_url(hits: DataFrame, by: Sequence[str] = ("query_id",)) -> DataFram
 def retrieve_articles(
     points: DataFrame,
     news: DataFrame,
-    queries: Sequence[tuple],
+    queries: DataFrame,
     k: int = 5,
     urls: int = 10,
     length: int = 750,
@@ -142,9 +156,6 @@ def retrieve_articles(
         .withColumn("place", F.row_number().over(ranked))
         .where(F.col("place") <= urls)
     )
-    if len(queries) * urls <= LARGEST_BROADCAST:
-        # At most ``urls`` rows per query: the articles are filtered where they lie.
-        kept = F.broadcast(kept)
     articles = news.select("url", "title", "source", "pub_date", "text")
     return articles.join(kept, "url").withColumn("text", tx.shorten(F.col("text"), length))
 
@@ -156,7 +167,7 @@ def retrieve(
     end: str,
     limit: int = 5,
     points: DataFrame | None = None,
-    query_vector: Sequence[float] | None = None,
+    query: DataFrame | None = None,
     query_text: str | None = None,
     channel: str | None = None,
 ) -> DataFrame:
@@ -165,7 +176,7 @@ def retrieve(
 
     if mode == "vector":
         found = retrieve_articles(
-            points, news, [(0, query_vector)], k=limit, time="pub_date",
+            points, news, query, k=limit, time="pub_date",
             start=start, end=end,
         )
         return found.select("url", "title", "source", "pub_date", F.col("score"), "text")

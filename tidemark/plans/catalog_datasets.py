@@ -113,7 +113,7 @@ _SCORED = f"""
 
 @query(
     "scl23",
-    f"SELECT question_id, round({_NLL}, 8) AS nll FROM parsed WHERE gt_mean > 0.5 AND m > 0",
+    f"SELECT question_id, round({_NLL}, 8) AS nll FROM parsed",
     "answers",
     {"parsed": _SCORED},
 )
@@ -122,7 +122,7 @@ def scl23(t):
     pair = scoring.boxed_pair(scoring.answer_part(F.col("response")))
     rows = t.answers.select("*", pair["mean"].alias("m"), pair["std"].alias("s"))
     nll = scoring.gaussian_divergence(F.col("m"), F.col("s"), F.col("gt_mean"), F.col("gt_std"))
-    return rows.where("gt_mean > 0.5 AND m > 0").select("question_id", F.round(nll, 8).alias("nll"))
+    return rows.select("question_id", F.round(nll, 8).alias("nll"))
 
 
 @query(

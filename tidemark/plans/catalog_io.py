@@ -9,6 +9,7 @@ from tidemark import schemas
 from tidemark.operators import datasets as ds
 from tidemark.operators import documents
 from tidemark.operators import statements as st
+from tidemark.plans.catalog_text import CHUNKS_SQL, FOLD_SQL, SENTENCES_SQL
 from tidemark.plans.catalog_datasets import (
     _INDEXED,
     _MARKET,
@@ -266,21 +267,28 @@ def article_files(t, label):
     return path, rows.schema
 
 
+#: Between the articles that str1 brings first and those it brings with them again.
+MIDDLE = "2024-07-01"
+
+
 @query(
     "str1",
-    """SELECT url, channel_name FROM news""",
+    """SELECT url, channel_name FROM news LEFT JOIN (SELECT channel_name AS c, max(pub_date) AS mark FROM news
+        WHERE pub_date < TIMESTAMP '2024-07-01' GROUP BY 1) ON c = channel_name
+    WHERE pub_date < TIMESTAMP '2024-07-01' OR mark IS NULL OR pub_date > mark""",
     "news",
 )
 def str1(t):
-    """High-water ingest of files that arrive in time order, then the same files again."""
+    """High-water ingest of files in time order over several batches, old and new rows mixed."""
     path, schema = article_files(t, "str1")
     target, mark = new_folder(t.spark, "str1-out"), new_folder(t.spark, "str1-cp")
-    # All articles in one batch; the second stream brings nothing newer than the mark.
-    stream = ingest.file_stream(t.spark, path, schema, files_per_batch=1000)
-    ingest.high_water_ingest(stream, target, mark).awaitTermination()
-    t.spark.read.schema(schema).parquet(path).write.mode("append").parquet(path)
-    again = ingest.file_stream(t.spark, path, schema, files_per_batch=1000)
-    ingest.high_water_ingest(again, target, mark).awaitTermination()
+    rows = t.spark.read.schema(schema).parquet(path)
+    arriving = new_folder(t.spark, "str1-in")
+    # First the older half, then everything: of the second arrival only the newer half is taken.
+    for part in (rows.where(F.col("pub_date") < F.lit(MIDDLE).cast(schema["pub_date"].dataType)), rows):
+        part.write.mode("append").parquet(arriving)
+        stream = ingest.file_stream(t.spark, arriving, schema, files_per_batch=1000)
+        ingest.high_water_ingest(stream, target, mark).awaitTermination()
     return t.spark.read.schema(schema).parquet(target).select("url", "channel_name")
 
 
@@ -305,23 +313,24 @@ def str2(t):
 
 @query("str3", "SELECT url, channel_name FROM news", "news")
 def str3(t):
-    """Repeated arrivals dropped within the watermark."""
+    """Repeated arrivals dropped, over several batches."""
     path, schema = article_files(t, "str3")
     t.spark.read.schema(schema).parquet(path).write.mode("append").parquet(path)
     target, mark = new_folder(t.spark, "str3-out"), new_folder(t.spark, "str3-cp")
     stream = ingest.file_stream(t.spark, path, schema, files_per_batch=3)
-    unique = ingest.without_repeats(stream).select("url", "channel_name")
-    ingest.append_stream(unique, target, mark).awaitTermination()
-    return t.spark.read.schema("url string, channel_name string").parquet(target)
+    ingest.first_arrivals(stream.select("url", "channel_name"), target, mark).awaitTermination()
+    return t.spark.read.schema("url string, channel_name string").parquet(target).select("url", "channel_name")
 
 
 @query(
     "vec4_stream",
-    """SELECT url, CAST(len(text) > 0 AS BOOLEAN) AS has_text FROM news""",
-    "news",
+    r"""SELECT 'doc://' || doc_id AS url, count(*) AS chunks, CAST(sum(length(part)) AS BIGINT) AS letters
+    FROM (SELECT doc_id, unnest(parts) AS part FROM chunked) WHERE regexp_replace(part, '\s+', '', 'g') <> '' GROUP BY doc_id""",
+    "",
+    {"sentences": SENTENCES_SQL, "folded": FOLD_SQL, "chunked": CHUNKS_SQL},
 )
 def vec4_stream(t):
-    """Chunk table filled incrementally from arriving articles; one row per article compared."""
+    """Chunk table filled incrementally from arriving articles; its chunks per article are compared."""
     path = new_folder(t.spark, "vec4")
     rows = t.news.select("url", "title", "pub_date", "text")
     rows.repartitionByRange(3, "pub_date", "url").write.parquet(path)
@@ -329,4 +338,6 @@ def vec4_stream(t):
     stream = ingest.file_stream(t.spark, path, rows.schema, files_per_batch=1)
     ingest.drain(stream, documents.chunk_table, target, mark).awaitTermination()
     chunks = t.spark.read.schema("url string, chunk string").parquet(target)
-    return chunks.groupBy("url").agg(F.max(F.length("chunk") > 0).alias("has_text"))
+    return chunks.groupBy("url").agg(
+        F.count(F.lit(1)).alias("chunks"), F.sum(F.length("chunk")).cast("long").alias("letters")
+    )

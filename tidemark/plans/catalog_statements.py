@@ -940,7 +940,6 @@ def job7(t):
 )
 def job8(t):
     """Macro table from one column per year."""
-    years = [f"YR{y}" for y in range(1995, 2002)]
     label = F.concat(F.lit("YR"), F.year("o_orderdate").cast("string"))
     rows = (
         t["orders"]
@@ -948,9 +947,7 @@ def job8(t):
         .join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
         .select(F.col("n_name").alias("country"), label.alias("label"))
     )
-    wide = rows.groupBy("country").agg(
-        *[F.sum(F.when(F.col("label") == y, 1.0)).alias(y) for y in years]
-    )
+    wide = rows.groupBy("country").pivot("label").agg(F.sum(F.lit(1.0)))
     long = statement_tables.macro_from_wide(wide, "Orders", 1e3, "Thousand")
     return dates(st.drop_empty(long, "value"), "datetime")
 
@@ -981,11 +978,8 @@ def job8_yields(t):
 )
 def job9(t):
     """Sheet with a column per period turned into dated rows."""
-    labels = [f"{p}{y}" for y in range(1995, 2002) for p in ("", "Q1/", "Q2/", "Q3/", "Q4/")]
-    rows = raw(t).groupBy("stock_code", "category_code").agg(
-        *[F.min(F.when(F.col("time") == label, F.col("data"))).alias(label) for label in labels],
-        F.lit(0.0).alias("Triệu VND"),
-    )
+    wide = raw(t).groupBy("stock_code", "category_code").pivot("time").agg(F.min("data"))
+    rows = wide.withColumn("Triệu VND", F.lit(0.0))
     long = st.drop_empty(st.wide_to_long(rows, ["stock_code", "category_code"]), "data")
     return dates(st.with_period(long))
 

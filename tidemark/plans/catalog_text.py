@@ -191,11 +191,11 @@ def srt2(t):
 # -- chunks, pages, transcripts -----------------------------------------------------------
 
 
-_SENTENCES = r"""
+SENTENCES_SQL = r"""
     SELECT doc_id, 'doc://' || doc_id AS url,
       string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents"""
 
-_FOLD = """
+FOLD_SQL = """
     SELECT * FROM (WITH RECURSIVE f(doc_id, i, done, open, last, used) AS (
       SELECT doc_id, 1, CAST([] AS VARCHAR[]), s[1], s[1], length(s[1]) + 1 FROM sentences
       UNION ALL
@@ -208,15 +208,15 @@ _FOLD = """
       FROM f JOIN sentences s USING (doc_id) WHERE f.i < len(s.s))
     SELECT f.doc_id, list_append(f.done, f.open) AS every FROM f JOIN sentences s USING (doc_id) WHERE f.i = len(s.s))"""
 
-_CHUNKS = """
-    SELECT doc_id, CASE WHEN len(every) > 5 THEN every[1:3] || every[-2:] ELSE every END AS parts FROM folded"""
+CHUNKS_SQL = """
+    SELECT doc_id, every AS parts FROM folded"""
 
 
 @query(
     "txt5",
     "SELECT doc_id, CAST(len(parts) AS INTEGER) AS n, md5(array_to_string(parts, '|')) AS digest FROM chunked",
     "",
-    {"sentences": _SENTENCES, "folded": _FOLD, "chunked": _CHUNKS},
+    {"sentences": SENTENCES_SQL, "folded": FOLD_SQL, "chunked": CHUNKS_SQL},
 )
 def txt5(t):
     """Texts cut into overlapping chunks of sentences."""
@@ -232,10 +232,10 @@ def txt5(t):
         CAST(len(parts) AS INTEGER) AS total_chunks, url || '#chunk' || i AS chunk_identifier,
         CAST(epoch(pub_date) AS BIGINT) AS pub_date, md5(parts[i + 1]) AS chunk
     FROM chunked JOIN (SELECT url, title, pub_date FROM news) n ON n.url = 'doc://' || doc_id
-    JOIN (VALUES (0), (1), (2), (3), (4)) AS v(i) ON i < len(parts)
+    JOIN (SELECT DISTINCT unnest(range(len(parts))) AS i FROM chunked) AS v ON i < len(parts)
     WHERE regexp_replace(parts[i + 1], '\s+', '', 'g') <> ''""",
     "news",
-    {"sentences": _SENTENCES, "folded": _FOLD, "chunked": _CHUNKS},
+    {"sentences": SENTENCES_SQL, "folded": FOLD_SQL, "chunked": CHUNKS_SQL},
 )
 def txt6(t):
     """Chunk table with ids and positions."""
@@ -245,19 +245,32 @@ def txt6(t):
 PAGE_LAYOUT = ArticleLayout(title=Selector("h1"), content=Selector("article"))
 
 
-@query("txt7")
-def txt7(t):
-    """Title and text of every page; checked against worked examples in the tests."""
-    return documents.extract_articles(t["pages"], "page_id", layout=PAGE_LAYOUT)
+_PLAIN = """trim(regexp_replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''),
+    '&amp;?', '&', 'g'))"""
+_TITLE = _PLAIN.format(x="regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")
 
 
 @query(
-    "txt7_titles",
-    """SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'),
-        '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;?', '&', 'g')) AS title FROM pages""",
+    "txt7",
+    f"""SELECT page_id, {_TITLE} AS title, CAST(NULL AS TIMESTAMP) AS pub_date,
+        trim(array_to_string(list_transform(list_filter(range(len(tags)), lambda i: tags[i + 1] = '<p>'), lambda i: array_to_string(
+          pieces[i + 2 : coalesce(list_min(list_filter(range(len(tags)), lambda j: j > i AND depths[j + 1] < depths[i + 1])), len(tags)) + 1],
+          '')), chr(10)), chr(10) || ' ') AS text
+    FROM (SELECT page_id, html, tags,
+        list_transform(string_split_regex(content, '</?p>'), lambda p: array_to_string(
+          list_transform(string_split_regex(p, '<[^>]*>'), lambda x: {_PLAIN.format(x='x')}), '')) AS pieces,
+        list_transform(range(1, len(tags) + 1), lambda i: list_sum(list_transform(tags[1:i], lambda t: CASE t WHEN '<p>' THEN 1 ELSE -1 END))) AS depths
+      FROM (SELECT *, regexp_extract_all(content, '</?p>') AS tags
+        FROM (SELECT page_id, html, regexp_extract(html, '<article>(.*?)</article>', 1, 's') AS content FROM pages)))""",
 )
+def txt7(t):
+    """Title and text of every page."""
+    return documents.extract_articles(t["pages"], "page_id", layout=PAGE_LAYOUT)
+
+
+@query("txt7_titles", f"SELECT page_id, {_TITLE} AS title FROM pages")
 def txt7_titles(t):
-    """Titles alone, which SQL can find too."""
+    """Titles alone."""
     return documents.extract_articles(t["pages"], "page_id", layout=PAGE_LAYOUT).select("page_id", "title")
 
 
@@ -334,7 +347,7 @@ def rounded(df):
 )
 def vec1(t):
     """Nearest chunks of each topic vector within a date range."""
-    return rounded(vectors.nearest(t.points, t.topic_vectors(), k=8, **WINDOW))
+    return rounded(vectors.nearest(t.points, t.topic_queries, k=8, **WINDOW))
 
 
 @query(
@@ -348,7 +361,7 @@ def vec1(t):
 )
 def srt5(t):
     """Five nearest chunks of one vector."""
-    return vectors.nearest(t.points, t.topic_vectors()[:1], k=5).select("vec_id", "place")
+    return vectors.nearest(t.points, t.topic_queries.where("query_id = 0"), k=5).select("vec_id", "place")
 
 
 _BEST = "SELECT query_id, url, max(score) AS score FROM hits GROUP BY ALL"
@@ -362,7 +375,7 @@ _BEST = "SELECT query_id, url, max(score) AS score FROM hits GROUP BY ALL"
 )
 def agg17(t):
     """Best score per article."""
-    hits = vectors.nearest(t.points, t.topic_vectors(), k=8, payload=["url"], **WINDOW)
+    hits = vectors.nearest(t.points, t.topic_queries, k=8, payload=["url"], **WINDOW)
     return rounded(vectors.best_per_url(hits))
 
 
@@ -379,7 +392,7 @@ _FIRST = """
 )
 def srt6(t):
     """First articles by score."""
-    found = vectors.retrieve_articles(t.points, t.news, t.topic_vectors(), k=8, urls=3, **WINDOW)
+    found = vectors.retrieve_articles(t.points, t.news, t.topic_queries, k=8, urls=3, **WINDOW)
     return found.select("query_id", "url", "place")
 
 
@@ -396,7 +409,7 @@ _ARTICLE = f"""SELECT query_id, url, round(score, 6) AS score, CAST(place AS INT
 )
 def vec2(t):
     """Nearest chunks -> best articles -> full rows with short text."""
-    found = vectors.retrieve_articles(t.points, t.news, t.topic_vectors(), k=8, **WINDOW)
+    found = vectors.retrieve_articles(t.points, t.news, t.topic_queries, k=8, **WINDOW)
     return stamped(rounded(found))
 
 
@@ -428,9 +441,8 @@ def jn12(t):
 )
 def vec3(t):
     """Both ways of retrieval, told apart by a mode column."""
-    vector = t.topic_vectors()[0][1]
     span = ("2024-01-10", "2024-10-31")
-    by_vector = vectors.retrieve("vector", t.news, *span, limit=8, points=t.points, query_vector=vector)
+    by_vector = vectors.retrieve("vector", t.news, *span, limit=8, points=t.points, query=t.topic_queries.where("query_id = 0"))
     by_text = vectors.retrieve("text", t.news, *span, limit=8, query_text="the that")
     both = by_vector.withColumn("mode", F.lit("vector")).unionByName(
         by_text.withColumn("mode", F.lit("text"))
@@ -441,7 +453,7 @@ def vec3(t):
 @query(
     "vec4",
     f"""SELECT url, {STAMP} FROM (SELECT *, pub_date AS p FROM news WHERE text IS NOT NULL
-        AND url NOT IN (SELECT url FROM points)) ORDER BY p, url LIMIT 1000""",
+        AND url NOT IN (SELECT url FROM points))""",
     "points news",
 )
 def vec4(t):

@@ -225,12 +225,11 @@ class Tables:
             "label",
         )
 
-    def topic_vectors(self) -> list[tuple]:
+    @cached_property
+    def topic_queries(self) -> DataFrame:
         """(label, vector of its first chunk): the search requests, one per label."""
-        rows = (
-            self["embeddings"].groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v")).collect()
-        )
-        return sorted((r["label"], r["v"]) for r in rows)
+        first = self["embeddings"].groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"))
+        return first.select(F.col("label").cast("long").alias("query_id"), "embedding")
 
     # -- requests and answers ---------------------------------------------------------
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
 
 def file_stream(
@@ -26,15 +27,21 @@ def _write_batch(df: DataFrame, target: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{target}/batch={batch}")
 
 
+def _stored(spark: SparkSession, folder: str, batch: int, schema: T.StructType) -> DataFrame | None:
+    """Rows written to ``folder`` by the batches before ``batch``, or None at the start."""
+    stored = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])
+    try:
+        rows = spark.read.schema(stored).parquet(folder)
+    except AnalysisException:  # the folder is not there yet
+        return None
+    return rows.where(F.col("batch") < batch).drop("batch")
+
+
 def _marks(spark: SparkSession, folder: str, batch: int, schema: T.StructType) -> DataFrame | None:
     """Newest time per channel over the batches before ``batch``, or None at the start."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
-        return None
-    stored = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])
+    rows = _stored(spark, folder, batch, schema)
     channel, time = schema.names
-    rows = spark.read.schema(stored).parquet(folder).where(F.col("batch") < batch)
-    return rows.groupBy(channel).agg(F.max(time).alias("__mark"))
+    return None if rows is None else rows.groupBy(channel).agg(F.max(time).alias("__mark"))
 
 
 def high_water_ingest(
@@ -89,10 +96,32 @@ def drain(
     )
 
 
-def without_repeats(stream: DataFrame, key: str = "url", time: str = "pub_date", delay: str = "400 days") -> DataFrame:
-    """First arrival of each key; a repeat within ``delay`` of event time is dropped."""
-    timed = stream.withColumn(time, F.col(time).cast("timestamp"))
-    return timed.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+def first_arrivals(stream: DataFrame, target: str, checkpoint: str, key: str = "url") -> StreamingQuery:
+    """Append the first arrival of each key, however old it is and however late a repeat comes.
+
+    The keys taken so far are a table of their own; a batch is compared with it and never with
+    event time, so nothing is lost. Of repeats within one batch any one row is taken.
+    """
+    key_schema = T.StructType([stream.schema[key]])
+    names = stream.schema.names
+    folder = f"{checkpoint}-keys"
+
+    def take(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.dropDuplicates([key])
+        known = _stored(spark, folder, number, key_schema)
+        if known is not None:
+            fresh = fresh.join(known, fresh[key].eqNullSafe(known[key]), "left_anti")
+        _write_batch(fresh.select(names), target, number)
+        written = spark.read.schema(stream.schema).parquet(f"{target}/batch={number}")
+        _write_batch(written.select(key), folder, number)
+
+    return (
+        stream.writeStream.foreachBatch(take)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
 
 
 def append_stream(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
