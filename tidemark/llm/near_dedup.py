@@ -20,27 +20,26 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: A hub or id is one long; so many are at most some 40 MB when broadcast.
 MOST_BROADCAST_KEYS = 1_000_000
+#: Nodes are reordered by these for other hubs.
+_FLIPS = (0x2545F4914F6CDD1D,)
 
 
 @dataclass(frozen=True)
 class Sketch:
-    """``bands`` of ``rows`` minima make candidates; each minimum keeps two bits.
+    """``bands`` of ``rows`` minima make candidates; each of ``minima`` keeps two bits.
 
     With 32 bands of 4, a pair at similarity 0.75 shares no band with probability 5e-6, and
-    the estimate from 128 two-bit minima lies below ``least_estimate`` with about 1e-7.
+    the estimate from 256 two-bit minima lies below ``least_estimate`` with about 1e-7.
     """
 
     bands: int = 32
     rows: int = 4
     shingle: int = 5
     percent: int = 75
-    least_estimate: float = 0.5
+    least_estimate: float = 0.575
+    minima: int = 256
     seed: int = 20
 
-    @property
-    def minima(self) -> int:
-        return self.bands * self.rows
-
     @property
     def planes(self) -> int:
         return self.minima // 64
@@ -67,10 +66,10 @@ def shingle_sets(texts: pa.Array, sketch: Sketch) -> Iterator[np.ndarray]:
         if b - a >= k:
             yield np.unique(joint[a : b - k + 1])
         elif b > a:  # fewer words: the whole sequence, told apart from shingles by its length
-            whole = np.uint64(b - a)
+            whole = np.array([b - a], np.uint64)
             for x in h[a:b]:
-                whole = words.mixed(np.array([whole * np.uint64(0x9E3779B97F4A7C15) + x]))[0]
-            yield np.array([whole], np.uint64)
+                whole = words.mixed(whole * np.uint64(0x9E3779B97F4A7C15) + x)
+            yield whole
         else:
             yield np.zeros(0, np.uint64)
 
@@ -107,7 +106,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, sketch: Sketch) -> Dat
                         digest = xxhash.xxh3_128_digest(values.tobytes(), sketch.seed)
                         keys[i] = np.frombuffer(digest, np.uint64)
                 joint = np.tile(np.arange(1, sketch.bands + 1, dtype=np.uint64), (rows, 1))
-                grouped = least.reshape(rows, sketch.bands, sketch.rows)
+                grouped = least[:, : sketch.bands * sketch.rows].reshape(rows, sketch.bands, sketch.rows)
                 for j in range(sketch.rows):
                     joint = words.mixed(joint * np.uint64(0x9E3779B97F4A7C15) + grouped[:, :, j])
                 bits = [
@@ -144,11 +143,10 @@ def _may_link(left: str, right: str, sketch: Sketch) -> Column:
     return (small * 100 >= large * sketch.percent) & (_equal_bits(left, right, sketch) >= sketch.least_equal)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, sketch: Sketch) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; sets are made for their documents only."""
-    pairs = through_table(pairs, "near-pairs")
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = through_table(nodes.join(wanted, "key", "left_semi").select("key", F.col("first").alias("id")), "near-wanted")
+def _sets(keys: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, sketch: Sketch) -> DataFrame:
+    """``key`` and ``shingles`` of some nodes, made again from their documents' texts."""
+    wanted = nodes.join(keys, "key", "left_semi").select("key", F.col("first").alias("id"))
+    wanted = through_table(wanted, "near-wanted")
     ids, _ = broadcast_if_small(wanted.select("id"), MOST_BROADCAST_KEYS)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -168,18 +166,38 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str,
 
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     base = base.where(F.col("id").isNull()).unionByName(base.join(ids, "id", "left_semi"))
-    sets = base.mapInArrow(run, f"id {kind}, key long, shingles array<long>")
-    # A row may share its id with a wanted one; equal keys mean equal sets, so any one will do.
-    sets = sets.join(wanted.select("key"), "key", "left_semi")
-    sets = through_table(sets.select("key", "id", "shingles"), "near-sets")
-    once = sets.join(wanted.select("key", F.col("id").alias("wanted")), "key").where(F.col("id").eqNullSafe(F.col("wanted")))
-    once = once.select("key", "shingles")
-    left = once.select(F.col("key").alias("a"), F.col("shingles").alias("_a"))
-    right = once.select(F.col("key").alias("b"), F.col("shingles").alias("_b"))
-    common = F.size(F.array_intersect("_a", "_b"))
-    similar = common * 100 >= (F.size("_a") + F.size("_b") - common) * sketch.percent
-    linked = pairs.join(right, "b").join(left, "a").where(similar).select("a", "b")
-    return through_table(linked, "near-links")
+    made = base.mapInArrow(run, f"id {kind}, key long, shingles array<long>")
+    made = through_table(made.join(wanted.select("key"), "key", "left_semi"), "near-sets")
+    # Rows that share a wanted id may have other sets, and several rows the same: one a key.
+    once = made.join(wanted.select("key", F.col("id").alias("wanted")), "key").where(F.col("id").eqNullSafe(F.col("wanted")))
+    return through_table(once.groupBy("key").agg(F.first("shingles").alias("shingles")), "near-sets")
+
+
+def _similar(left: str, right: str, sketch: Sketch) -> Column:
+    """100 |A ∩ B| >= percent |A ∪ B|, with |A ∪ B| = |A| + |B| - |A ∩ B|."""
+    common = F.size(F.array_intersect(F.col(left), F.col(right)))
+    return common * (100 + sketch.percent) >= (F.size(left) + F.size(right)) * sketch.percent
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, sketch: Sketch) -> DataFrame:
+    """The pairs (a, b) of a stored table that are links, by packed bits first and sets then."""
+    planes = [f"p{i}" for i in range(2 * sketch.planes)]
+    x, y = (nodes.select("key", "n", *planes).alias(name) for name in "xy")
+    pairs = (
+        pairs.join(x, F.col("a") == F.col("x.key"))
+        .join(y, F.col("b") == F.col("y.key"))
+        .where(_may_link("x", "y", sketch))
+        .select("a", "b")
+    )
+    pairs = through_table(pairs, "near-pairs")
+    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    sets = _sets(keys, docs, nodes, id_col, text_col, sketch)
+    links = (
+        pairs.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("_b")), "b")
+        .join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("_a")), "a")
+        .where(_similar("_a", "_b", sketch))
+    )
+    return through_table(links.select("a", "b"), "near-links")
 
 
 def near_duplicates(
@@ -189,10 +207,11 @@ def near_duplicates(
 
     A document's set are its distinct five-word shingles after folding A-Z; with fewer words,
     the whole sequence is one. Documents with equal sets are one node. In each bucket of a
-    band all nodes are compared with its smallest and its largest node; buckets whose other
-    nodes are then still in several components have the pairs across components compared on
-    their packed bits, inside the join, and only pairs that may be links leave it. Every link
-    is confirmed on full sets, which are made for candidates only.
+    band all nodes are compared with its smallest and its largest node. Buckets whose other
+    nodes are then still in several components are compared with one more of their nodes, and
+    at last all pairs across components are, inside a join that only links leave. Pairs are
+    held against the packed bits first; every link is confirmed on full sets, which are made
+    for candidates only.
 
     Returns per input row ``id_col``, ``n_shingles``, ``component_id`` (smallest id reachable)
     and ``kept`` (id = component_id). A null or blank text has an empty set and is linked with
@@ -226,32 +245,48 @@ def near_duplicates(
     def stars(hub: str) -> DataFrame:
         return members.where(F.col("key") != F.col(hub)).select(F.least("key", hub).alias("a"), F.greatest("key", hub).alias("b"))
 
-    pairs = through_table(stars("low").unionByName(stars("high")).distinct(), "near-stars")
-    x, y = card.alias("x"), card.alias("y")
-    pairs = (
-        pairs.join(x, F.col("a") == F.col("x.key"))
-        .join(y, F.col("b") == F.col("y.key"))
-        .where(_may_link("x", "y", sketch))
-        .select("a", "b")
-    )
-    links = _confirmed(pairs, docs, nodes, id_col, text_col, sketch)
+    stars = through_table(stars("low").unionByName(stars("high")).distinct(), "near-stars")
+    links = _confirmed(stars, docs, nodes, id_col, text_col, sketch)
     roots = through_table(connected_components(links), "near-roots")
 
-    # Nodes of a bucket that were only compared with its two hubs and stand apart still.
-    rest = members.where("key <> low AND key <> high").join(roots, F.col("key") == F.col("node"), "left")
-    rest = through_table(rest.select("bucket", "key", F.coalesce("root", "key").alias("root")), "near-rest")
-    open_buckets = rest.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
-    open_buckets = through_table(open_buckets.select("bucket"), "near-open")
-    hint, _ = broadcast_if_small(open_buckets, MOST_BROADCAST_KEYS)
-    apart = rest.join(hint, "bucket").join(card, "key")
-    apart = through_table(apart, "near-apart")
-    x, y = apart.alias("x"), apart.alias("y")
+    # Nodes of a bucket that were compared with no other than its hubs, and stand apart still.
+    rest = members.where("key <> low AND key <> high").select("bucket", "key")
+
+    def apart() -> DataFrame:
+        rooted = rest.join(roots, F.col("key") == F.col("node"), "left")
+        rooted = through_table(rooted.select("bucket", "key", F.coalesce("root", "key").alias("root")), "near-rest")
+        open_ = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
+        hint, _ = broadcast_if_small(through_table(open_.select("bucket"), "near-open"), MOST_BROADCAST_KEYS)
+        return through_table(rooted.join(hint, "bucket"), "near-apart")
+
+    def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+        if links.isEmpty():
+            return roots
+        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        return through_table(connected_components(known.unionByName(links)), "near-roots")
+
+    # Another star, around another node, joins most of what belongs together.
+    for flip in _FLIPS:
+        left = apart()
+        hubs = left.groupBy("bucket").agg(F.min(F.col("key").bitwiseXOR(F.lit(flip))).bitwiseXOR(F.lit(flip)).alias("hub"))
+        hubs = through_table(hubs, "near-hubs")
+        hubs = hubs.join(left.select("bucket", F.col("key").alias("hub"), F.col("root").alias("hub_root")), ["bucket", "hub"])
+        pairs = left.join(through_table(hubs, "near-hubs"), "bucket").where("root <> hub_root")
+        pairs = pairs.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
+        roots = merged(roots, _confirmed(through_table(pairs, "near-stars"), docs, nodes, id_col, text_col, sketch))
+
+    # What is left is compared across components. The sets ride along, and a pair counts in the
+    # first of its buckets alone, so that only confirmed links leave the join.
+    left = apart()
+    sets = _sets(left.select("key").distinct(), docs, nodes, id_col, text_col, sketch)
+    buckets = left.groupBy("key").agg(F.array_sort(F.collect_list("bucket")).alias("buckets"))
+    full = left.join(through_table(card.join(sets, "key").join(buckets, "key"), "near-full"), "key")
+    x, y = full.alias("x"), full.alias("y")
     across = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
-    more = x.join(y, across & _may_link("x", "y", sketch)).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    more = _confirmed(more, docs, nodes, id_col, text_col, sketch)
-    if not more.isEmpty():
-        stars_now = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = through_table(connected_components(stars_now.unionByName(more)), "near-roots")
+    first = F.element_at(F.array_intersect("x.buckets", "y.buckets"), 1) == F.col("x.bucket")
+    across = across & _may_link("x", "y", sketch) & first & _similar("x.shingles", "y.shingles", sketch)
+    more = x.join(y, across).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+    roots = merged(roots, through_table(more, "near-links"))
 
     named = nodes.join(roots, F.col("key") == F.col("node"), "left").select(
         "key", "first", "rows", F.coalesce("root", "key").alias("root"), F.col("root").isNotNull().alias("linked")
