@@ -65,10 +65,12 @@ INDUSTRY_NAMES = {
     "Real Estate": "Bất động sản",
 }
 INFLATION_WORD, UNEMPLOYMENT_WORD = "lạm phát", "thất nghiệp"
+# Tickers of the leading index.
 PREFERRED_TICKERS = (
-    "ACB BCM BID BVH CTG FPT GAS GVR HDB HPG MBB MSN MWG PLX POW SAB SHB SSB SSI STB TCB TPB VCB "
-    "VHM VIB VIC VJC VNM VPB VRE"
-).split()
+    "ACB", "BCM", "BID", "BVH", "CTG", "FPT", "GAS", "GVR", "HDB", "HPG", "MBB", "MSN", "MWG",
+    "PLX", "POW", "SAB", "SHB", "SSB", "SSI", "STB", "TCB", "TPB", "VCB", "VHM", "VIB", "VIC",
+    "VJC", "VNM", "VPB", "VRE",
+)
 NON_ENTITY_TYPES = ("macro", "commodity", "index")
 MATH_INSTRUCTION = 'Let\'s think step by step and output the final answer after "####".'
 

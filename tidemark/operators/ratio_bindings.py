@@ -385,121 +385,132 @@ AVERAGED_ALL = {
 YEARLY_NAME_WITHOUT_SUFFIX = ("Total_Operating_Income_Growth",)
 YEARLY_ONLY = ("outstanding_credit_balance",)
 
-# Ratio function | code | published name.
-RATIO_NAMES_TEXT = """
-equity_ratio | ER | Equity Ratio
-long_term_asset_self_financing_ratio | LTASFR | Long Term Asset Self Financing Ratio
-fixed_asset_self_financing_ratio | FASFR | Fixed Asset Self Financing Ratio
-general_solvency_ratio | GSR | General Solvency Ratio
-return_on_investment | ROI | Return On Investment
-basic_earning_power | BEP | Basic Earning Power
-debt_to_assets_ratio | DTAR | Debt To Assets Ratio
-debt_to_equity_ratio | DTER | Debt To Equity Ratio
-short_term_debt_to_assets_ratio | STDTAR | Short Term Debt To Assets Ratio
-interest_coverage_ratio | ICR | Interest Coverage Ratio
-long_term_debt_to_equity_ratio | LTDTER | Long Term Debt To Equity Ratio
-short_term_debt_to_equity_ratio | STDTER | Short Term Debt To Equity Ratio
-receivables_to_payables_ratio | RTPR | Receivables To Payables Ratio
-receivables_to_total_assets_ratio | RTTAR | Receivables To Total Assets Ratio
-debt_to_total_capital_ratio | DTTCR | Debt To Total Capital Ratio
-receivables_to_sales_ratio | RTSR | Receivables To Sales Ratio
-allowance_for_doubtful_accounts_ratio | AFDAR | Allowance For Doubtful Accounts Ratio
-asset_to_debt_ratio | ATDR | Asset To Debt Ratio
-current_ratio | CurrentR | Current Ratio
-quick_ratio | QR | Quick Ratio
-cash_ratio | CashR | Cash Ratio
-long_term_debt_coverage_ratio | LTDCR | Long Term Debt Coverage Ratio
-long_term_debt_to_equity_capital_ratio | LTDTECR | Long Term Debt To Equity Capital Ratio
-time_interest_earned | TIE | Time Interest Earned
-debt_to_tangible_net_worth_ratio | DTTNWR | Debt To Tangible Net Worth Ratio
-financial_leverage | FL | Financial Leverage
-allowance_for_doubtful_accounts_to_total_assets_ratio | AFDATTAR | Allowance For Doubtful Accounts To Total Assets Ratio
-permanent_financing_ratio | PFR | Permanent Financing Ratio
-financial_income_to_net_revenue_ratio | FITNRR | Financial Income To Net Revenue Ratio
-return_on_assets | ROA | Return On Assets
-return_on_fixed_assets | ROFA | Return On Fixed Assets
-return_on_long_term_operating_assets | ROLTOA | Return On Long Term Operating Assets
-Basic_Earning_Power_Ratio | BEPR | Basic Earning Power Ratio
-Return_on_equity | ROE | Return On Equity
-profitability_of_cost_of_goods_sold | POCOGS | Profitability Of Cost Of Goods Sold
-price_spread_ratio | PSR | Price Spread Ratio
-profitability_of_operating_expenses | POOE | Profitability Of Operating Expenses
-Return_on_sales | ROS | Return On Sales
-operating_profit_margin | OPM | Operating Profit Margin
-gross_profit_margin | GPM | Gross Profit Margin
-ROIC | ROIC | Return on Invested Capital
-EBIT | EBIT | EBIT
-EBITDA | EBITDA | EBITDA
-free_cash_flow | FCF | Free Cash Flow
-free_cash_flow_to_operating_cash_flow_ratio | FCFTOCFR | Free Cash Flow To Operating Cash Flow Ratio
-cash_interest_coverage | CIC | Cash Interest Coverage
-cash_flow_from_sales_to_sales | CFFSTS | Cash Flow From Sales To Sales
-cash_flow_margin | CFM | Cash Flow Margin
-earning_quality_ratio | EQR | Earning Quality Ratio
-cash_debt_coverage_ratio | CDCR | Cash Debt Coverage Ratio
-cash_return_on_assets | CROA | Cash Return On Assets
-cash_return_on_fixed_assets | CROFA | Cash Return On Fixed Assets
-CFO_to_total_equity | CFOTTE | CFO To Total Equity
-net_interest_margin | NIM | Net Interest Margin
-allowance_for_loan_customers_ratio | ALCR | Allowance for loan customers ratio
-net_profit_margin | NPM | Net profit margin
-current_account_saving_account_ratio | CASA | Current Account Saving Account Ratio
-bad_debt_ratio | BDR | Bad Debt Ratio
-Total_Asset_Turnover | TAT | Total Asset Turnover
-earning_per_share | EPS | Earning Per Share
-price_earning_ratio | PE | Price Earning Ratio
-price_to_book_ratio | PB | Price To Book Ratio
-book_value_per_share | BVPS | Book Value Per Share
-days_sales_outstanding | DSO | Days Sales Outstanding
-days_inventory_outstanding | DIO | Days Inventory Outstanding
-days_payable_outstanding | DPO | Days Payable Outstanding
-cash_conversion_cycle | CCC | Cash Conversion Cycle
-inventory_turnover_ratio | ITR | Inventory Turnover Ratio
-return_on_average_assets | ROAA | Return On Average Assets
-return_on_average_equity | ROAE | Return On Average Equity
-return_on_average_sales | ROAS | Return On Average Sales
-non_performing_loan_coverage_ratio | NPLCR | Non-Performing Loan Coverage Ratio
-cost_of_fund | COF | Cost of Fund
-cost_to_income_ratio | CIR | Cost to Income Ratio
-return_on_average_assets_ttm | ROAATTM | Return On Average Assets (Trailing Twelve Months)
-return_on_average_equity_ttm | ROAETTM | Return On Average Equity (Trailing Twelve Months)
-return_on_assets_ttm | ROATTM | Return On Assets (Trailing Twelve Months)
-return_on_equity_ttm | ROETTM | Return On Equity (Trailing Twelve Months)
-"""
-
-# Growth name | code stem. Codes and names end in YoY or QoQ.
-GROWTH_NAMES_TEXT = """
-Net_Revenue_Growth | NRG
-Gross_Profit_Growth | GPG
-Net_Income_Growth | NIG
-EBITDA_Growth | EBITDAG
-EBIT_Growth | EBITG
-Pre_Tax_Profit_Growth | PTPG
-Accounts_Receivable_Growth | ARG
-Inventory_Growth | IG
-Short_Term_Debt_Growth | STDG
-Long_Term_Debt_Growth | LTDG
-SG&A_Expense_Growth | SG&AEG
-Total_Asset_Growth | TAG
-Equity_Growth | EG
-Liability_Growth | LG
-CFO_Growth | CFOG
-Customer_Deposits_Growth | CDG
-Operating_Expense_Growth | OEG
-Income_Before_Provision_Growth | IBPG
-Interest_Income_Growth | IIG
-Non_Interest_Income_Growth | NIIG
-Total_Operating_Income_Growth | TOIG
-Customer_Loans_Growth | CLG
-"""
-
-# Growth codes and names that break the rule above.
-GROWTH_EXCEPTIONS = {
-    "EBITDA_Growth_QoQ": ("EBITDAQoQ", "EBITDA Growth QoQ"),
-    "Total_Operating_Income_Growth": ("TOIGYoY", "Total Operating Income Growth"),
-    "Total_Operating_Income_Growth_QoQ": ("TOIGQoQ", "Total Operating Income Growth"),
-    "outstanding_credit_balance_YoY": ("OCBYoY", "Outstanding Credit Balance YoY"),
-}
+# The published table of ratios (ratio_name, ratio_code, function_name).
+RATIO_NAMES = (
+    ("Equity Ratio", "ER", "equity_ratio"),
+    ("Long Term Asset Self Financing Ratio", "LTASFR", "long_term_asset_self_financing_ratio"),
+    ("Fixed Asset Self Financing Ratio", "FASFR", "fixed_asset_self_financing_ratio"),
+    ("General Solvency Ratio", "GSR", "general_solvency_ratio"),
+    ("Return On Investment", "ROI", "return_on_investment"),
+    ("Basic Earning Power", "BEP", "basic_earning_power"),
+    ("Debt To Assets Ratio", "DTAR", "debt_to_assets_ratio"),
+    ("Debt To Equity Ratio", "DTER", "debt_to_equity_ratio"),
+    ("Short Term Debt To Assets Ratio", "STDTAR", "short_term_debt_to_assets_ratio"),
+    ("Interest Coverage Ratio", "ICR", "interest_coverage_ratio"),
+    ("Long Term Debt To Equity Ratio", "LTDTER", "long_term_debt_to_equity_ratio"),
+    ("Short Term Debt To Equity Ratio", "STDTER", "short_term_debt_to_equity_ratio"),
+    ("Receivables To Payables Ratio", "RTPR", "receivables_to_payables_ratio"),
+    ("Receivables To Total Assets Ratio", "RTTAR", "receivables_to_total_assets_ratio"),
+    ("Debt To Total Capital Ratio", "DTTCR", "debt_to_total_capital_ratio"),
+    ("Receivables To Sales Ratio", "RTSR", "receivables_to_sales_ratio"),
+    ("Allowance For Doubtful Accounts Ratio", "AFDAR", "allowance_for_doubtful_accounts_ratio"),
+    ("Asset To Debt Ratio", "ATDR", "asset_to_debt_ratio"),
+    ("Current Ratio", "CurrentR", "current_ratio"),
+    ("Quick Ratio", "QR", "quick_ratio"),
+    ("Cash Ratio", "CashR", "cash_ratio"),
+    ("Long Term Debt Coverage Ratio", "LTDCR", "long_term_debt_coverage_ratio"),
+    ("Long Term Debt To Equity Capital Ratio", "LTDTECR", "long_term_debt_to_equity_capital_ratio"),
+    ("Time Interest Earned", "TIE", "time_interest_earned"),
+    ("Debt To Tangible Net Worth Ratio", "DTTNWR", "debt_to_tangible_net_worth_ratio"),
+    ("Financial Leverage", "FL", "financial_leverage"),
+    ("Allowance For Doubtful Accounts To Total Assets Ratio", "AFDATTAR", "allowance_for_doubtful_accounts_to_total_assets_ratio"),
+    ("Permanent Financing Ratio", "PFR", "permanent_financing_ratio"),
+    ("Financial Income To Net Revenue Ratio", "FITNRR", "financial_income_to_net_revenue_ratio"),
+    ("Return On Assets", "ROA", "return_on_assets"),
+    ("Return On Fixed Assets", "ROFA", "return_on_fixed_assets"),
+    ("Return On Long Term Operating Assets", "ROLTOA", "return_on_long_term_operating_assets"),
+    ("Basic Earning Power Ratio", "BEPR", "Basic_Earning_Power_Ratio"),
+    ("Return On Equity", "ROE", "Return_on_equity"),
+    ("Profitability Of Cost Of Goods Sold", "POCOGS", "profitability_of_cost_of_goods_sold"),
+    ("Price Spread Ratio", "PSR", "price_spread_ratio"),
+    ("Profitability Of Operating Expenses", "POOE", "profitability_of_operating_expenses"),
+    ("Return On Sales", "ROS", "Return_on_sales"),
+    ("Operating Profit Margin", "OPM", "operating_profit_margin"),
+    ("Gross Profit Margin", "GPM", "gross_profit_margin"),
+    ("Return on Invested Capital", "ROIC", "ROIC"),
+    ("EBIT", "EBIT", "EBIT"),
+    ("EBITDA", "EBITDA", "EBITDA"),
+    ("Free Cash Flow", "FCF", "free_cash_flow"),
+    ("Free Cash Flow To Operating Cash Flow Ratio", "FCFTOCFR", "free_cash_flow_to_operating_cash_flow_ratio"),
+    ("Cash Interest Coverage", "CIC", "cash_interest_coverage"),
+    ("Cash Flow From Sales To Sales", "CFFSTS", "cash_flow_from_sales_to_sales"),
+    ("Cash Flow Margin", "CFM", "cash_flow_margin"),
+    ("Earning Quality Ratio", "EQR", "earning_quality_ratio"),
+    ("Cash Debt Coverage Ratio", "CDCR", "cash_debt_coverage_ratio"),
+    ("Cash Return On Assets", "CROA", "cash_return_on_assets"),
+    ("Cash Return On Fixed Assets", "CROFA", "cash_return_on_fixed_assets"),
+    ("CFO To Total Equity", "CFOTTE", "CFO_to_total_equity"),
+    ("Net Interest Margin", "NIM", "net_interest_margin"),
+    ("Allowance for loan customers ratio", "ALCR", "allowance_for_loan_customers_ratio"),
+    ("Net profit margin", "NPM", "net_profit_margin"),
+    ("Current Account Saving Account Ratio", "CASA", "current_account_saving_account_ratio"),
+    ("Bad Debt Ratio", "BDR", "bad_debt_ratio"),
+    ("Net Revenue Growth YoY", "NRGYoY", "Net_Revenue_Growth_YoY"),
+    ("Gross Profit Growth YoY", "GPGYoY", "Gross_Profit_Growth_YoY"),
+    ("Net Income Growth YoY", "NIGYoY", "Net_Income_Growth_YoY"),
+    ("EBITDA Growth YoY", "EBITDAGYoY", "EBITDA_Growth_YoY"),
+    ("EBIT Growth YoY", "EBITGYoY", "EBIT_Growth_YoY"),
+    ("Pre Tax Profit Growth YoY", "PTPGYoY", "Pre_Tax_Profit_Growth_YoY"),
+    ("Accounts Receivable Growth YoY", "ARGYoY", "Accounts_Receivable_Growth_YoY"),
+    ("Inventory Growth YoY", "IGYoY", "Inventory_Growth_YoY"),
+    ("Short Term Debt Growth YoY", "STDGYoY", "Short_Term_Debt_Growth_YoY"),
+    ("Long Term Debt Growth YoY", "LTDGYoY", "Long_Term_Debt_Growth_YoY"),
+    ("SG&A Expense Growth YoY", "SG&AEGYoY", "SG&A_Expense_Growth_YoY"),
+    ("Total Asset Growth YoY", "TAGYoY", "Total_Asset_Growth_YoY"),
+    ("Equity Growth YoY", "EGYoY", "Equity_Growth_YoY"),
+    ("Liability Growth YoY", "LGYoY", "Liability_Growth_YoY"),
+    ("CFO Growth YoY", "CFOGYoY", "CFO_Growth_YoY"),
+    ("Customer Deposits Growth YoY", "CDGYoY", "Customer_Deposits_Growth_YoY"),
+    ("Operating Expense Growth YoY", "OEGYoY", "Operating_Expense_Growth_YoY"),
+    ("Income Before Provision Growth YoY", "IBPGYoY", "Income_Before_Provision_Growth_YoY"),
+    ("Interest Income Growth YoY", "IIGYoY", "Interest_Income_Growth_YoY"),
+    ("Non Interest Income Growth YoY", "NIIGYoY", "Non_Interest_Income_Growth_YoY"),
+    ("Total Operating Income Growth", "TOIGYoY", "Total_Operating_Income_Growth"),
+    ("Customer Loans Growth YoY", "CLGYoY", "Customer_Loans_Growth_YoY"),
+    ("Total Asset Turnover", "TAT", "Total_Asset_Turnover"),
+    ("Earning Per Share", "EPS", "earning_per_share"),
+    ("Price Earning Ratio", "PE", "price_earning_ratio"),
+    ("Price To Book Ratio", "PB", "price_to_book_ratio"),
+    ("Book Value Per Share", "BVPS", "book_value_per_share"),
+    ("Days Sales Outstanding", "DSO", "days_sales_outstanding"),
+    ("Days Inventory Outstanding", "DIO", "days_inventory_outstanding"),
+    ("Days Payable Outstanding", "DPO", "days_payable_outstanding"),
+    ("Cash Conversion Cycle", "CCC", "cash_conversion_cycle"),
+    ("Inventory Turnover Ratio", "ITR", "inventory_turnover_ratio"),
+    ("Return On Average Assets", "ROAA", "return_on_average_assets"),
+    ("Return On Average Equity", "ROAE", "return_on_average_equity"),
+    ("Return On Average Sales", "ROAS", "return_on_average_sales"),
+    ("Non-Performing Loan Coverage Ratio", "NPLCR", "non_performing_loan_coverage_ratio"),
+    ("Outstanding Credit Balance YoY", "OCBYoY", "outstanding_credit_balance_YoY"),
+    ("Cost of Fund", "COF", "cost_of_fund"),
+    ("Cost to Income Ratio", "CIR", "cost_to_income_ratio"),
+    ("Return On Average Assets (Trailing Twelve Months)", "ROAATTM", "return_on_average_assets_ttm"),
+    ("Return On Average Equity (Trailing Twelve Months)", "ROAETTM", "return_on_average_equity_ttm"),
+    ("Return On Assets (Trailing Twelve Months)", "ROATTM", "return_on_assets_ttm"),
+    ("Return On Equity (Trailing Twelve Months)", "ROETTM", "return_on_equity_ttm"),
+    ("Net Revenue Growth QoQ", "NRGQoQ", "Net_Revenue_Growth_QoQ"),
+    ("Gross Profit Growth QoQ", "GPGQoQ", "Gross_Profit_Growth_QoQ"),
+    ("Net Income Growth QoQ", "NIGQoQ", "Net_Income_Growth_QoQ"),
+    ("EBITDA Growth QoQ", "EBITDAQoQ", "EBITDA_Growth_QoQ"),
+    ("EBIT Growth QoQ", "EBITGQoQ", "EBIT_Growth_QoQ"),
+    ("Pre Tax Profit Growth QoQ", "PTPGQoQ", "Pre_Tax_Profit_Growth_QoQ"),
+    ("Accounts Receivable Growth QoQ", "ARGQoQ", "Accounts_Receivable_Growth_QoQ"),
+    ("Inventory Growth QoQ", "IGQoQ", "Inventory_Growth_QoQ"),
+    ("Short Term Debt Growth QoQ", "STDGQoQ", "Short_Term_Debt_Growth_QoQ"),
+    ("Long Term Debt Growth QoQ", "LTDGQoQ", "Long_Term_Debt_Growth_QoQ"),
+    ("SG&A Expense Growth QoQ", "SG&AEGQoQ", "SG&A_Expense_Growth_QoQ"),
+    ("Total Asset Growth QoQ", "TAGQoQ", "Total_Asset_Growth_QoQ"),
+    ("Equity Growth QoQ", "EGQoQ", "Equity_Growth_QoQ"),
+    ("Liability Growth QoQ", "LGQoQ", "Liability_Growth_QoQ"),
+    ("CFO Growth QoQ", "CFOGQoQ", "CFO_Growth_QoQ"),
+    ("Customer Deposits Growth QoQ", "CDGQoQ", "Customer_Deposits_Growth_QoQ"),
+    ("Operating Expense Growth QoQ", "OEGQoQ", "Operating_Expense_Growth_QoQ"),
+    ("Income Before Provision Growth QoQ", "IBPGQoQ", "Income_Before_Provision_Growth_QoQ"),
+    ("Interest Income Growth QoQ", "IIGQoQ", "Interest_Income_Growth_QoQ"),
+    ("Non Interest Income Growth QoQ", "NIIGQoQ", "Non_Interest_Income_Growth_QoQ"),
+    ("Total Operating Income Growth", "TOIGQoQ", "Total_Operating_Income_Growth_QoQ"),
+    ("Customer Loans Growth QoQ", "CLGQoQ", "Customer_Loans_Growth_QoQ"),
+)
 
 
 def growth_name(base: str, suffix: str) -> str:
@@ -511,16 +522,7 @@ def growth_name(base: str, suffix: str) -> str:
 
 def ratio_names() -> dict[str, tuple[str, str]]:
     """Ratio function -> (code, published name)."""
-    names: dict[str, tuple[str, str]] = {}
-    for line in RATIO_NAMES_TEXT.strip().splitlines():
-        function, code, name = (part.strip() for part in line.split("|"))
-        names[function] = (code, name)
-    for line in GROWTH_NAMES_TEXT.strip().splitlines():
-        base, stem = (part.strip() for part in line.split("|"))
-        for suffix in ("YoY", "QoQ"):
-            title = f"{base.replace('_', ' ')} {suffix}"
-            names[growth_name(base, suffix)] = (stem + suffix, title)
-    return names | GROWTH_EXCEPTIONS
+    return {function: (code, name) for name, code, function in RATIO_NAMES}
 
 
 def account_codes(bindings: dict, families=None) -> list[str]:
