@@ -1,6 +1,6 @@
 """Every registered query against its comparison SQL.
 
-TIDEMARK_SF names the table folder; TIDEMARK_ALL=1 adds the slow queries.
+TIDEMARK_SF names the table folder.
 """
 
 import os
@@ -12,7 +12,6 @@ import __spark_entry__ as contract
 from tools.compare import TABLES, rows_of
 
 SF = os.environ.get("TIDEMARK_SF", "/root/testdata/sf0.001")
-SLOW = {"rat_ind", "rat_assemble", "job6", "agg4", "qa4", "flt2", "vec3", "job9_clean"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
@@ -27,8 +26,6 @@ def sql():
 
 @pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
 def test_same_rows(spark, sql, name):
-    if name in SLOW and not os.environ.get("TIDEMARK_ALL"):
-        pytest.skip("slow; set TIDEMARK_ALL=1")
     df = contract.queries()[name](spark, SF)
     cursor = sql.execute(contract.oracle_sql()[name])
     want = rows_of([d[0] for d in cursor.description], cursor.fetchall())

@@ -165,9 +165,3 @@ def transcript_words(messages: DataFrame, conversation: str = "conv_id") -> Data
     return messages.groupBy(conversation).agg(
         F.sum(F.coalesce(tx.word_count(F.col("text")), F.lit(0))).alias("words")
     )
-
-
-def text_of_blocks(blocks: Column) -> Column:
-    """Text of a list of content blocks ``struct(type, text)``; only text blocks count."""
-    texts = F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"])
-    return F.array_join(texts, "")

@@ -22,15 +22,3 @@ def reconciliation(fact: DataFrame, mapping: DataFrame, column: str = "category_
     ).unionByName(
         codes_missing(mapping, fact, column).select(column, F.lit("fact").alias("missing_in"))
     )
-
-
-def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row with the number of nulls in each column."""
-    return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
-
-
-def require_none(offending: DataFrame, message: str) -> None:
-    """Raise when a check returned rows; shows a few of them."""
-    rows = offending.take(5)
-    if rows:
-        raise ValueError(f"{message}: {[r.asDict() for r in rows]}")

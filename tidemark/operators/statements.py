@@ -151,7 +151,7 @@ def without_annual_ttm(ratios: DataFrame) -> DataFrame:
 def ttm_candidates(code: Column) -> Column:
     """Income and cash-flow accounts that have a trailing form."""
     chosen = F.startswith(code, F.lit("IS")) | F.startswith(code, F.lit("CF"))
-    return chosen & ~code.isin(NO_TTM_INCOME + NO_TTM_CASHFLOW)
+    return chosen & ~code.isin([*NO_TTM_INCOME, *NO_TTM_CASHFLOW])
 
 
 def with_ttm_codes(

@@ -231,31 +231,37 @@ _PERIOD_STATS = """
         avg(close) AS mean_close, stddev_samp(close) AS std_close, stddev_samp(daily_return) AS std_daily_return,
         count(time) AS duration, arg_max(close, time) AS q_close, arg_min(prev_close, time) AS start_close
     FROM returns GROUP BY ALL"""
-_MARKET = {
-    "returns": catalog_series._RETURNS,
-    "stats": _PERIOD_STATS.format(p="quarter") + " UNION ALL " + _PERIOD_STATS.format(p="month"),
-    "periods": """SELECT *, period_type = 'quarter' AS is_quarter,
-        concat_ws('/', 'stock', series_key, year, period_type, time_val) AS identity FROM stats""",
-    "dated": asked("periods"),
-    "questions": """
-      SELECT *, md5(identity || '/' || type) AS id FROM (
-        SELECT identity, year, time_val, is_quarter, time_asked, gap, 'stock_return' AS type,
-          'Tỷ suất sinh lời của cổ phiếu ' || series_key || ' trong ' || CASE WHEN is_quarter THEN 'quý ' ELSE 'tháng ' END || time_val
-            || ' năm ' || year || ' là bao nhiêu %?' AS question_raw,
-          round((q_close - start_close) / nullif(start_close, 0) * 100, 2) AS answer,
-          round(coalesce(std_daily_return * sqrt(duration), 0), 4) AS std FROM dated
-        UNION ALL
-        SELECT identity, year, time_val, is_quarter, time_asked, gap, 'stock_stats',
-          'Giá trị trung bình và độ lệch chuẩn của cổ phiếu ' || series_key || ' trong ' || CASE WHEN is_quarter THEN 'quý ' ELSE 'tháng ' END || time_val
-            || ' năm ' || year || ' là bao nhiêu?',
-          round(mean_close, 2), round(coalesce(round(std_close, 2), 0), 4) FROM dated)""",
-}
+def _market_sql(prefix: str, name: str) -> dict[str, str]:
+    return {
+        "returns": catalog_series._RETURNS,
+        "stats": _PERIOD_STATS.format(p="quarter") + " UNION ALL " + _PERIOD_STATS.format(p="month"),
+        "periods": f"""SELECT *, period_type = 'quarter' AS is_quarter,
+            concat_ws('/', '{prefix}', series_key, year, period_type, time_val) AS identity FROM stats""",
+        "dated": asked("periods"),
+        "questions": f"""
+          SELECT *, md5(identity || '/' || type) AS id FROM (
+            SELECT identity, year, time_val, is_quarter, time_asked, gap, '{prefix}_return' AS type,
+              'Tỷ suất sinh lời của ' || {name} || ' trong ' || CASE WHEN is_quarter THEN 'quý ' ELSE 'tháng ' END || time_val
+                || ' năm ' || year || ' là bao nhiêu %?' AS question_raw,
+              round((q_close - start_close) / nullif(start_close, 0) * 100, 2) AS answer,
+              round(coalesce(std_daily_return * sqrt(duration), 0), 4) AS std FROM dated
+            UNION ALL
+            SELECT identity, year, time_val, is_quarter, time_asked, gap, '{prefix}_stats',
+              'Giá trị trung bình và độ lệch chuẩn của ' || {name} || ' trong ' || CASE WHEN is_quarter THEN 'quý ' ELSE 'tháng ' END || time_val
+                || ' năm ' || year || ' là bao nhiêu?',
+              round(mean_close, 2), round(coalesce(round(std_close, 2), 0), 4) FROM dated)""",
+    }
+
+
+_MARKET = _market_sql("stock", "'cổ phiếu ' || series_key")
+
+
+def statistics(t):
+    return series.all_period_statistics(catalog_series.returns(t), KEY)
 
 
 def market(t):
-    stats = series.all_period_statistics(catalog_series.returns(t), KEY)
-    name = F.concat(F.lit(ds.STOCK_WORD + " "), F.col(KEY))
-    return ds.market_questions(stats, KEY, "stock", name)
+    return ds.market_questions(statistics(t), KEY, "stock", F.concat(F.lit(ds.STOCK_WORD + " "), F.col(KEY)))
 
 
 def with_answer(df):
@@ -275,6 +281,34 @@ def qa1(t):
     )
 
 
+_QUESTION = ("id", "type", "year", "time_val", "is_quarter", "question_raw", "answer", "std")
+
+
+@query(
+    "qa1_index",
+    "SELECT id, type, year, time_val, is_quarter, question_raw, answer, std FROM questions",
+    "bars",
+    _market_sql("index", "'chỉ số ' || series_key"),
+)
+def qa1_index(t):
+    """Questions about indices."""
+    name = F.concat(F.lit(ds.INDEX_WORD + " "), F.col(KEY))
+    return with_answer(ds.market_questions(statistics(t), KEY, "index", name)).select(*_QUESTION)
+
+
+@query(
+    "qa1_commodity",
+    "SELECT id, type, year, time_val, is_quarter, question_raw, answer, std FROM questions",
+    "bars",
+    _market_sql("commodity", "CASE series_key WHEN '1-URGENT' THEN 'Vàng' WHEN '2-HIGH' THEN 'Dầu WTI' ELSE series_key END"),
+)
+def qa1_commodity(t):
+    """Questions about commodities under their published names; the test series stand for two of them."""
+    traded = F.when(F.col(KEY) == "1-URGENT", "Gold").when(F.col(KEY) == "2-HIGH", "Crude Oil WTI").otherwise(F.col(KEY))
+    name = ds.renamed(traded, ds.COMMODITY_NAMES)
+    return with_answer(ds.market_questions(statistics(t), KEY, "commodity", name)).select(*_QUESTION)
+
+
 @query(
     "qa2",
     "SELECT id, time_asked, gap FROM questions",
@@ -339,14 +373,40 @@ _RATIO_Q = ratio_sql.facts_views(catalog_ratios._TRAILING, False) | {
 )
 def qa4(t):
     """Questions about ratios."""
-    stored = catalog_ratios.stored_facts(t)
+    stored, codes = catalog_ratios.stored_facts(t)
     ratios = st.stacked(
-        *[ratio_tables.segment_ratios(stored[s], s, families=_QA4_FAMILIES).drop("family") for s in SEGMENTS]
+        *[
+            ratio_tables.segment_ratios(stored[s], s, families=_QA4_FAMILIES, codes=codes[s]).drop("family")
+            for s in SEGMENTS
+        ]
     )
     rows = with_answer(ds.ratio_questions(ratios, first_year=1998))
     return rows.select("stock_code", "ratio_code", "type", "time_asked", "gap", "id", "answer", "question_raw")
 
 
+@query(
+    "qa4_banks",
+    """SELECT stock_code, ratio_code, type, time_asked, gap, md5(identity) AS id, round(data, 4) AS answer,
+        CASE ratio_code WHEN 'BDR' THEN 'Tỷ lệ nợ xấu' ELSE ratio_code END || ' của ngân hàng ' || stock_code
+        || ' trong quý ' || quarter || ' năm ' || year || ' là bao nhiêu?' AS question_raw FROM dated""",
+    "statement prices",
+    _RATIO_Q
+    | {
+        "chosen": """SELECT *, quarter AS time_val, true AS is_quarter, 'bank_ratio_' || ratio_code AS type,
+            concat_ws('/', 'bank_ratio_' || ratio_code, stock_code, ratio_code, year, quarter) AS identity
+          FROM finished WHERE segment = 'bank' AND ratio_code IN ('NIM', 'BDR') AND year >= 1998 AND quarter > 0""",
+    },
+)
+def qa4_banks(t):
+    """Questions about the ratios of banks."""
+    stored, codes = catalog_ratios.stored_facts(t)
+    ratios = ratio_tables.segment_ratios(stored["bank"], "bank", families=_QA4_FAMILIES, codes=codes["bank"])
+    rows = ds.ratio_questions(ratios.drop("family"), ds.BANK_RATIO_ITEMS, first_year=1998, banks_only=True)
+    return with_answer(rows).select(
+        "stock_code", "ratio_code", "type", "time_asked", "gap", "id", "answer", "question_raw"
+    )
+
+
 @query(
     "qa5",
     """SELECT country, indicator_name, type, time_asked, gap, md5(identity) AS id, round(increase_pct, 2) AS answer, question_raw

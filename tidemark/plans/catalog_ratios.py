@@ -21,25 +21,31 @@ _TRAILING = """
     WHERE n = 4 AND width = 3"""
 
 
-def facts(t, segment):
-    return statement_tables.with_trailing_rows(t.segment_statement(segment))
+def stored_facts(t):
+    """Facts with trailing rows and prices, written once by segment, and the accounts of each.
 
+    A segment reads its part only. The accounts that occur, a chart of accounts a segment, are
+    looked up for all of them in one pass over the stored codes.
+    """
+    owners = t.companies.select("stock_code", "segment")
+    prices = t.prices.join(owners, "stock_code").select(
+        "stock_code", F.lit("Price").alias("category_code"), "year", "quarter",
+        F.col("close").alias("data"), "segment",
+    )
+    rows = st.stacked(statement_tables.with_trailing_rows(t.statement), prices)
+    table = through_table(rows, "facts", partition_by=["segment"])
+    found = table.groupBy("segment").agg(F.collect_set("category_code").alias("codes")).collect()
+    codes = {s: [] for s in SEGMENTS} | {row["segment"]: row["codes"] for row in found}
+    return {s: table.where(F.col("segment") == s) for s in SEGMENTS}, codes
 
-def stored_facts(t):
-    """Facts with trailing rows, written once and read per segment."""
-    table = through_table(statement_tables.with_trailing_rows(t.statement), "facts")
-    return {s: table.where(F.col("segment") == s) for s in SEGMENTS}
 
+def needs_trailing(families) -> bool:
+    wanted = [c for s in SEGMENTS for c in r.rb.account_codes(r.rb.BINDINGS[s], families)]
+    return any(c.endswith("_TTM") for c in wanted)
 
-def segment_facts(t, segment, families):
-    """Facts the families need, and the segment's chart of accounts.
 
-    Trailing accounts exist only where four quarters follow each other, so
-    families that use them look their codes up.
-    """
-    wanted = r.rb.account_codes(r.rb.BINDINGS[segment], families)
-    if any(c.endswith("_TTM") for c in wanted):
-        return facts(t, segment), None
+def segment_facts(t, segment):
+    """A segment's statements and its chart of accounts."""
     return t.segment_statement(segment), [*base_codes(segment), "Price"]
 
 
@@ -61,11 +67,12 @@ def family(name: str, *families: str, price: bool = False):
 
     def build(t):
         parts = []
+        stored, found = stored_facts(t) if needs_trailing(families) else ({}, {})
         for segment in SEGMENTS:
             bindings = r.rb.BINDINGS[segment]
             if not any(bindings.get(f) or f in ("yoy", "qoq") for f in families):
                 continue
-            rows, codes = segment_facts(t, segment, families)
+            rows, codes = (stored[segment], found[segment]) if stored else segment_facts(t, segment)
             rows = with_prices(t, rows) if price else rows
             parts.append(r.financial_ratios(rows, segment, families, codes))
         return st.stacked(*parts)
@@ -91,7 +98,7 @@ family("rat_notes", "notes")
 
 def one_segment(name: str, segment: str, families: tuple[str, ...], doc: str):
     def build(t):
-        rows, codes = segment_facts(t, segment, families)
+        rows, codes = segment_facts(t, segment)
         return r.financial_ratios(rows, segment, families, codes)
 
     build.__doc__ = doc
@@ -130,9 +137,9 @@ _DATE = "strftime(make_date(year, CASE WHEN quarter = 0 THEN 12 ELSE quarter * 3
 )
 def rat_assemble(t):
     """Finished ratio rows of all segments."""
-    stored = stored_facts(t)
+    stored, codes = stored_facts(t)
     parts = [
-        ratio_tables.segment_ratios(stored[s], s, t.prices).drop("family") for s in SEGMENTS
+        ratio_tables.segment_ratios(stored[s], s, codes=codes[s]).drop("family") for s in SEGMENTS
     ]
     return st.stacked(*parts).withColumn("date_added", F.date_format("date_added", "yyyy-MM-dd"))
 
@@ -148,14 +155,15 @@ _MEMBERS = """
 @query(
     "agg4",
     f"""SELECT industry, year, quarter, ratio_code, round(avg(data), 6) AS data_mean, {_DATE}
-    FROM finished JOIN members USING (stock_code, year, quarter) WHERE segment = 'corp' GROUP BY ALL""",
+    FROM finished JOIN members USING (stock_code, year, quarter) GROUP BY ALL""",
     "statement prices companies",
-    _EXTRA | {"members": _MEMBERS.format(top=2)},
+    _EXTRA | {"members": _MEMBERS.format(top=15)},
 )
 def agg4(t):
-    """Mean ratios of the two largest companies of each industry."""
-    ratios = ratio_tables.segment_ratios(facts(t, "corp"), "corp", t.prices)
-    means = st.industry_ratios(ratios, t.statement, t.companies, top=2)
+    """Mean ratios of the fifteen largest companies of each industry, all segments."""
+    stored, codes = stored_facts(t)
+    ratios = st.stacked(*(ratio_tables.segment_ratios(stored[s], s, codes=codes[s]) for s in SEGMENTS))
+    means = st.industry_ratios(ratios, t.statement, t.companies, top=15)
     return means.withColumns(
         {"data_mean": F.round("data_mean", 6), "date_added": F.date_format("date_added", "yyyy-MM-dd")}
     )
@@ -166,9 +174,8 @@ _IND = """SELECT industry AS stock_code, year, quarter, ratio_code, round(avg(da
 
 
 def whole_table(t):
-    rows = ratio_tables.ratio_table(
-        stored_facts(t), t.companies, t.prices, universal=t.statement
-    )
+    stored, codes = stored_facts(t)
+    rows = ratio_tables.ratio_table(stored, t.companies, universal=t.statement, codes=codes)
     return rows.withColumns(
         {"data": F.round("data", 6), "date_added": F.date_format("date_added", "yyyy-MM-dd")}
     )

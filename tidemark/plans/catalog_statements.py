@@ -314,28 +314,35 @@ def mapping(t):
 @query(
     "jn1",
     """SELECT s.stock_code, s.year, s.quarter, s.data, m.category_code FROM statement s
-    LEFT JOIN mapping m ON s.category_code = m.own WHERE s.segment = 'securities'""",
+    LEFT JOIN mapping m ON s.category_code = m.own WHERE s.segment IN ('securities', 'bank')""",
     "statement",
     {"mapping": _MAPPING},
 )
 def jn1(t):
     """Facts under universal codes, unmapped ones kept with a null code."""
-    rows = st.to_universal(t.segment_statement("securities"), mapping(t), "sec_code")
-    return rows.select("stock_code", "year", "quarter", "data", "category_code")
+    codes = mapping(t)
+    parts = [
+        st.to_universal(t.segment_statement(s), codes, own)
+        for s, own in (("securities", "sec_code"), ("bank", "bank_code"))
+    ]
+    return st.stacked(*parts).select("stock_code", "year", "quarter", "data", "category_code")
 
 
 @query(
     "jn2",
     """SELECT s.stock_code, s.year, s.quarter, s.data, m.category_code
-    FROM (SELECT * FROM statement WHERE segment = 'corp') s FULL JOIN mapping m ON s.category_code = m.own
+    FROM (SELECT * FROM statement WHERE segment IN ('corp', 'bank')) s FULL JOIN mapping m ON s.category_code = m.own
     WHERE s.data IS NOT NULL AND m.category_code IS NOT NULL""",
     "statement",
     {"mapping": _MAPPING},
 )
 def jn2(t):
     """Facts under universal codes, what has no entity or no code dropped."""
-    rows = st.to_universal(t.segment_statement("corp"), mapping(t), "corp_code", keep_unmapped=False)
-    return rows.select("stock_code", "year", "quarter", "data", "category_code")
+    codes = mapping(t)
+    parts = [
+        st.to_universal(t.segment_statement(s), codes, f"{s}_code", keep_unmapped=False) for s in ("corp", "bank")
+    ]
+    return st.stacked(*parts).select("stock_code", "year", "quarter", "data", "category_code")
 
 
 _AVERAGED = """

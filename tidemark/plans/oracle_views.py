@@ -190,6 +190,8 @@ def with_views(names: str, body: str, extra: dict[str, str] | None = None) -> st
 
     for name in names.split():
         visit(name)
-    parts = [f"{n} AS ({VIEWS[n][1]})" for n in order]
+    # Statements are read several times in most queries, and are made from all lines.
+    kept = {n: " MATERIALIZED" if n in ("statement", "bars", "prices") else "" for n in order}
+    parts = [f"{n} AS{kept[n]} ({VIEWS[n][1]})" for n in order]
     parts += [f"{n} AS ({sql})" for n, sql in (extra or {}).items()]
     return f"WITH {', '.join(parts)} {body}" if parts else body

@@ -63,15 +63,19 @@ def ratio_table(
     universal: DataFrame | None = None,
     notes: DataFrame | None = None,
     top: int = 15,
+    codes: Mapping[str, Sequence[str]] | None = None,
     **options,
 ) -> DataFrame:
     """Ratios of every segment plus industry means as rows of segment ``industry``.
 
     ``universal`` are the facts the industries' largest entities are ranked
-    by; the segments' own facts serve when it is omitted.
+    by; the segments' own facts serve when it is omitted. ``codes`` are the
+    segments' charts of accounts; without them each is looked up in the facts.
     """
     parts = [
-        segment_ratios(f, s, prices, notes if s == "bank" else None, **options).select(COLUMNS)
+        segment_ratios(
+            f, s, prices, notes if s == "bank" else None, codes=codes and codes[s], **options
+        ).select(COLUMNS)
         for s, f in facts_by_segment.items()
     ]
     # Written once: the industry means read the same rows again.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
@@ -29,9 +30,9 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
 
 
-def through_table(df, label: str):
+def through_table(df, label: str, partition_by: Sequence[str] = ()):
     """Write ``df`` to the shared folder and read it back, cutting its lineage."""
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.mode("error").parquet(path)
+    df.write.mode("error").partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
