@@ -101,7 +101,7 @@ def entity_ticker(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of whitespace-separated words."""
-    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    return F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
 
 
 def links(html: Column, pattern: str, base: str) -> Column:
@@ -215,7 +215,7 @@ def _spans(m: Column, start: str) -> Column:
 
 def sentences(text: Column) -> Column:
     """Split after ``.``, ``!`` or ``?`` at the white space that follows."""
-    return F.split(text, r"(?<=[.!?])\s+")
+    return F.split(text, r"(?U)(?<=[.!?])\s+")
 
 
 def chunks(text: Column, size: int = 3076) -> Column:

@@ -13,7 +13,7 @@ from tidemark.functions import text as tx
 
 def chunk_table(news: DataFrame, size: int = 3076) -> DataFrame:
     """One row per non-blank chunk of every non-blank text, with id and position."""
-    filled = news.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    filled = news.where(tx.strip(F.coalesce("text", F.lit(""))) != "")
     parts = filled.withColumn("parts", tx.chunks(F.col("text"), size))
     rows = parts.select(
         "url",
@@ -21,7 +21,7 @@ def chunk_table(news: DataFrame, size: int = 3076) -> DataFrame:
         "pub_date",
         F.size("parts").alias("total_chunks"),
         F.posexplode("parts").alias("chunk_index", "chunk"),
-    ).where(F.regexp_replace("chunk", r"\s+", "") != "")
+    ).where(tx.strip(F.col("chunk")) != "")
     return rows.select(
         tx.chunk_id(F.col("url"), F.col("chunk_index")).alias("id"),
         "url",

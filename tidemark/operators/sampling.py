@@ -9,10 +9,13 @@ from tidemark.operators.ordered import hash_bucket, hash_order, numbered
 
 
 def sample(df: DataFrame, identity: Column, n: int, seed: int | str = 0) -> DataFrame:
-    """Exactly ``n`` rows (all rows if there are fewer), uniformly chosen."""
-    return (
-        df.withColumn("__h", hash_order(identity, seed)).orderBy("__h").limit(n).drop("__h")
-    )
+    """Exactly ``n`` rows (all rows if there are fewer), uniformly chosen.
+
+    Rows are numbered by hash range, so ``n`` may be large without meeting in one task.
+    """
+    rows = df.withColumn("__h", hash_order(identity, seed))
+    ranked = numbered(rows, [], [F.col("__h")], hash_bucket(F.col("__h")), "__i")
+    return ranked.where(F.col("__i") <= n).drop("__h", "__i")
 
 
 def shuffled(df: DataFrame, identity: Column, seed: int | str = 0) -> DataFrame:

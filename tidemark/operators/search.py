@@ -50,6 +50,12 @@ def token_table(docs: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     return docs.select(key, F.explode(words).alias("token"))
 
 
+def sorted_tokens(table: DataFrame, key: str) -> DataFrame:
+    """The token table in the order to store it: a token's rows lie together, a frequent one's in
+    several files, and a search skips the row groups of other tokens."""
+    return table.repartitionByRange("token", key).sortWithinPartitions("token", key)
+
+
 def search_tokens(table: DataFrame, key: str, query: str) -> DataFrame:
     """Documents that hold every query token, from the stored token table.
 

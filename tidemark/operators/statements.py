@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as tx
 from tidemark.functions import periods
 from tidemark.operators import guards
 from tidemark.operators.ratios import account_frame, column_for
@@ -112,14 +113,28 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return kept.select(*keys, *[F.col("__row")[c].alias(c) for c in rest]).select(df.columns)
 
 
-def keep_last(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Upsert: rows of ``new`` replace rows of ``old`` with the same key."""
-    both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    rest = [c for c in old.columns if c not in keys]
-    kept = both.groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), F.struct("__new", *rest)).alias("__row")
-    )
-    return kept.select(*keys, *[F.col("__row")[c].alias(c) for c in rest]).select(old.columns)
+def keep_last(
+    old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()
+) -> DataFrame:
+    """Upsert: rows of ``new`` replace rows of ``old`` with the same key; null keys are equal.
+
+    A key should occur once in a snapshot. If it may not, ``order`` names the columns whose
+    largest value tells its last row.
+    """
+    names = old.columns
+    if order:
+        old, new = _last_per_key(old, keys, order), _last_per_key(new, keys, order)
+    fresh = new.select(*[F.col(k).alias(f"__{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return old.join(fresh, same, "left_anti").select(names).unionByName(new.select(names))
+
+
+def _last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    rest = [c for c in df.columns if c not in keys]
+    kept = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__row"))
+    return kept.select(*keys, *[F.col("__row")[c].alias(c) for c in rest])
 
 
 def drop_empty(df: DataFrame, *columns: str) -> DataFrame:
@@ -212,17 +227,22 @@ def aligned_captions(
     )
     lines = F.array_sort(F.collect_list(F.struct(position, caption)))
     sheets = rows.groupBy(file).agg(lines.alias("lines")).withColumn("template", entries)
-    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("codes"))
+    # Only the places of hits are carried along: as many as the template has entries at most.
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("hits"))
 
     def step(state: Column, line: Column) -> Column:
-        entry = F.get(F.col("template"), state["next"])
-        hit = F.coalesce(F.trim(line[caption]) == entry["text"], F.lit(False))
-        return F.struct(
-            (state["next"] + hit.cast("int")).alias("next"),
-            F.concat(state["codes"], F.array(F.when(hit, entry["code"]))).alias("codes"),
-        )
+        entry = F.get(F.col("template"), F.size(state["hits"]))
+        hit = F.coalesce(tx.strip(line[caption]) == entry["text"], F.lit(False))
+        hits = F.when(hit, F.concat(state["hits"], F.array(state["at"]))).otherwise(state["hits"])
+        return F.struct((state["at"] + 1).alias("at"), hits.alias("hits"))
+
+    sheets = sheets.withColumn("hits", F.aggregate("lines", start, step, lambda s: s["hits"]))
+
+    def code(line: Column, at: Column) -> Column:
+        place = F.array_position(F.col("hits"), at).cast("int")
+        return F.when(place > 0, F.get(F.col("template"), place - 1)["code"])
 
-    codes = F.aggregate("lines", start, step, lambda s: s["codes"])
+    codes = F.transform("lines", code)
     return (
         sheets.select(file, F.explode(F.arrays_zip("lines", codes.alias("codes"))).alias("z"))
         .select(

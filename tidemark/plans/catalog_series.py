@@ -41,7 +41,7 @@ DAY = "strftime(time, '%Y-%m-%d') AS time"
 def flt1(t):
     """Daily range of one series with its averages, never past the limit date."""
     rows = series.price_range(
-        t.stock_daily, KEY, "1-URGENT", "1996-01-01", "2001-12-31", limit="2000-12-31"
+        t.stock_daily_of("1-URGENT"), KEY, "1-URGENT", "1996-01-01", "2001-12-31", limit="2000-12-31"
     )
     return dated(rounded(rows, "EMA20", "EMA50", "EMA200"))
 
@@ -59,8 +59,9 @@ def flt1(t):
 def flt2(t):
     """Index range, daily and monthly."""
     span = ("1997-02-01", "1999-06-30")
-    daily = series.price_range(t.stock_daily, KEY, "3-MEDIUM", *span, spans=(20, 50), factor=1)
-    monthly = series.monthly_price_range(t.stock_monthly, KEY, "3-MEDIUM", *span, factor=1)
+    key = "3-MEDIUM"
+    daily = series.price_range(t.stock_daily_of(key), KEY, key, *span, spans=(20, 50), factor=1)
+    monthly = series.monthly_price_range(t.stock_monthly_of(key), KEY, key, *span, factor=1)
     daily = daily.select(
         F.lit("daily").alias("duration"), day(), "close", "volume",
         F.round("EMA20").alias("a"), F.round("EMA50").alias("b"),
@@ -80,7 +81,8 @@ def flt2(t):
 )
 def flt3(t):
     """Commodity range by name."""
-    table = statement_tables.commodity_table(t.commodity)
+    # The name is known before the averages, so it reaches the scans.
+    table = statement_tables.commodity_table(t.commodity.where(F.col("indicator_name") == "Click"))
     rows = series.price_range(
         table, "indicator_name", "Click", "2024-01-03", "2024-01-25", spans=(20, 50),
         measure="value", factor=1,

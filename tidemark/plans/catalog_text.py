@@ -171,7 +171,7 @@ def txt4(t):
     """Articles holding all words, found through the stored token table."""
     from tidemark.sources.workspace import through_table
 
-    tokens = search.token_table(t.news, "url", ["title", "text"])
+    tokens = search.sorted_tokens(search.token_table(t.news, "url", ["title", "text"]), "url")
     return search.search_tokens(through_table(tokens, "tokens"), "url", "the and that")
 
 

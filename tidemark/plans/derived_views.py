@@ -60,11 +60,20 @@ class Tables:
 
     @cached_property
     def stock_daily(self) -> DataFrame:
-        return moving_averages(self.bars, ["series_key"], "time", "close", (20, 50, 200))
+        return self.stock_daily_of()
+
+    def stock_daily_of(self, series: str | None = None) -> DataFrame:
+        """Daily table, of one series if asked: its key then reaches every scan."""
+        bars = self.bars if series is None else self.bars.where(F.col("series_key") == series)
+        return moving_averages(bars, ["series_key"], "time", "close", (20, 50, 200))
 
     @cached_property
     def stock_monthly(self) -> DataFrame:
-        monthly = month_end_last(self.bars, ["series_key"], "time", ["close", "volume"])
+        return self.stock_monthly_of()
+
+    def stock_monthly_of(self, series: str | None = None) -> DataFrame:
+        bars = self.bars if series is None else self.bars.where(F.col("series_key") == series)
+        monthly = month_end_last(bars, ["series_key"], "time", ["close", "volume"])
         return moving_averages(monthly, ["series_key"], "time", "close", (12, 26))
 
     @cached_property
