@@ -152,7 +152,7 @@ def unescape(text: Column) -> Column:
     out = F.when(F.contains(text, F.lit("&#")), joined).otherwise(text)
     for name, letter in _ENTITIES.items():
         out = F.replace(out, F.lit(f"&{name};"), F.lit(letter))
-    return F.regexp_replace(out, "&amp;?", "&")
+    return F.when(F.contains(text, F.lit("&")), F.regexp_replace(out, "&amp;?", "&")).otherwise(text)
 
 
 def plain_text(html: Column) -> Column:
@@ -179,9 +179,13 @@ def _depths(tags: Column, begin: int) -> Column:
     return F.aggregate(tags, start, step, lambda state: state["all"])
 
 
-def element(html: Column, tag: str, css_class: str | None = None) -> Column:
-    """What the first matching element holds, nested ones of its name included; null without one."""
-    rest = F.get(F.split(html, _start_tag(tag, css_class), 2), F.lit(1))
+def after_start(html: Column, tag: str, css_class: str | None = None) -> Column:
+    """What follows the start tag of the first matching element; null without one."""
+    return F.get(F.split(html, _start_tag(tag, css_class), 2), F.lit(1))
+
+
+def up_to_end(rest: Column, tag: str) -> Column:
+    """What an element holds, given what follows its start tag; nested ones of its name included."""
     either = rf"(?is)</?{tag}\b[^>]*>"
     pieces = F.split(rest, either, -1)
     depths = _depths(F.regexp_extract_all(rest, F.lit(either), F.lit(0)), 1)

@@ -73,15 +73,19 @@ def extract_articles(
     holds it; so an unclosed paragraph holds the ones after it. Everything is built-in
     expressions. Without the element the text is empty and the time null.
     """
-    page = tx.visible(F.coalesce(F.col(html), F.lit("")))
-    found = pages.select(
+    # One step a projection: what is used twice is then made once.
+    page = pages.select(key, tx.visible(F.coalesce(F.col(html), F.lit(""))).alias("__page"))
+    boxes = {"__title": layout.title, "__box": layout.date_box, "__content": layout.content}
+    found = page.select(key, *[tx.after_start(F.col("__page"), s.tag, s.css_class).alias(n) for n, s in boxes.items()])
+    found = found.select(key, *[tx.up_to_end(F.col(n), s.tag).alias(n) for n, s in boxes.items()])
+    found = found.select(
         key,
-        tx.plain_text(tx.element(page, layout.title.tag, layout.title.css_class)).alias("title"),
-        tx.element(page, layout.date_box.tag, layout.date_box.css_class).alias("__box"),
-        tx.element(page, layout.content.tag, layout.content.css_class).alias("__content"),
+        tx.plain_text(F.col("__title")).alias("title"),
+        tx.after_start(F.col("__box"), layout.date.tag, layout.date.css_class).alias("__date"),
+        tx.elements(F.col("__content"), layout.paragraph.tag, layout.paragraph.css_class).alias("__paragraphs"),
     )
-    date = tx.plain_text(tx.element(F.col("__box"), layout.date.tag, layout.date.css_class))
-    paragraphs = tx.elements(F.col("__content"), layout.paragraph.tag, layout.paragraph.css_class)
+    date = tx.plain_text(tx.up_to_end(F.col("__date"), layout.date.tag))
+    paragraphs = F.col("__paragraphs")
     return found.select(
         key,
         "title",
