@@ -28,9 +28,9 @@ from tidemark.sources.workspace import through_table
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Texts are dealt into shards of about so many bytes.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Texts are hashed in slices of about so many bytes (some 60 bytes of memory each).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _WHOLE, _MIXED, _STRING = 1, 2, 3
 
 
@@ -131,8 +131,35 @@ def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def _known(kinds: np.ndarray, values: np.ndarray, kind: int) -> np.ndarray:
-    return np.sort(values[kinds == kind])
+def _known(table: pa.Table, kind: int) -> np.ndarray:
+    """Sorted values of one kind in rows of (kind, values)."""
+    lists = table.column("values").combine_chunks()
+    kinds = np.repeat(table.column("kind").to_numpy(), np.diff(lists.offsets.to_numpy()))
+    return np.sort(lists.flatten().to_numpy()[kinds == kind])
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values))
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """Of one range of fingerprints, those that two shards hold or one twice, by shard.
+
+    The lowest bit of a fingerprint says that its shard holds it twice.
+    """
+    lists = table.column("values").combine_chunks()
+    value = lists.flatten().to_numpy().view(np.uint64)
+    shard = np.repeat(table.column("shard").to_numpy(), np.diff(lists.offsets.to_numpy()))
+    order = np.argsort(value, kind="stable")
+    value, shard = value[order], shard[order]
+    first = np.flatnonzero(np.diff(value >> np.uint64(1), prepend=~(value[:1] >> np.uint64(1))))
+    several = np.diff(np.append(first, len(value))) > 1
+    twice = np.bitwise_or.reduceat(value & np.uint64(1), first).astype(bool) if len(first) else several
+    keep = np.repeat(several | twice, np.diff(np.append(first, len(value))))
+    value, shard = value[keep] & ~np.uint64(1), shard[keep]
+    order = np.argsort(shard, kind="stable")
+    names, sizes = np.unique(shard, return_counts=True)
+    return pa.table({"shard": names.astype(np.int32), "values": _lists(value[order].view(np.int64), sizes)})
 
 
 def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -149,7 +176,7 @@ def _covered(phrases: Phrases, whole: np.ndarray, mixed: np.ndarray, strings: np
     np.add.at(change, phrases.first[some], 1)
     np.add.at(change, phrases.last[some] + phrases.parsing.length, -1)
     place, found = phrases.strings(np.flatnonzero(_member(keys, mixed)))
-    place = place[_member(found, strings)]
+    place = place[_member(found & ~1, strings)]
     np.add.at(change, place, 1)
     np.add.at(change, place + phrases.parsing.length, -1)
     return np.cumsum(change[:-1]) > 0
@@ -200,40 +227,44 @@ def remove_repeats(
         F.sum("n").alias("n"), F.min("body").alias("low"), F.max("body").alias("high"), F.collect_set("shard").alias("shards")
     )
     keys = keys.where("n > 1").select(
-        "shards", F.col("key").alias("value"), F.when(F.col("low") == F.col("high"), _WHOLE).otherwise(_MIXED).alias("kind")
+        "shards", "key", F.when(F.col("low") == F.col("high"), _WHOLE).otherwise(_MIXED).alias("kind")
+    )
+    keys = through_table(keys, "repeat-keys").select(
+        F.explode("shards").alias("shard"), F.array("key").alias("values"), "kind"
     )
-    keys = through_table(keys, "repeat-keys").select(F.explode("shards").alias("shard"), "value", "kind")
+
+    # Fingerprints travel in arrays, by ranges of their values, of which a task merges one.
+    ranges = np.uint64(2 * shards)
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        kinds, values = right.column("kind").to_numpy(), right.column("value").to_numpy()
-        mixed = _known(kinds, values, _MIXED)
+        mixed = _known(right, _MIXED)
         found = [np.zeros(0, np.int64)]
         for batch in left.select(["shard", "text"]).combine_chunks().to_batches() if len(mixed) else []:
             for part in words.slices(batch, 1, SLICE_BYTES):
                 phrases = Phrases(*_bytes_of(part.column(1)), parsing)
                 if len(phrases.first):
                     found.append(phrases.strings(np.flatnonzero(_member(phrases.keys(), mixed)))[1])
-        value, times = np.unique(np.concatenate(found), return_counts=True)
+        value, times = np.unique(np.concatenate(found).view(np.uint64) & ~np.uint64(1), return_counts=True)
+        place = ((value >> np.uint64(32)) * ranges) >> np.uint64(32)
+        names, sizes = np.unique(place, return_counts=True)
         shard = left.column("shard")[0].as_py() if left.num_rows else 0
-        return pa.table({"value": value, "n": times.astype(np.int64), "shard": np.full(len(value), shard, np.int32)})
+        value |= (times > 1).astype(np.uint64)
+        return pa.table(
+            {"range": names.astype(np.int64), "shard": np.full(len(names), shard, np.int32), "values": _lists(value.view(np.int64), sizes)}
+        )
 
     strings = (
         dealt.select("shard", "text")
         .groupBy("shard")
         .cogroup(keys.where(F.col("kind") == _MIXED).groupBy("shard"))
-        .applyInArrow(compare, "value long, n long, shard int")
-        .groupBy("value")
-        .agg(F.sum("n").alias("n"), F.collect_set("shard").alias("shards"))
-        .where("n > 1")
-        .select("shards", "value")
-    )
-    strings = through_table(strings, "repeat-strings").select(
-        F.explode("shards").alias("shard"), "value", F.lit(_STRING).alias("kind")
+        .applyInArrow(compare, "range long, shard int, values array<long>")
+        .groupBy("range")
+        .applyInArrow(_merge, "shard int, values array<long>")
     )
+    strings = through_table(strings, "repeat-strings").select("shard", "values", F.lit(_STRING).alias("kind"))
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        kinds, values = right.column("kind").to_numpy(), right.column("value").to_numpy()
-        whole, mixed, strings = (_known(kinds, values, k) for k in (_WHOLE, _MIXED, _STRING))
+        whole, mixed, strings = (_known(right, k) for k in (_WHOLE, _MIXED, _STRING))
         rows: list[tuple] = []
         for batch in left.select(["id", "text"]).combine_chunks().to_batches():
             for part in words.slices(batch, 1, SLICE_BYTES):
