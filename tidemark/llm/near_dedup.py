@@ -20,8 +20,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: A hub or id is one long; so many are at most some 40 MB when broadcast.
 MOST_BROADCAST_KEYS = 1_000_000
-#: Nodes are reordered by these for other hubs.
-_FLIPS = (0x2545F4914F6CDD1D,)
 
 
 @dataclass(frozen=True)
@@ -208,10 +206,9 @@ def near_duplicates(
     A document's set are its distinct five-word shingles after folding A-Z; with fewer words,
     the whole sequence is one. Documents with equal sets are one node. In each bucket of a
     band all nodes are compared with its smallest and its largest node. Buckets whose other
-    nodes are then still in several components are compared with one more of their nodes, and
-    at last all pairs across components are, inside a join that only links leave. Pairs are
-    held against the packed bits first; every link is confirmed on full sets, which are made
-    for candidates only.
+    nodes are then still in several components have all pairs across components compared,
+    inside a join that only links leave. Pairs are held against the packed bits first; every
+    link is confirmed on full sets, which are made for candidates only.
 
     Returns per input row ``id_col``, ``n_shingles``, ``component_id`` (smallest id reachable)
     and ``kept`` (id = component_id). A null or blank text has an empty set and is linked with
@@ -252,41 +249,26 @@ def near_duplicates(
     # Nodes of a bucket that were compared with no other than its hubs, and stand apart still.
     rest = members.where("key <> low AND key <> high").select("bucket", "key")
 
-    def apart() -> DataFrame:
-        rooted = rest.join(roots, F.col("key") == F.col("node"), "left")
-        rooted = through_table(rooted.select("bucket", "key", F.coalesce("root", "key").alias("root")), "near-rest")
-        open_ = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
-        hint, _ = broadcast_if_small(through_table(open_.select("bucket"), "near-open"), MOST_BROADCAST_KEYS)
-        return through_table(rooted.join(hint, "bucket"), "near-apart")
-
-    def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
-        if links.isEmpty():
-            return roots
-        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        return through_table(connected_components(known.unionByName(links)), "near-roots")
-
-    # Another star, around another node, joins most of what belongs together.
-    for flip in _FLIPS:
-        left = apart()
-        hubs = left.groupBy("bucket").agg(F.min(F.col("key").bitwiseXOR(F.lit(flip))).bitwiseXOR(F.lit(flip)).alias("hub"))
-        hubs = through_table(hubs, "near-hubs")
-        hubs = hubs.join(left.select("bucket", F.col("key").alias("hub"), F.col("root").alias("hub_root")), ["bucket", "hub"])
-        pairs = left.join(through_table(hubs, "near-hubs"), "bucket").where("root <> hub_root")
-        pairs = pairs.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
-        roots = merged(roots, _confirmed(through_table(pairs, "near-stars"), docs, nodes, id_col, text_col, sketch))
+    rooted = rest.join(roots, F.col("key") == F.col("node"), "left")
+    rooted = through_table(rooted.select("bucket", "key", F.coalesce("root", "key").alias("root")), "near-rest")
+    open_ = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
+    hint, _ = broadcast_if_small(through_table(open_.select("bucket"), "near-open"), MOST_BROADCAST_KEYS)
+    left = through_table(rooted.join(hint, "bucket"), "near-apart")
 
     # What is left is compared across components. The sets ride along, and a pair counts in the
     # first of its buckets alone, so that only confirmed links leave the join.
-    left = apart()
     sets = _sets(left.select("key").distinct(), docs, nodes, id_col, text_col, sketch)
     buckets = left.groupBy("key").agg(F.array_sort(F.collect_list("bucket")).alias("buckets"))
     full = left.join(through_table(card.join(sets, "key").join(buckets, "key"), "near-full"), "key")
     x, y = full.alias("x"), full.alias("y")
     across = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
-    first = F.element_at(F.array_intersect("x.buckets", "y.buckets"), 1) == F.col("x.bucket")
+    first = F.get(F.array_intersect("x.buckets", "y.buckets"), F.lit(0)) == F.col("x.bucket")
     across = across & _may_link("x", "y", sketch) & first & _similar("x.shingles", "y.shingles", sketch)
     more = x.join(y, across).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-    roots = merged(roots, through_table(more, "near-links"))
+    more = through_table(more, "near-links")
+    if not more.isEmpty():
+        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = through_table(connected_components(known.unionByName(more)), "near-roots")
 
     named = nodes.join(roots, F.col("key") == F.col("node"), "left").select(
         "key", "first", "rows", F.coalesce("root", "key").alias("root"), F.col("root").isNotNull().alias("linked")
