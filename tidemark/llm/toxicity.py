@@ -161,7 +161,7 @@ def restored_words(texts: pa.Array, model: CharacterModel, known: dict[str, str]
     def restore(w: str) -> str:
         got = known.get(w)
         if got is None:
-            if len(known) > 200_000:
+            if len(known) > 50_000:
                 known.clear()
             got = known[w] = model.restore(w)
         return got

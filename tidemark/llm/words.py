@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Iterator
 
@@ -14,7 +15,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Texts are worked on in slices of about so many bytes, which bounds a task's memory
 #: whatever the batch size; a longer text is a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -24,6 +25,16 @@ def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterato
     cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-2))
     for a, b in zip(cuts[:-1], cuts[1:]):
         yield batch.slice(a, b - a)
+    hand_back()
+
+
+def hand_back() -> None:
+    """Return freed memory to the machine: Spark keeps idle workers, and they would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
