@@ -71,11 +71,14 @@ class Encoder:
         codes, distinct, offsets = words.split_words(texts)
         flat, counts = self._word_ids(distinct.to_pylist())
         starts = np.cumsum(counts) - counts
-        sizes = counts[codes]
-        upto = np.concatenate(([0], np.cumsum(sizes)))
-        ids = flat[np.repeat(starts[codes] - upto[:-1], sizes) + np.arange(upto[-1])]
-        for a, b in zip(upto[offsets[:-1]], upto[offsets[1:]]):
-            yield np.append(ids[a:b], np.int32(end_id))
+        for a, b in zip(offsets[:-1], offsets[1:]):
+            own = codes[a:b]
+            sizes = counts[own]
+            ends = np.cumsum(sizes)
+            total = int(ends[-1]) if b > a else 0
+            ids = np.full(total + 1, end_id, np.int32)
+            ids[:total] = flat[np.repeat(starts[own] - (ends - sizes), sizes) + np.arange(total)]
+            yield ids
 
 
 class Windows:
@@ -201,6 +204,9 @@ def pack_sequences(
                         held = windows.place((key, whole, total, ids[whole:].copy()))
                         if held:
                             done.append((windows.number(), held))
+                    if len(done) >= 200:  # some 400,000 ids
+                        yield rows(done)
+                        done = []
                 yield rows(done)
         if kind is not None:
             yield rows([(windows.number(), held) for held in windows.close()])
