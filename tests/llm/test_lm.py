@@ -110,3 +110,14 @@ def test_edges(spark, edge, nothing, monkeypatch):
 def test_held_out_texts_are_likelier_than_by_the_base(documents):
     out = lm.score_texts(documents, LEARNS).where("NOT learned").agg(F.sum("score"), F.sum("base_score")).first()
     assert out[0] > out[1]
+
+
+def test_every_ngram_counts_at_any_size(spark, monkeypatch):
+    """Rare words in rare n-grams, in more tokens than the shares 1e-4 and 2e-6 keep them in."""
+    assert lm.Settings().word_share == lm.Settings().gram_share == 0
+    rows = [(i, "common filler " * 1000 + f"rare{i} pair{i} third{i}") for i in range(12)]
+    rows += [(100 + i, f"rare{i} pair{i} third{i}") for i in range(12)]
+    same(spark, spark.createDataFrame(rows, "doc_id long, text string"), lm.Settings(), monkeypatch, shard=20_000)
+    out = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), LEARNS).where("doc_id >= 100 AND NOT learned")
+    # A word seen once has a share of about 4e-5; in its n-grams it is far likelier than alone.
+    assert all(r.score > r.base_score + 3 for r in out.collect() if r.n_known == 4)

@@ -1,4 +1,4 @@
-"""Scores of texts by a backoff language model run as an automaton."""
+"""Scores of texts by a backoff language model with failure arcs, over all n-grams of the corpus."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -18,186 +19,321 @@ from tidemark.sources.workspace import through_table
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Texts are dealt into shards of about so many bytes; a shard's words meet in one task.
-SHARD_BYTES = 16 << 20
-_ROOT, _BEGIN = 0, 1
+SHARD_BYTES = 8 << 20
+#: N-grams of up to so many tokens are counted together, those of more after those of one less.
+_BLIND = 2
+#: Hashes of a text's begin and end, and the factor that a context's hash takes for one more token.
+_BEGIN, _END, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
 @dataclass(frozen=True)
 class Settings:
-    """A word takes part in n-grams if it makes up at least ``word_share`` of the training
-    tokens, an n-gram is kept from ``gram_share``: so there are at most 1 / word_share words
-    and 1 / gram_share n-grams of an order, whatever the corpus, and their counts are exact
-    and of the whole corpus. All other words are single tokens with exact counts of their own."""
+    """A word takes part in n-grams from max(1, ``word_share`` of the training tokens) occurrences
+    on, an n-gram is kept from max(1, ``gram_share``). By default every word and every n-gram seen
+    in training takes part, at any size, so the model grows with the corpus."""
 
     order: int = 3
-    word_share: float = 1e-4
-    gram_share: float = 2e-6
+    word_share: float = 0.0
+    gram_share: float = 0.0
     discount: float = 0.75
 
 
-class Automaton:
-    """Contexts as states, with failure arcs.
+@dataclass(frozen=True)
+class Totals:
+    """Of the training texts: how many there are, their tokens (ends included), distinct tokens,
+    and what unigrams are discounted."""
+
+    texts: int
+    tokens: int
+    kinds: int
+    cut: float
+
+    def singles(self, c: np.ndarray) -> np.ndarray:
+        """Unigram probabilities of tokens that occur ``c`` times."""
+        if not self.tokens:
+            return np.ones(len(c))
+        return np.where(c > 0, (c - self.cut) / self.tokens, self.cut * self.kinds / self.tokens)
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Counts as a byte each; those of 255 or more follow in eight bytes."""
+    values = values.astype("<i8")
+    return np.minimum(values, 255).astype(np.uint8).tobytes() + values[values >= 255].tobytes()
+
+
+def _wide(held: bytes, n: int) -> np.ndarray:
+    values = np.frombuffer(held, np.uint8, n).astype(np.int64)
+    values[values == 255] = np.frombuffer(held, "<i8", offset=n)
+    return values
+
+
+def _sum_bytes(sums: np.ndarray) -> bytes:
+    """Two rows of whole numbers and one of floats."""
+    return sums[2].tobytes() + _narrow(sums[:2].ravel())
+
+
+def _sums_in(held: bytes, n: int) -> np.ndarray:
+    return np.vstack([_wide(held[8 * n :], 2 * n).reshape(2, n), np.frombuffer(held, "<f8", n)])
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted distinct hashes: the bytes of a step, the first hash, and the steps between them."""
+    steps = np.diff(keys)
+    width = (int(steps.max()).bit_length() + 7) // 8 if len(steps) else 1
+    return bytes([width]) + keys[:1].tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpacked(held: bytes) -> np.ndarray:
+    width = held[0]
+    steps = np.frombuffer(held, np.uint8, offset=9).reshape(-1, width)
+    keys = np.zeros((len(steps) + 1, 8), np.uint8)
+    keys[0], keys[1:, :width] = np.frombuffer(held, np.uint8, 8, 1), steps
+    return np.cumsum(keys.view("<u8").ravel(), dtype=np.uint64)
 
-    ``words`` are the sorted hashes of the words in n-grams; a word's number is its place and
-    the end of a text has the number after the last. State 0 is the root, 1 a text's begin,
-    then come the words and the longer contexts. Arcs are ``keys`` (state * width + number,
-    sorted), ``logs`` and ``goes``; a token without an arc follows ``fail`` for ``back``, and
-    at the root every token has its unigram probability and goes to its word's state.
+
+class Grams:
+    """The n-grams of a shard's texts.
+
+    Tokens stand in a row, each text between a begin and an end. ``which[k]`` has for each place
+    the number of the n-gram of k tokens that ends there (-1 where the text has not so many
+    tokens yet), ``keys[k]`` the sorted hashes of these n-grams, ``at[k]`` a place of each and
+    ``own[k]`` how often it occurs in the shard's training texts. What precedes the last token of
+    the n-gram at a place is the n-gram of k - 1 at the place before, its ending that of k - 1
+    at the same place.
     """
 
-    def __init__(self, hashed: np.ndarray, times: np.ndarray, texts: int, single: np.ndarray, settings: Settings):
-        order = np.argsort(hashed)
-        self.settings = settings
-        self.words = hashed[order]
-        self.end = len(hashed)
-        self.width = len(hashed) + 1
-        self.single = np.append(single[:-1][order], single[-1])  # of the words, then of the end
-        states = len(hashed) + 2
-        self.after = np.append(np.arange(2, states), _ROOT)
-        self.count = np.concatenate(([0, texts], times[order])).astype(float)
-        self.depth = np.concatenate(([0], np.ones(states - 1, np.int64)))
-        self.fail = np.zeros(states, np.int64)
-        self.back = np.zeros(states)
-        self.keys, self.logs, self.goes = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-
-    def number(self, hashed: np.ndarray) -> np.ndarray:
-        """Number of each hashed word, -1 for words outside the n-grams."""
-        if not len(self.words):
-            return np.full(len(hashed), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashed), len(self.words) - 1)
-        return np.where(self.words[at] == hashed, at, -1)
-
-    def step(self, state: np.ndarray, number: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probabilities of the tokens from the states, and the states they lead to."""
-        logs, goes = np.zeros(len(state)), np.zeros(len(state), np.int64)
-        left, at = np.arange(len(state)), state
-        while len(left):
-            rooted = at == _ROOT
-            here = left[rooted]
-            logs[here] += single[here]
-            goes[here] = self.after[number[here]]
-            left, at = left[~rooted], at[~rooted]
-            asked = at * self.width + number[left]
-            if len(self.keys):
-                arc = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
-                hit = self.keys[arc] == asked
-                logs[left[hit]] += self.logs[arc[hit]]
-                goes[left[hit]] = self.goes[arc[hit]]
-                left, at = left[~hit], at[~hit]
-            logs[left] += self.back[at]
-            at = self.fail[at]
-        return logs, goes
-
-    def falls(self) -> np.ndarray:
-        """Price of following the failure arcs from each state to the root."""
-        total, at = np.zeros(len(self.fail)), np.arange(len(self.fail))
-        while at.any():
-            total += self.back[at] * (at != _ROOT)
-            at = self.fail[at]
-        return total
-
-    def traverse(self, number: np.ndarray, single: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probability of each token and the state before it, in one pass left to right.
-
-        ``single`` are unigram log-probabilities, ``starts`` the places where texts begin. A
-        token outside the n-grams leads to the root from every state, so what follows does not
-        depend on what came before: texts are cut there, and the pieces advance side by side,
-        each carrying its state.
-        """
-        logs, before = np.zeros(len(number)), np.zeros(len(number), np.int64)
-        begins = np.zeros(len(number), bool)
-        begins[starts] = True
-        first = begins.copy()
-        first[1:] |= number[:-1] < 0
-        place = np.flatnonzero(first)
-        stop = np.append(place[1:], len(number))
-        state = np.where(begins[place], _BEGIN, _ROOT)
-        falls = self.falls()
-        while len(place):
-            before[place] = state
-            outside = number[place] < 0  # the last token of its piece
-            gone = place[outside]
-            logs[gone] = falls[state[outside]] + single[gone]
-            inside = ~outside
-            place, stop = place[inside], stop[inside]
-            logs[place], state = self.step(state[inside], number[place], single[place])
-            place = place + 1
-            on = place < stop
-            place, stop, state = place[on], stop[on], state[on]
-        return logs, before
-
-    def add(self, codes: np.ndarray, times: np.ndarray) -> None:
-        """Take in the n-grams (state * width + number, with counts) of one more word."""
-        order = np.argsort(codes)
-        codes, times = codes[order], times[order].astype(float)
-        state, number = codes // self.width, codes % self.width
-        chance = (times - self.settings.discount) / self.count[state]
-        lower, suffix = self.step(self.fail[state], number, self.single[number])
-        spent = np.bincount(state, weights=chance, minlength=len(self.fail))
-        known = np.bincount(state, weights=10**lower, minlength=len(self.fail))
-        some = np.unique(state)
-        self.back[some] = np.log10(np.maximum(1 - spent[some], 1e-9) / np.maximum(1 - known[some], 1e-9))
-        goes, depth = suffix, int(self.depth[state[0]]) + 1 if len(state) else 0
-        if len(state) and depth < self.settings.order:
-            new = number != self.end
-            goes = suffix.copy()
-            goes[new] = len(self.fail) + np.arange(new.sum())
-            self.count = np.append(self.count, times[new])
-            self.depth = np.append(self.depth, np.full(new.sum(), depth))
-            self.fail = np.append(self.fail, suffix[new])
-            self.back = np.append(self.back, np.zeros(new.sum()))
-        keys = np.concatenate((self.keys, codes))
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.logs = np.concatenate((self.logs, np.log10(chance)))[order]
-        self.goes = np.concatenate((self.goes, goes))[order]
-
-
-def with_ends(values: np.ndarray, offsets: np.ndarray, end) -> tuple[np.ndarray, np.ndarray]:
-    """``values`` with ``end`` after each text, and where texts begin."""
-    return np.insert(values, offsets[1:], end), offsets[:-1] + np.arange(len(offsets) - 1)
-
-
-def _token_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes, hashes of the distinct words and offsets."""
-    codes, distinct, offsets = words.split_words(texts, lower=True)
-    return codes, words.hashes(distinct).view(np.int64), offsets
-
-
-def _lexicon(dealt: DataFrame) -> DataFrame:
-    """``h`` (hash of a word), ``c`` (times in training texts) and the shards it occurs in."""
+    def __init__(self, table: pa.Table, order: int):
+        codes, distinct, offsets = words.split_words(table.column("text").combine_chunks(), lower=True)
+        texts = len(offsets) - 1
+        self.sizes = np.diff(offsets) + 1
+        self.begins = offsets[:-1] + 2 * np.arange(texts)
+        self.ends = offsets[1:] + 2 * np.arange(texts) + 1
+        length = len(codes) + 2 * texts
+        word = np.ones(length, bool)
+        word[self.begins] = word[self.ends] = False
+        hashed = np.empty(length, np.uint64)
+        hashed[word] = words.hashes(distinct)[codes]
+        hashed[self.begins], hashed[self.ends] = _BEGIN, _END
+        self.learn = np.repeat(table.column("learn").to_numpy(), self.sizes + 1)
+        depth = np.arange(length) - np.repeat(self.begins, self.sizes + 1)
+        self.which, self.keys, self.at, self.own = {}, {}, {}, {}
+        joint = hashed
+        for k in range(1, order + 1):
+            if k > 1:
+                joint = words.mixed(np.concatenate((joint[:1], joint[:-1])) * _STEP + hashed)
+            there = np.flatnonzero(depth >= k - 1)
+            keys, number = np.unique(joint[there], return_inverse=True)
+            which = np.full(length, -1, np.int32)
+            which[there] = number
+            at = np.empty(len(keys), np.int64)
+            at[number] = there
+            self.which[k], self.keys[k], self.at[k] = which, keys, at
+            self.own[k] = np.bincount(number[self.learn[there]], minlength=len(keys))
+
+    def asked(self, k: int, several: np.ndarray | None) -> np.ndarray:
+        """Which n-grams of ``k`` tokens may be in other shards: all but a begin or end alone, and
+        if it is known which of k - 1 tokens are in ``several``, those whose two parts are."""
+        if k == 1:
+            return (self.keys[1] != _BEGIN) & (self.keys[1] != _END)
+        if k <= _BLIND or several is None:
+            return np.ones(len(self.keys[k]), bool)
+        at, which = self.at[k], self.which[k - 1]
+        return several[which[at]] & several[which[at - 1]]
+
+    def told(self, held: dict[int, bytes], k: int, ranges: int, several: np.ndarray | None, texts: int):
+        """Of the n-grams of ``k`` tokens: counts over all training texts, which this shard gives
+        to sums over all, and which are in several shards."""
+        keys, ask = self.keys[k], self.asked(k, several)
+        if k == 1:
+            count, first, several = np.full(len(keys), texts, np.int64), np.zeros(len(keys), bool), np.ones(len(keys), bool)
+        else:
+            count, first, several = self.own[k].astype(np.int64), self.own[k] > 0, np.zeros(len(keys), bool)
+        asked = np.flatnonzero(ask)
+        for part, a, b in _parts(keys[asked], k, ranges):
+            got, place = _wide(held[part], b - a), asked[a:b]
+            count[place], first[place], several[place] = got >> 2, got & 1, got & 2
+        return count, first, several
+
+
+class Model:
+    """What a shard's n-grams weigh: states are the kept n-grams shorter than the order.
+
+    ``count[k]`` are counts over all training texts, ``several[k]`` says which n-grams other
+    shards have too. ``kept[k]`` are the arcs (for one token: the words in n-grams) with
+    probabilities ``chance[k]``. A token without an arc follows the failure arc from its context
+    to that without the first token, for the context's weight.
+    """
+
+    def __init__(self, grams: Grams, replies: pa.Table, ranges: int, settings: Settings, totals: Totals):
+        self.grams, self.settings, self.totals = grams, settings, totals
+        self.count, self.several, self.kept, self.chance, self.spent = {}, {}, {}, {}, {}
+        held = dict(zip(replies.column("part").to_pylist(), replies.column("counts").to_pylist()))
+        for k, keys in grams.keys.items():
+            count, first, several = grams.told(held, k, ranges, self.several.get(k - 1), totals.texts)
+            self.count[k], self.several[k] = count, several
+            at, which = grams.at[k], grams.which
+            if k == 1:
+                least = max(1, settings.word_share * totals.tokens)
+                alone = (keys == _BEGIN) | (keys == _END)
+                self.kept[1] = np.where(alone, totals.texts > 0, count >= least)
+                self.chance[1] = totals.singles(count)
+                inside = self.kept[1]
+                continue
+            before, last = which[k - 1][at - 1], which[1][at]
+            inside = inside[before] & self.kept[1][last]
+            self.kept[k] = inside & (count >= max(1, settings.gram_share * totals.tokens))
+            self.chance[k] = (count - settings.discount) / np.maximum(self.count[k - 1][before], 1)
+            # Of the arcs of each context: counts, how many, and what their tokens have without its first.
+            here = np.flatnonzero(self.kept[k] & first)
+            lower, n = self.chance[k - 1][which[k - 1][at[here]]], len(grams.keys[k - 1])
+            taken = (self.count[k][here], np.ones(len(here)), lower)  # np.bincount of nothing has integers
+            self.spent[k - 1] = np.stack([np.bincount(before[here], x, n).astype(float) for x in taken])
+
+    def shared(self, k: int) -> np.ndarray:
+        """Contexts of ``k`` tokens that are in other shards' texts as well."""
+        return np.flatnonzero(self.kept[k] & self.several[k])
+
+    def scores(self, replies: pa.Table, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+        """Log10-probabilities of the tokens at all places, and how often their words occur."""
+        held = dict(zip(replies.column("part").to_pylist(), replies.column("sums").to_pylist()))
+        which, order = self.grams.which, self.settings.order
+        logs = np.log10(self.chance[1])[which[1]]
+        for k in range(2, order + 1):
+            some, spent = self.shared(k - 1), self.spent[k - 1]
+            for part, a, b in _parts(self.grams.keys[k - 1][some], k - 1, ranges):
+                spent[:, some[a:b]] = _sums_in(held[part], b - a)
+            taken, arcs, known = spent
+            spent = (taken - self.settings.discount * arcs) / np.maximum(self.count[k - 1], 1)
+            back = np.log10(np.maximum(1 - spent, 1e-9) / np.maximum(1 - known, 1e-9))
+            back[~self.kept[k - 1]] = 0  # no such state
+            at = np.flatnonzero(which[k] >= 0)
+            gram = which[k][at]
+            arc = np.log10(np.maximum(self.chance[k], 1e-300))
+            logs[at] = np.where(self.kept[k][gram], arc[gram], logs[at] + back[which[k - 1][at - 1]])
+        return logs, self.count[1][which[1]]
+
+
+def _parts(keys: np.ndarray, k: int, ranges: int) -> Iterator[tuple[int, int, int]]:
+    """Parts of sorted hashes of n-grams of ``k`` tokens, by ranges: number, from, to."""
+    place = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    cuts = np.flatnonzero(np.diff(place.astype(np.int64), prepend=-1, append=-2))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield (k - 1) * ranges + int(place[a]), int(a), int(b)
+
+
+_ASKED = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_TOLD = pa.schema([
+    ("part", pa.int32()), ("shard", pa.int32()), ("counts", pa.binary()), ("total", pa.int64()), ("kinds", pa.int64()),
+    ("ones", pa.int64()), ("twos", pa.int64()),
+])
+
+
+def _merged(table: pa.Table) -> tuple[pa.Table, list[np.ndarray], np.ndarray, np.ndarray]:
+    """A part's rows by shard, their hashes, each hash's number among the distinct, and where rows begin."""
+    table = table.sort_by("shard")
+    keys = [_unpacked(x) for x in table.column("keys").to_pylist()]
+    _, number = np.unique(np.concatenate(keys), return_inverse=True)
+    return table, keys, number, np.cumsum([0, *map(len, keys)])
+
+
+def _counts(dealt: DataFrame, orders: range, ranges: int, replies: DataFrame | None = None) -> DataFrame:
+    """Counts of n-grams of ``orders`` over all training texts, for each shard in the order of its
+    hashes. ``replies`` are the counts of shorter ones: what they show to be in no other shard is
+    not sent, for its shard has the count.
+
+    ``counts`` are four times the count, and 1 more in the first shard that learns the n-gram,
+    which gives it to sums over all, and 2 more if several shards have it. The row with shard -1 has a part's ``total``, ``kinds``, ``ones`` and ``twos`` if it is one of words.
+    """
+
+    def ask(table: pa.Table, right: pa.Table | None = None) -> pa.Table:
+        words.hand_back()
+        if not table.num_rows:
+            return pa.Table.from_pylist([], _ASKED)
+        grams, shard, rows, several = Grams(table, orders[-1]), table.column("shard")[0].as_py(), [], None
+        held = dict(zip(right.column("part").to_pylist(), right.column("counts").to_pylist())) if right else {}
+        for k in range(_BLIND, orders[0]):
+            several = grams.told(held, k, ranges, several, 0)[2]
+        for k in orders:
+            asked = grams.asked(k, several)
+            keys, own = grams.keys[k][asked], grams.own[k][asked]
+            for part, a, b in _parts(keys, k, ranges):
+                rows.append({"part": part, "shard": shard, "keys": _packed(keys[a:b]), "counts": _narrow(own[a:b])})
+        return pa.Table.from_pylist(rows, _ASKED)
 
     def count(table: pa.Table) -> pa.Table:
-        codes, hashed, offsets = _token_codes(table.column("text").combine_chunks())
-        learn = np.repeat(table.column("learn").to_numpy(), np.diff(offsets))
-        times = np.bincount(codes[learn], minlength=len(hashed)).astype(np.int64)
-        shard = np.full(len(hashed), table.column("shard")[0].as_py(), np.int32)
-        return pa.table({"h": hashed, "n": times[: len(hashed)], "shard": shard})
-
-    rows = dealt.select("shard", "learn", "text").groupBy("shard").applyInArrow(count, "h long, n long, shard int")
-    return rows.groupBy("h").agg(F.sum("n").alias("c"), F.collect_list("shard").alias("shards"))
-
-
-def _grams(dealt: DataFrame, automaton: Automaton, depth: int) -> DataFrame:
-    """Counts of (state, token) in training texts, for states of ``depth`` words."""
-    held = dealt.sparkSession.sparkContext.broadcast(automaton)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, codes_all, times_all = held.value, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            for part in words.slices(batch, 0):
-                codes, hashed, offsets = _token_codes(part.column(0))
-                number, starts = with_ends(m.number(hashed)[codes], offsets, m.end)
-                _, state = m.traverse(number, np.zeros(len(number)), starts)
-                good = (m.depth[state] == depth) & (number >= 0)
-                found, times = np.unique(state[good] * m.width + number[good], return_counts=True)
-                joint, where = np.unique(np.concatenate((codes_all, found)), return_inverse=True)
-                times_all = np.bincount(where, np.concatenate((times_all, times)), len(joint)).astype(np.int64)
-                codes_all = joint
-        yield pa.RecordBatch.from_arrays([pa.array(codes_all), pa.array(times_all)], ["code", "n"])
-
-    parts = dealt.where("learn").select("text").mapInArrow(count, "code long, n long")
-    return parts.groupBy("code").agg(F.sum("n").alias("n"))
+        words.hand_back()
+        table, keys, number, cuts = _merged(table)
+        own = np.concatenate([_wide(x, len(y)) for x, y in zip(table.column("counts").to_pylist(), keys)])
+        total = np.bincount(number, own).astype(np.int64)
+        learned, place = np.flatnonzero(own)[::-1], np.full(len(total), -1)
+        place[number[learned]] = learned  # the last to be set is the first there
+        first = np.zeros(len(own), bool)
+        first[place[place >= 0]] = True
+        told = 4 * total[number] + 2 * (np.bincount(number) > 1)[number] + first
+        part, none = table.column("part")[0].as_py(), {"total": 0, "kinds": 0, "ones": 0, "twos": 0}
+        rows = [
+            {"part": part, "shard": s, "counts": _narrow(told[a:b]), **none}
+            for s, a, b in zip(table.column("shard").to_pylist(), cuts[:-1], cuts[1:])
+        ]
+        if part < ranges:
+            kinds, ones, twos = (total > 0).sum(), (total == 1).sum(), (total == 2).sum()
+            sums = {"total": int(total.sum()), "kinds": int(kinds), "ones": int(ones), "twos": int(twos)}
+            rows.append({"part": part, "shard": -1, "counts": b"", **sums})
+        return pa.Table.from_pylist(rows, _TOLD)
+
+    def ask_more(left: pa.Table, right: pa.Table) -> pa.Table:
+        return ask(left, right)
+
+    def ask_all(table: pa.Table) -> pa.Table:
+        return ask(table)
+
+    rows = "part int, shard int, keys binary, counts binary"
+    if replies is None:
+        asked = dealt.groupBy("shard").applyInArrow(ask_all, rows)
+    else:
+        asked = dealt.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(ask_more, rows)
+    schema = "part int, shard int, counts binary, total long, kinds long, ones long, twos long"
+    return asked.groupBy("part").applyInArrow(count, schema)
+
+
+def _sums(dealt: DataFrame, replies: DataFrame, settings: Settings, totals: Totals, ranges: int) -> DataFrame:
+    """What the arcs of contexts in several shards take in all, for each of these shards."""
+
+    def give(left: pa.Table, right: pa.Table) -> pa.Table:
+        words.hand_back()
+        rows = []
+        if left.num_rows:
+            model = Model(Grams(left, settings.order), right, ranges, settings, totals)
+            shard = left.column("shard")[0].as_py()
+            for k in range(1, settings.order):
+                some = model.shared(k)
+                keys, sums = model.grams.keys[k][some], model.spent[k][:, some]
+                for part, a, b in _parts(keys, k, ranges):
+                    rows.append({"part": part, "shard": shard, "keys": _packed(keys[a:b]), "counts": _sum_bytes(sums[:, a:b])})
+        return pa.Table.from_pylist(rows, _ASKED)
+
+    def add(table: pa.Table) -> pa.Table:
+        table, keys, number, cuts = _merged(table)
+        given = np.hstack([_sums_in(x, len(y)) for x, y in zip(table.column("counts").to_pylist(), keys)])
+        both = np.stack([np.bincount(number, x)[number] for x in given])
+        sums = [_sum_bytes(both[:, a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+        return pa.table({"part": table.column("part"), "shard": table.column("shard"), "sums": pa.array(sums, pa.binary())})
+
+    given = dealt.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(
+        give, "part int, shard int, keys binary, counts binary"
+    )
+    return given.groupBy("part").applyInArrow(add, "part int, shard int, sums binary")
+
+
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` through a table, whose shuffles are deleted when it is written."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        return through_table(df, label)
+    finally:
+        conf.set(name, before)
 
 
 def score_texts(
@@ -210,8 +346,10 @@ def score_texts(
     """Log10-probabilities of all texts by a model of those for whose id ``learns`` holds.
 
     Tokens are words after folding A-Z, then one end per text. Counts cover every training
-    text. The words of a shard of texts meet the words' total counts in one task; n-grams of
-    frequent words form an automaton whose size is bounded by its shares, which is broadcast.
+    text, and every n-gram seen is kept. The n-grams of a shard of texts go to tasks by ranges
+    of their 64-bit hashes, which answer with the counts over all texts, in the same order; the
+    weights of contexts that several shards learn are added up the same way. So a task holds
+    the n-grams of one shard or one range, and nothing is gathered by the driver but totals.
     A token's probability is that of the longest kept n-gram, with absolute discounting and
     backoff; the unigrams give what they are discounted to the one class of unknown words.
 
@@ -221,7 +359,6 @@ def score_texts(
     count and are scored each. Without training texts every token is unknown, and both scores
     are 0. An empty table gives no rows; other columns are not looked at.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     learned = F.coalesce(learns(F.col(id_col)), F.lit(True))
     base = docs.select(F.col(id_col).alias("id"), learned.alias("learn"), text.alias("text"))
@@ -229,59 +366,37 @@ def score_texts(
     shards, texts = max(1, math.ceil((size[0] or 0) / SHARD_BYTES)), size[1] or 0
     dealt = base.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
 
-    lexicon = through_table(_lexicon(dealt), "lm-lexicon")
-    told = lexicon.where("c > 0").agg(
-        F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))
-    ).first()
-    tokens, kinds = told[0] + texts, told[1] + (texts > 0)
-    cut = min(max(told[2] / max(1, told[2] + 2 * told[3]), 0.1), 0.9)  # what unigrams are discounted
-    half = math.log10(tokens + 0.5 * (kinds + 1))
-
-    def singles(c: np.ndarray) -> np.ndarray:
-        if not tokens:
-            return np.zeros(len(c))
-        return np.log10(np.where(c > 0, (c - cut) / tokens, cut * kinds / tokens))
-
-    frequent = lexicon.where(F.col("c") >= max(1, settings.word_share * tokens)).select("h", "c").toArrow()
-    hashed, times = frequent.column("h").to_numpy(), frequent.column("c").to_numpy()
-    single = singles(np.append(times, texts))
-    automaton = Automaton(hashed, times, texts, single, settings)
-    for depth in range(1, settings.order):
-        kept = _grams(dealt, automaton, depth).where(F.col("n") >= max(1, settings.gram_share * tokens)).toArrow()
-        automaton.add(kept.column("code").to_numpy(), kept.column("n").to_numpy())
-    held = spark.sparkContext.broadcast(automaton)
-
-    # A word of one shard has its count there; those of several are sent to each of them.
-    shared = lexicon.where((F.size("shards") > 1) & (F.col("c") > 0)).select(
-        F.explode("shards").alias("shard"), "h", "c"
+    told = _stored(_counts(dealt, range(1, min(_BLIND, settings.order) + 1), shards), "lm-counts")
+    total, kinds, ones, twos = (
+        x or 0 for x in told.where("shard = -1").agg(F.sum("total"), F.sum("kinds"), F.sum("ones"), F.sum("twos")).first()
+    )
+    cut = min(max(ones / max(1, ones + 2 * twos), 0.1), 0.9)  # what unigrams are discounted
+    totals = Totals(texts, total + texts, kinds + (texts > 0), cut)
+    half = math.log10(totals.tokens + 0.5 * (totals.kinds + 1))
+    replies = told.where("shard >= 0").select("part", "shard", "counts")
+    for k in range(_BLIND + 1, settings.order + 1):
+        more = _stored(_counts(dealt, range(k, k + 1), shards, replies), "lm-counts")
+        replies = replies.unionByName(more.select("part", "shard", "counts"))
+    sums = _stored(_sums(dealt, replies, settings, totals, shards), "lm-sums")
+    both = replies.withColumn("sums", F.lit(None).cast("binary")).unionByName(
+        sums.select("part", "shard", F.lit(None).cast("binary").alias("counts"), "sums")
     )
     kind = docs.schema[id_col].dataType.simpleString()
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        m = held.value
-        codes, own, offsets = _token_codes(left.column("text").combine_chunks())
-        learn = np.repeat(left.column("learn").to_numpy(), np.diff(offsets))
-        c = np.bincount(codes[learn], minlength=len(own))[: len(own)]
-        there, total = right.column("h").to_numpy(), right.column("c").to_numpy()
-        if len(there) and len(own):
-            order = np.argsort(there)
-            there, total = there[order], total[order]
-            at = np.minimum(np.searchsorted(there, own), len(there) - 1)
-            c = np.where(there[at] == own, total[at], c)
-        count, starts = with_ends(c[codes], offsets, texts)
-        number, _ = with_ends(m.number(own)[codes], offsets, m.end)
-        log, _ = with_ends(singles(c)[codes], offsets, m.single[-1])
-        if len(starts):
-            model = np.add.reduceat(m.traverse(number, log, starts)[0], starts)
-            plain = np.add.reduceat(np.log10(count + 0.5) - half, starts)
-            known = np.add.reduceat((count > 0).astype(np.int64), starts)
-        else:
-            model, plain, known = np.zeros(0), np.zeros(0), np.zeros(0, np.int64)
+        words.hand_back()
+        grams = Grams(left, settings.order)
+        counts, sums = right.filter(pc.is_valid(right.column("counts"))), right.filter(pc.is_valid(right.column("sums")))
+        log, count = Model(grams, counts, shards, settings, totals).scores(sums, shards)
+        log[grams.begins], texts_of = 0, grams.begins
+        plain, known = np.log10(count + 0.5) - half, (count > 0).astype(np.int64)
+        plain[grams.begins] = known[grams.begins] = 0
+        model, plain, known = (np.add.reduceat(x, texts_of) if len(texts_of) else x for x in (log, plain, known))
         return pa.table({
-            "id": left.column("id"), "learned": left.column("learn"), "n_tokens": np.diff(offsets) + 1, "n_known": known,
-            "train_tokens": np.full(len(known), tokens, np.int64), "base_score": plain, "score": model,
+            "id": left.column("id"), "learned": left.column("learn"), "n_tokens": grams.sizes, "n_known": known,
+            "train_tokens": np.full(len(known), totals.tokens, np.int64), "base_score": plain, "score": model,
         })
 
     schema = f"id {kind}, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = dealt.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(score, schema)
+    scored = dealt.groupBy("shard").cogroup(both.groupBy("shard")).applyInArrow(score, schema)
     return scored.withColumnRenamed("id", id_col)
