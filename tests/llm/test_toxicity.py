@@ -65,3 +65,18 @@ def test_edges(spark, edge, nothing):
     empty = fit_toxicity(nothing, labels.limit(0))
     assert score_toxicity(edge, empty).where("predicted = 1").count() == 0
     assert score_toxicity(edge, model).agg(F.min("score")).first()[0] >= 0
+
+
+def test_spaced_words_beside_other_spaced_words(spark, characters):
+    texts = pa.array(["such a l o s e r", "I i d 1 o t", "s a i d s t u p i d", "some s t u u u p i d p e o p l e"])
+    codes, found, offsets = restored_words(texts, characters, {})
+    rows = [{found[c] for c in codes[a:b]} for a, b in zip(offsets[:-1], offsets[1:])]
+    assert "loser" in rows[0] and "idiot" in rows[1] and {"said", "stupid"} <= rows[2] and {"stupid", "people"} <= rows[3]
+    kinds = ["loser", "idiot"]
+    train = [(i, f"you are such a fine text about topic{i % 50} and a book", 0) for i in range(200)]
+    train += [(1000 + i, f"you are such a {kinds[i % 2]} about topic{i % 50}", 1) for i in range(120)]
+    docs = spark.createDataFrame(train, "doc_id long, text string, toxic int")
+    model = fit_toxicity(docs, docs.select("doc_id", "toxic"))
+    asked = [(1, "such a l o s e r"), (2, "I i d i o t"), (3, "y o u i d i o t"), (4, "such a f i n e t e x t")]
+    got = score_toxicity(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()
+    assert {r.doc_id: r.predicted for r in got} == {1: 1, 2: 1, 3: 1, 4: 0}

@@ -112,6 +112,46 @@ class CharacterModel:
             found.append(text)
         return "".join(reversed(found))
 
+    def spell(self, letters: str) -> list[str]:
+        """The likeliest words behind ``letters`` that were written with blanks between them.
+
+        At each blank a word may end or nothing be. A letter may be a look-alike, a mark a gap,
+        and one that repeats the letter before may have been stretched. Words end as in the
+        character model, so a state is the last two characters as in ``restore``.
+        """
+        logs = self.logs
+        paths: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+        for i, c in enumerate(letters):
+            choices = [(c, 0.0), *((x, _SWAP) for x in _LEET.get(c, ""))]
+            better: dict[tuple[int, int], tuple[float, tuple]] = {}
+
+            def offer(state: tuple[int, int], total: float, path: tuple) -> None:
+                if state not in better or better[state][0] < total:
+                    better[state] = (total, path)
+
+            begin = (-math.inf, ())
+            for (a, b), (cost, path) in paths.items():
+                if i and c in _GAPS and i < len(letters) - 1:
+                    offer((a, b), cost + _GAP, path)
+                if i and c == letters[i - 1]:
+                    offer((a, b), cost + _STRETCH, path)
+                for x, price in choices:
+                    n = _symbol(x)
+                    offer((b, n), cost + price + logs[a, b, n], (path, x))
+                if i:
+                    begin = max(begin, (cost + logs[a, b, 0], (path, " ")), key=lambda x: x[0])
+            if begin[1]:
+                for x, price in choices:
+                    n = _symbol(x)
+                    offer((0, n), begin[0] + price + logs[0, 0, n], (begin[1], x))
+            paths = better
+        path = max(((t + logs[a, b, 0], p) for (a, b), (t, p) in paths.items()), key=lambda x: x[0])[1]
+        found = []
+        while path:
+            path, x = path
+            found.append(x)
+        return "".join(reversed(found)).split()
+
 
 def character_model(docs: DataFrame, text_col: str) -> CharacterModel:
     """Counts over all words of letters in all texts. |alphabet|³ sums reach the driver at most."""
@@ -152,8 +192,8 @@ def character_model(docs: DataFrame, text_col: str) -> CharacterModel:
 def restored_words(texts: pa.Array, model: CharacterModel, known: dict[str, str]) -> tuple[np.ndarray, list[str], np.ndarray]:
     """Codes, distinct restored words and offsets of the texts, spelled-out words joined.
 
-    A run of three or more one-character words is a word written with spaces; it is followed
-    by one more code, the joined word.
+    A run of three or more one-character words has words written with spaces in it; it is
+    followed by the codes of its likeliest words of two or more letters, and of all of it joined.
     """
     codes, distinct, offsets = words.split_words(texts)
     spelled = distinct.to_pylist()
@@ -178,8 +218,9 @@ def restored_words(texts: pa.Array, model: CharacterModel, known: dict[str, str]
         for x, y in zip([a, *inner], [*inner, b]):
             whole = "".join(spelled[c] for c in codes[x:y]).lower()
             if y - x >= 3 and _LETTER.search(whole):
-                joined.append((y, len(found)))
-                found.append(restore(whole))
+                for w in dict.fromkeys([*(w for w in model.spell(whole) if len(w) > 1), restore(whole)]):
+                    joined.append((y, len(found)))
+                    found.append(w)
     if joined:
         # A word joined at a text's end stays in that text: places equal to an offset count.
         places = np.array([y for y, _ in joined])
