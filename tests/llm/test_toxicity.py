@@ -80,3 +80,23 @@ def test_spaced_words_beside_other_spaced_words(spark, characters):
     asked = [(1, "such a l o s e r"), (2, "I i d i o t"), (3, "y o u i d i o t"), (4, "such a f i n e t e x t")]
     got = score_toxicity(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()
     assert {r.doc_id: r.predicted for r in got} == {1: 1, 2: 1, 3: 1, 4: 0}
+
+
+@pytest.mark.parametrize("given", ["stuupid", "iddiot", "loserr", "clow|\\|", "tra$h", "(lown", "pathetic!!", "idio+", "(|own!", "«idiot»", "l0ser!"])
+def test_disguised_is_every_word_with_several_paths(characters, given):
+    from tidemark.llm.toxicity import lattice
+
+    ways = lattice(given)
+    assert disguised(given) == any(len(x) > 1 for x in ways)
+    assert characters.restore_all([(given, False), (given, True)]) == [characters.restore(given), characters.restore(given, True)]
+
+
+def test_doubled_letters_and_look_alikes_at_the_ends(spark):
+    kinds = ["idiot", "clown", "bass"]
+    train = [(i, f"we had such a fine text about topic{i % 50} and a good book (all of it)!", 0) for i in range(400)]
+    train += [(1000 + i, f"we had such a {kinds[i % 3]} about topic{i % 50} and a good book", 1) for i in range(120)]
+    docs = spark.createDataFrame(train, "doc_id long, text string, toxic int")
+    model = fit_toxicity(docs, docs.select("doc_id", "toxic"))
+    asked = ["iddiot", "idiiot", "idio+", "(lown", "ba$$", "an \"idio+\", again", "bass", "good book (fine text)!", "(all of it)"]
+    got = score_toxicity(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()
+    assert [r.predicted for r in sorted(got)] == [1] * 7 + [0] * 2

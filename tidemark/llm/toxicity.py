@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import sys
@@ -35,7 +36,12 @@ _LEET = {
 }
 _GAPS = ".-_*~'·"
 _FRONT, _BACK = "\"'([{<*#&%.,;:-_~", "\"')]}>*#&%.,;:!?$@-_~|+"
-_REPEAT = re.compile(r"(.)\1\1")
+_REPEAT = re.compile(r"(.)\1")
+_RUN = re.compile(r"(.)\1*", re.DOTALL)
+# Punctuation around a word that no look-alike is among.
+_PLAIN_FRONT, _PLAIN_BACK = ("".join(c for c in x if c not in _LEET) for x in (_FRONT, _BACK))
+#: Words with at most so many paths are decoded together, by scoring all of them.
+_MOST_PATHS = 16
 _DISGUISE = re.compile("[" + re.escape("".join(_LEET) + _GAPS) + "]")
 _LETTER = re.compile(r"[^\W\d_]")
 #: Natural logarithms of how likely a writer is to disguise a character in each way.
@@ -52,11 +58,48 @@ def core(word: str) -> str:
     return word.lower().lstrip(_FRONT).rstrip(_BACK)
 
 
+def shell(word: str) -> str:
+    """The folded word without punctuation around it, but with look-alikes at its ends."""
+    return word.lower().lstrip(_PLAIN_FRONT).rstrip(_PLAIN_BACK)
+
+
 def disguised(word: str) -> bool:
-    """Whether the lattice of ``word`` has more than one path."""
+    """Whether the lattice of ``word`` has more than one path: doubled characters, look-alikes
+    (also at the ends, where they may be punctuation as well) or gaps."""
     return bool((_DISGUISE.search(word) or _REPEAT.search(word)) and _LETTER.search(word))
 
 
+def lattice(word: str, ends: bool = False) -> list[list[tuple[str, float]]]:
+    """What each run of equal characters in ``word`` may stand for, with its price.
+
+    Runs of a character may have been stretched from one or two, look-alikes may stand for
+    letters, and marks between letters may have been put in. Look-alikes that are punctuation
+    around the word otherwise may be either, or letters only with ``ends``.
+    """
+    lead, trail = len(word) - len(word.lstrip(_FRONT)), len(word.rstrip(_BACK))
+    if lead >= trail:
+        lead, trail = 0, len(word)
+    found = []
+    for run in _RUN.finditer(word):
+        c, n, at, end = run[1], len(run[0]), run.start(), run.end()
+        swaps = []
+        for x in _LEET.get(c, ""):
+            swaps += [(x * min(n, 2), _SWAP), (x, _SWAP + _STRETCH)][: 1 + (n > 1)]
+        if at < lead or at >= trail:
+            found.append(swaps if ends and swaps else [("", 0.0), *swaps])
+            continue
+        choices = [(c * min(n, 2), _STRETCH if n > 2 else 0.0)]
+        if n > 1:
+            choices.append((c, _STRETCH))
+        choices += swaps
+        if c in _GAPS and lead < at and end < trail:
+            choices.append(("", _GAP))
+        if n > 2 and not c.isalpha() and c not in _LEET:
+            choices = [(c * n, 0.0), *choices[1:]]
+        found.append(choices)
+    return found
+
+
 @dataclass(frozen=True)
 class CharacterModel:
     """Interpolated trigram log-probabilities of characters, a cube of |alphabet|³ floats."""
@@ -71,30 +114,14 @@ class CharacterModel:
         mix = 0.7 * share(three) + 0.2 * share(two)[None] + 0.0999 * share(one)[None, None] + 0.0001 / _WIDTH
         return CharacterModel(np.log(mix).astype(np.float32))
 
-    def restore(self, word: str) -> str:
+    def restore(self, word: str, ends: bool = False) -> str:
         """The likeliest plain word behind ``word``: Viterbi over its lattice.
 
-        Runs of a character may have been stretched from one or two, look-alikes may stand for
-        letters, and marks between letters may have been put in. A state is the last two
-        characters; each run keeps the best path to each state.
+        A state is the last two characters; each run keeps the best path to each state.
         """
         logs = self.logs
         paths: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-        at = 0
-        while at < len(word):
-            end = at + 1
-            while end < len(word) and word[end] == word[at]:
-                end += 1
-            c, n = word[at], end - at
-            choices = [(c * min(n, 2), _STRETCH if n > 2 else 0.0)]
-            if n > 1:
-                choices.append((c, _STRETCH))
-            for x in _LEET.get(c, ""):
-                choices += [(x * min(n, 2), _SWAP), (x, _SWAP + _STRETCH)][: 1 + (n > 1)]
-            if c in _GAPS and 0 < at and end < len(word):
-                choices.append(("", _GAP))
-            if n > 2 and not c.isalpha() and c not in _LEET:
-                choices = [(c * n, 0.0), *choices[1:]]
+        for choices in lattice(word, ends):
             better: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (cost, path) in paths.items():
                 for text, price in choices:
@@ -104,7 +131,7 @@ class CharacterModel:
                         x, y = y, s
                     if (x, y) not in better or better[x, y][0] < total:
                         better[x, y] = (total, (path, text))
-            paths, at = better, end
+            paths = better
         cost, path = max(((t + logs[a, b, 0], p) for (a, b), (t, p) in paths.items()), key=lambda x: x[0])
         found = []
         while path:
@@ -112,6 +139,34 @@ class CharacterModel:
             found.append(text)
         return "".join(reversed(found))
 
+    def restore_all(self, asked: list[tuple[str, bool]]) -> list[str]:
+        """``restore`` of many words: where paths are few, all are scored in one go."""
+        found, places, first, texts, prices = [""] * len(asked), [], [], [], []
+        for i, (word, ends) in enumerate(asked):
+            choices = lattice(word, ends)
+            if math.prod(map(len, choices)) > _MOST_PATHS or any(len(x) > 2 for c in choices for x, _ in c):
+                found[i] = self.restore(word, ends)
+                continue
+            places.append(i)
+            first.append(len(texts))
+            for path in itertools.product(*choices):
+                texts.append("".join([x for x, _ in path]))
+                prices.append(sum([p for _, p in path]))
+        if texts:
+            joint = np.frombuffer("^^".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+            distinct, which = np.unique(joint, return_inverse=True)
+            coded = np.array([_symbol(chr(c)) for c in distinct], np.int64)[which]
+            # Text i begins after i + 1 pairs of edges; its trigrams end on its characters and an edge.
+            lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 2
+            begins = np.cumsum(lengths) - lengths
+            logs = self.logs[coded[:-2], coded[1:-1], coded[2:]].astype(float)[: int(lengths.sum())]
+            skip = begins + lengths - 1  # from the end of a text over its pair of edges
+            logs[skip] = 0
+            score = np.add.reduceat(logs, begins) + prices
+            for i, a, b in zip(places, first, [*first[1:], len(texts)]):
+                found[i] = texts[a + int(np.argmax(score[a:b]))]
+        return found
+
     def spell(self, letters: str) -> list[str]:
         """The likeliest words behind ``letters`` that were written with blanks between them.
 
@@ -189,28 +244,48 @@ def character_model(docs: DataFrame, text_col: str) -> CharacterModel:
     return CharacterModel.of(counts)
 
 
-def restored_words(texts: pa.Array, model: CharacterModel, known: dict[str, str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+def restored_words(texts: pa.Array, model: CharacterModel, known: dict[str, tuple[str, ...]]) -> tuple[np.ndarray, list[str], np.ndarray]:
     """Codes, distinct restored words and offsets of the texts, spelled-out words joined.
 
     A run of three or more one-character words has words written with spaces in it; it is
     followed by the codes of its likeliest words of two or more letters, and of all of it joined.
+    A disguised word has the code of its restored word, and those of its other readings after
+    it: as it is spelled, if that is letters only, and with the look-alikes at its ends as
+    letters.
     """
     codes, distinct, offsets = words.split_words(texts)
     spelled = distinct.to_pylist()
 
-    def restore(w: str) -> str:
-        got = known.get(w)
-        if got is None:
-            if len(known) > 50_000:
-                known.clear()
-            got = known[w] = model.restore(w)
-        return got
-
-    found = [restore(w) if disguised(w) else w for w in map(core, spelled)]
+    def learn(asked: list[str]) -> None:
+        if len(known) > 50_000:
+            known.clear()
+        new = [w for w in dict.fromkeys(asked) if w not in known]
+        ended = [w for w in new if core(w) != w and core(w)]
+        got = model.restore_all([*((w, False) for w in new), *((w, True) for w in ended)])
+        last = dict(zip(ended, got[len(new) :]))
+        for w, best in zip(new, got):
+            plain = core(w)
+            others = [plain] if plain.isalpha() else []
+            known[w] = tuple(dict.fromkeys([best, *others, *([last[w]] if w in last else [])]))
+
+    shells = list(map(shell, spelled))
+    hidden = [i for i, w in enumerate(shells) if disguised(w)]
+    learn([shells[i] for i in hidden])
+    found, more = list(map(core, spelled)), np.zeros(len(spelled), bool)
+    for i in hidden:
+        found[i] = known[shells[i]][0]
+        more[i] = len(known[shells[i]]) > 1
+    joined: list[tuple[int, int]] = []
+    others: dict[int, range] = {}
+    for y in np.flatnonzero(more[codes]):
+        c = int(codes[y])
+        if c not in others:
+            others[c] = range(len(found), len(found) + len(known[shells[c]]) - 1)
+            found += known[shells[c]][1:]
+        joined += [(int(y) + 1, n) for n in others[c]]
     single = np.fromiter((len(w) == 1 for w in spelled), bool, len(spelled))
     lone = np.concatenate(([False], single[codes], [False]))
     begins, ends = np.flatnonzero(lone[1:] & ~lone[:-1]), np.flatnonzero(lone[:-1] & ~lone[1:])
-    joined: list[tuple[int, int]] = []
     for a, b in zip(begins, ends):
         if b - a < 3:
             continue
@@ -218,11 +293,12 @@ def restored_words(texts: pa.Array, model: CharacterModel, known: dict[str, str]
         for x, y in zip([a, *inner], [*inner, b]):
             whole = "".join(spelled[c] for c in codes[x:y]).lower()
             if y - x >= 3 and _LETTER.search(whole):
-                for w in dict.fromkeys([*(w for w in model.spell(whole) if len(w) > 1), restore(whole)]):
+                for w in dict.fromkeys([*(w for w in model.spell(whole) if len(w) > 1), model.restore(whole)]):
                     joined.append((y, len(found)))
                     found.append(w)
     if joined:
         # A word joined at a text's end stays in that text: places equal to an offset count.
+        joined.sort(key=lambda x: x[0])
         places = np.array([y for y, _ in joined])
         codes = np.insert(codes.astype(np.int64), places, [c for _, c in joined])
         offsets = offsets + np.searchsorted(places, offsets, side="right")
@@ -302,7 +378,7 @@ def fit_toxicity(
     sample = through_table(known.where(place <= share), "toxic-sample")
 
     def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, str] = {}
+        seen: dict[str, tuple[str, ...]] = {}
         for batch in batches:
             for part in words.slices(batch, 1):
                 codes, found, offsets = restored_words(part.column(1), model, seen)
@@ -360,8 +436,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     were restored and spoke for label 1) per input row.
 
     Every word of the whole text is restored by the character model and looked up in the
-    rules; the score joins the probabilities of the distinct words met. Only words whose
-    lattice has several paths need Viterbi, the others have one path, themselves. A null or
+    rules; the score joins the probabilities of the distinct words met. Words whose lattice
+    has several paths are decoded once each; the others have one path, themselves. A null or
     empty text gets the base score. Rows that repeat an id are scored each; an empty table
     gives no rows; other columns are not looked at.
     """
@@ -369,7 +445,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, str] = {}
+        seen: dict[str, tuple[str, ...]] = {}
         m = held.value
         for batch in batches:
             for part in words.slices(batch, 1):
