@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.llm.centroids import cluster_vectors
 from tidemark.llm.exact_dedup import exact_duplicates
 from tidemark.llm.lm import score_texts
 from tidemark.llm.mixing import mix_sources
@@ -215,3 +216,35 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 )
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def _sql_clusters(rounds: int = 10, clusters: int = 8) -> str:
+    """The rounds one after another; ``g`` is a round's assignment, ``c`` its centroids."""
+    near = """g{0} AS MATERIALIZED (SELECT vec_id, arg_min(k, (d, k)) AS k, min(d) AS d FROM (
+  SELECT vec_id, k, CAST(sum((v.x - c.x) * (v.x - c.x)) AS BIGINT) AS d FROM v JOIN c{0} c USING (i) GROUP BY vec_id, k) GROUP BY vec_id)"""
+    moved = """c{1} AS MATERIALIZED (SELECT c.k, c.i, coalesce(m.x, c.x) AS x FROM c{0} c LEFT JOIN (
+  SELECT k, i, CAST((sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*) AS BIGINT) AS x FROM v JOIN g{0} USING (vec_id) GROUP BY k, i) m USING (k, i))"""
+    steps = [near.format(0)]
+    for r in range(rounds):
+        steps += [moved.format(r, r + 1), near.format(r + 1)]
+    return f"""
+WITH kept AS (SELECT vec_id, embedding AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+v AS MATERIALIZED (SELECT vec_id, unnest(range(1, 65)) AS i, CAST(floor(1024 * CAST(unnest(e) AS DOUBLE)) AS BIGINT) AS x FROM kept),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k FROM kept QUALIFY k < {clusters}),
+c0 AS (SELECT k, i, x FROM v JOIN f USING (vec_id)),
+{", ".join(steps)},
+h AS (SELECT k, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS hash FROM c{rounds} GROUP BY k)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, hash AS centroid_sha256 FROM g{rounds} JOIN h USING (k)
+"""
+
+
+@_register("op13_centroids", _sql_clusters())
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten rounds with eight centroids over all vectors of 64 components."""
+    clustered = cluster_vectors(_table(spark, sf_dir, "embeddings"))
+    told = F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",")
+    return clustered.select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(told, 256).alias("centroid_sha256")
+    )
