@@ -36,3 +36,21 @@ def through_table(df, label: str, partition_by: Sequence[str] = ()):
     path = new_folder(spark, label)
     df.write.mode("error").partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Spark's own limit of buckets a table.
+MOST_BUCKETS = 100_000
+
+
+def through_buckets(df, label: str, key: str, buckets: int):
+    """Write ``df`` bucketed by ``key`` and read it back.
+
+    Joins, groupings and cogroups by ``key`` then take the stored rows as they are and move only
+    the other side. The table is an external one of the session's catalog, in the shared folder.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, label)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    buckets = max(1, min(buckets, MOST_BUCKETS))
+    df.write.mode("error").option("path", path).option("compression", "zstd").bucketBy(buckets, key).saveAsTable(name)
+    return spark.table(name)
