@@ -17,6 +17,7 @@ from tidemark.llm.secrets import BASE_RULES, scan_secrets
 from tidemark.llm.topk import top_k
 from tidemark.llm.toxicity import fit_toxicity, score_toxicity
 from tidemark.llm.warc import read_warc, write_warc
+from tidemark.llm.windows import remove_repeated_windows
 from tidemark.sources.workspace import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -248,3 +249,29 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustered.select(
         "vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(told, 256).alias("centroid_sha256")
     )
+
+
+@_register(
+    "op12_substrings",
+    r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+each AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM w),
+starts AS (SELECT doc_id, i, concat_ws(' ', word, """
+    + ", ".join(f"lead(word, {k}) OVER o" for k in range(1, 12))
+    + r""") AS t, lead(word, 12) OVER o AS last FROM each WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY t, last) AS least FROM starts WHERE last IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM g WHERE least < doc_id),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+""",
+)
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 13 words over all documents."""
+    removed = remove_repeated_windows(_table(spark, sf_dir, "documents"))
+    return removed.select(
+        "doc_id",
+        "n_words",
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"]).alias("n_removed"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
