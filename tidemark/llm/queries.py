@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.llm.align import align_tokenizers
 from tidemark.llm.centroids import cluster_vectors
 from tidemark.llm.exact_dedup import exact_duplicates
 from tidemark.llm.lm import score_texts
@@ -275,3 +276,16 @@ def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"]).alias("n_removed"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@_register("op11_align")
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between two public vocabularies over all documents."""
+    import public_tokenizers
+
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    aligned = align_tokenizers(_table(spark, sf_dir, "documents"), *paths)
+    return aligned.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+        F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256"),
+    )
