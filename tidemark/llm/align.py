@@ -24,6 +24,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LOT_BYTES = 1 << 18
 #: A group with more pairs of tokens is counted by its distinct ids.
 PLAIN_PAIRS = 256
+#: Rows leave the last pass in batches of about so many units.
+PART_UNITS = 1 << 17
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -37,6 +39,18 @@ def byte_level_bytes() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class Bytes:
+    """The bytes of each id of a tokenizer, and the id in digits."""
+
+    def __init__(self, table: list[bytes]):
+        self.table = table
+        self.length = np.fromiter(map(len, table), np.int64, len(table))
+        self.digits = np.arange(len(table)).astype(f"S{len(str(len(table) - 1))}")
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.table.__getitem__, ids.tolist()))
+
+
 class Encoders:
     """Both tokenizers, and the bytes of each of their ids.
 
@@ -62,6 +76,7 @@ class Encoders:
             bytes([int(_BYTE_PIECE.fullmatch(p)[1], 16)]) if self.second.is_byte(i) else p.replace("▁", " ").encode()
             for i, p in enumerate(pieces)
         ]
+        self.tables = [Bytes(self.first_bytes), Bytes(self.second_bytes)]
         split = json.loads(spec).get("pre_tokenizer") or {}
         form = sentencepiece_model_pb2.ModelProto.FromString(model).normalizer_spec
         self.cuttable = (
@@ -78,10 +93,14 @@ class Encoders:
     def units(self, text: str) -> list[str]:
         return _CUT.split(text) if self.cuttable else [text]
 
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of each unit after a blank, by the first and by the second tokenizer."""
-        ids = [e.ids for e in self.first.encode_batch([" " + u for u in units], add_special_tokens=False)]
-        return ids, self.second.encode(units, num_threads=1)
+    def joinable(self, unit: str) -> bool:
+        """Whether the unit's ids are the same behind and before other such units."""
+        return self.cuttable and "▁" not in unit and not unit[0].isspace() and not unit[-1].isspace()
+
+    def encode(self, text: str) -> list[np.ndarray]:
+        """Ids of a text after a blank, by the first and by the second tokenizer."""
+        [first] = self.first.encode_batch_fast([" " + text], add_special_tokens=False)
+        return [np.array(ids, np.int64) for ids in (first.ids, self.second.encode(text))]
 
 
 def linked_groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,38 +145,46 @@ class Units:
     times: np.ndarray
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((i for ids in lists for i in ids), np.int64, int(sizes.sum())), sizes
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
 
 
-def _encoded(units: list[str], encoders: Encoders) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+def _lots(units: list[str], encoders: Encoders) -> Iterator[list[str]]:
+    """Runs of units that can be encoded together; all others by themselves."""
     lot, size = [], 0
     for unit in units:
+        alone = not encoders.joinable(unit)
+        if lot and (alone or size + len(unit) > LOT_BYTES):
+            yield lot
+            lot, size = [], 0
         lot.append(unit)
-        size += len(unit) + 8
-        if size >= LOT_BYTES:
-            yield [_flat(ids) for ids in encoders.encode(lot)]
+        size += len(unit) + 1
+        if alone:
+            yield lot
             lot, size = [], 0
     if lot:
-        yield [_flat(ids) for ids in encoders.encode(lot)]
-
-
-def _restored(units: list[str], ids: np.ndarray, sizes: np.ndarray, table: list[bytes]) -> np.ndarray:
-    """Which units' tokens join to a blank and the unit."""
-    pieces = list(map(table.__getitem__, ids.tolist()))
-    if b"".join(pieces) == b"".join((" " + u).encode("utf-8", "surrogatepass") for u in units):
-        length = np.fromiter(map(len, table), np.int64, len(table))[ids]
-        told = np.diff(np.concatenate(([0], np.cumsum(length)))[np.concatenate(([0], np.cumsum(sizes)))])
-        want = np.fromiter((1 + len(u.encode("utf-8", "surrogatepass")) for u in units), np.int64, len(units))
-        if (told == want).all():
-            return np.ones(len(units), bool)
-    upto = np.cumsum(sizes)
-    return np.fromiter(
-        (b"".join(pieces[e - n : e]) == (" " + u).encode("utf-8", "surrogatepass") for u, e, n in zip(units, upto, sizes)),
-        bool,
-        len(units),
-    )
+        yield lot
+
+
+def _encoded(units: list[str], encoders: Encoders) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For either tokenizer the ids, each unit's number of ids, and whether they restore it."""
+    found: list[list[tuple]] = [[], []]
+    for lot in _lots(units, encoders):
+        text = " ".join(lot)
+        whole = _bytes(" " + text)
+        ends = np.cumsum([1 + len(_bytes(u)) for u in lot]) if len(lot) > 1 else np.array([len(whole)])
+        for side, (ids, table) in enumerate(zip(encoders.encode(text), encoders.tables)):
+            upto = np.cumsum(table.length[ids])
+            at = np.searchsorted(upto, ends)
+            good = len(upto) > 0 and upto[-1] == ends[-1] and (upto[at] == ends).all() and table.joined(ids) == whole
+            if good:
+                found[side].append((ids, np.diff(at, prepend=-1), np.ones(len(lot), bool)))
+            elif len(lot) == 1:
+                found[side].append((ids, np.array([len(ids)]), np.zeros(1, bool)))
+            else:
+                raise ValueError("a tokenizer looks across the blanks between units")
+    nothing = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+    return [tuple(map(np.concatenate, zip(*(side or nothing)))) for side in found]
 
 
 def _expanded(a, b, p, q, from_a, from_b) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -189,40 +216,35 @@ def _expanded(a, b, p, q, from_a, from_b) -> tuple[np.ndarray, np.ndarray, np.nd
     return tuple(np.concatenate(column) for column in zip(*parts))
 
 
-def _texts(ids_a, ids_b, label_a, label_b, p, q, groups_of: np.ndarray) -> list[bytes]:
+def _texts(ids, labels, sizes, groups_of: np.ndarray, tables: list[Bytes]) -> list[bytes]:
     """`a,a|b;a|b,b` of each unit, from fixed-width texts of ids and the mark after each."""
-    n = len(p)
-    place_a = np.arange(len(ids_a)) + np.concatenate(([0], np.cumsum(q)))[label_a]
-    place_b = np.arange(len(ids_b)) + np.cumsum(p)[label_b]
-    every = np.zeros(len(ids_a) + len(ids_b), np.int64)
-    every[place_a], every[place_b] = ids_a, ids_b
-    mark = np.full(len(every), ord(","), np.uint8)
+    p, q = sizes
+    wide = max(t.digits.itemsize for t in tables)
+    cells = np.zeros((len(ids[0]) + len(ids[1]), wide + 1), np.uint8)
+    before = np.concatenate(([0], np.cumsum(q)))[labels[0]], np.cumsum(p)[labels[1]]
+    for own, table, other in zip(ids, tables, before):
+        cells[np.arange(len(own)) + other, : table.digits.itemsize] = (
+            table.digits[own].view(np.uint8).reshape(len(own), table.digits.itemsize)
+        )
+    cells[:, wide] = ord(",")
     group_end = np.cumsum(p + q)
-    mark[group_end - q - 1] = ord("|")
-    mark[group_end - 1] = ord(";")
-    unit_end = np.cumsum(groups_of)
-    digits = len(str(int(every.max()))) if len(every) else 1
-    table = np.zeros((len(every), digits + 1), np.uint8)
-    table[:, :digits] = every.astype(f"S{digits}").view(np.uint8).reshape(-1, digits) if len(every) else 0
-    table[:, digits] = mark
-    filled = table != 0
+    cells[group_end - q - 1, wide] = ord("|")
+    cells[group_end - 1, wide] = ord(";")
+    filled = cells != 0
     size = np.concatenate(([0], np.cumsum(filled.sum(axis=1))))
-    joined = table[filled].tobytes()
-    ends = size[np.concatenate(([0], group_end))][np.concatenate(([0], unit_end))] if n else np.zeros(len(groups_of) + 1, np.int64)
-    return [joined[x : max(x, y - 1)] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    joined = cells[filled].tobytes()
+    unit_end = np.concatenate(([0], np.cumsum(groups_of)))
+    ends = size[np.concatenate(([0], group_end))][unit_end].tolist()
+    return [joined[x : max(x, y - 1)] for x, y in zip(ends[:-1], ends[1:])]
 
 
 def describe_units(units: list[str], encoders: Encoders) -> Units:
-    lots = list(_encoded(units, encoders))
-    (a, sizes_a), (b, sizes_b) = (
-        tuple(np.concatenate([lot[side][i] for lot in lots]) if lots else np.zeros(0, np.int64) for i in (0, 1))
-        for side in (0, 1)
-    )
-    valid = _restored(units, a, sizes_a, encoders.first_bytes) & _restored(units, b, sizes_b, encoders.second_bytes)
-    a, b = a[np.repeat(valid, sizes_a)], b[np.repeat(valid, sizes_b)]
-    sizes_a, sizes_b = np.where(valid, sizes_a, 0), np.where(valid, sizes_b, 0)
-    length = lambda table, ids: np.fromiter(map(len, table), np.int64, len(table))[ids]
-    label_a, label_b = linked_groups(np.cumsum(length(encoders.first_bytes, a)), np.cumsum(length(encoders.second_bytes, b)))
+    (a, sizes_a, good_a), (b, sizes_b, good_b) = _encoded(units, encoders)
+    valid = good_a & good_b
+    if not valid.all():
+        a, b = a[np.repeat(valid, sizes_a)], b[np.repeat(valid, sizes_b)]
+        sizes_a, sizes_b = np.where(valid, sizes_a, 0), np.where(valid, sizes_b, 0)
+    label_a, label_b = linked_groups(*(np.cumsum(t.length[ids]) for t, ids in zip(encoders.tables, (a, b))))
     n = int(label_b[-1]) + 1 if len(label_b) else 0
     p, q = np.bincount(label_a, minlength=n), np.bincount(label_b, minlength=n)
     from_a, from_b = np.cumsum(p) - p, np.cumsum(q) - q
@@ -240,7 +262,7 @@ def describe_units(units: list[str], encoders: Encoders) -> Units:
     times = np.add.reduceat(times[order], first) if len(first) else times
     of, pair = named[first] // cells, named[first] % cells
     return Units(
-        valid, sizes_a, sizes_b, groups, links, _texts(a, b, label_a, label_b, p, q, groups),
+        valid, sizes_a, sizes_b, groups, links, _texts((a, b), (label_a, label_b), (p, q), groups, encoders.tables),
         np.searchsorted(of, np.arange(len(units) + 1)), pair, times,
     )
 
@@ -380,11 +402,14 @@ def align_tokenizers(
                 offsets = np.concatenate(([0], np.cumsum(sizes)))
                 by_unit = lambda v: np.diff(np.concatenate(([0], np.cumsum(v[places] * times)))[starts])
                 found = [_sums(by_unit(v), codes, offsets) if len(v) else np.zeros(len(sizes), np.int64) for v in (best, counts)]
-                each = [texts[c] for c in codes.tolist()]
-                joined = [b";".join(each[x:y]) for x, y in zip(offsets[:-1], offsets[1:])]
                 columns = {"id": row.column("ids").slice(r, 1).flatten(), **{c: pa.array(take(c, r)) for c in per_row}}
-                columns |= {"n_best": pa.array(found[0]), "count_sum": pa.array(found[1])}
-                out.append(pa.table({**columns, "groups": pa.array(joined, pa.binary()).cast(pa.string())}))
+                told = pa.table({**columns, "n_best": pa.array(found[0]), "count_sum": pa.array(found[1])})
+                parts = np.unique([0, *np.searchsorted(offsets, np.arange(PART_UNITS, offsets[-1], PART_UNITS))])
+                for x, y in zip(parts, [*parts[1:], len(sizes)]):  # the groups' text is several times a slice
+                    each = [texts[c] for c in codes[offsets[x] : offsets[y]].tolist()]
+                    ends = (offsets[x : y + 1] - offsets[x]).tolist()
+                    joined = pa.array([b";".join(each[i:j]) for i, j in zip(ends[:-1], ends[1:])], pa.binary())
+                    out.append(told.slice(x, y - x).append_column("groups", joined.view(pa.string())))
         words.hand_back()
         return pa.concat_tables(out)
 
