@@ -21,7 +21,7 @@ from tidemark.sources.workspace import through_buckets, through_table
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Units go to the tokenizers in lots of about so many bytes; a longer unit is a lot of its own.
-LOT_BYTES = 1 << 18
+LOT_BYTES = 1 << 14
 #: A group with more pairs of tokens is counted by its distinct ids.
 PLAIN_PAIRS = 256
 #: Rows leave the last pass in batches of about so many units.
