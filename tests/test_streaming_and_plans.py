@@ -1,3 +1,4 @@
+import datetime as dt
 import os
 
 import pytest
@@ -7,7 +8,7 @@ import __spark_entry__ as contract
 from tidemark.operators import ratios, series
 from tidemark.operators import statements as st
 from tidemark.sources import workspace, writers
-from tidemark.streaming import ingest
+from tidemark.streaming import bars, ingest
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "url string, channel_name string, pub_date timestamp"
@@ -33,6 +34,53 @@ def test_late_article_is_not_taken(spark, tmp_path):
     assert got == {"u1", "u2", "u4", "u5", "u6"}
 
 
+def replayed(checkpoint):
+    """Forget that the last batch was finished, as after a crash before its commit."""
+    commits = [f for f in os.listdir(f"{checkpoint}/commits") if f.isdigit()]
+    last = max(commits, key=int)
+    os.remove(f"{checkpoint}/commits/{last}")
+    hidden = f"{checkpoint}/commits/.{last}.crc"
+    if os.path.exists(hidden):
+        os.remove(hidden)
+    return int(last)
+
+
+def test_marks_without_channel_or_time(spark, tmp_path):
+    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
+    put(spark, src, [("u1", None, "2024-01-05"), ("u2", "a", None), ("u3", "b", "2024-01-05"), ("u4", "b", None)])
+    put(spark, src, [("u5", None, "2023-01-05"), ("u6", "a", None), ("u7", "b", None), ("u8", "a", "2020-01-01")])
+    put(spark, src, [("u9", "a", "2019-01-01"), ("v1", "a", "2020-01-02"), ("v2", None, None), ("v3", "b", "2024-01-05")])
+    for _ in range(2):
+        ingest.high_water_ingest(stream(spark, src), out, cp).awaitTermination()
+    got = spark.read.parquet(out)
+    assert got.columns == ["url", "channel_name", "pub_date"]
+    assert {r["url"] for r in got.collect()} == {"u1", "u2", "u3", "u4", "u5", "u6", "u8", "v1", "v2"}
+
+
+@pytest.mark.parametrize("take", ["high_water_ingest", "first_arrivals"])
+def test_a_batch_reads_its_own_files_and_can_be_run_again(spark, tmp_path, take):
+    """Five batches, the last one run twice: its input is its file, and its rows stand once."""
+    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
+    for day in range(1, 6):
+        rows = [(f"u{day}-{i}", f"c{i % 3}", f"2024-01-{day:02d} 0{i}:00:00") for i in range(6)]
+        put(spark, src, rows + rows[:2])
+        query = getattr(ingest, take)(stream(spark, src), out, cp)
+        query.awaitTermination()
+        progress = [p for p in query.recentProgress if p["numInputRows"]]
+        assert [p["numInputRows"] for p in progress] == [8]
+        assert progress[0]["stateOperators"][0]["numRowsTotal"] == (3 if take == "high_water_ingest" else 6 * day)
+    want = sorted(r["url"] for r in spark.read.parquet(out).collect())
+    assert replayed(cp) >= 4
+    getattr(ingest, take)(stream(spark, src), out, cp).awaitTermination()
+    assert sorted(r["url"] for r in spark.read.parquet(out).collect()) == want
+    assert len(want) == (40 if take == "high_water_ingest" else 30)
+    late = [("late", "c0", "2024-01-02"), ("u1-0", "c1", "2024-02-01"), ("new", "c1", "2024-02-01")]
+    put(spark, src, late)
+    getattr(ingest, take)(stream(spark, src), out, cp).awaitTermination()
+    more = {"u1-0", "new"} if take == "high_water_ingest" else {"late", "new"}
+    assert sorted(r["url"] for r in spark.read.parquet(out).collect()) == sorted([*want, *more])
+
+
 def test_queue_is_drained_once(spark, tmp_path):
     src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
     for i in range(3):
@@ -54,6 +102,50 @@ def test_repeats_are_dropped_across_files(spark, tmp_path):
     assert sorted(str(r["url"]) for r in got) == ["None", "u1", "u2", "u3", "u4"]
 
 
+BAR = "key string, time timestamp_ntz, open double, high double, low double, close double, volume long"
+
+
+def bar(key, time, x, volume=1):
+    return (key, dt.datetime.fromisoformat(time) if time else None, x, None if x is None else x + 1, x, x, volume)
+
+
+def test_bars_close_behind_the_watermark_and_late_rows_are_kept(spark, tmp_path):
+    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
+    arrivals = [
+        [bar("a", "2024-01-05", 1.0), bar("a", "2024-01-20", 3.0), bar("b", "2024-02-09", 5.0)],
+        # The watermark is 30 January: January is open still.
+        [bar("a", "2024-01-02", 9.0), bar("b", "2024-02-20", 7.0), bar("a", "2024-01-25", None)],
+        # 10 February: January is closed; its rows are late, February is open.
+        [bar("a", "2024-01-01", 2.0), bar("c", "2024-01-31", 2.0), bar("b", "2024-02-01", 4.0), bar("a", None, 8.0)],
+        # Nothing newer, all late.
+        [bar("a", "2023-12-31", 6.0)],
+        [bar("b", "2024-03-20", 6.0)],
+    ]
+    seen = []
+    for rows in arrivals:
+        spark.createDataFrame(rows, BAR).coalesce(1).write.mode("append").parquet(src)
+        stream = ingest.file_stream(spark, src, spark.createDataFrame([], BAR).schema)
+        query = bars.stream_bars(stream, out, cp, ["key"])
+        query.awaitTermination()
+        assert query.lastProgress["numInputRows"] <= 2 * len(rows)  # its own files, for bars and for late rows
+        late = spark.read.parquet(f"{out}/late").count()
+        seen.append((spark.read.parquet(f"{out}/bars").count(), late))
+    assert seen == [(0, 0), (1, 0), (1, 3), (1, 4), (2, 4)]
+    closed = {(r["key"], r["window"].month): r for r in spark.read.parquet(f"{out}/bars").collect()}
+    jan, feb = closed["a", 1], closed["b", 2]
+    assert (jan.open, jan.high, jan.low, jan.close, jan.volume) == (9.0, 10.0, 1.0, 3.0, 4)
+    assert (feb.open, feb.high, feb.low, feb.close, feb.volume) == (4.0, 8.0, 4.0, 7.0, 3)
+    full = {(r["key"], r["window"].isoformat()[:7]): r for r in bars.completed_bars(spark, out, ["key"]).collect()}
+    assert set(full) == {("a", "2024-01"), ("b", "2024-02"), ("c", "2024-01"), ("a", "2023-12")}
+    assert (full["a", "2024-01"].open, full["a", "2024-01"].close, full["a", "2024-01"].volume) == (2.0, 3.0, 5)
+
+    before = sorted(map(str, bars.completed_bars(spark, out, ["key"]).collect()))
+    for f in ("commits/4", "commits/.4.crc"):
+        os.remove(f"{cp}/{f}")
+    bars.stream_bars(stream, out, cp, ["key"]).awaitTermination()
+    assert sorted(map(str, bars.completed_bars(spark, out, ["key"]).collect())) == before
+
+
 # -- plans ---------------------------------------------------------------------
 
 

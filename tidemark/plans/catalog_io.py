@@ -21,7 +21,7 @@ from tidemark.plans.catalog_datasets import (
 from tidemark.plans.registry import query
 from tidemark.sources import readers, writers
 from tidemark.sources.workspace import new_folder
-from tidemark.streaming import ingest
+from tidemark.streaming import bars, ingest
 
 FACT = "stock_code, category_code, year, quarter, data"
 DATE_ADDED = "strftime(date_added, '%Y-%m-%d') AS date_added"
@@ -341,3 +341,27 @@ def vec4_stream(t):
     return chunks.groupBy("url").agg(
         F.count(F.lit(1)).alias("chunks"), F.sum(F.length("chunk")).cast("long").alias("letters")
     )
+
+
+@query(
+    "agg9_stream",
+    """SELECT series_key, strftime(last_day(time), '%Y-%m-%d') AS time, arg_min(open, time) AS open, max(high) AS high,
+        min(low) AS low, arg_max(close, time) AS close, CAST(sum(volume) AS BIGINT) AS volume
+    FROM bars WHERE date_trunc('month', time) + INTERVAL 1 MONTH <= (SELECT max(time) FROM bars) - INTERVAL 10 DAY
+    GROUP BY series_key, last_day(time)""",
+    "bars",
+)
+def agg9_stream(t):
+    """Monthly bars of a stream in three arrivals, the later ones with rows of closed months."""
+    arriving, target, mark = (new_folder(t.spark, f"agg9-{x}") for x in ("in", "out", "cp"))
+    rows = t.bars.select("series_key", F.col("time").cast("timestamp_ntz").alias("time"), "open", "high", "low", "close", "volume")
+    late = F.pmod(F.xxhash64("series_key", "time"), F.lit(7)) == 0
+    arrival = F.when(F.year("time") < 1995, F.when(late, 2).otherwise(0)).otherwise(F.when(late, 2).otherwise(1))
+    for part in range(3):
+        rows.where(arrival == part).write.mode("append").parquet(arriving)
+        stream = ingest.file_stream(t.spark, arriving, rows.schema, files_per_batch=1000)
+        bars.stream_bars(stream, target, mark, ["series_key"]).awaitTermination()
+    found = bars.completed_bars(t.spark, target, ["series_key"])
+    return found.select(
+        "series_key", F.date_format(F.last_day("window"), "yyyy-MM-dd").alias("time"), "open", "high", "low", "close", "volume"
+    )

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql.streaming.state import GroupState
+
+_AT = "__at"
 
 
 def file_stream(
@@ -27,54 +30,38 @@ def _write_batch(df: DataFrame, target: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{target}/batch={batch}")
 
 
-def _stored(spark: SparkSession, folder: str, batch: int, schema: T.StructType) -> DataFrame | None:
-    """Rows written to ``folder`` by the batches before ``batch``, or None at the start."""
-    stored = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])
-    try:
-        rows = spark.read.schema(stored).parquet(folder)
-    except AnalysisException:  # the folder is not there yet
-        return None
-    return rows.where(F.col("batch") < batch).drop("batch")
-
-
-def _marks(spark: SparkSession, folder: str, batch: int, schema: T.StructType) -> DataFrame | None:
-    """Newest time per channel over the batches before ``batch``, or None at the start."""
-    rows = _stored(spark, folder, batch, schema)
-    channel, time = schema.names
-    return None if rows is None else rows.groupBy(channel).agg(F.max(time).alias("__mark"))
-
-
 def high_water_ingest(
     stream: DataFrame, target: str, checkpoint: str, channel: str = "channel_name", time: str = "pub_date"
 ) -> StreamingQuery:
     """Append what is strictly newer than the newest item of its channel so far.
 
-    As a consequence an article that arrives late is not taken. The marks are
-    kept in a small table of their own, so the ingested rows are not read again.
+    As a consequence an article that arrives late is not taken. Spark's state store keeps one
+    row per channel, the newest time of the earlier batches; a batch reads its own files and
+    the states of its channels, whatever came before. A batch that is run again finds the state
+    it began with, and the file sink writes it once. Rows without a channel have no state and
+    are always taken; rows without a time only until their channel has one. A channel's rows of
+    one batch stream through one task, so ``files_per_batch`` bounds them.
     """
     schema = stream.schema
-    mark_schema = T.StructType([schema[channel], schema[time]])
-    folder = f"{checkpoint}-marks"
-
-    def take(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        marks = _marks(spark, folder, number, mark_schema)
-        if marks is not None:
-            batch = (
-                batch.join(marks, channel, "left")
-                .where(F.col("__mark").isNull() | (F.col(time) > F.col("__mark")))
-                .select(schema.names)
-            )
-        _write_batch(batch, target, number)
-        written = spark.read.schema(schema).parquet(f"{target}/batch={number}")
-        _write_batch(written.groupBy(channel).agg(F.max(time).alias(time)), folder, number)
-
-    return (
-        stream.writeStream.foreachBatch(take)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    # Microseconds, so that no time zone takes part in a comparison.
+    marked = stream.withColumn(_AT, F.unix_micros(F.col(time).cast("timestamp")))
+    output = T.StructType([*schema.fields, T.StructField(_AT, T.LongType())])
+
+    def take(
+        key: tuple[str | None], batches: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        mark = state.get[0] if state.exists else None
+        newest = mark
+        for rows in batches:
+            at = rows[_AT]
+            yield rows if mark is None else rows[at.notna() & (at > mark)]
+            if key[0] is not None and at.notna().any():
+                newest = max(int(at.max()), newest if newest is not None else int(at.max()))
+        if newest is not None:
+            state.update((newest,))
+
+    fresh = marked.groupBy(channel).applyInPandasWithState(take, output, "newest long", "append", "NoTimeout")
+    return append_stream(fresh.select(*schema.names), target, checkpoint)
 
 
 def drain(
@@ -99,29 +86,12 @@ def drain(
 def first_arrivals(stream: DataFrame, target: str, checkpoint: str, key: str = "url") -> StreamingQuery:
     """Append the first arrival of each key, however old it is and however late a repeat comes.
 
-    The keys taken so far are a table of their own; a batch is compared with it and never with
-    event time, so nothing is lost. Of repeats within one batch any one row is taken.
+    The state store keeps one row per key taken, without a time limit: a batch is compared with
+    the keys it brings and never with event time, so nothing is lost and earlier batches are not
+    read again. Rows without a key count as repeats of each other; of repeats within one batch
+    any one row is taken. With very many keys the RocksDB provider keeps states on disk.
     """
-    key_schema = T.StructType([stream.schema[key]])
-    names = stream.schema.names
-    folder = f"{checkpoint}-keys"
-
-    def take(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        known = _stored(spark, folder, number, key_schema)
-        if known is not None:
-            fresh = fresh.join(known, fresh[key].eqNullSafe(known[key]), "left_anti")
-        _write_batch(fresh.select(names), target, number)
-        written = spark.read.schema(stream.schema).parquet(f"{target}/batch={number}")
-        _write_batch(written.select(key), folder, number)
-
-    return (
-        stream.writeStream.foreachBatch(take)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return append_stream(stream.dropDuplicates([key]), target, checkpoint)
 
 
 def append_stream(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
