@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import measures, periods
-from tidemark.operators import guards, series
+from tidemark.operators import guards, intervals, series
 from tidemark.operators.ordered import moving_averages, previous_value
 from tidemark.plans import statement_tables
 from tidemark.plans.registry import query
@@ -123,6 +123,24 @@ def flt6(t):
     return guards.guarded_requests(t.requests, "start_date", "end_date", "time_asked")
 
 
+@query(
+    "flt6_rows",
+    """SELECT event_id, event_type AS indicator_code, time_asked, strftime(time, '%Y-%m-%d') AS time, close, volume
+    FROM requests JOIN events USING (event_id) JOIN commodity ON indicator_code = event_type
+      AND time >= CAST(start_date AS DATE) AND time <= CAST(time_asked AS DATE)
+      AND time <= coalesce(try_cast(end_date AS DATE), DATE '9999-12-31')""",
+    "requests commodity",
+)
+def flt6_rows(t):
+    """Every request's rows of its series, never past the day it was asked."""
+    series_of = t["events"].select("event_id", F.col("event_type").alias("indicator_code"))
+    rows = intervals.requested_rows(
+        t.requests.join(series_of, "event_id"), t.commodity, "indicator_code", "time",
+        "start_date", "end_date", "time_asked", ["close", "volume"],
+    )
+    return dated(rows.select("event_id", "indicator_code", "time_asked", "time", "close", "volume"))
+
+
 @query(
     "agg5",
     f"""SELECT series_key, {DAY}, avg(close) * 1000 AS close, CAST(sum(volume) AS BIGINT) AS volume
