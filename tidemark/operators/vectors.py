@@ -16,8 +16,8 @@ from tidemark.functions import text as tx
 # The task functions travel with the job, so workers need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Queries up to this number are sent to every task that reads points; more are dealt, with the
-#: points, into groups of so many. Both ways score every query against every point.
+#: Queries up to this number are sent to every task that reads points; for more the points are
+#: stored in parts first, of which a query opens those its bounds do not rule out.
 QUERIES_TOGETHER = 1024
 
 
@@ -87,9 +87,10 @@ def nearest(
 
     Points outside ``[start, end]`` of ``time`` are left out before scoring; so are vectors with
     missing or non-finite components, and a query only meets points of its length. Ties go by
-    key. Points are read once for any number of queries; a task keeps k candidates per query,
-    and k per query and map task are ranked after the shuffle. Result: ``query_id, key,
-    payload…, score, place``.
+    key. Up to ``QUERIES_TOGETHER`` queries go to the points, which are read once; a task keeps k
+    candidates per query, and k per query and map task are ranked after the shuffle. More
+    queries search a store of the points (``vector_store``), written once by this call. Result:
+    ``query_id, key, payload…, score, place``.
     """
     if time is not None and start is not None:
         points = points.where(F.col(time) >= F.lit(start))
@@ -116,21 +117,11 @@ def nearest(
 
         candidates = points.mapInArrow(scan, schema)
     else:
-        groups = -(-asked.count() // QUERIES_TOGETHER)
-        parts = max(1, points.rdd.getNumPartitions())
-        dealt = asked.withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
-        dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        spread = points.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
-        spread = spread.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")))
-
-        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-            best = _Best(left.select(["query_id", "asked"]), k)
-            rows = right.select(names).combine_chunks()
-            if rows.num_rows:
-                best.offer(rows, right.column("vector").combine_chunks())
-            return best.table(left.schema.field("query_id").type, [f.type for f in rows.schema], names)
-
-        candidates = dealt.groupBy("part", "group").cogroup(spread.groupBy("part", "group")).applyInArrow(meet, schema)
+        from tidemark.operators import vector_store
+
+        store = vector_store.build_store(points, key, "vector", payload=payload)
+        hits, _ = vector_store.search_store(store, asked.withColumnRenamed("asked", "vector"), k)
+        return hits.select("query_id", *names, "score", "place")
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), key)
     return candidates.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= k)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import periods
 from tidemark.functions import text as tx
-from tidemark.operators import documents, lookup, search, vectors
+from tidemark.operators import documents, lookup, search, vector_store, vectors
 from tidemark.operators.documents import ArticleLayout, Selector
 from tidemark.plans.registry import query
 
@@ -350,6 +350,19 @@ def vec1(t):
     return rounded(vectors.nearest(t.points, t.topic_queries, k=8, **WINDOW))
 
 
+@query(
+    "vec1_store",
+    "SELECT query_id, vec_id, round(score, 6) AS score, CAST(place AS INTEGER) AS place, url FROM hits",
+    "points topics",
+    {"scores": _SCORES, "hits": _HITS},
+)
+def vec1_store(t):
+    """The same from a store of parts with bounds."""
+    store = vector_store.build_store(t.points, time="pub_date", payload=["url"], part_rows=64)
+    asked = t.topic_queries.withColumnRenamed("embedding", "vector")
+    return rounded(vector_store.search_store(store, asked, k=8, start=WINDOW["start"], end=WINDOW["end"])[0])
+
+
 @query(
     "srt5",
     """SELECT vec_id, CAST(place AS INTEGER) AS place FROM (
