@@ -20,7 +20,7 @@ from tidemark.plans.catalog_datasets import (
 )
 from tidemark.plans.registry import query
 from tidemark.sources import readers, writers
-from tidemark.sources.workspace import new_folder
+from tidemark.sources.workspace import new_folder, through_buckets
 from tidemark.streaming import bars, ingest
 
 FACT = "stock_code, category_code, year, quarter, data"
@@ -184,6 +184,21 @@ def snk4(t):
     return dated(found.select("series_key", "time", "close"), "time")
 
 
+@query(
+    "snk4_buckets",
+    f"SELECT {FACT}, industry FROM statement JOIN (SELECT stock_code, industry FROM companies) USING (stock_code)",
+    "statement companies",
+)
+def snk4_buckets(t):
+    """Facts and companies clustered by entity; their join moves no row."""
+    clustered = (
+        through_buckets(df, "snk4", "stock_code", 16)
+        for df in (t.statement.select(*FACT.split(", ")), t.companies.select("stock_code", "industry"))
+    )
+    facts, companies = clustered
+    return facts.join(companies.hint("merge"), "stock_code")
+
+
 @query(
     "snk5",
     "SELECT url, source, true AS stamped FROM news UNION ALL SELECT url, source, true FROM news",
@@ -243,6 +258,38 @@ def snk8(t):
     return st.keep_last(old, new, ["stock_code", "year", "quarter", "category_code"])
 
 
+@query(
+    "snk8_parts",
+    """SELECT stock_code, category_code, year, quarter, CASE WHEN year >= 1999 THEN data * 2 ELSE data END AS data FROM statement""",
+    "statement",
+)
+def snk8_parts(t):
+    """Newer snapshot over a stored one with a folder per year; only its years are written, twice."""
+    path = new_folder(t.spark, "snk8")
+    rows = t.statement.select("stock_code", "category_code", "quarter", "data", "year")
+    rows.write.partitionBy("year").parquet(path)
+    new = rows.where(F.col("year") >= 1999).withColumn("data", F.col("data") * 2)
+    for _ in range(2):
+        writers.upsert_partitions(new, path, ["stock_code", "year", "quarter", "category_code"], ["year"])
+    return t.spark.read.schema(rows.schema).parquet(path).select(*FACT.split(", "))
+
+
+@query(
+    "snk9_flags",
+    "SELECT url, source, coalesce(url IN (SELECT url FROM points WHERE label % 3 = 0), false) AS vectorized FROM news",
+    "news points",
+)
+def snk9_flags(t):
+    """Processed articles flagged in a table with a folder per month; other months stay as they are."""
+    path = new_folder(t.spark, "snk9")
+    rows = t.news.select("url", "source", F.lit(None).cast("boolean").alias("vectorized"), F.date_format("pub_date", "yyyy-MM").alias("month"))
+    rows.write.partitionBy("month").parquet(path)
+    for _ in range(2):
+        writers.set_flag(t.points.where("label % 3 = 0"), path, rows.schema, "url", "vectorized", ["month"])
+    found = t.spark.read.schema(rows.schema).parquet(path)
+    return found.select("url", "source", F.coalesce("vectorized", F.lit(False)).alias("vectorized"))
+
+
 @query(
     "snk9",
     "SELECT url, source FROM news WHERE url NOT IN (SELECT url FROM points)",

@@ -14,6 +14,7 @@ from tidemark.operators.ratios import account_frame, financial_ratios, with_rati
 from tidemark.plans import statement_tables
 from tidemark.plans.derived_views import base_codes
 from tidemark.plans.registry import query
+from tidemark.sources.workspace import new_folder
 
 FACT = "stock_code, category_code, year, quarter, data"
 
@@ -644,6 +645,35 @@ def agg13(t):
     return quality.distinct_counts(t.statement, ["segment"], ["stock_code", "category_code"])
 
 
+@query(
+    "agg13_observed",
+    f"""SELECT category_code, count(*) AS rows, count(*) FILTER (data IS NULL OR data < 0) AS negative,
+        (SELECT count(*) FROM statement) AS checked, (SELECT CAST(max(year) AS INTEGER) FROM statement) AS last_year
+    FROM (SELECT s.category_code, s.data, m.own FROM statement s LEFT JOIN mapping m ON s.category_code = own)
+    WHERE own IS NULL OR data IS NULL OR data < 0 GROUP BY category_code""",
+    "statement",
+    {"mapping": _MAPPING},
+)
+def agg13_observed(t):
+    """Facts stored and checked in one scan: unmapped or negative rows by code, with the observed counts."""
+    known = mapping(t).select(F.col("corp_code").alias("category_code"), F.lit(True).alias("known"))
+    rows = t.statement.join(known, "category_code", "left")
+    seen, failing = quality.checked_write(
+        rows,
+        new_folder(t.spark, "agg13"),
+        {"mapped": F.col("known"), "not_negative": F.col("data") >= 0},
+        {"last_year": F.max("year")},
+        most_failures=None,
+    )
+    negative = F.count_if(F.array_contains("failed", "not_negative"))
+    return failing.groupBy("category_code").agg(
+        F.count(F.lit(1)).alias("rows"),
+        negative.alias("negative"),
+        F.lit(seen["rows"]).cast("long").alias("checked"),
+        F.lit(seen["last_year"]).cast("int").alias("last_year"),
+    )
+
+
 @query(
     "agg14",
     "SELECT min(doc_id) AS doc_id, arg_min(source, doc_id) AS source, md5(text) AS text FROM documents GROUP BY text",

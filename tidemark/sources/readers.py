@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,28 +62,34 @@ def query(
     return spark.sql(text, args=dict(parameters or {}), **tables)
 
 
+def file_listing(spark: SparkSession, path: str) -> DataFrame:
+    """``path``, ``modified`` and ``length`` of all files under ``path``; no file is opened."""
+    listed = spark.read.format("binaryFile").load(path)
+    return listed.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_modification_time").alias("modified"),
+        F.col("_metadata.file_size").alias("length"),
+    )
+
+
 def latest_files(
     spark: SparkSession, path: str, schema: T.StructType | str, entity_pattern: str, fmt: str = "parquet"
 ) -> DataFrame:
     """Rows of the newest file of each entity; the entity is group 1 of the file name pattern.
 
-    Files of the same time are told apart by their name.
+    The newest are chosen from the listing, so older files are never opened. Files of the same
+    time are told apart by their name. A path per entity comes to the driver, which holds the
+    listing of every read anyway.
     """
-    read = spark.read.schema(schema).format(fmt)
-    rows = read.load(path).select(
-        "*",
-        F.col("_metadata.file_path").alias("__path"),
-        F.col("_metadata.file_modification_time").alias("__time"),
-    )
-    entity: Column = F.regexp_extract(F.col("__path"), entity_pattern, 1)
-    rows = rows.withColumn("entity", entity)
-    newest = (
-        rows.groupBy("entity", "__path")
-        .agg(F.max("__time").alias("__time"))
-        .groupBy("entity")
-        .agg(F.max_by("__path", F.struct("__time", "__path")).alias("__path"))
+    entity: Column = F.regexp_extract("path", entity_pattern, 1)
+    newest = file_listing(spark, path).groupBy(entity.alias("entity")).agg(
+        F.max_by("path", F.struct("modified", "path")).alias("path")
     )
-    return rows.join(newest, ["entity", "__path"], "left_semi").drop("__path", "__time")
+    paths = sorted(unquote(r["path"]) for r in newest.collect())
+    if not paths:
+        return spark.createDataFrame([], spark.read.schema(schema).format(fmt).load(path).schema).withColumn("entity", F.lit(""))
+    rows = spark.read.schema(schema).format(fmt).load(paths)
+    return rows.select("*", F.regexp_extract("_metadata.file_path", entity_pattern, 1).alias("entity"))
 
 
 def messages(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json") -> DataFrame:
