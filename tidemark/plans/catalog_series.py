@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import measures, periods
 from tidemark.operators import guards, intervals, series
+from tidemark.operators.continued import append_averages
 from tidemark.operators.ordered import moving_averages, previous_value
 from tidemark.plans import statement_tables
 from tidemark.plans.registry import query
+from tidemark.sources.workspace import new_folder
 
 KEY = "series_key"
 
@@ -354,6 +356,23 @@ def win12(t):
     return dated(rounded(rows, "EMA20", "EMA50", "EMA200"))
 
 
+@query(
+    "win12_append",
+    f"""SELECT series_key, {DAY}, close, round("EMA20", 0) AS "EMA20", round("EMA50", 0) AS "EMA50",
+        round("EMA200", 0) AS "EMA200" FROM stock_daily""",
+    "stock_daily",
+)
+def win12_append(t):
+    """The same in three parts, each going on from the summary of the part before."""
+    path, rows = new_folder(t.spark, "win12"), t.bars.select(KEY, "time", "close")
+    borders = ("1994-05-17", "1997-01-01")
+    parts = (F.col("time") < borders[0], F.col("time").between(*borders), F.col("time") > borders[1])
+    for number, part in enumerate(parts):
+        append_averages(t.spark, rows.where(part), path, number, [KEY], "time", "close", (20, 50, 200))
+    stored = t.spark.read.parquet(f"{path}/rows").drop("part")
+    return dated(rounded(stored, "EMA20", "EMA50", "EMA200"))
+
+
 @query(
     "win13",
     """SELECT series_key, CAST(year(time) AS INTEGER) AS year, CAST(month(time) AS INTEGER) AS month,
