@@ -23,6 +23,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import words
+from tidemark.llm.slices import stored_slices, text_bytes
 from tidemark.sources.workspace import through_table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -159,7 +160,7 @@ def _merge(table: pa.Table) -> pa.Table:
     value, shard = value[keep] & ~np.uint64(1), shard[keep]
     order = np.argsort(shard, kind="stable")
     names, sizes = np.unique(shard, return_counts=True)
-    return pa.table({"shard": names.astype(np.int32), "values": _lists(value[order].view(np.int64), sizes)})
+    return pa.table({"shard": names.astype(np.int64), "values": _lists(value[order].view(np.int64), sizes)})
 
 
 def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -188,9 +189,10 @@ def remove_repeats(
     """Remove each byte covered by a string of ``parsing.length`` bytes that also starts elsewhere.
 
     Texts are UTF-8; strings never cross texts; occurrences may overlap and may be in one text;
-    what is repeated is judged on the input. Three passes deal out the texts: the first counts
-    trigger keys and whether their phrases are all equal; the second fingerprints the strings
-    of phrases that are not; the third removes. Keys and strings are counted over the whole
+    what is repeated is judged on the input. Texts are stored once, in shards by position, and
+    never shuffled. Three passes read the shards in place: the first counts trigger keys and
+    whether their phrases are all equal; the second fingerprints the strings of phrases that
+    are not; the third removes. Keys and strings are counted over the whole
     corpus and sent only to the shards that hold them, of which a list is as long as there are
     shards at most.
 
@@ -200,11 +202,10 @@ def remove_repeats(
     even with equal ids. Texts shorter than a string stay whole. An empty table gives no rows;
     other columns are not looked at.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = text_bytes(docs, text_col)
     shards = max(1, math.ceil(size / SHARD_BYTES))
-    dealt = base.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int"))
+    stored = stored_slices(docs, id_col, text_col, size, SHARD_BYTES)
+    dealt = stored.select(F.col("slice").alias("shard"), "id", F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,17 +213,17 @@ def remove_repeats(
             for part in words.slices(batch, 1, SLICE_BYTES):
                 data, offsets = _bytes_of(part.column(1))
                 phrases = Phrases(data, offsets, parsing)
-                shard = part.column(0).to_numpy()[phrases.text] if len(phrases.text) else np.zeros(0, np.int32)
+                shard = part.column(0).to_numpy()[phrases.text] if len(phrases.text) else np.zeros(0, np.int64)
                 body = phrases.bodies() if len(shard) else np.zeros(0, np.int64)
                 key = phrases.keys() if len(shard) else np.zeros(0, np.int64)
                 told = body ^ words.mixed(shard.astype(np.uint64) + np.uint64(1)).view(np.int64)
                 _, where, times = np.unique(told, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[where]), pa.array(body[where]), pa.array(shard[where].astype(np.int32)), pa.array(times.astype(np.int64))],
+                    [pa.array(key[where]), pa.array(body[where]), pa.array(shard[where]), pa.array(times.astype(np.int64))],
                     ["key", "body", "shard", "n"],
                 )
 
-    parsed = dealt.select("shard", "text").mapInArrow(parse, "key long, body long, shard int, n long")
+    parsed = dealt.select("shard", "text").mapInArrow(parse, "key long, body long, shard long, n long")
     keys = parsed.groupBy("key").agg(
         F.sum("n").alias("n"), F.min("body").alias("low"), F.max("body").alias("high"), F.collect_set("shard").alias("shards")
     )
@@ -250,16 +251,16 @@ def remove_repeats(
         shard = left.column("shard")[0].as_py() if left.num_rows else 0
         value |= (times > 1).astype(np.uint64)
         return pa.table(
-            {"range": names.astype(np.int64), "shard": np.full(len(names), shard, np.int32), "values": _lists(value.view(np.int64), sizes)}
+            {"range": names.astype(np.int64), "shard": np.full(len(names), shard, np.int64), "values": _lists(value.view(np.int64), sizes)}
         )
 
     strings = (
         dealt.select("shard", "text")
         .groupBy("shard")
         .cogroup(keys.where(F.col("kind") == _MIXED).groupBy("shard"))
-        .applyInArrow(compare, "range long, shard int, values array<long>")
+        .applyInArrow(compare, "range long, shard long, values array<long>")
         .groupBy("range")
-        .applyInArrow(_merge, "shard int, values array<long>")
+        .applyInArrow(_merge, "shard long, values array<long>")
     )
     strings = through_table(strings, "repeat-strings").select("shard", "values", F.lit(_STRING).alias("kind"))
 
