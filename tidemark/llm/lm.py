@@ -14,6 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm import words
+from tidemark.llm.slices import stored_slices, text_bytes
 from tidemark.sources.workspace import through_table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -221,9 +222,9 @@ def _parts(keys: np.ndarray, k: int, ranges: int) -> Iterator[tuple[int, int, in
         yield (k - 1) * ranges + int(place[a]), int(a), int(b)
 
 
-_ASKED = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_ASKED = pa.schema([("part", pa.int32()), ("shard", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 _TOLD = pa.schema([
-    ("part", pa.int32()), ("shard", pa.int32()), ("counts", pa.binary()), ("total", pa.int64()), ("kinds", pa.int64()),
+    ("part", pa.int32()), ("shard", pa.int64()), ("counts", pa.binary()), ("total", pa.int64()), ("kinds", pa.int64()),
     ("ones", pa.int64()), ("twos", pa.int64()),
 ])
 
@@ -287,12 +288,12 @@ def _counts(dealt: DataFrame, orders: range, ranges: int, replies: DataFrame | N
     def ask_all(table: pa.Table) -> pa.Table:
         return ask(table)
 
-    rows = "part int, shard int, keys binary, counts binary"
+    rows = "part int, shard long, keys binary, counts binary"
     if replies is None:
         asked = dealt.groupBy("shard").applyInArrow(ask_all, rows)
     else:
         asked = dealt.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(ask_more, rows)
-    schema = "part int, shard int, counts binary, total long, kinds long, ones long, twos long"
+    schema = "part int, shard long, counts binary, total long, kinds long, ones long, twos long"
     return asked.groupBy("part").applyInArrow(count, schema)
 
 
@@ -320,9 +321,9 @@ def _sums(dealt: DataFrame, replies: DataFrame, settings: Settings, totals: Tota
         return pa.table({"part": table.column("part"), "shard": table.column("shard"), "sums": pa.array(sums, pa.binary())})
 
     given = dealt.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(
-        give, "part int, shard int, keys binary, counts binary"
+        give, "part int, shard long, keys binary, counts binary"
     )
-    return given.groupBy("part").applyInArrow(add, "part int, shard int, sums binary")
+    return given.groupBy("part").applyInArrow(add, "part int, shard long, sums binary")
 
 
 def _stored(df: DataFrame, label: str) -> DataFrame:
@@ -346,7 +347,8 @@ def score_texts(
     """Log10-probabilities of all texts by a model of those for whose id ``learns`` holds.
 
     Tokens are words after folding A-Z, then one end per text. Counts cover every training
-    text, and every n-gram seen is kept. The n-grams of a shard of texts go to tasks by ranges
+    text, and every n-gram seen is kept. Texts are stored once, in shards by position, and each
+    pass reads them in place. The n-grams of a shard of texts go to tasks by ranges
     of their 64-bit hashes, which answer with the counts over all texts, in the same order; the
     weights of contexts that several shards learn are added up the same way. So a task holds
     the n-grams of one shard or one range, and nothing is gathered by the driver but totals.
@@ -359,12 +361,14 @@ def score_texts(
     count and are scored each. Without training texts every token is unknown, and both scores
     are 0. An empty table gives no rows; other columns are not looked at.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    learned = F.coalesce(learns(F.col(id_col)), F.lit(True))
-    base = docs.select(F.col(id_col).alias("id"), learned.alias("learn"), text.alias("text"))
-    size = base.agg(F.sum(F.octet_length("text")), F.sum(F.col("learn").cast("long"))).first()
-    shards, texts = max(1, math.ceil((size[0] or 0) / SHARD_BYTES)), size[1] or 0
-    dealt = base.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    size, texts = text_bytes(docs, text_col), docs.where(F.coalesce(learns(F.col(id_col)), F.lit(True))).count()
+    shards = max(1, math.ceil(size / SHARD_BYTES))
+    dealt = stored_slices(docs, id_col, text_col, size, SHARD_BYTES).select(
+        F.col("slice").alias("shard"),
+        "id",
+        F.coalesce(learns(F.col("id")), F.lit(True)).alias("learn"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
 
     told = _stored(_counts(dealt, range(1, min(_BLIND, settings.order) + 1), shards), "lm-counts")
     total, kinds, ones, twos = (

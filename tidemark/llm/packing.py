@@ -17,8 +17,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: A task numbers its sequences from its partition times this.
 SEQUENCES_PER_TASK = 1 << 33
-#: Larger slices have fewer distinct words for their size.
-SLICE_BYTES = 10 << 20
+#: Larger slices have fewer distinct words for their size, and take more memory.
+SLICE_BYTES = 3 << 20
 
 
 class Encoder:
@@ -30,7 +30,7 @@ class Encoder:
     """
 
     #: Parts whose ids are remembered; then the memory is begun anew.
-    MOST_PARTS = 200_000
+    MOST_PARTS = 50_000
     # The tokenizer's own pattern, for the characters of PLAIN.
     PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
     PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
