@@ -377,7 +377,7 @@ def align_tokenizers(
     schema += ", pairs array<long>, documents array<long>"
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     buckets = math.ceil(text_bytes(docs, text_col) / STORED_BYTES)
-    stored = through_buckets(base.mapInArrow(describe, schema), "aligned", "slice", buckets)
+    stored = through_buckets(base.mapInArrow(words.tidied(describe), schema), "aligned", "slice", buckets)
 
     held = stored.select("slice", F.explode(F.arrays_zip("pairs", "documents")).alias("p"))
     held = held.select(F.col("slice").alias("of"), F.col("p.pairs").alias("pair"), F.col("p.documents").alias("n"))

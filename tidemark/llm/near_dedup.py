@@ -118,7 +118,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, sketch: Sketch) -> Dat
                 )
 
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(words.tidied(run), schema)
 
 
 def _equal_bits(left: str, right: str, sketch: Sketch) -> Column:
@@ -164,7 +164,7 @@ def _sets(keys: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_
 
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     base = base.where(F.col("id").isNull()).unionByName(base.join(ids, "id", "left_semi"))
-    made = base.mapInArrow(run, f"id {kind}, key long, shingles array<long>")
+    made = base.mapInArrow(words.tidied(run), f"id {kind}, key long, shingles array<long>")
     made = through_table(made.join(wanted.select("key"), "key", "left_semi"), "near-sets")
     # Rows that share a wanted id may have other sets, and several rows the same: one a key.
     once = made.join(wanted.select("key", F.col("id").alias("wanted")), "key").where(F.col("id").eqNullSafe(F.col("wanted")))

@@ -212,4 +212,4 @@ def pack_sequences(
             yield rows([(windows.number(), held) for held in windows.close()])
 
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(pack, schema).withColumnRenamed("id", id_col)
+    return base.mapInArrow(words.tidied(pack), schema).withColumnRenamed("id", id_col)

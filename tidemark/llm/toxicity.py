@@ -237,7 +237,7 @@ def character_model(docs: DataFrame, text_col: str) -> CharacterModel:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["code", "n"])
 
-    parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "code long, n long")
+    parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(words.tidied(count), "code long, n long")
     counts = np.zeros(_WIDTH**3)
     for row in parts.groupBy("code").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[row["code"]] = row["n"]
@@ -391,7 +391,7 @@ def fit_toxicity(
     taught = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(
         F.broadcast(sample), "id"
     )
-    taught = taught.select("label", "text").mapInArrow(restore, "label int, words array<string>")
+    taught = taught.select("label", "text").mapInArrow(words.tidied(restore), "label int, words array<string>")
     taught = taught.select("label", _features("words", prefixes).alias("features"))
     taught = through_table(taught.withColumn("row", F.monotonically_increasing_id()), "toxic-taught")
     got = {r["label"]: r["count"] for r in taught.groupBy("label").count().collect()}
@@ -466,4 +466,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
                 )
 
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(score, f"id {kind}, score double, predicted int, restored array<string>").withColumnRenamed("id", id_col)
+    return base.mapInArrow(words.tidied(score), f"id {kind}, score double, predicted int, restored array<string>").withColumnRenamed("id", id_col)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,17 @@ def hand_back() -> None:
         pass
 
 
+def tidied(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work``, after which the worker, once all that it held is freed, hands its memory back."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        gc.collect()
+        hand_back()
+
+    return run
+
+
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Codes of all words, the distinct words, and where each text's codes begin (n + 1).
 
