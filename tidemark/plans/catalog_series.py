@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import measures, periods
-from tidemark.operators import guards, intervals, series
+from tidemark.operators import guards, intervals, series, sql_tools
 from tidemark.operators.continued import append_averages
 from tidemark.operators.ordered import moving_averages, previous_value
 from tidemark.plans import statement_tables
@@ -48,6 +48,20 @@ def flt1(t):
     return dated(rounded(rows, "EMA20", "EMA50", "EMA200"))
 
 
+@query(
+    "flt1_sql",
+    f"""SELECT {DAY}, close * 1000 AS close, volume, round("EMA20" * 1000, 0) AS "EMA20",
+        round("EMA50" * 1000, 0) AS "EMA50", round("EMA200" * 1000, 0) AS "EMA200"
+    FROM stock_daily WHERE series_key = '1-URGENT' AND time BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'""",
+    "stock_daily",
+)
+def flt1_sql(t):
+    """The same by the SQL table function."""
+    sql_tools.register_tools(t.spark, {"stocks": t.stock_daily.withColumnRenamed(KEY, "stock_code")}, "2000-12-31")
+    rows = t.spark.sql("SELECT * FROM stock_range('1-URGENT', DATE'1996-01-01', DATE'2001-12-31')")
+    return dated(rounded(rows, "EMA20", "EMA50", "EMA200"))
+
+
 @query(
     "flt2",
     f"""SELECT 'daily' AS duration, {DAY}, close, CAST(volume AS BIGINT) AS volume,
