@@ -93,9 +93,11 @@ class Encoders:
     def units(self, text: str) -> list[str]:
         return _CUT.split(text) if self.cuttable else [text]
 
-    def joinable(self, unit: str) -> bool:
-        """Whether the unit's ids are the same behind and before other such units."""
-        return self.cuttable and "▁" not in unit and not unit[0].isspace() and not unit[-1].isspace()
+    def alone(self, units: list[str]) -> np.ndarray:
+        """Which units' ids are not the same behind and before other units."""
+        if not self.cuttable:
+            return np.ones(len(units), bool)
+        return np.fromiter((u.strip() != u or "▁" in u for u in units), bool, len(units))
 
     def encode(self, text: str) -> list[np.ndarray]:
         """Ids of a text after a blank, by the first and by the second tokenizer."""
@@ -151,19 +153,14 @@ def _bytes(text: str) -> bytes:
 
 def _lots(units: list[str], encoders: Encoders) -> Iterator[list[str]]:
     """Runs of units that can be encoded together; all others by themselves."""
-    lot, size = [], 0
-    for unit in units:
-        alone = not encoders.joinable(unit)
-        if lot and (alone or size + len(unit) > LOT_BYTES):
-            yield lot
-            lot, size = [], 0
-        lot.append(unit)
-        size += len(unit) + 1
-        if alone:
-            yield lot
-            lot, size = [], 0
-    if lot:
-        yield lot
+    alone = encoders.alone(units)
+    upto = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)) + 1)
+    cut = np.diff(upto // LOT_BYTES, prepend=-1) > 0
+    cut |= alone
+    cut[1:] |= alone[:-1]
+    starts = np.flatnonzero(cut).tolist()
+    for x, y in zip(starts, [*starts[1:], len(units)]):
+        yield units[x:y]
 
 
 def _encoded(units: list[str], encoders: Encoders) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -172,7 +169,10 @@ def _encoded(units: list[str], encoders: Encoders) -> list[tuple[np.ndarray, np.
     for lot in _lots(units, encoders):
         text = " ".join(lot)
         whole = _bytes(" " + text)
-        ends = np.cumsum([1 + len(_bytes(u)) for u in lot]) if len(lot) > 1 else np.array([len(whole)])
+        if len(whole) == len(text) + 1:  # a byte a character
+            ends = np.cumsum(np.fromiter(map(len, lot), np.int64, len(lot)) + 1)
+        else:
+            ends = np.cumsum(np.fromiter((len(_bytes(u)) for u in lot), np.int64, len(lot)) + 1)
         for side, (ids, table) in enumerate(zip(encoders.encode(text), encoders.tables)):
             upto = np.cumsum(table.length[ids])
             at = np.searchsorted(upto, ends)
@@ -370,6 +370,7 @@ def align_tokenizers(
                     "pairs": pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pa.array(pairs)),
                     "documents": pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pa.array(documents)),
                 }
+                del numbers, codes, units, text_of, seen, at, each, once, places
                 yield pa.RecordBatch.from_arrays(list(row.values()), list(row))
 
     schema = f"slice long, ids array<{kind}>, " + ", ".join(f"{c} array<long>" for c in [*per_row, "sizes"])
