@@ -106,6 +106,21 @@ def flt3(t):
     return dated(rounded(rows, "EMA20", "EMA50", digits=3))
 
 
+@query(
+    "flt3_monthly",
+    f"""SELECT {DAY}, close AS value, volume, round("EMA12", 3) AS "EMA12", round("EMA26", 3) AS "EMA26"
+    FROM commodity_monthly WHERE indicator_name = 'Click' AND time BETWEEN DATE '2024-01-03' AND DATE '2024-12-31'""",
+    "commodity_monthly",
+)
+def flt3_monthly(t):
+    """Commodity range by name, a row per month."""
+    table = statement_tables.commodity_table(t.commodity.where(F.col("indicator_name") == "Click"), "monthly")
+    rows = series.monthly_price_range(
+        table, "indicator_name", "Click", "2024-01-03", "2024-12-31", measure="value", factor=1
+    )
+    return dated(rounded(rows, "EMA12", "EMA26", digits=3))
+
+
 @query(
     "flt4",
     f"SELECT series_key, {DAY}, close * 1000 AS close, open * 1000 AS open FROM bars",
@@ -233,17 +248,16 @@ def agg7(t):
       arg_max(volume, time) AS volume FROM gaps GROUP BY ALL) USING (indicator_code, m)""",
     "",
     {
-        "gaps": """SELECT o_orderstatus AS indicator_code, CAST(o_orderdate AS DATE) AS time,
+        "gaps": """SELECT o_custkey AS indicator_code, CAST(o_orderdate AS DATE) AS time,
             arg_max(round(o_totalprice * 100), o_orderkey) AS close, count(*) AS volume
-            FROM orders WHERE month(o_orderdate) NOT IN (2, 3, 9) GROUP BY ALL"""
+            FROM orders GROUP BY ALL"""
     },
 )
 def agg8(t):
-    """Last values of each month per order status, empty months (three a year) kept as rows."""
+    """Last values of each month per customer, the many months without an order kept as rows."""
     rows = (
         t["orders"]
-        .where(~F.month("o_orderdate").isin(2, 3, 9))
-        .groupBy(F.col("o_orderstatus").alias("indicator_code"), F.to_date("o_orderdate").alias("time"))
+        .groupBy(F.col("o_custkey").alias("indicator_code"), F.to_date("o_orderdate").alias("time"))
         .agg(
             F.max_by(F.round(F.col("o_totalprice") * 100), "o_orderkey").alias("close"),
             F.count(F.lit(1)).alias("volume"),

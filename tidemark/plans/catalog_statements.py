@@ -634,6 +634,18 @@ def agg3(t):
     return dates(st.industry_statements(t.statement, t.companies))
 
 
+@query(
+    "agg3_means",
+    f"""SELECT industry AS stock_code, category_code, avg(data) AS data, year, quarter, {DATE_ADDED}, 'industry' AS segment
+    FROM statement JOIN (SELECT stock_code, industry FROM companies) USING (stock_code)
+    GROUP BY industry, category_code, year, quarter, date_added""",
+    "statement companies",
+)
+def agg3_means(t):
+    """Industry means alone, as facts whose entity is the industry."""
+    return dates(st.industry_mean_rows(t.statement, t.companies))
+
+
 @query(
     "agg13",
     """SELECT segment, count(DISTINCT stock_code) AS n_stock_code, count(DISTINCT category_code) AS n_category_code
