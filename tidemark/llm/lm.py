@@ -1,4 +1,9 @@
-"""Scores of texts by a backoff language model with failure arcs, over all n-grams of the corpus."""
+"""Scores of texts by a backoff language model over all n-grams of the corpus.
+
+The weights are those of a backoff automaton: kept n-grams as arcs, and for a token without one
+the weight of the failure arc to the shorter context. They are filled in for all places of a shard
+at once, order by order; no state is carried along a text.
+"""
 
 from __future__ import annotations
 
@@ -157,7 +162,7 @@ class Grams:
 
 
 class Model:
-    """What a shard's n-grams weigh: states are the kept n-grams shorter than the order.
+    """What a shard's n-grams weigh; contexts are the kept n-grams shorter than the order.
 
     ``count[k]`` are counts over all training texts, ``several[k]`` says which n-grams other
     shards have too. ``kept[k]`` are the arcs (for one token: the words in n-grams) with

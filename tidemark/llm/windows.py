@@ -1,8 +1,9 @@
 """Removal of word windows that an earlier document has, by Rabin-Karp hashes counted in Spark.
 
-Every window of ``words`` words has a rolling hash of 128 bits. Slices of text send 32 bits of
-each distinct window to the range of hashes it lies in; only windows whose short hash two slices
-share are sent with their full hash and document. What a document must remove goes back to its
+Every window of words has two rolling hashes of 64 bits. Slices of text send 32 bits of the
+first for each distinct window to the range of hashes it lies in; only windows whose short hash
+two slices share are sent with the second as well and with their document. Windows count as
+equal when range, short hash and second hash are: about 100 bits. What a document must remove goes back to its
 slice, where the windows merge into maximal runs of words.
 """
 
@@ -185,7 +186,7 @@ def remove_repeated_windows(
     Words are runs of anything but ASCII white space and stay as they are. Windows lie within a
     document and are judged on the input, not on what is left. Texts are stored once, in slices
     by position; three passes read the slices in place, and only hashes are shuffled: 32 bits of
-    each distinct window of a slice, then 128 bits and the document for those that several
+    each distinct window of a slice, then 64 more and the document for those that several
     slices share. Hashes are dealt out by ranges of their values, which grow with the text.
 
     Returns per input row ``id_col``, ``n_words``, ``spans`` (start and length in words of the
