@@ -102,7 +102,7 @@ class Encoders:
     def encode(self, text: str) -> list[np.ndarray]:
         """Ids of a text after a blank, by the first and by the second tokenizer."""
         [first] = self.first.encode_batch_fast([" " + text], add_special_tokens=False)
-        return [np.array(ids, np.int64) for ids in (first.ids, self.second.encode(text))]
+        return [np.array(ids, np.int32) for ids in (first.ids, self.second.encode(text))]
 
 
 def linked_groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,14 +117,15 @@ def linked_groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, n
     onto_a = np.searchsorted(ends_a, ends_b)
     beyond = ends_a[onto_a] > ends_b if n else np.zeros(len(ends_b), bool)
     own = n + np.arange(len(ends_b))
-    pointer = np.concatenate((n + onto_b, np.where(beyond, onto_a, own)))
+    kind = np.int32 if n + len(ends_b) < 1 << 31 else np.int64
+    pointer = np.concatenate((n + onto_b, np.where(beyond, onto_a, own))).astype(kind)
     while True:
         farther = pointer[pointer]
         if np.array_equal(farther, pointer):
             break
         pointer = farther
     last = pointer[n:] == own
-    label = (np.cumsum(last) - 1)[pointer - n] if len(own) else pointer
+    label = (np.cumsum(last, dtype=kind) - 1)[pointer - n] if len(own) else pointer
     return label[:n], label[n:]
 
 
@@ -183,7 +184,7 @@ def _encoded(units: list[str], encoders: Encoders) -> list[tuple[np.ndarray, np.
                 found[side].append((ids, np.array([len(ids)]), np.zeros(1, bool)))
             else:
                 raise ValueError("a tokenizer looks across the blanks between units")
-    nothing = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+    nothing = [(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool))]
     return [tuple(map(np.concatenate, zip(*(side or nothing)))) for side in found]
 
 
@@ -252,17 +253,20 @@ def describe_units(units: list[str], encoders: Encoders) -> Units:
     groups = np.bincount(unit, minlength=len(units))
     upto = np.concatenate(([0], np.cumsum(p * q)))
     links = np.diff(upto[np.concatenate(([0], np.cumsum(groups)))])
+    texts = _texts((a, b), (label_a, label_b), (p, q), groups, encoders.tables)
+    del label_a, label_b
     g, x, y, times = _expanded(a, b, p, q, from_a, from_b)
     width = len(encoders.second_bytes)
     cells = np.int64(len(encoders.first_bytes) * width)
-    named = unit[g] * cells + x * width + y
+    named = unit[g] * cells + x.astype(np.int64) * width + y
+    del a, b, g, x, y
     order = np.argsort(named, kind="stable")
     named = named[order]
     first = np.flatnonzero(np.diff(named, prepend=-1))
     times = np.add.reduceat(times[order], first) if len(first) else times
     of, pair = named[first] // cells, named[first] % cells
     return Units(
-        valid, sizes_a, sizes_b, groups, links, _texts((a, b), (label_a, label_b), (p, q), groups, encoders.tables),
+        valid, sizes_a, sizes_b, groups, links, texts,
         np.searchsorted(of, np.arange(len(units) + 1)), pair, times,
     )
 
@@ -371,7 +375,10 @@ def align_tokenizers(
                     "documents": pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pa.array(documents)),
                 }
                 del numbers, codes, units, text_of, seen, at, each, once, places
-                yield pa.RecordBatch.from_arrays(list(row.values()), list(row))
+                batch_out = pa.RecordBatch.from_arrays(list(row.values()), list(row))
+                del row, pairs, documents, held, lost, offsets, sizes
+                words.hand_back()
+                yield batch_out
 
     schema = f"slice long, ids array<{kind}>, " + ", ".join(f"{c} array<long>" for c in [*per_row, "sizes"])
     schema += ", codes binary, texts array<binary>, pair_at binary, pair_sizes binary, times array<long>"
