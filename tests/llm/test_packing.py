@@ -94,3 +94,14 @@ def test_crc_matches(spark):
     data = np.array([5, 70000, 1], "<u4").tobytes()
     got = spark.createDataFrame([(bytearray(data),)], "ids binary").selectExpr("crc32(ids) c").first().c
     assert got == zlib.crc32(data)
+
+
+def test_waiting_windows_are_bounded(tokenizer, spark, monkeypatch):
+    """Rests above half a window find no partner; beyond a bound they fill each other up."""
+    from tidemark.llm import packing
+
+    monkeypatch.setattr(packing, "MOST_HELD_IDS", 20_000)
+    rows = [(i, " ".join(["a"] * 1500)) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    used, sequences = check(tokenizer, df)
+    assert sequences * 2048 - used < 2048 * (used // 20_000 + 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SEQUENCES_PER_TASK = 1 << 33
 #: Larger slices have fewer distinct words for their size, and take more memory.
 SLICE_BYTES = 3 << 20
+#: Ids in partially filled windows; beyond them a task lets the windows fill each other up.
+MOST_HELD_IDS = 4 << 20
+#: Windows in a batch of rows: some 400,000 ids.
+BATCH_WINDOWS = 200
 
 
 class Encoder:
@@ -85,7 +90,7 @@ class Windows:
     """Partially filled windows by fill level, and where a rest of a document goes."""
 
     def __init__(self, window: int, first: int):
-        self.window, self.next = window, first
+        self.window, self.next, self.held_ids = window, first, 0
         self.levels: list[list] = [[] for _ in range(window)]
         self.counts = np.zeros(window + 1, np.int64)
 
@@ -116,7 +121,9 @@ class Windows:
         held = self.levels[level].pop() if level else []
         self.counts[level] -= bool(level)
         held.append(piece)
+        self.held_ids += size
         if level + size == self.window:
+            self.held_ids -= self.window
             return held
         self.levels[level + size].append(held)
         self.counts[level + size] += 1
@@ -139,7 +146,7 @@ class Windows:
                 if not left[low]:
                     low += 1
             yield held
-        self.levels, self.counts[:] = [[] for _ in range(self.window)], 0
+        self.levels, self.counts[:], self.held_ids = [[] for _ in range(self.window)], 0, 0
 
 
 def pack_sequences(
@@ -156,14 +163,14 @@ def pack_sequences(
     vocabulary, some megabytes). A document is its ids and ``end_id``. Whole windows are cut
     from its front; the rest is placed online into the fill level that keeps the sum of the
     squared numbers of partially filled windows least. Each task packs the partition that it
-    reads, so nothing is shuffled; at its end the windows left fill each other up, and one
-    partial window a task remains to be padded.
+    reads, so nothing is shuffled. At its end, and whenever ``MOST_HELD_IDS`` ids wait in
+    partial windows, the windows left fill each other up; one partial window remains each time.
 
     Returns a row per piece: ``id_col``, ``start`` (ids of the document before it),
     ``length``, ``ids`` (binary, little-endian unsigned 32-bit), ``doc_tokens``,
     ``sequence_id`` and ``offset``. A null or empty text is ``end_id`` alone. Repeated rows and
     null ids are packed like others. An empty table gives no rows; other columns are not
-    looked at. A task holds one slice of texts and at most one rest per level.
+    looked at. A task holds one slice of texts (or one very long text) and the waiting ids.
     """
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as file:
@@ -191,6 +198,11 @@ def pack_sequences(
             names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
+        def closed(windows: Windows) -> Iterator[pa.RecordBatch]:
+            left = windows.close()
+            while some := [(windows.number(), held) for held in islice(left, BATCH_WINDOWS)]:
+                yield rows(some)
+
         for batch in batches:
             kind = batch.schema.field(0).type
             for part in words.slices(batch, 1, SLICE_BYTES):
@@ -204,12 +216,14 @@ def pack_sequences(
                         held = windows.place((key, whole, total, ids[whole:].copy()))
                         if held:
                             done.append((windows.number(), held))
-                    if len(done) >= 200:  # some 400,000 ids
+                    if len(done) >= BATCH_WINDOWS:
                         yield rows(done)
                         done = []
+                    if windows.held_ids > MOST_HELD_IDS:
+                        yield from closed(windows)
                 yield rows(done)
         if kind is not None:
-            yield rows([(windows.number(), held) for held in windows.close()])
+            yield from closed(windows)
 
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return base.mapInArrow(words.tidied(pack), schema).withColumnRenamed("id", id_col)
