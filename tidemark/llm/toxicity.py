@@ -442,11 +442,12 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     gives no rows; other columns are not looked at.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    # Pickled by value, so that workers need no copy of this package.
+    held = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, tuple[str, ...]] = {}
-        m = held.value
+        m = cloudpickle.loads(held.value)
         for batch in batches:
             for part in words.slices(batch, 1):
                 codes, found, offsets = restored_words(part.column(1), m.characters, seen)
