@@ -4,7 +4,7 @@ import re
 import pytest
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.near_dedup import near_duplicates
+from tidemark.llm.near_dedup import Sketch, near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -38,8 +38,8 @@ def brute(rows):
     )
 
 
-def ours(df):
-    out = near_duplicates(df).collect()
+def ours(df, sketch=Sketch()):
+    out = near_duplicates(df, sketch=sketch).collect()
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
     return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=repr)
 
@@ -78,3 +78,19 @@ def test_components(spark, links):
                 parent[n] = min(ra | rb)
     assert {r.node: r.root for r in got} == parent
     assert len(got) == len(parent)
+
+
+def test_large_buckets_are_joined_by_rare_shingles(spark, documents, edge):
+    """Texts that share most of a passage meet in buckets; links among them must not be lost."""
+    passage = " ".join(f"p{i}" for i in range(120))
+    rows = [(k, passage + " " + " ".join(f"own{k}x{i}" for i in range(45 + k % 9))) for k in range(40)]
+    rows += [(100 + k, rows[k][1] + " end") for k in range(0, 40, 4)]
+    rows += [(200 + k, " ".join(rows[k][1].split()[:-9])) for k in range(1, 40, 5)]
+    rare = Sketch(most_paired=2)
+    want = brute(rows)
+    assert 1 < len({c for _, _, c in want}) < len(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ours(df, rare) == ours(df) == want
+    assert ours(edge, rare) == brute([(r.doc_id, r.text) for r in edge.collect()])
+    docs = documents.selectExpr("doc_id", "text")
+    assert ours(docs, Sketch(most_paired=1)) == brute([(r.doc_id, r.text) for r in docs.collect()])

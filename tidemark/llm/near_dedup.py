@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm import words
 from tidemark.llm.components import connected_components
@@ -18,8 +18,9 @@ from tidemark.sources.workspace import through_table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: A hub or id is one long; so many are at most some 40 MB when broadcast.
-MOST_BROADCAST_KEYS = 1_000_000
+#: A bucket has three longs, an id one or, in a struct, a few; so many are at most some 40 MB
+#: when broadcast.
+MOST_BROADCAST_KEYS = 250_000
 
 
 @dataclass(frozen=True)
@@ -37,6 +38,7 @@ class Sketch:
     least_estimate: float = 0.575
     minima: int = 256
     seed: int = 20
+    most_paired: int = 64
 
     @property
     def planes(self) -> int:
@@ -80,11 +82,11 @@ def _minima(values: np.ndarray, scale: np.ndarray, shift: np.ndarray) -> np.ndar
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, sketch: Sketch) -> DataFrame:
-    """``id``, ``n`` (set size), ``key`` and ``check`` (128 bits of the set), ``bands`` (hashes,
+    """``id``, ``n`` (set size), ``h0`` and ``h1`` (128 bits of the set), ``bands`` (hashes,
     told apart by band) and the bit planes ``p0``, ``p1``, … of the low bits."""
     kind = docs.schema[id_col].dataType.simpleString()
     planes = [f"p{i}" for i in range(2 * sketch.planes)]
-    schema = f"id {kind}, n long, key long, check long, bands array<long>, " + ", ".join(f"{p} long" for p in planes)
+    schema = f"id {kind}, n long, h0 long, h1 long, bands array<long>, " + ", ".join(f"{p} long" for p in planes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -114,7 +116,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, sketch: Sketch) -> Dat
                 columns.append(words.list_column(joint.view(np.int64), sketch.bands))
                 columns += [pa.array(np.ascontiguousarray(b[:, i])) for b in bits for i in range(sketch.planes)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *columns], ["id", "n", "key", "check", "bands", *planes]
+                    [part.column(0), *columns], ["id", "n", "h0", "h1", "bands", *planes]
                 )
 
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -143,7 +145,7 @@ def _may_link(left: str, right: str, sketch: Sketch) -> Column:
 
 def _sets(keys: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, sketch: Sketch) -> DataFrame:
     """``key`` and ``shingles`` of some nodes, made again from their documents' texts."""
-    wanted = nodes.join(keys, "key", "left_semi").select("key", F.col("first").alias("id"))
+    wanted = nodes.join(keys, "key", "left_semi").select("key", "h0", "h1", F.col("first").alias("id"))
     wanted = through_table(wanted, "near-wanted")
     ids, _ = broadcast_if_small(wanted.select("id"), MOST_BROADCAST_KEYS)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -154,21 +156,21 @@ def _sets(keys: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_
         for batch in batches:
             for part in words.slices(batch, 1):
                 found = list(shingle_sets(part.column(1), sketch))
-                keys = [np.frombuffer(xxhash.xxh3_128_digest(v.tobytes(), sketch.seed), np.int64)[0] for v in found]
+                digests = b"".join(xxhash.xxh3_128_digest(v.tobytes(), sketch.seed) for v in found)
+                h = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                h0, h1 = (pa.array(np.ascontiguousarray(h[:, i])) for i in range(2))
                 ends = np.cumsum([0] + [len(v) for v in found]).astype(np.int32)
                 flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.array(keys, np.int64)), lists], ["id", "key", "shingles"]
-                )
+                yield pa.RecordBatch.from_arrays([part.column(0), h0, h1, lists], ["id", "h0", "h1", "shingles"])
 
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     base = base.where(F.col("id").isNull()).unionByName(base.join(ids, "id", "left_semi"))
-    made = base.mapInArrow(words.tidied(run), f"id {kind}, key long, shingles array<long>")
-    made = through_table(made.join(wanted.select("key"), "key", "left_semi"), "near-sets")
+    made = base.mapInArrow(words.tidied(run), f"id {kind}, h0 long, h1 long, shingles array<long>")
     # Rows that share a wanted id may have other sets, and several rows the same: one a key.
-    once = made.join(wanted.select("key", F.col("id").alias("wanted")), "key").where(F.col("id").eqNullSafe(F.col("wanted")))
-    return through_table(once.groupBy("key").agg(F.first("shingles").alias("shingles")), "near-sets")
+    made = made.join(wanted.select("key", "h0", "h1"), ["h0", "h1"]).select("key", "shingles")
+    made = through_table(made, "near-sets")
+    return through_table(made.groupBy("key").agg(F.first("shingles").alias("shingles")), "near-sets")
 
 
 def _similar(left: str, right: str, sketch: Sketch) -> Column:
@@ -198,6 +200,56 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str,
     return through_table(links.select("a", "b"), "near-links")
 
 
+def _across(
+    left: DataFrame, card: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, sketch: Sketch
+) -> DataFrame:
+    """Links (a, b) between the ``left`` members (bucket, key, root) of open buckets.
+
+    In a bucket of at most ``sketch.most_paired`` members all pairs across components are held
+    against the packed bits and the sets, inside a join that only links leave. Members of larger
+    buckets are joined by rare shingles instead: in the order from the rarest shingle to the
+    commonest, two sets of similarity t share one of the first n - ceil(t n) + 1 of either, so
+    only members that share such a shingle meet, however many lie in the bucket. That loses no
+    link, and texts that have only a common passage in common do not meet by it.
+    """
+    sets = _sets(left.select("key").distinct(), docs, nodes, id_col, text_col, sketch)
+    sizes = left.groupBy("bucket").agg(F.count("*").alias("members"))
+    sized = through_table(left.join(sizes, "bucket"), "near-sized")
+    few = sized.where(F.col("members") <= sketch.most_paired).select("bucket", "key", "root")
+    many = sized.where(F.col("members") > sketch.most_paired).select("key", "root").distinct()
+
+    # Small buckets. The sets ride along, and a pair counts in the first of its buckets alone.
+    buckets = few.groupBy("key").agg(F.array_sort(F.collect_list("bucket")).alias("buckets"))
+    full = few.join(through_table(card.join(sets, "key").join(buckets, "key"), "near-full"), "key")
+    x, y = full.alias("x"), full.alias("y")
+    apart = (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y", sketch)
+    first = F.get(F.array_intersect("x.buckets", "y.buckets"), F.lit(0)) == F.col("x.bucket")
+    same = (F.col("x.bucket") == F.col("y.bucket")) & apart & first & _similar("x.shingles", "y.shingles", sketch)
+    links = x.join(y, same).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+    if many.isEmpty():
+        return links
+
+    # Large buckets. The sets of a node's prefix ride apart from it; pairs are confirmed after.
+    shingles = sets.join(many, "key").select("key", "root", F.explode("shingles").alias("shingle"))
+    shingles = through_table(shingles, "near-shingles")
+    counts = shingles.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
+    place = Window.partitionBy("key").orderBy("times", "shingle")
+    prefix = F.col("n") - F.ceil(F.col("n") * F.lit(sketch.percent) / 100) + 1
+    # A shingle of one node alone comes first in its order and joins nothing.
+    ranked = shingles.join(counts, "shingle", "left").withColumn("times", F.coalesce("times", F.lit(1)))
+    ranked = ranked.withColumn("place", F.row_number().over(place)).join(card, "key")
+    rare = through_table(ranked.where((F.col("place") <= prefix) & (F.col("times") > 1)).drop("place", "times"), "near-rare")
+    x, y = rare.alias("x"), rare.alias("y")
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & apart)
+    pairs = through_table(pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct(), "near-rare-pairs")
+    confirmed = (
+        pairs.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("_b")), "b")
+        .join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("_a")), "a")
+        .where(_similar("_a", "_b", sketch))
+    )
+    return links.unionByName(confirmed.select("a", "b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketch: Sketch = Sketch()
 ) -> DataFrame:
@@ -206,37 +258,35 @@ def near_duplicates(
     A document's set are its distinct five-word shingles after folding A-Z; with fewer words,
     the whole sequence is one. Documents with equal sets are one node. In each bucket of a
     band all nodes are compared with its smallest and its largest node. Buckets whose other
-    nodes are then still in several components have all pairs across components compared,
-    inside a join that only links leave. Pairs are held against the packed bits first; every
+    nodes are then still in several components are compared across components: small ones by
+    pairs, larger ones by rare shingles that similar sets must share. Pairs are held against the packed bits first; every
     link is confirmed on full sets, which are made for candidates only.
 
     Returns per input row ``id_col``, ``n_shingles``, ``component_id`` (smallest id reachable)
     and ``kept`` (id = component_id). A null or blank text has an empty set and is linked with
     nothing. Rows that repeat an id share its decision; a row without id is in a component but
     is never its name unless no row has one. An empty table gives no rows; other columns are
-    not looked at.
+    not looked at. A very long text is a slice of its own, and its set one row. Ids may be
+    structs, which are compared field by field.
     """
     table = through_table(sketches(docs, id_col, text_col, sketch), "near-sketches")
     planes = [f"p{i}" for i in range(2 * sketch.planes)]
     nodes = (
         table.where("n > 0")
-        .groupBy("key")
+        .groupBy("h0", "h1")
         .agg(
             F.min("id").alias("first"), F.max("n").alias("n"), F.count("*").alias("rows"),
-            F.min("check").alias("check"), F.max("check").alias("other"), *(F.max(p).alias(p) for p in planes),
+            F.first("bands").alias("bands"), *(F.max(p).alias(p) for p in planes),
         )
     )
-    nodes = through_table(nodes, "near-nodes")
-    if nodes.where(F.col("check") != F.col("other")).limit(1).count():
-        # Two sets share the 64 bits that name a node; other seeds tell them apart.
-        again = Sketch(**{**sketch.__dict__, "seed": sketch.seed + 1})
-        return near_duplicates(docs, id_col, text_col, again)
+    # The stored table gives each distinct set its number, by which it is known from here on.
+    nodes = through_table(nodes.withColumn("key", F.monotonically_increasing_id()), "near-nodes")
 
-    entries = table.where("n > 0").select("key", F.explode("bands").alias("bucket"))
+    entries = nodes.select("key", F.explode("bands").alias("bucket"))
     buckets = entries.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
     buckets = through_table(buckets, "near-buckets")
     hint, _ = broadcast_if_small(buckets, MOST_BROADCAST_KEYS)
-    members = through_table(entries.join(hint, "bucket").distinct(), "near-members")
+    members = through_table(entries.join(hint, "bucket"), "near-members")
     card = nodes.select("key", "n", *planes)
 
     def stars(hub: str) -> DataFrame:
@@ -255,29 +305,19 @@ def near_duplicates(
     hint, _ = broadcast_if_small(through_table(open_.select("bucket"), "near-open"), MOST_BROADCAST_KEYS)
     left = through_table(rooted.join(hint, "bucket"), "near-apart")
 
-    # What is left is compared across components. The sets ride along, and a pair counts in the
-    # first of its buckets alone, so that only confirmed links leave the join.
-    sets = _sets(left.select("key").distinct(), docs, nodes, id_col, text_col, sketch)
-    buckets = left.groupBy("key").agg(F.array_sort(F.collect_list("bucket")).alias("buckets"))
-    full = left.join(through_table(card.join(sets, "key").join(buckets, "key"), "near-full"), "key")
-    x, y = full.alias("x"), full.alias("y")
-    across = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
-    first = F.get(F.array_intersect("x.buckets", "y.buckets"), F.lit(0)) == F.col("x.bucket")
-    across = across & _may_link("x", "y", sketch) & first & _similar("x.shingles", "y.shingles", sketch)
-    more = x.join(y, across).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-    more = through_table(more, "near-links")
+    more = through_table(_across(left, card, docs, nodes, id_col, text_col, sketch), "near-links")
     if not more.isEmpty():
         known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = through_table(connected_components(known.unionByName(more)), "near-roots")
 
     named = nodes.join(roots, F.col("key") == F.col("node"), "left").select(
-        "key", "first", "rows", F.coalesce("root", "key").alias("root"), F.col("root").isNotNull().alias("linked")
+        "key", "h0", "h1", "first", "rows", F.coalesce("root", "key").alias("root"), F.col("root").isNotNull().alias("linked")
     )
     named = through_table(named.where("linked OR rows > 1"), "near-named")
     names = through_table(named.groupBy("root").agg(F.min("first").alias("component_id")), "near-names")
-    named = through_table(named.join(names, "root").select("key", "component_id", F.lit(True).alias("known")), "near-named")
+    named = through_table(named.join(names, "root").select("h0", "h1", "component_id", F.lit(True).alias("known")), "near-named")
     plain = table.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    others = table.where("n > 0").join(named, "key", "left").select(
+    others = table.where("n > 0").join(named, ["h0", "h1"], "left").select(
         "id", "n", F.when(F.col("known"), F.col("component_id")).otherwise(F.col("id")).alias("component_id")
     )
     return plain.unionByName(others).select(
