@@ -7,6 +7,8 @@ import pandas as pd
 import pytest
 
 from tests.llm.conftest import LONG
+from pyspark.sql import functions as F
+
 from tidemark.llm import warc
 from tidemark.llm.warc import read_warc, write_warc
 
@@ -83,3 +85,12 @@ def test_members_over_many_reads():
     found = [(at, b"".join(pieces)) for at, pieces in warc._members(Small(data))]
     assert [x for _, x in found] == [b"first" * 100, b"", b"second"]
     assert [zlib.decompressobj(31).decompress(data[at:]) for at, _ in found] == [x for _, x in found]
+
+
+def test_archives_are_read_by_many_tasks(spark, tmp_path):
+    """Adaptive execution must not gather the archives in one reader."""
+    pages = spark.range(80).selectExpr("id AS page_id", "concat('u', id) AS url", "repeat('x', 200) AS html").repartition(8)
+    manifest = write_warc(pages, str(tmp_path / "many"))
+    assert manifest.count() == 8
+    readers = read_warc(spark, manifest).select(F.spark_partition_id().alias("task")).distinct().count()
+    assert readers >= min(4, spark.sparkContext.defaultParallelism)

@@ -205,9 +205,14 @@ def _parse(begin: int, pieces: Iterator[bytes]) -> dict:
     }
 
 
-def read_warc(spark: SparkSession, manifest: DataFrame, payloads: bool = True) -> DataFrame:
+def read_warc(
+    spark: SparkSession, manifest: DataFrame, payloads: bool = True, task_bytes: int = 256 << 20
+) -> DataFrame:
     """Records of the manifest's archives, one task reading an archive from front to back.
 
+    There is a task for each ``task_bytes`` of archives or each core, whichever makes more
+    tasks, and no more tasks than archives. A list without ``bytes`` has a task an archive.
+
     Each gzip member is inflated piece by piece and must hold one record; its length framing,
     gzip checksum, block digest and (of responses) payload digest are verified, and a
     violation raises ``WarcError``. A task holds one record and a batch of at most 8 MB of
@@ -234,5 +239,9 @@ def read_warc(spark: SparkSession, manifest: DataFrame, payloads: bool = True) -
                 if rows:
                     yield pd.DataFrame(rows, columns=names)
 
-    paths = manifest.select("archive").repartition("archive")
+    tasks = archives = manifest.count()
+    if "bytes" in manifest.columns:
+        total = manifest.agg(F.sum("bytes")).first()[0] or 0
+        tasks = max(-(-total // task_bytes), spark.sparkContext.defaultParallelism)
+    paths = manifest.select("archive").repartition(max(1, min(archives, tasks)))
     return paths.mapInPandas(read, _RECORD)
