@@ -52,3 +52,26 @@ def test_edges(spark, edge, nothing):
     for docs in (typed(edge), typed(nothing)):
         for name, _ in P.STAGES:
             docs = spark.createDataFrame(stage(name, spark, docs).collect(), stage(name, spark, docs).schema)
+
+
+def test_decisions_hold_for_their_row_alone(spark):
+    """Repeated and missing ids: neither drags another row along nor stays for want of an id."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "same text here"), (1, "same text here"), (None, "same  text here"), (1, long), (None, long + " x"),
+            (2, "another text"), (2, None), (None, None), (3, "third")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    once = stage("exact_dedup", spark, docs)
+    left = sorted(((r.doc_id, r.text) for r in once.collect()), key=repr)
+    assert left == sorted([(1, "same text here"), (1, long), (None, long + " x"), (2, "another text"), (2, None), (3, "third")], key=repr)
+    once = spark.createDataFrame(once.collect(), docs.schema)
+    near = [(r.doc_id, r.text) for r in stage("near_dedup", spark, once).collect()]
+    assert sorted(near, key=repr) == sorted(set(left) - {(None, long + " x")}, key=repr)
+
+
+def test_run_leaves_the_callers_session_as_it_is(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    own = P._own_session(spark)
+    assert spark.conf.get(name) == before and own.conf.get(name) == str(P.BATCH_ROWS)
+    assert own.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")

@@ -55,10 +55,12 @@ def mix_sources(
     most_times: int = 3,
     seed: str = "mix",
     ranges: int = 1024,
+    order_col: str | None = None,
 ) -> DataFrame:
     """Take whole documents, some up to ``most_times``, so that sources come near their targets.
 
-    Documents of a source queue in the order of md5(seed, id). A copy's virtual finish time is
+    Documents of a source queue in the order of md5(seed, ``order_col``), the id unless another
+    column is named; ties go by id. A copy's virtual finish time is
     its source's tokens up to its end over the source's target; the queue begins anew for
     second and third copies. All copies are then sorted by virtual finish time, in ``ranges``
     ranges of that time for each unit, and taken until the total budget, the sum of all sizes,
@@ -72,7 +74,7 @@ def mix_sources(
     that repeat an id queue after each other; equal rows are interchangeable. An empty table
     gives no rows; other columns are not looked at.
     """
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(order_col or id_col).cast("string"), F.lit("")))
     sized = docs.select(
         F.col(id_col).alias("_id"),
         F.col(source_col).alias("source"),
