@@ -32,7 +32,9 @@ def _numbered(docs: DataFrame) -> DataFrame:
     """``docs``, stored with a number ``_row`` for each row and a ``_key`` that orders rows as
     their ids do (rows without id last), so that decisions are taken and applied row by row."""
     kept = docs.select(COLUMNS).withColumn("_row", F.monotonically_increasing_id())
-    kept = through_table(kept, "numbered")
+    path = new_folder(docs.sparkSession, "numbered")
+    kept.write.option("compression", "zstd").parquet(path)
+    kept = docs.sparkSession.read.schema(kept.schema).parquet(path)
     key = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", F.col("_row").alias("row"))
     return kept.withColumn("_key", key)
 
