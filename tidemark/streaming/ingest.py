@@ -12,6 +12,10 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
 _AT = "__at"
+#: Rows of a batch between Spark and its Python workers. A worker holds a batch several times
+#: over, and articles have kilobytes each, so Spark's usual 10,000 rows would take gigabytes.
+BATCH_ROWS = 500
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def file_stream(
@@ -40,7 +44,7 @@ def high_water_ingest(
     the states of its channels, whatever came before. A batch that is run again finds the state
     it began with, and the file sink writes it once. Rows without a channel have no state and
     are always taken; rows without a time only until their channel has one. A channel's rows of
-    one batch stream through one task, so ``files_per_batch`` bounds them.
+    one batch stream through one task, ``BATCH_ROWS`` at a time.
     """
     schema = stream.schema
     # Microseconds, so that no time zone takes part in a comparison.
@@ -61,7 +65,14 @@ def high_water_ingest(
             state.update((newest,))
 
     fresh = marked.groupBy(channel).applyInPandasWithState(take, output, "newest long", "append", "NoTimeout")
-    return append_stream(fresh.select(*schema.names), target, checkpoint)
+    # A query keeps the settings it is started with; the caller's stay as they are.
+    conf = stream.sparkSession.conf
+    usual = conf.get(_BATCH_ROWS)
+    conf.set(_BATCH_ROWS, str(min(BATCH_ROWS, int(usual)) if int(usual) > 0 else BATCH_ROWS))
+    try:
+        return append_stream(fresh.select(*schema.names), target, checkpoint)
+    finally:
+        conf.set(_BATCH_ROWS, usual)
 
 
 def drain(
