@@ -223,3 +223,32 @@ def test_averages_scan_and_shuffle_the_data_once(spark, bars_path):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert text.count("FileScan") == 1 and text.count("ReusedExchange") == 2
+
+
+# -- size of batches and files ---------------------------------------------------
+
+
+def test_few_rows_at_a_time_go_to_python_workers(spark, tmp_path):
+    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
+    put(spark, src, [(f"u{i}", "a", "2024-01-05") for i in range(1200)])
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    query = ingest.high_water_ingest(stream(spark, src), out, cp)
+    assert query._jsq.streamingQuery().sparkSessionForStream().conf().get(name) == str(ingest.BATCH_ROWS)
+    query.awaitTermination()
+    assert spark.conf.get(name) == before
+    assert spark.read.parquet(out).count() == 1200
+
+
+def test_arriving_files_follow_the_input(spark, monkeypatch):
+    from tidemark.plans import catalog_io
+    from tidemark.plans.derived_views import Tables
+
+    t = Tables(spark, SF)
+    stored = os.path.getsize(f"{SF}/documents.parquet")
+    monkeypatch.setattr(catalog_io, "FILE_BYTES", stored // 9)
+    path, schema, files = catalog_io.article_files(t, "test")
+    written = [f for f in os.listdir(path) if f.endswith(".parquet")]
+    assert len(written) == files == 10 and spark.read.schema(schema).parquet(path).count() == t.news.count()
+    for name in ("str1", "str2", "str3", "vec4_stream"):
+        assert contract.queries()[name](spark, SF).count() == t.news.count(), name

@@ -306,12 +306,22 @@ def snk9(t):
 # -- streaming ---------------------------------------------------------------------------
 
 
-def article_files(t, label):
-    """Articles as a folder of files that arrive one by one, plus its schema."""
+#: Stored bytes of documents for each file of arriving articles; a task writes one file.
+FILE_BYTES = 16 << 20
+
+
+def article_files(t, label, columns=("url", "channel_name", "pub_date", "text"), least=4):
+    """Articles as a folder of files that arrive one by one, plus its schema and the number of files.
+
+    Files are as many as the documents need at ``FILE_BYTES`` each, ``least`` at least. Callers
+    take a share of them a batch, so more input makes larger batches of more tasks.
+    """
     path = new_folder(t.spark, label)
-    rows = t.news.select("url", "channel_name", "pub_date", "text")
-    rows.repartitionByRange(4, "pub_date", "url").sortWithinPartitions("pub_date", "url").write.parquet(path)
-    return path, rows.schema
+    rows = t.news.select(*columns)
+    stored = readers.file_listing(t.spark, f"{t.dir}/documents.parquet").agg(F.sum("length")).first()[0]
+    files = max(least, -(-(stored or 0) // FILE_BYTES))
+    rows.repartitionByRange(files, "pub_date", "url").sortWithinPartitions("pub_date", "url").write.parquet(path)
+    return path, rows.schema, files
 
 
 #: Between the articles that str1 brings first and those it brings with them again.
@@ -327,14 +337,14 @@ MIDDLE = "2024-07-01"
 )
 def str1(t):
     """High-water ingest of files in time order over several batches, old and new rows mixed."""
-    path, schema = article_files(t, "str1")
+    path, schema, files = article_files(t, "str1")
     target, mark = new_folder(t.spark, "str1-out"), new_folder(t.spark, "str1-cp")
     rows = t.spark.read.schema(schema).parquet(path)
     arriving = new_folder(t.spark, "str1-in")
     # First the older half, then everything: of the second arrival only the newer half is taken.
     for part in (rows.where(F.col("pub_date") < F.lit(MIDDLE).cast(schema["pub_date"].dataType)), rows):
         part.write.mode("append").parquet(arriving)
-        stream = ingest.file_stream(t.spark, arriving, schema, files_per_batch=1000)
+        stream = ingest.file_stream(t.spark, arriving, schema, files_per_batch=max(1000, 2 * files))
         ingest.high_water_ingest(stream, target, mark).awaitTermination()
     return t.spark.read.schema(schema).parquet(target).select("url", "channel_name")
 
@@ -346,14 +356,14 @@ def str1(t):
 )
 def str2(t):
     """Queue drained in batches; every article is worked on once."""
-    path, schema = article_files(t, "str2")
+    path, schema, files = article_files(t, "str2")
     target, mark = new_folder(t.spark, "str2-out"), new_folder(t.spark, "str2-cp")
 
     def work(batch):
         return batch.select("url", F.length("text").cast("bigint").alias("length"))
 
     for _ in range(2):
-        stream = ingest.file_stream(t.spark, path, schema, files_per_batch=2)
+        stream = ingest.file_stream(t.spark, path, schema, files_per_batch=-(-files // 2))
         ingest.drain(stream, work, target, mark).awaitTermination()
     return t.spark.read.schema("url string, length long").parquet(target).select("url", "length")
 
@@ -361,10 +371,10 @@ def str2(t):
 @query("str3", "SELECT url, channel_name FROM news", "news")
 def str3(t):
     """Repeated arrivals dropped, over several batches."""
-    path, schema = article_files(t, "str3")
+    path, schema, files = article_files(t, "str3")
     t.spark.read.schema(schema).parquet(path).write.mode("append").parquet(path)
     target, mark = new_folder(t.spark, "str3-out"), new_folder(t.spark, "str3-cp")
-    stream = ingest.file_stream(t.spark, path, schema, files_per_batch=3)
+    stream = ingest.file_stream(t.spark, path, schema, files_per_batch=-(-3 * files // 4))
     ingest.first_arrivals(stream.select("url", "channel_name"), target, mark).awaitTermination()
     return t.spark.read.schema("url string, channel_name string").parquet(target).select("url", "channel_name")
 
@@ -378,11 +388,9 @@ def str3(t):
 )
 def vec4_stream(t):
     """Chunk table filled incrementally from arriving articles; its chunks per article are compared."""
-    path = new_folder(t.spark, "vec4")
-    rows = t.news.select("url", "title", "pub_date", "text")
-    rows.repartitionByRange(3, "pub_date", "url").write.parquet(path)
+    path, schema, files = article_files(t, "vec4", ("url", "title", "pub_date", "text"), least=3)
     target, mark = new_folder(t.spark, "vec4-out"), new_folder(t.spark, "vec4-cp")
-    stream = ingest.file_stream(t.spark, path, rows.schema, files_per_batch=1)
+    stream = ingest.file_stream(t.spark, path, schema, files_per_batch=-(-files // 3))
     ingest.drain(stream, documents.chunk_table, target, mark).awaitTermination()
     chunks = t.spark.read.schema("url string, chunk string").parquet(target)
     return chunks.groupBy("url").agg(
