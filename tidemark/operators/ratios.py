@@ -371,7 +371,11 @@ def ratio_dimension(spark) -> DataFrame:
 
 
 def with_ratio_codes(ratios: DataFrame) -> DataFrame:
-    """Attach code and name; a ratio without a code is an error at run time."""
-    joined = ratios.join(ratio_dimension(ratios.sparkSession), "function_name", "left")
+    """Attach code and name; a ratio without a code is an error at run time.
+
+    The dimension has a row per ratio known here, so it is sent to the ratio rows, of which a
+    period has a hundred; dealing those out by name would put all of a name in one task.
+    """
+    joined = ratios.join(F.broadcast(ratio_dimension(ratios.sparkSession)), "function_name", "left")
     missing = "CAST(raise_error(concat('no ratio code for ', function_name)) AS STRING)"
     return joined.withColumn("ratio_code", F.expr(f"coalesce(ratio_code, {missing})"))

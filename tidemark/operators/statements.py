@@ -332,7 +332,11 @@ def industry_ratios(
     top: int = 20,
 ) -> DataFrame:
     """Mean ratio of each industry's largest entities."""
-    members = largest_entities(facts, companies, metric, top).drop("rank")
+    return member_means(ratios, largest_entities(facts, companies, metric, top).drop("rank"))
+
+
+def member_means(ratios: DataFrame, members: DataFrame) -> DataFrame:
+    """Mean ratio of ``members`` ``(industry, year, quarter, stock_code)`` per industry and period."""
     return (
         ratios.join(members, ["year", "quarter", "stock_code"])
         .groupBy("industry", "year", "quarter", "ratio_code")

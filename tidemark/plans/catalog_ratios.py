@@ -162,8 +162,7 @@ _MEMBERS = """
 def agg4(t):
     """Mean ratios of the fifteen largest companies of each industry, all segments."""
     stored, codes = stored_facts(t)
-    ratios = st.stacked(*(ratio_tables.segment_ratios(stored[s], s, codes=codes[s]) for s in SEGMENTS))
-    means = st.industry_ratios(ratios, t.statement, t.companies, top=15)
+    means = ratio_tables.industry_means(stored, t.companies, codes=codes)
     return means.withColumns(
         {"data_mean": F.round("data_mean", 6), "date_added": F.date_format("date_added", "yyyy-MM-dd")}
     )
@@ -173,9 +172,7 @@ _IND = """SELECT industry AS stock_code, year, quarter, ratio_code, round(avg(da
     FROM finished JOIN members USING (stock_code, year, quarter) GROUP BY ALL"""
 
 
-def whole_table(t):
-    stored, codes = stored_facts(t)
-    rows = ratio_tables.ratio_table(stored, t.companies, universal=t.statement, codes=codes)
+def as_compared(rows):
     return rows.withColumns(
         {"data": F.round("data", 6), "date_added": F.date_format("date_added", "yyyy-MM-dd")}
     )
@@ -189,7 +186,8 @@ def whole_table(t):
 )
 def rat_ind(t):
     """Industry means as rows of the ratio table."""
-    return whole_table(t).where(F.col("segment") == "industry")
+    stored, codes = stored_facts(t)
+    return as_compared(ratio_tables.industry_rows(stored, t.companies, codes=codes))
 
 
 @query(
@@ -204,7 +202,9 @@ def rat_ind(t):
 )
 def job6(t):
     """Statements, trailing rows, ratios and industry means end to end; summary per ratio."""
-    return whole_table(t).groupBy("segment", "ratio_code").agg(
+    stored, codes = stored_facts(t)
+    table = as_compared(ratio_tables.ratio_table(stored, t.companies, codes=codes))
+    return table.groupBy("segment", "ratio_code").agg(
         F.count(F.lit(1)).alias("rows"),
         F.countDistinct("stock_code").alias("entities"),
         F.min("data").alias("lowest"),

@@ -56,7 +56,36 @@ def segment_ratios(
     return long.select(*COLUMNS, "family")
 
 
-def ratio_table(
+def _each_segment(
+    facts_by_segment: Mapping[str, DataFrame],
+    prices: DataFrame | None,
+    notes: DataFrame | None,
+    codes: Mapping[str, Sequence[str]] | None,
+    **options,
+) -> DataFrame:
+    """Finished ratio rows of all segments; notes are the banks'."""
+    parts = [
+        segment_ratios(
+            f, s, prices, notes if s == "bank" else None, codes=codes and codes[s], **options
+        ).select(COLUMNS)
+        for s, f in facts_by_segment.items()
+    ]
+    return st.stacked(*parts)
+
+
+def _charts(
+    facts_by_segment: Mapping[str, DataFrame], prices: DataFrame | None, notes: DataFrame | None
+) -> dict[str, list[str]]:
+    """The accounts that occur in each segment's facts."""
+    found = {}
+    for s, f in facts_by_segment.items():
+        wanted = set(r.rb.account_codes(r.rb.BINDINGS[s]))
+        rows = f if notes is None or s != "bank" else st.stacked(*(x.select("category_code") for x in (f, notes)))
+        found[s] = [*r.codes_present(rows, wanted), *(["Price"] if prices is not None else [])]
+    return found
+
+
+def industry_means(
     facts_by_segment: Mapping[str, DataFrame],
     companies: DataFrame,
     prices: DataFrame | None = None,
@@ -66,23 +95,28 @@ def ratio_table(
     codes: Mapping[str, Sequence[str]] | None = None,
     **options,
 ) -> DataFrame:
-    """Ratios of every segment plus industry means as rows of segment ``industry``.
+    """Mean ratios of each industry's ``top`` entities, as ``industry_ratios`` has them.
 
-    ``universal`` are the facts the industries' largest entities are ranked
-    by; the segments' own facts serve when it is omitted. ``codes`` are the
-    segments' charts of accounts; without them each is looked up in the facts.
+    Ratios of an entity depend on its own facts only, so they are made for entities that are
+    among the largest of some period: ``top`` an industry and period at most, however many
+    companies report. The charts of accounts are those of all facts.
     """
-    parts = [
-        segment_ratios(
-            f, s, prices, notes if s == "bank" else None, codes=codes and codes[s], **options
-        ).select(COLUMNS)
-        for s, f in facts_by_segment.items()
-    ]
-    # Written once: the industry means read the same rows again.
-    ratios = through_table(st.stacked(*parts), "ratios")
+    if codes is None:
+        codes = _charts(facts_by_segment, prices, notes)
     ranked_by = universal if universal is not None else st.stacked(*facts_by_segment.values())
-    means = st.industry_ratios(ratios, ranked_by, companies, top=top)
-    industry_rows = means.select(
+    members = through_table(st.largest_entities(ranked_by, companies, top=top).drop("rank"), "members")
+    entities = members.select("stock_code").distinct()
+
+    def own(rows: DataFrame | None) -> DataFrame | None:
+        return None if rows is None else rows.join(entities, "stock_code", "left_semi")
+
+    facts = {s: own(f) for s, f in facts_by_segment.items()}
+    return st.member_means(_each_segment(facts, own(prices), own(notes), codes, **options), members)
+
+
+def industry_rows(*args, **options) -> DataFrame:
+    """``industry_means`` as rows of the ratio table, segment ``industry``."""
+    return industry_means(*args, **options).select(
         F.col("industry").alias("stock_code"),
         "year",
         "quarter",
@@ -91,4 +125,27 @@ def ratio_table(
         "date_added",
         F.lit("industry").alias("segment"),
     )
-    return st.stacked(ratios, industry_rows)
+
+
+def ratio_table(
+    facts_by_segment: Mapping[str, DataFrame],
+    companies: DataFrame,
+    prices: DataFrame | None = None,
+    universal: DataFrame | None = None,
+    notes: DataFrame | None = None,
+    top: int = 15,
+    codes: Mapping[str, Sequence[str]] | None = None,
+    **options,
+) -> DataFrame:
+    """Ratios of every segment plus industry means as rows of segment ``industry``.
+
+    ``universal`` are the facts the industries' largest entities are ranked
+    by; the segments' own facts serve when it is omitted. ``codes`` are the
+    segments' charts of accounts; without them each is looked up in the facts.
+    The facts are read for the rows and again for the means, so stored ones are best.
+    """
+    if codes is None:
+        codes = _charts(facts_by_segment, prices, notes)
+    rows = _each_segment(facts_by_segment, prices, notes, codes, **options)
+    means = industry_rows(facts_by_segment, companies, prices, universal, notes, top, codes, **options)
+    return st.stacked(rows, means)
