@@ -252,3 +252,52 @@ def test_arriving_files_follow_the_input(spark, monkeypatch):
     assert len(written) == files == 10 and spark.read.schema(schema).parquet(path).count() == t.news.count()
     for name in ("str1", "str2", "str3", "vec4_stream"):
         assert contract.queries()[name](spark, SF).count() == t.news.count(), name
+
+
+# -- ratio table -----------------------------------------------------------------
+
+
+def facts_of(n):
+    codes = ratios.rb.account_codes(ratios.rb.CORP)
+    rows = [(f"S{i}", 2000, q, c, float(i * 7 % 11 + j)) for i in range(n) for q in range(5) for j, c in enumerate(codes)]
+    rows = [(*r, dt.date(2000, 12 if r[2] == 0 else r[2] * 3, 30)) for r in rows]
+    return rows, "stock_code string, year int, quarter int, category_code string, data double, date_added date", codes
+
+
+def test_ratio_codes_are_sent_to_the_rows(spark):
+    rows = spark.range(10).selectExpr("concat('EBIT', substr(cast(id AS string), 9)) AS function_name", "id")
+    text = plan(ratios.with_ratio_codes(rows))
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
+def test_trailing_rows_read_the_facts_once(spark, tmp_path):
+    from tidemark.plans import statement_tables
+
+    path = str(tmp_path / "facts")
+    rows, schema, _ = facts_of(2)
+    rows = [r for r in rows if not r[3].endswith("_TTM")]
+    spark.createDataFrame(rows, schema).write.parquet(path)
+    found = statement_tables.with_trailing_rows(spark.read.parquet(path))
+    assert plan(found).split("Initial Plan")[-1].count("FileScan") == 1
+    assert found.where("category_code LIKE '%_TTM' AND quarter <> 4").isEmpty()
+    one = found.where("stock_code = 'S1' AND category_code LIKE 'IS%TTM'").first()
+    own = [r[4] for r in rows if r[0] == "S1" and r[2] and r[3] + "_TTM" == one.category_code]
+    assert len(own) == 4 and one.data == sum(own)
+
+
+def test_industry_means_make_ratios_of_members_only(spark, tmp_path):
+    from tidemark.plans import ratio_tables
+
+    path = str(tmp_path / "facts")
+    rows, schema, codes = facts_of(9)
+    spark.createDataFrame(rows, schema).write.parquet(path)
+    facts = spark.read.parquet(path)
+    companies = spark.createDataFrame([(f"S{i}", "xy"[i % 2]) for i in range(9)], "stock_code string, industry string")
+    got = ratio_tables.industry_means({"corp": facts}, companies, top=2)
+    want = st.industry_ratios(ratio_tables.segment_ratios(facts, "corp", codes=codes), facts, companies, top=2)
+    assert "LeftSemi" in plan(got)
+    rounded = [sorted(tuple(r.asDict().values()) for r in df.withColumn("data_mean", F.round("data_mean", 6)).collect()) for df in (got, want.select(got.columns))]
+    assert rounded[0] == rounded[1] and rounded[0]
+    table = ratio_tables.ratio_table({"corp": facts}, companies, top=2)
+    assert table.where("segment = 'industry'").count() == len(rounded[0])
+    assert table.where("segment = 'corp'").count() == ratio_tables.segment_ratios(facts, "corp", codes=codes).count()

@@ -40,11 +40,19 @@ def merged_notes(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def with_trailing_rows(facts: DataFrame, calendar: bool = True) -> DataFrame:
-    """Facts plus trailing-twelve-month rows of the eligible income and cash-flow accounts."""
-    eligible = facts.where(
-        F.col("category_code").isNotNull() & st.ttm_candidates(F.col("category_code"))
-    )
-    return facts.unionByName(growth.trailing_twelve_months(eligible, calendar=calendar))
+    """Facts plus trailing-twelve-month rows of the eligible income and cash-flow accounts.
+
+    The facts are read once: the trailing sum stands beside each row and becomes a row after it.
+    """
+    code, names = F.col("category_code"), facts.columns
+    chosen = F.coalesce(st.ttm_candidates(code), F.lit(False)) & (F.col("quarter") != 0)
+    sums = growth.trailing_sum(F.col("data"), growth.run_window("category_code"), calendar)
+    rows = facts.withColumn("__ttm", sums).withColumn("__ttm", F.when(chosen, F.col("__ttm")))
+    trailing = {"category_code": F.concat(code, F.lit("_TTM")), "data": F.col("__ttm")}
+    own = F.struct(*names)
+    added = F.struct(*[trailing.get(c, F.col(c)).alias(c) for c in names])
+    both = F.when(F.col("__ttm").isNull(), F.array(own)).otherwise(F.array(own, added))
+    return rows.select(F.inline(both)).select(names)
 
 
 def account_dimension(standard: DataFrame, notes: DataFrame) -> DataFrame:
