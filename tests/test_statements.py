@@ -178,3 +178,33 @@ def test_peers_leave_out_the_company_itself(spark):
     assert by["S7"] == ["S6", "S5", "S4"] and by["S0"] == ["S7", "S6", "S5"] and "T" not in by and "U" not in by
     one = [r["stock_code"] for r in lookup.similar_companies(df, "S6", 3).collect()]
     assert one == ["S7", "S5", "S4"]
+
+
+def test_reconciliation_reads_each_side_once(spark, tmp_path):
+    from tidemark.operators import quality
+
+    for name, codes in (("fact", ["a", "a", "b", None]), ("mapping", ["b", "c", None])):
+        spark.createDataFrame([(c,) for c in codes], "category_code string").write.parquet(str(tmp_path / name))
+    found = quality.reconciliation(*(spark.read.parquet(str(tmp_path / n)) for n in ("fact", "mapping")))
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2
+    assert sorted(map(tuple, found.collect())) == [("a", "mapping"), ("c", "fact")]
+
+
+def test_empty_months_without_join(spark):
+    from tidemark.operators import series
+
+    rows = spark.createDataFrame(
+        [("a", "1999-11-05", 1.0), ("a", "1999-11-09", 2.0), ("a", "2000-02-01", 3.0), ("b", "2000-01-01", 4.0)], "k string, d string, x double"
+    ).withColumn("d", F.to_date("d"))
+    found = series.month_end_last(rows, ["k"], "d", ["x"], empty_months=True)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.k, str(r.d), r.x) for r in found.collect())
+    assert got == [("a", "1999-11-30", 2.0), ("a", "1999-12-31", None), ("a", "2000-01-31", None), ("a", "2000-02-29", 3.0), ("b", "2000-01-31", 4.0)]
+
+
+def test_period_labels_are_those_of_the_statements(spark):
+    from tidemark.plans import catalog_statements
+    from tidemark.plans.derived_views import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert catalog_statements.period_labels(t) == sorted(r[0] for r in catalog_statements.raw(t).select("time").distinct().collect())

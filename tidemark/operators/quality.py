@@ -7,8 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tidemark.operators.statements import codes_missing
-
 
 def distinct_counts(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Distinct values per group, computed as a de-duplication before the count."""
@@ -16,12 +14,15 @@ def distinct_counts(df: DataFrame, by: Sequence[str], columns: Sequence[str]) ->
 
 
 def reconciliation(fact: DataFrame, mapping: DataFrame, column: str = "category_code") -> DataFrame:
-    """Codes found on one side only, with the side that lacks them."""
-    return codes_missing(fact, mapping, column).select(
-        column, F.lit("mapping").alias("missing_in")
-    ).unionByName(
-        codes_missing(mapping, fact, column).select(column, F.lit("fact").alias("missing_in"))
+    """Codes found on one side only, with the side that lacks them; each side is read once."""
+    sides = fact.select(column, F.lit(True).alias("__fact")).unionByName(
+        mapping.select(column, F.lit(False).alias("__fact"))
+    )
+    found = sides.where(F.col(column).isNotNull()).groupBy(column).agg(
+        F.bool_or("__fact").alias("__in_fact"), F.bool_and("__fact").alias("__only_fact")
     )
+    missing = F.when(F.col("__only_fact"), "mapping").when(~F.col("__in_fact"), "fact")
+    return found.select(column, missing.alias("missing_in")).where(F.col("missing_in").isNotNull())
 
 
 def checked_write(
