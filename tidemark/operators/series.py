@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import measures
@@ -148,18 +148,27 @@ def month_end_mean(
 
 
 def with_empty_months(bars: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
-    """Add a row with null measures for each month without data inside a series."""
+    """Add a row with null measures for each month without data inside a series.
+
+    A row brings the months between it and the next of its series, so the rows are read once.
+    """
     keys = list(keys)
-    months = F.sequence(
-        F.trunc(F.min(time), "month"), F.trunc(F.max(time), "month"), F.expr("interval 1 month")
-    )
-    spine = (
-        bars.groupBy(*keys)
-        .agg(months.alias("m"))
-        .select(*keys, F.explode("m").alias("m"))
-        .select(*keys, F.last_day("m").alias(time))
+    after = F.lead(time).over(Window.partitionBy(*keys).orderBy(time))
+    first, last = F.add_months(F.trunc(time, "month"), 1), F.add_months(F.trunc("__after", "month"), -1)
+    none = F.array().cast("array<date>")
+    gaps = F.when(first <= last, F.sequence(first, last, F.expr("interval 1 month"))).otherwise(none)
+    kind = {f.name: f.dataType for f in bars.schema.fields}
+    empty = F.transform(
+        gaps,
+        lambda m: F.struct(
+            *[
+                (F.col(c) if c in keys else F.last_day(m) if c == time else F.lit(None)).cast(kind[c]).alias(c)
+                for c in bars.columns
+            ]
+        ),
     )
-    return spine.join(bars, [*keys, time], "left").select(bars.columns)
+    rows = bars.where(F.col(time).isNotNull()).withColumn("__after", after)
+    return rows.select(F.inline(F.concat(F.array(F.struct(*bars.columns)), empty))).select(bars.columns)
 
 
 def quarter_end_prices(df: DataFrame, key: str, time: str, columns: Sequence[str]) -> DataFrame:
