@@ -124,16 +124,26 @@ _RAW = """
         data + extra AS data FROM statement, (SELECT unnest([0, 1]) AS extra)"""
 
 
-def raw(t):
-    """Rows as a converter leaves them: period labels, every key twice."""
+def period_label():
     quarter, year = F.col("quarter").cast("string"), F.col("year").cast("string")
-    label = F.when(F.col("quarter") == 0, year).otherwise(
+    return F.when(F.col("quarter") == 0, year).otherwise(
         F.concat(F.lit("Q"), quarter, F.lit("/"), year)
     )
+
+
+def period_labels(t):
+    """Labels of all periods with lines, five a year: looked up in the lines' dates alone."""
+    days = t["lineitem"].select(F.year("l_shipdate").alias("year"), F.quarter("l_shipdate").alias("q"))
+    periods_ = days.distinct().select("year", F.explode(F.array("q", F.lit(0))).alias("quarter"))
+    return sorted({r[0] for r in periods_.select(period_label()).collect()}, key=str)
+
+
+def raw(t):
+    """Rows as a converter leaves them: period labels, every key twice."""
     return t.statement.select(
         "stock_code",
         "category_code",
-        label.alias("time"),
+        period_label().alias("time"),
         F.explode(F.array(F.col("data"), F.col("data") + 1)).alias("data"),
     )
 
@@ -1093,7 +1103,7 @@ def job8_yields(t):
 )
 def job9(t):
     """Sheet with a column per period turned into dated rows."""
-    wide = raw(t).groupBy("stock_code", "category_code").pivot("time").agg(F.min("data"))
+    wide = raw(t).groupBy("stock_code", "category_code").pivot("time", period_labels(t)).agg(F.min("data"))
     rows = wide.withColumn("Triệu VND", F.lit(0.0))
     long = st.drop_empty(st.wide_to_long(rows, ["stock_code", "category_code"]), "data")
     return dates(st.with_period(long))
