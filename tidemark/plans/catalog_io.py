@@ -20,7 +20,7 @@ from tidemark.plans.catalog_datasets import (
 )
 from tidemark.plans.registry import query
 from tidemark.sources import readers, writers
-from tidemark.sources.workspace import new_folder, through_buckets
+from tidemark.sources.workspace import new_folder, through_buckets, through_table
 from tidemark.streaming import bars, ingest
 
 FACT = "stock_code, category_code, year, quarter, data"
@@ -266,7 +266,8 @@ def snk8(t):
 def snk8_parts(t):
     """Newer snapshot over a stored one with a folder per year; only its years are written, twice."""
     path = new_folder(t.spark, "snk8")
-    rows = t.statement.select("stock_code", "category_code", "quarter", "data", "year")
+    # Written once: the table, and each of the two calls, take their rows from here.
+    rows = through_table(t.statement.select("stock_code", "category_code", "quarter", "data", "year"), "snk8-rows")
     rows.write.partitionBy("year").parquet(path)
     new = rows.where(F.col("year") >= 1999).withColumn("data", F.col("data") * 2)
     for _ in range(2):
