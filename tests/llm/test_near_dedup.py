@@ -1,4 +1,5 @@
 import itertools
+import random
 import re
 
 import pytest
@@ -94,3 +95,32 @@ def test_large_buckets_are_joined_by_rare_shingles(spark, documents, edge):
     assert ours(edge, rare) == brute([(r.doc_id, r.text) for r in edge.collect()])
     docs = documents.selectExpr("doc_id", "text")
     assert ours(docs, Sketch(most_paired=1)) == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_members_meet_only_where_enough_follows(spark, monkeypatch):
+    """Copies of one text that each lost and gained a few words resemble it, but hardly each other:
+    few of their pairs may reach the full sets, and of each a row alone."""
+    from tidemark.llm import near_dedup
+
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for k in range(90):
+        text = list(base)
+        for at in rng.sample(range(400), 12 + k % 3):
+            text[at] = f"own{k}x{at}"
+        rows.append((k, " ".join(text)))
+    rows += [(100 + k, rows[k][1] + " end") for k in range(0, 90, 9)]
+    held, store = {}, near_dedup.through_table
+
+    def through_table(df, label, *more):
+        held[label] = store(df, label, *more)
+        return held[label]
+
+    monkeypatch.setattr(near_dedup, "through_table", through_table)
+    want = brute(rows)
+    assert 1 < len({c for _, _, c in want}) < len(rows)
+    assert ours(spark.createDataFrame(rows, "doc_id long, text string"), Sketch(most_paired=2)) == want
+    pairs = held.get("near-apart-pairs", held.get("near-rare-pairs"))
+    nodes = held["near-apart"].select("key").distinct().count()
+    assert pairs.count() == pairs.distinct().count() < 4 * nodes

@@ -192,12 +192,17 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str,
     pairs = through_table(pairs, "near-pairs")
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     sets = _sets(keys, docs, nodes, id_col, text_col, sketch)
-    links = (
+    return through_table(_linked(pairs, sets, sketch), "near-links")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, sketch: Sketch) -> DataFrame:
+    """The pairs (a, b) whose sets are similar."""
+    return (
         pairs.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("_b")), "b")
         .join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("_a")), "a")
         .where(_similar("_a", "_b", sketch))
+        .select("a", "b")
     )
-    return through_table(links.select("a", "b"), "near-links")
 
 
 def _across(
@@ -206,48 +211,46 @@ def _across(
     """Links (a, b) between the ``left`` members (bucket, key, root) of open buckets.
 
     In a bucket of at most ``sketch.most_paired`` members all pairs across components are held
-    against the packed bits and the sets, inside a join that only links leave. Members of larger
-    buckets are joined by rare shingles instead: in the order from the rarest shingle to the
-    commonest, two sets of similarity t share one of the first n - ceil(t n) + 1 of either, so
-    only members that share such a shingle meet, however many lie in the bucket. That loses no
-    link, and texts that have only a common passage in common do not meet by it.
+    against the packed bits. Members of larger buckets are joined by rare shingles instead: in the
+    order from the rarest shingle to the commonest, what two sets share stands in either from their
+    first common shingle on. So the first common shingle of a link lies where enough shingles follow
+    in both, which for sets of equal size is among the first n - ceil(2 t n / (1 + t)) + 1 (a seventh
+    of a set at t = 0.75). Only members that share such a shingle there meet, however many lie in the
+    bucket. That loses no link, and texts that have only a common passage in common do not meet by
+    it. Sets are looked at for the pairs that are left.
     """
     sets = _sets(left.select("key").distinct(), docs, nodes, id_col, text_col, sketch)
     sizes = left.groupBy("bucket").agg(F.count("*").alias("members"))
     sized = through_table(left.join(sizes, "bucket"), "near-sized")
     few = sized.where(F.col("members") <= sketch.most_paired).select("bucket", "key", "root")
     many = sized.where(F.col("members") > sketch.most_paired).select("key", "root").distinct()
+    t = sketch.percent
 
-    # Small buckets. The sets ride along, and a pair counts in the first of its buckets alone.
-    buckets = few.groupBy("key").agg(F.array_sort(F.collect_list("bucket")).alias("buckets"))
-    full = few.join(through_table(card.join(sets, "key").join(buckets, "key"), "near-full"), "key")
+    # Small buckets.
+    full = few.join(card, "key")
     x, y = full.alias("x"), full.alias("y")
-    apart = (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y", sketch)
-    first = F.get(F.array_intersect("x.buckets", "y.buckets"), F.lit(0)) == F.col("x.bucket")
-    same = (F.col("x.bucket") == F.col("y.bucket")) & apart & first & _similar("x.shingles", "y.shingles", sketch)
-    links = x.join(y, same).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+    apart = (F.col("x.root") != F.col("y.root")) & _may_link("x", "y", sketch)
+    same = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") < F.col("y.key")) & apart
+    pairs = x.join(y, same).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
     if many.isEmpty():
-        return links
+        return _linked(through_table(pairs.distinct(), "near-apart-pairs"), sets, sketch)
 
-    # Large buckets. The sets of a node's prefix ride apart from it; pairs are confirmed after.
+    # Large buckets. A shingle of one node alone comes first in its order and joins nothing.
     shingles = sets.join(many, "key").select("key", "root", F.explode("shingles").alias("shingle"))
     shingles = through_table(shingles, "near-shingles")
     counts = shingles.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
-    place = Window.partitionBy("key").orderBy("times", "shingle")
-    prefix = F.col("n") - F.ceil(F.col("n") * F.lit(sketch.percent) / 100) + 1
-    # A shingle of one node alone comes first in its order and joins nothing.
     ranked = shingles.join(counts, "shingle", "left").withColumn("times", F.coalesce("times", F.lit(1)))
-    ranked = ranked.withColumn("place", F.row_number().over(place)).join(card, "key")
-    rare = through_table(ranked.where((F.col("place") <= prefix) & (F.col("times") > 1)).drop("place", "times"), "near-rare")
-    x, y = rare.alias("x"), rare.alias("y")
-    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & apart)
-    pairs = through_table(pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct(), "near-rare-pairs")
-    confirmed = (
-        pairs.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("_b")), "b")
-        .join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("_a")), "a")
-        .where(_similar("_a", "_b", sketch))
-    )
-    return links.unionByName(confirmed.select("a", "b")).distinct()
+    place = F.row_number().over(Window.partitionBy("key").orderBy("times", "shingle"))
+    ranked = ranked.withColumn("place", place).join(card, "key").withColumn("rest", F.col("n") - F.col("place") + 1)
+    # ``rest`` bounds what two sets share if they first meet here; the union is no smaller than either set.
+    rare = ranked.where((F.col("rest") * 100 >= F.col("n") * t) & (F.col("times") > 1)).drop("place", "times")
+    rare = through_table(rare, "near-rare")
+    x, y = rare.where(F.col("rest") * (100 + t) >= F.col("n") * 2 * t).alias("x"), rare.alias("y")
+    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.key") < F.col("y.key")))
+    enough = F.least("x.rest", "y.rest") * (100 + t) >= (F.col("x.n") + F.col("y.n")) * t
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & smaller & enough & apart)
+    met = met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
+    return _linked(through_table(pairs.unionByName(met).distinct(), "near-apart-pairs"), sets, sketch)
 
 
 def near_duplicates(
