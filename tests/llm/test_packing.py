@@ -35,6 +35,31 @@ def test_ids_are_the_tokenizers(tokenizer, documents):
         assert list(ids) == ids_of(tokenizer, text), repr(text)[:80]
 
 
+def test_characters_are_spelled_once(tokenizer, monkeypatch):
+    """New parts outside ASCII are not sent through the byte-level step one by one."""
+    from tokenizers import pre_tokenizers
+
+    calls, kind = [], pre_tokenizers.ByteLevel
+
+    class Counted:
+        def __init__(self, **how):
+            self.step = kind(**how)
+
+        def pre_tokenize_str(self, text):
+            calls.append(text)
+            return self.step.pre_tokenize_str(text)
+
+    monkeypatch.setattr(pre_tokenizers, "ByteLevel", Counted)
+    with open(PATH, encoding="utf-8") as file:
+        encoder = Encoder(file.read())
+    calls.clear()
+    plain = [chr(i) for i in [*range(0x21, 0x7F), *range(0xC0, 0x100)] if encoder.PLAIN.fullmatch(chr(i))]
+    texts = [f"{a}{b}x {b}É{a} é{a}" for a, b in zip(plain, reversed(plain))] * 2
+    for text, ids in zip(texts, encoder.encode(pa.array(texts), 1)):
+        assert list(ids) == ids_of(tokenizer, text), text
+    assert not calls
+
+
 def check(tokenizer, df):
     texts = defaultdict(list)
     for r in df.select("doc_id", "text").collect():

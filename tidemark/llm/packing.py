@@ -45,12 +45,13 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.model = self.tokenizer.model
-        self.byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # The tokenizer's spelling of each character outside ASCII that PLAIN allows.
+        self.spelled = {i: byte_level.pre_tokenize_str(chr(i))[0][0] for i in range(0xC0, 0x100)}
         self.known: dict[str, list[int]] = {}
 
     def _part(self, part: str) -> list[int]:
-        text = part if part.isascii() else self.byte_level.pre_tokenize_str(part)[0][0]
-        ids = [t.id for t in self.model.tokenize(text)]
+        ids = [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.spelled))]
         if len(self.known) >= self.MOST_PARTS:
             self.known.clear()
         self.known[part] = ids
@@ -63,9 +64,14 @@ class Encoder:
         parts_of, plain, known = self.PARTS.findall, self.PLAIN.fullmatch, self.known
         for i, word in enumerate(distinct):
             if plain(word) and "<|" not in word:
-                for part in parts_of(word.lower()):
-                    ids = known.get(part)
-                    flat += self._part(part) if ids is None else ids
+                word = word.lower()
+                ids = known.get(word)
+                if ids is not None:  # a part, which is not split
+                    flat += ids
+                else:
+                    for part in parts_of(word):
+                        ids = known.get(part)
+                        flat += self._part(part) if ids is None else ids
             else:
                 flat += self.tokenizer.encode(word, add_special_tokens=False).ids
             ends[i] = len(flat)
