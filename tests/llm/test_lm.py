@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,24 @@ def test_every_ngram_counts_at_any_size(spark, monkeypatch):
     out = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), LEARNS).where("doc_id >= 100 AND NOT learned")
     # A word seen once has a share of about 4e-5; in its n-grams it is far likelier than alone.
     assert all(r.score > r.base_score + 3 for r in out.collect() if r.n_known == 4)
+
+
+def test_sums_name_contexts_by_short_numbers():
+    """What shards give to the sums names a context in a byte or two, not by its hash."""
+    texts = [" ".join(f"w{i * j % 97}" for i in range(300)) for j in range(1, 9)]
+    table = pa.table({"text": texts, "learn": [True] * 8})
+    grams = lm.Grams(table, 3)
+    replies = []
+    for k in (1, 2):
+        keys = grams.keys[k][grams.asked(k, None)]
+        told = lm._narrow(4 * grams.own[k][grams.asked(k, None)] + 3)  # all are in other shards as well
+        replies.append({"part": k - 1, "counts": told, "names": lm._ranked(np.arange(len(keys)) + 2)})
+    replies.append({"part": 2, "counts": lm._narrow(4 * grams.own[3] + 1), "names": b""})
+    model = lm.Model(grams, pa.Table.from_pylist(replies), 1, lm.Settings(), lm.Totals(8, 2408, 98, 0.5))
+    given = lm._given(model, 0, 1)
+    assert [r["part"] for r in given] == [0, 1]
+    for k, row in enumerate(given, 1):
+        names = lm._unpacked(row["keys"])
+        shared = int((model.kept[k] & model.several[k]).sum())
+        assert len(names) == len(set(names.tolist())) == shared > 90
+        assert len(row["keys"]) < 2 * shared + 9

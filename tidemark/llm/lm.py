@@ -97,6 +97,15 @@ def _unpacked(held: bytes) -> np.ndarray:
     return np.cumsum(keys.view("<u8").ravel(), dtype=np.uint64)
 
 
+def _ranked(ranks: np.ndarray) -> bytes:
+    """Ascending numbers, from 2 on, as steps of mostly a byte each."""
+    return _narrow(np.diff(ranks, prepend=1))
+
+
+def _ranks(held: bytes, n: int) -> np.ndarray:
+    return 1 + np.cumsum(_wide(held, n))
+
+
 class Grams:
     """The n-grams of a shard's texts.
 
@@ -173,7 +182,9 @@ class Model:
     def __init__(self, grams: Grams, replies: pa.Table, ranges: int, settings: Settings, totals: Totals):
         self.grams, self.settings, self.totals = grams, settings, totals
         self.count, self.several, self.kept, self.chance, self.spent = {}, {}, {}, {}, {}
-        held = dict(zip(replies.column("part").to_pylist(), replies.column("counts").to_pylist()))
+        parts = replies.column("part").to_pylist()
+        held = dict(zip(parts, replies.column("counts").to_pylist()))
+        self.names = dict(zip(parts, replies.column("names").to_pylist()))
         for k, keys in grams.keys.items():
             count, first, several = grams.told(held, k, ranges, self.several.get(k - 1), totals.texts)
             self.count[k], self.several[k] = count, several
@@ -195,9 +206,20 @@ class Model:
             taken = (self.count[k][here], np.ones(len(here)), lower)  # np.bincount of nothing has integers
             self.spent[k - 1] = np.stack([np.bincount(before[here], x, n).astype(float) for x in taken])
 
-    def shared(self, k: int) -> np.ndarray:
-        """Contexts of ``k`` tokens that are in other shards' texts as well."""
-        return np.flatnonzero(self.kept[k] & self.several[k])
+    def shared(self, k: int, ranges: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Contexts of ``k`` tokens that are in other shards' texts as well: by parts, the numbers
+        that all shards know them by, ascending, and where they are."""
+        keys, name = self.grams.keys[k], np.zeros(len(self.grams.keys[k]), np.int64)
+        asked = np.flatnonzero(self.grams.asked(k, self.several.get(k - 1)))
+        for part, a, b in _parts(keys[asked], k, ranges):
+            place = asked[a:b][self.several[k][asked[a:b]]]
+            name[place] = _ranks(self.names[part], len(place))
+        if k == 1:  # a begin and an end, which are not asked for
+            name[keys == _END] = 1
+        some = np.flatnonzero(self.kept[k] & self.several[k])
+        for part, a, b in _parts(keys[some], k, ranges):
+            place = some[a:b][np.argsort(name[some[a:b]])]
+            yield part, name[place], place
 
     def scores(self, replies: pa.Table, ranges: int) -> tuple[np.ndarray, np.ndarray]:
         """Log10-probabilities of the tokens at all places, and how often their words occur."""
@@ -205,9 +227,9 @@ class Model:
         which, order = self.grams.which, self.settings.order
         logs = np.log10(self.chance[1])[which[1]]
         for k in range(2, order + 1):
-            some, spent = self.shared(k - 1), self.spent[k - 1]
-            for part, a, b in _parts(self.grams.keys[k - 1][some], k - 1, ranges):
-                spent[:, some[a:b]] = _sums_in(held[part], b - a)
+            spent = self.spent[k - 1]
+            for part, _, place in self.shared(k - 1, ranges):
+                spent[:, place] = _sums_in(held[part], len(place))
             taken, arcs, known = spent
             spent = (taken - self.settings.discount * arcs) / np.maximum(self.count[k - 1], 1)
             back = np.log10(np.maximum(1 - spent, 1e-9) / np.maximum(1 - known, 1e-9))
@@ -229,7 +251,7 @@ def _parts(keys: np.ndarray, k: int, ranges: int) -> Iterator[tuple[int, int, in
 
 _ASKED = pa.schema([("part", pa.int32()), ("shard", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 _TOLD = pa.schema([
-    ("part", pa.int32()), ("shard", pa.int64()), ("counts", pa.binary()), ("total", pa.int64()), ("kinds", pa.int64()),
+    ("part", pa.int32()), ("shard", pa.int64()), ("counts", pa.binary()), ("names", pa.binary()), ("total", pa.int64()), ("kinds", pa.int64()),
     ("ones", pa.int64()), ("twos", pa.int64()),
 ])
 
@@ -242,13 +264,14 @@ def _merged(table: pa.Table) -> tuple[pa.Table, list[np.ndarray], np.ndarray, np
     return table, keys, number, np.cumsum([0, *map(len, keys)])
 
 
-def _counts(dealt: DataFrame, orders: range, ranges: int, replies: DataFrame | None = None) -> DataFrame:
+def _counts(dealt: DataFrame, orders: range, ranges: int, order: int, replies: DataFrame | None = None) -> DataFrame:
     """Counts of n-grams of ``orders`` over all training texts, for each shard in the order of its
     hashes. ``replies`` are the counts of shorter ones: what they show to be in no other shard is
     not sent, for its shard has the count.
 
     ``counts`` are four times the count, and 1 more in the first shard that learns the n-gram,
-    which gives it to sums over all, and 2 more if several shards have it. The row with shard -1 has a part's ``total``, ``kinds``, ``ones`` and ``twos`` if it is one of words.
+    which gives it to sums over all, and 2 more if several shards have it. ``names`` number those of
+    several shards within their part, if they are shorter than ``order``: sums name them so. The row with shard -1 has a part's ``total``, ``kinds``, ``ones`` and ``twos`` if it is one of words.
     """
 
     def ask(table: pa.Table, right: pa.Table | None = None) -> pa.Table:
@@ -275,16 +298,21 @@ def _counts(dealt: DataFrame, orders: range, ranges: int, replies: DataFrame | N
         place[number[learned]] = learned  # the last to be set is the first there
         first = np.zeros(len(own), bool)
         first[place[place >= 0]] = True
-        told = 4 * total[number] + 2 * (np.bincount(number) > 1)[number] + first
+        several = np.bincount(number) > 1
+        told, rank = 4 * total[number] + 2 * several[number] + first, 1 + np.cumsum(several)
         part, none = table.column("part")[0].as_py(), {"total": 0, "kinds": 0, "ones": 0, "twos": 0}
+
+        def names(own: np.ndarray) -> bytes:
+            return _ranked(rank[own[several[own]]]) if part < (order - 1) * ranges else b""
+
         rows = [
-            {"part": part, "shard": s, "counts": _narrow(told[a:b]), **none}
+            {"part": part, "shard": s, "counts": _narrow(told[a:b]), "names": names(number[a:b]), **none}
             for s, a, b in zip(table.column("shard").to_pylist(), cuts[:-1], cuts[1:])
         ]
         if part < ranges:
             kinds, ones, twos = (total > 0).sum(), (total == 1).sum(), (total == 2).sum()
             sums = {"total": int(total.sum()), "kinds": int(kinds), "ones": int(ones), "twos": int(twos)}
-            rows.append({"part": part, "shard": -1, "counts": b"", **sums})
+            rows.append({"part": part, "shard": -1, "counts": b"", "names": b"", **sums})
         return pa.Table.from_pylist(rows, _TOLD)
 
     def ask_more(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -298,10 +326,20 @@ def _counts(dealt: DataFrame, orders: range, ranges: int, replies: DataFrame | N
         asked = dealt.groupBy("shard").applyInArrow(ask_all, rows)
     else:
         asked = dealt.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(ask_more, rows)
-    schema = "part int, shard long, counts binary, total long, kinds long, ones long, twos long"
+    schema = "part int, shard long, counts binary, names binary, total long, kinds long, ones long, twos long"
     return asked.groupBy("part").applyInArrow(count, schema)
 
 
+def _given(model: Model, shard: int, ranges: int) -> list[dict]:
+    """What a shard gives to the sums of contexts that others have too."""
+    rows = []
+    for k in range(1, model.settings.order):
+        for part, names, place in model.shared(k, ranges):
+            sums = _sum_bytes(model.spent[k][:, place])
+            rows.append({"part": part, "shard": shard, "keys": _packed(names.astype(np.uint64)), "counts": sums})
+    return rows
+
+
 def _sums(dealt: DataFrame, replies: DataFrame, settings: Settings, totals: Totals, ranges: int) -> DataFrame:
     """What the arcs of contexts in several shards take in all, for each of these shards."""
 
@@ -310,12 +348,7 @@ def _sums(dealt: DataFrame, replies: DataFrame, settings: Settings, totals: Tota
         rows = []
         if left.num_rows:
             model = Model(Grams(left, settings.order), right, ranges, settings, totals)
-            shard = left.column("shard")[0].as_py()
-            for k in range(1, settings.order):
-                some = model.shared(k)
-                keys, sums = model.grams.keys[k][some], model.spent[k][:, some]
-                for part, a, b in _parts(keys, k, ranges):
-                    rows.append({"part": part, "shard": shard, "keys": _packed(keys[a:b]), "counts": _sum_bytes(sums[:, a:b])})
+            rows = _given(model, left.column("shard")[0].as_py(), ranges)
         return pa.Table.from_pylist(rows, _ASKED)
 
     def add(table: pa.Table) -> pa.Table:
@@ -375,20 +408,20 @@ def score_texts(
         F.coalesce("text", F.lit("")).alias("text"),
     )
 
-    told = _stored(_counts(dealt, range(1, min(_BLIND, settings.order) + 1), shards), "lm-counts")
+    told = _stored(_counts(dealt, range(1, min(_BLIND, settings.order) + 1), shards, settings.order), "lm-counts")
     total, kinds, ones, twos = (
         x or 0 for x in told.where("shard = -1").agg(F.sum("total"), F.sum("kinds"), F.sum("ones"), F.sum("twos")).first()
     )
     cut = min(max(ones / max(1, ones + 2 * twos), 0.1), 0.9)  # what unigrams are discounted
     totals = Totals(texts, total + texts, kinds + (texts > 0), cut)
     half = math.log10(totals.tokens + 0.5 * (totals.kinds + 1))
-    replies = told.where("shard >= 0").select("part", "shard", "counts")
+    replies = told.where("shard >= 0").select("part", "shard", "counts", "names")
     for k in range(_BLIND + 1, settings.order + 1):
-        more = _stored(_counts(dealt, range(k, k + 1), shards, replies), "lm-counts")
-        replies = replies.unionByName(more.select("part", "shard", "counts"))
+        more = _stored(_counts(dealt, range(k, k + 1), shards, settings.order, replies), "lm-counts")
+        replies = replies.unionByName(more.select("part", "shard", "counts", "names"))
     sums = _stored(_sums(dealt, replies, settings, totals, shards), "lm-sums")
     both = replies.withColumn("sums", F.lit(None).cast("binary")).unionByName(
-        sums.select("part", "shard", F.lit(None).cast("binary").alias("counts"), "sums")
+        sums.select("part", "shard", *(F.lit(None).cast("binary").alias(x) for x in ("counts", "names")), "sums")
     )
     kind = docs.schema[id_col].dataType.simpleString()
 
