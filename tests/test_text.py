@@ -187,3 +187,16 @@ def test_score_of_unreadable_and_exact_answers(spark):
     assert got["a"]["nll_score"] == pytest.approx(1.0) and got["a"]["total_score"] == pytest.approx(1 + pdf)
     assert got["b"]["total_score"] == -1.0 and got["b"]["error"] and got["c"]["total_score"] == -1.0
     assert got["d"]["nll_score"] == -1.0 and got["d"]["error"] is None
+
+
+def test_suggestions_send_no_dimension_to_every_task(spark, tmp_path):
+    """The tokens of a dimension grow with it, however small its files are."""
+    from tidemark.operators import lookup
+
+    dim = spark.createDataFrame([("P1", "red steel"), ("P2", "blue red"), ("P3", None)], "code string, name string")
+    dim.write.parquet(f"{tmp_path}/dim")
+    dim = spark.read.parquet(f"{tmp_path}/dim")
+    requested = spark.createDataFrame([("red",), ("P1",), ("blue red",), ("none",)], "code string")
+    found = lookup.suggestions(requested, dim, "code", "name")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [("blue red", "P2", "blue red"), ("red", "P1", "red steel"), ("red", "P2", "blue red")]

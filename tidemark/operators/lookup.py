@@ -86,9 +86,13 @@ def best_names(
 
 
 def suggestions(requested: DataFrame, dim: DataFrame, code: str, name: str) -> DataFrame:
-    """For requested codes that do not exist: codes whose code or name holds all their tokens."""
+    """For requested codes that do not exist: codes whose code or name holds all their tokens.
+
+    What grows with the dimension is joined by sorted rows: its files are far smaller than its
+    tokens, so that Spark by itself would send all of them to each task.
+    """
     missing = requested.select(F.col(code).alias("requested")).distinct().join(
-        dim.select(F.col(code).alias("requested")), "requested", "left_anti"
+        dim.select(F.col(code).alias("requested")).hint("merge"), "requested", "left_anti"
     )
     wanted = missing.withColumn("words", tx.tokens(F.col("requested")))
     known = dim.select(code, name, tx.tokens(F.concat_ws(" ", code, name)).alias("tokens"))
@@ -97,12 +101,13 @@ def suggestions(requested: DataFrame, dim: DataFrame, code: str, name: str) -> D
     frequency = by_token.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     rarest = (
         wanted.select("requested", "words", F.explode("words").alias("token"))
-        .join(frequency, "token", "left")
+        .join(frequency.hint("merge"), "token", "left")
         .groupBy("requested", "words")
         .agg(F.min_by("token", F.coalesce("n", F.lit(0))).alias("token"))
     )
     return (
-        rarest.join(by_token, "token")
+        by_token.hint("merge")
+        .join(rarest, "token")
         .where(F.size(F.array_except("words", "tokens")) == 0)
         .select("requested", code, name)
     )
