@@ -124,3 +124,31 @@ def test_members_meet_only_where_enough_follows(spark, monkeypatch):
     pairs = held.get("near-apart-pairs", held.get("near-rare-pairs"))
     nodes = held["near-apart"].select("key").distinct().count()
     assert pairs.count() == pairs.distinct().count() < 4 * nodes
+
+
+def test_copies_of_one_text_meet_at_it(spark, monkeypatch):
+    """Copies that were each edited elsewhere all link to their text but not to each other: it is
+    the hub of their buckets, so none is left to be compared with the others."""
+    from tidemark.llm import near_dedup
+
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 80):
+        text = list(base)
+        for at in rng.sample(range(0, 300, 5), 7):
+            text[at] = f"own{k}x{at}"
+        rows.append((k, " ".join(text)))
+    left, store = [], near_dedup.through_table
+
+    def through_table(df, label, *more):
+        table = store(df, label, *more)
+        if label == "near-apart":
+            left.append(table.count())
+        return table
+
+    monkeypatch.setattr(near_dedup, "through_table", through_table)
+    want = brute(rows)
+    assert {c for _, _, c in want} == {0}
+    assert ours(spark.createDataFrame(rows, "doc_id long, text string"), Sketch(most_paired=2)) == want
+    assert left == [0]

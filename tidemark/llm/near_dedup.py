@@ -123,6 +123,27 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, sketch: Sketch) -> Dat
     return base.mapInArrow(words.tidied(run), schema)
 
 
+def _members(nodes: DataFrame) -> DataFrame:
+    """``bucket`` and ``key`` of nodes that share a bucket, and the two hubs of the bucket, ``low``
+    and ``high``: the nodes that share most buckets with most others. A text whose copies were
+    each edited lies in more of their buckets than they do in each other's, and links to more."""
+    entries = nodes.select("key", F.explode("bands").alias("bucket"))
+    buckets = entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    hint, _ = broadcast_if_small(through_table(buckets, "near-buckets"), MOST_BROADCAST_KEYS)
+    members = through_table(entries.join(hint, "bucket"), "near-shared")
+    weights = members.groupBy("key").agg(F.sum("members").alias("weight"))
+    members = members.join(weights, "key").select("bucket", "key", F.struct("weight", "key").alias("rank"))
+    members = through_table(members, "near-weighed")
+
+    best = through_table(members.groupBy("bucket").agg(F.max("rank").alias("best")), "near-best")
+    hint, _ = broadcast_if_small(best, MOST_BROADCAST_KEYS)
+    others = members.join(hint, "bucket").where("rank < best")
+    hubs = others.groupBy("bucket").agg(F.max("rank").alias("next"), F.first("best").alias("best"))
+    hubs = hubs.select("bucket", F.least("best.key", "next.key").alias("low"), F.greatest("best.key", "next.key").alias("high"))
+    hint, _ = broadcast_if_small(through_table(hubs, "near-hubs"), MOST_BROADCAST_KEYS)
+    return through_table(members.join(hint, "bucket").select("bucket", "key", "low", "high"), "near-members")
+
+
 def _equal_bits(left: str, right: str, sketch: Sketch) -> Column:
     """Number of two-bit minima on which both sides agree."""
     k = sketch.planes
@@ -260,7 +281,7 @@ def near_duplicates(
 
     A document's set are its distinct five-word shingles after folding A-Z; with fewer words,
     the whole sequence is one. Documents with equal sets are one node. In each bucket of a
-    band all nodes are compared with its smallest and its largest node. Buckets whose other
+    band all nodes are compared with two hubs, the nodes that share most buckets. Buckets whose other
     nodes are then still in several components are compared across components: small ones by
     pairs, larger ones by rare shingles that similar sets must share. Pairs are held against the packed bits first; every
     link is confirmed on full sets, which are made for candidates only.
@@ -285,11 +306,7 @@ def near_duplicates(
     # The stored table gives each distinct set its number, by which it is known from here on.
     nodes = through_table(nodes.withColumn("key", F.monotonically_increasing_id()), "near-nodes")
 
-    entries = nodes.select("key", F.explode("bands").alias("bucket"))
-    buckets = entries.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
-    buckets = through_table(buckets, "near-buckets")
-    hint, _ = broadcast_if_small(buckets, MOST_BROADCAST_KEYS)
-    members = through_table(entries.join(hint, "bucket"), "near-members")
+    members = _members(nodes)
     card = nodes.select("key", "n", *planes)
 
     def stars(hub: str) -> DataFrame:
