@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm import words
 from tidemark.llm.components import connected_components
@@ -21,6 +21,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: A bucket has three longs, an id one or, in a struct, a few; so many are at most some 40 MB
 #: when broadcast.
 MOST_BROADCAST_KEYS = 250_000
+#: Slots in which shingles are counted, a power of two (4 MB of counts), and blocks that they are sent in.
+SLOTS, BLOCKS = 1 << 20, 64
 
 
 @dataclass(frozen=True)
@@ -226,6 +228,72 @@ def _linked(pairs: DataFrame, sets: DataFrame, sketch: Sketch) -> DataFrame:
     )
 
 
+def _slot_counts(sets: DataFrame) -> np.ndarray:
+    """How many of all ``shingles`` fall into each of ``SLOTS`` slots by their first bits.
+
+    A task sends its counts by blocks of slots, which are added up there; the driver gets ``SLOTS``
+    counts, whatever the size of the sets.
+    """
+    width = SLOTS // BLOCKS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            counts += np.bincount(_slots(batch.column(0).flatten().to_numpy()), minlength=SLOTS)
+        for block, held in enumerate(counts.reshape(BLOCKS, width)):
+            at = np.flatnonzero(held)
+            if len(at):
+                columns = ([block], [at.astype("<i4").tobytes()], [held[at].astype("<i8").tobytes()])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "at", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        held = np.zeros(width, np.int64)
+        for at, counts in zip(table.column("at").to_pylist(), table.column("counts").to_pylist()):
+            held[np.frombuffer(at, "<i4")] += np.frombuffer(counts, "<i8")
+        held = np.minimum(held, np.iinfo(np.int32).max).astype("<i4")
+        return pa.table({"block": table.column("block")[:1].cast(pa.int32()), "counts": pa.array([held.tobytes()], pa.binary())})
+
+    counted = sets.select("shingles").mapInArrow(count, "block long, at binary, counts binary")
+    counted = counted.groupBy("block").applyInArrow(add, "block int, counts binary")
+    counts = np.zeros((BLOCKS, width), np.int32)
+    for block, held in counted.collect():
+        counts[block] = np.frombuffer(held, "<i4")
+    return counts.ravel()
+
+
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles.view(np.uint64) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def _rare(sets: DataFrame, sketch: Sketch) -> DataFrame:
+    """``key``, ``root``, ``shingle`` and ``rest`` (shingles from this one on) where sets may first
+    meet, in the order of the slots' counts and then of the hashes. Any order that all sets share
+    loses no link; counts of slots are never less than those of their shingles, so a shingle that
+    is alone in its slot is in no other set."""
+    counts = sets.sparkSession.sparkContext.broadcast(_slot_counts(sets))
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, sizes = [np.zeros(0, np.int64)], np.zeros(batch.num_rows, np.int64)
+            rests = [np.zeros(0, np.int64)]
+            lists = batch.column(2)
+            for i in range(batch.num_rows):
+                own = lists[i].values.to_numpy()
+                times = counts.value[_slots(own)]
+                order = np.lexsort((own, times))
+                rest = len(own) - np.arange(len(own))
+                first = (rest * 100 >= len(own) * sketch.percent) & (times[order] > 1)
+                flat.append(own[order][first])
+                rests.append(rest[first])
+                sizes[i] = first.sum()
+            row = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+            columns = [batch.column(0).take(row), batch.column(1).take(row)]
+            columns += [pa.array(np.concatenate(flat)), pa.array(np.concatenate(rests))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "root", "shingle", "rest"])
+
+    return sets.select("key", "root", "shingles").mapInArrow(rank, "key long, root long, shingle long, rest long")
+
+
 def _across(
     left: DataFrame, card: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, sketch: Sketch
 ) -> DataFrame:
@@ -256,15 +324,8 @@ def _across(
     if many.isEmpty():
         return _linked(through_table(pairs.distinct(), "near-apart-pairs"), sets, sketch)
 
-    # Large buckets. A shingle of one node alone comes first in its order and joins nothing.
-    shingles = sets.join(many, "key").select("key", "root", F.explode("shingles").alias("shingle"))
-    shingles = through_table(shingles, "near-shingles")
-    counts = shingles.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
-    ranked = shingles.join(counts, "shingle", "left").withColumn("times", F.coalesce("times", F.lit(1)))
-    place = F.row_number().over(Window.partitionBy("key").orderBy("times", "shingle"))
-    ranked = ranked.withColumn("place", place).join(card, "key").withColumn("rest", F.col("n") - F.col("place") + 1)
-    # ``rest`` bounds what two sets share if they first meet here; the union is no smaller than either set.
-    rare = ranked.where((F.col("rest") * 100 >= F.col("n") * t) & (F.col("times") > 1)).drop("place", "times")
+    # Large buckets. ``rest`` bounds what two sets share if they first meet here.
+    rare = _rare(through_table(sets.join(many, "key"), "near-many"), sketch).join(card, "key")
     rare = through_table(rare, "near-rare")
     x, y = rare.where(F.col("rest") * (100 + t) >= F.col("n") * 2 * t).alias("x"), rare.alias("y")
     smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.key") < F.col("y.key")))
