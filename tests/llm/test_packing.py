@@ -130,3 +130,22 @@ def test_waiting_windows_are_bounded(tokenizer, spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     used, sequences = check(tokenizer, df)
     assert sequences * 2048 - used < 2048 * (used // 20_000 + 1)
+
+
+def test_parts_are_remembered_over_a_tasks_texts(tokenizer, monkeypatch):
+    """A part that returns after many others is not looked up again; a full memory begins anew."""
+    letters = "abcdefghij"
+    parts = [f"{a}{b}{c}{d}{e}" for a in letters[:6] for b in letters for c in letters for d in letters for e in letters]
+    with open(PATH, encoding="utf-8") as file:
+        spec = file.read()
+    text = " ".join(parts)
+    want = ids_of(tokenizer, text)
+    for most, times in ((Encoder.MOST_PARTS, 1), (1000, 2)):
+        monkeypatch.setattr(Encoder, "MOST_PARTS", most)
+        encoder, looked = Encoder(spec), []
+        part = encoder._part
+        monkeypatch.setattr(encoder, "_part", lambda x, part=part, looked=looked: looked.append(x) or part(x))
+        for texts in ([text], [text + " " + parts[0]]):
+            assert list(next(encoder.encode(pa.array(texts), 1)))[: len(want) - 1] == want[:-1]
+        assert len(encoder.known) <= most
+        assert len(looked) == times * len(parts)

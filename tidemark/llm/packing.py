@@ -34,8 +34,8 @@ class Encoder:
     to the tokenizer's model; any other word goes through the whole tokenizer.
     """
 
-    #: Parts whose ids are remembered; then the memory is begun anew.
-    MOST_PARTS = 50_000
+    #: Parts whose ids are remembered (some 70 MB); then the memory is begun anew.
+    MOST_PARTS = 250_000
     # The tokenizer's own pattern, for the characters of PLAIN.
     PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
     PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
@@ -48,10 +48,10 @@ class Encoder:
         byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         # The tokenizer's spelling of each character outside ASCII that PLAIN allows.
         self.spelled = {i: byte_level.pre_tokenize_str(chr(i))[0][0] for i in range(0xC0, 0x100)}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
-    def _part(self, part: str) -> list[int]:
-        ids = [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.spelled))]
+    def _part(self, part: str) -> tuple[int, ...]:
+        ids = tuple([t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.spelled))])
         if len(self.known) >= self.MOST_PARTS:
             self.known.clear()
         self.known[part] = ids
@@ -63,15 +63,13 @@ class Encoder:
         ends = np.zeros(len(distinct), np.int64)
         parts_of, plain, known = self.PARTS.findall, self.PLAIN.fullmatch, self.known
         for i, word in enumerate(distinct):
-            if plain(word) and "<|" not in word:
-                word = word.lower()
-                ids = known.get(word)
-                if ids is not None:  # a part, which is not split
-                    flat += ids
-                else:
-                    for part in parts_of(word):
-                        ids = known.get(part)
-                        flat += self._part(part) if ids is None else ids
+            ids = known.get(word)
+            if ids is not None:  # a folded part, which is not split
+                flat += ids
+            elif plain(word) and "<|" not in word:
+                for part in parts_of(word.lower()):
+                    ids = known.get(part)
+                    flat += self._part(part) if ids is None else ids
             else:
                 flat += self.tokenizer.encode(word, add_special_tokens=False).ids
             ends[i] = len(flat)
