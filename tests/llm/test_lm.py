@@ -143,3 +143,21 @@ def test_sums_name_contexts_by_short_numbers():
         shared = int((model.kept[k] & model.several[k]).sum())
         assert len(names) == len(set(names.tolist())) == shared > 90
         assert len(row["keys"]) < 2 * shared + 9
+
+
+def test_answers_are_stored_compact(spark):
+    """Shards get the same answers for the contexts that they share; stored, these repeat."""
+    import os
+
+    import numpy as np
+
+    from tidemark.llm.lm import _stored
+
+    sums = bytearray(np.random.default_rng(1).random(20_000).tobytes())
+    name = "spark.sql.parquet.compression.codec"
+    before = spark.conf.get(name)
+    table = _stored(spark.createDataFrame([(k, bytearray([k]) + sums) for k in range(8)], "shard long, sums binary").coalesce(1), "lm-test")
+    assert spark.conf.get(name) == before
+    assert sorted(bytes(r.sums) for r in table.collect()) == [bytes([k]) + bytes(sums) for k in range(8)]
+    files = [f.replace("file://", "") for f in table.inputFiles()]
+    assert sum(map(os.path.getsize, files)) < 2 * len(sums)

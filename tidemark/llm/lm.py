@@ -365,14 +365,19 @@ def _sums(dealt: DataFrame, replies: DataFrame, settings: Settings, totals: Tota
 
 
 def _stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` through a table, whose shuffles are deleted when it is written."""
-    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(name, "false")
-    conf.set(name, "true")
+    """``df`` through a compact table, whose shuffles are deleted when it is written."""
+    conf, ours = df.sparkSession.conf, {
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+        "spark.sql.parquet.compression.codec": "zstd",
+    }
+    before = {name: conf.get(name, None) for name in ours}
+    for name, value in ours.items():
+        conf.set(name, value)
     try:
         return through_table(df, label)
     finally:
-        conf.set(name, before)
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
 
 
 def score_texts(
