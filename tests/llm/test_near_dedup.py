@@ -152,3 +152,17 @@ def test_copies_of_one_text_meet_at_it(spark, monkeypatch):
     assert {c for _, _, c in want} == {0}
     assert ours(spark.createDataFrame(rows, "doc_id long, text string"), Sketch(most_paired=2)) == want
     assert left == [0]
+
+
+def test_only_shingles_at_which_sets_may_meet_become_rows(spark):
+    """Of sets of 40 shingles, 30 of them common to all, a row each for the first 11 at most."""
+    from tidemark.llm.near_dedup import _rare
+
+    rng = random.Random(2)
+    shingles = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(30 + 50 * 10)]
+    rows = [(k, k, sorted(shingles[:30] + shingles[30 + 10 * k : 40 + 10 * k])) for k in range(50)]
+    got = _rare(spark.createDataFrame(rows, "key long, root long, shingles array<long>"), Sketch()).collect()
+    assert {r.shingle for r in got} <= {x for _, _, own in rows for x in own}
+    assert 50 <= len(got) < 100 and all(r.rest >= 30 and r.key == r.root for r in got)
+    common = [{r.shingle for r in got if r.key == k} & set(shingles[:30]) for k in range(50)]
+    assert all(x == common[0] for x in common) and len(common[0]) == 1
