@@ -161,3 +161,43 @@ def test_answers_are_stored_compact(spark):
     assert sorted(bytes(r.sums) for r in table.collect()) == [bytes([k]) + bytes(sums) for k in range(8)]
     files = [f.replace("file://", "") for f in table.inputFiles()]
     assert sum(map(os.path.getsize, files)) < 2 * len(sums)
+
+
+def test_only_needed_sums_are_answered(spark, monkeypatch):
+    """Shards are told the sums of contexts that a text of theirs leaves by a failure arc, and no others."""
+    stored, through = {}, lm._stored
+    monkeypatch.setattr(lm, "_stored", lambda df, label: stored.setdefault(label, through(df, label)) if label == "lm-sums" else through(df, label))
+    rows = [(i, " ".join(f"w{i * j % 89}" for j in range(200))) for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(lm, "SHARD_BYTES", 4000)
+    assert lm.score_texts(df, lambda key: F.lit(True)).where("learned").count() == len(rows)
+    assert stored.pop("lm-sums").count() == 0  # every n-gram was learned
+    same(spark, df, lm.Settings(), monkeypatch)
+    assert stored.pop("lm-sums").count() > 0
+
+
+def test_short_words_are_hashed_together(monkeypatch):
+    from tidemark.llm import words
+
+    odd = ["a", "b", "ab", "ba", "a\x00", "\x00a", "é", "x" * 63, "x" * 64, "中文", "aa", "aaa"]
+    long = ["x" * 65, "y" * 5000]
+    want = dict(zip(odd + long, words.summed_hashes(pa.array(odd + long)).tolist()))
+    assert len(set(want.values())) == len(odd + long)
+    calls, one = [], words.hashes
+    monkeypatch.setattr(words, "hashes", lambda x, seed=0: calls.extend(x.to_pylist()) or one(x, seed))
+    grams = lm.Grams(pa.table({"text": [" ".join(odd), long[0]], "learn": [True, True]}), 1)
+    assert calls == long[:1]
+    assert set(grams.keys[1].tolist()) == {int(lm._BEGIN), int(lm._END), *(h for w, h in want.items() if w != long[1])}
+    some = pa.array(["drop", *odd, "drop"]).slice(1, len(odd))  # a part of a larger array
+    assert words.summed_hashes(some).tolist() == [want[w] for w in odd]
+
+
+def test_numbers_of_hashes_are_those_of_unique():
+    from tidemark.llm import words
+
+    keys = np.random.default_rng(1).integers(0, 1 << 64, 5000, dtype=np.uint64)
+    near = (np.uint64(7) << np.uint64(60)) + np.arange(300, dtype=np.uint64)[::-1] % np.uint64(11)  # upper bits agree
+    for x in (keys, keys[:1], keys[:0], np.concatenate((keys, keys[::-1], near, near)), keys % np.uint64(9)):
+        distinct, number, at = words.numbered(x)
+        first, inverse = np.unique(x, return_inverse=True)
+        assert distinct.tolist() == first.tolist() and number.tolist() == inverse.tolist() and x[at].tolist() == first.tolist()

@@ -127,7 +127,7 @@ class Grams:
         word = np.ones(length, bool)
         word[self.begins] = word[self.ends] = False
         hashed = np.empty(length, np.uint64)
-        hashed[word] = words.hashes(distinct)[codes]
+        hashed[word] = words.summed_hashes(distinct)[codes]
         hashed[self.begins], hashed[self.ends] = _BEGIN, _END
         self.learn = np.repeat(table.column("learn").to_numpy(), self.sizes + 1)
         depth = np.arange(length) - np.repeat(self.begins, self.sizes + 1)
@@ -137,12 +137,10 @@ class Grams:
             if k > 1:
                 joint = words.mixed(np.concatenate((joint[:1], joint[:-1])) * _STEP + hashed)
             there = np.flatnonzero(depth >= k - 1)
-            keys, number = np.unique(joint[there], return_inverse=True)
+            keys, number, first = words.numbered(joint[there])
             which = np.full(length, -1, np.int32)
             which[there] = number
-            at = np.empty(len(keys), np.int64)
-            at[number] = there
-            self.which[k], self.keys[k], self.at[k] = which, keys, at
+            self.which[k], self.keys[k], self.at[k] = which, keys, there[first]
             self.own[k] = np.bincount(number[self.learn[there]], minlength=len(keys))
 
     def asked(self, k: int, several: np.ndarray | None) -> np.ndarray:
@@ -181,7 +179,7 @@ class Model:
 
     def __init__(self, grams: Grams, replies: pa.Table, ranges: int, settings: Settings, totals: Totals):
         self.grams, self.settings, self.totals = grams, settings, totals
-        self.count, self.several, self.kept, self.chance, self.spent = {}, {}, {}, {}, {}
+        self.count, self.several, self.kept, self.chance, self.spent, self.needs = {}, {}, {}, {}, {}, {}
         parts = replies.column("part").to_pylist()
         held = dict(zip(parts, replies.column("counts").to_pylist()))
         self.names = dict(zip(parts, replies.column("names").to_pylist()))
@@ -200,6 +198,9 @@ class Model:
             inside = inside[before] & self.kept[1][last]
             self.kept[k] = inside & (count >= max(1, settings.gram_share * totals.tokens))
             self.chance[k] = (count - settings.discount) / np.maximum(self.count[k - 1][before], 1)
+            # The contexts that a failure arc leaves from at some place of the shard.
+            self.needs[k - 1] = np.zeros(len(grams.keys[k - 1]), bool)
+            self.needs[k - 1][before[~self.kept[k]]] = True
             # Of the arcs of each context: counts, how many, and what their tokens have without its first.
             here = np.flatnonzero(self.kept[k] & first)
             lower, n = self.chance[k - 1][which[k - 1][at[here]]], len(grams.keys[k - 1])
@@ -229,7 +230,9 @@ class Model:
         for k in range(2, order + 1):
             spent = self.spent[k - 1]
             for part, _, place in self.shared(k - 1, ranges):
-                spent[:, place] = _sums_in(held[part], len(place))
+                place = place[self.needs[k - 1][place]]
+                if len(place):
+                    spent[:, place] = _sums_in(held[part], len(place))
             taken, arcs, known = spent
             spent = (taken - self.settings.discount * arcs) / np.maximum(self.count[k - 1], 1)
             back = np.log10(np.maximum(1 - spent, 1e-9) / np.maximum(1 - known, 1e-9))
@@ -260,7 +263,7 @@ def _merged(table: pa.Table) -> tuple[pa.Table, list[np.ndarray], np.ndarray, np
     """A part's rows by shard, their hashes, each hash's number among the distinct, and where rows begin."""
     table = table.sort_by("shard")
     keys = [_unpacked(x) for x in table.column("keys").to_pylist()]
-    _, number = np.unique(np.concatenate(keys), return_inverse=True)
+    _, number, _ = words.numbered(np.concatenate(keys))
     return table, keys, number, np.cumsum([0, *map(len, keys)])
 
 
@@ -331,17 +334,23 @@ def _counts(dealt: DataFrame, orders: range, ranges: int, order: int, replies: D
 
 
 def _given(model: Model, shard: int, ranges: int) -> list[dict]:
-    """What a shard gives to the sums of contexts that others have too."""
+    """What a shard gives to the sums of contexts that others have too: by names times two, and 1
+    more where it needs the sums itself."""
     rows = []
     for k in range(1, model.settings.order):
         for part, names, place in model.shared(k, ranges):
             sums = _sum_bytes(model.spent[k][:, place])
-            rows.append({"part": part, "shard": shard, "keys": _packed(names.astype(np.uint64)), "counts": sums})
+            keys = 2 * names.astype(np.uint64) + model.needs[k][place]
+            rows.append({"part": part, "shard": shard, "keys": _packed(keys), "counts": sums})
     return rows
 
 
 def _sums(dealt: DataFrame, replies: DataFrame, settings: Settings, totals: Totals, ranges: int) -> DataFrame:
-    """What the arcs of contexts in several shards take in all, for each of these shards."""
+    """What the arcs of contexts in several shards take in all, for each shard that needs it.
+
+    A context's sums matter only where a text leaves it by its failure arc, in an n-gram that no
+    training text has; no other sums are answered.
+    """
 
     def give(left: pa.Table, right: pa.Table) -> pa.Table:
         words.hand_back()
@@ -352,11 +361,17 @@ def _sums(dealt: DataFrame, replies: DataFrame, settings: Settings, totals: Tota
         return pa.Table.from_pylist(rows, _ASKED)
 
     def add(table: pa.Table) -> pa.Table:
-        table, keys, number, cuts = _merged(table)
+        words.hand_back()
+        table = table.sort_by("shard")
+        keys = [_unpacked(x) for x in table.column("keys").to_pylist()]
         given = np.hstack([_sums_in(x, len(y)) for x, y in zip(table.column("counts").to_pylist(), keys)])
-        both = np.stack([np.bincount(number, x)[number] for x in given])
-        sums = [_sum_bytes(both[:, a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-        return pa.table({"part": table.column("part"), "shard": table.column("shard"), "sums": pa.array(sums, pa.binary())})
+        cuts, keys = np.cumsum([0, *map(len, keys)]), np.concatenate(keys)
+        names, needs = (keys >> np.uint64(1)).astype(np.int64), (keys & np.uint64(1)).astype(bool)
+        both = np.stack([np.bincount(names, x)[names[needs]] for x in given])
+        cuts = np.concatenate(([0], np.cumsum(needs)))[cuts]
+        sums = [_sum_bytes(both[:, a:b]) if a < b else None for a, b in zip(cuts[:-1], cuts[1:])]
+        told = {"part": table.column("part"), "shard": table.column("shard"), "sums": pa.array(sums, pa.binary())}
+        return pa.table(told).drop_null()
 
     given = dealt.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(
         give, "part int, shard long, keys binary, counts binary"
