@@ -149,3 +149,46 @@ def test_parts_are_remembered_over_a_tasks_texts(tokenizer, monkeypatch):
             assert list(next(encoder.encode(pa.array(texts), 1)))[: len(want) - 1] == want[:-1]
         assert len(encoder.known) <= most
         assert len(looked) == times * len(parts)
+
+
+def test_parts_of_many_words_are_cut_together(tokenizer, monkeypatch):
+    """Plain words are not split one by one; contractions, digits and marks go as the tokenizer's file says."""
+    import itertools
+    import re
+
+    pattern = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+    with open(PATH, encoding="utf-8") as file:
+        encoder = Encoder(file.read())
+    some = ["".join(x) for n in range(1, 5) for x in itertools.product("'sLrev1!É", repeat=n)]
+    parts, counts = encoder._cut(pa.array(["before", *some]).slice(1))
+    parts, at = parts.to_pylist(), 0
+    for word, n in zip(some, counts):
+        assert parts[at : at + n] == pattern.findall(word.lower()), word
+        at += n
+    assert at == len(parts)
+    texts = [" ".join(some[i::7]) for i in range(7)] + ["", None, "<|endoftext|> 'S"]
+    for text, ids in zip(texts, encoder.encode(pa.array(texts), 1)):
+        assert list(ids) == ids_of(tokenizer, text)
+    for few in ([None], ["", " "], ["中文 <|"], []):
+        assert [x.tolist() for x in encoder.encode(pa.array(few, pa.string()), 1)] == [ids_of(tokenizer, x) for x in few]
+
+
+def test_a_tasks_parts_are_not_forgotten(monkeypatch):
+    """400,000 parts, as a task of the check meets them, are each looked up once."""
+    with open(PATH, encoding="utf-8") as file:
+        encoder = Encoder(file.read())
+    looked = []
+
+    class Model:
+        def tokenize(self, part):
+            looked.append(part)
+            return []
+
+    encoder.model = Model()
+    letters = "abcdefghijklmnopqrst"
+    text = " ".join(a + b + c + d for a in letters for b in letters for c in letters[:10] for d in letters) + " "
+    text += " ".join("x" + a + b + c + d for a in letters for b in letters for c in letters for d in letters[:20])
+    text += " " + " ".join("y" + a + b + c + d for a in letters for b in letters for c in letters for d in letters[:20])
+    for _ in range(2):
+        list(encoder.encode(pa.array([text]), 1))
+    assert len(looked) == len(set(looked)) == 400_000

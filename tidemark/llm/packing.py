@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 import sys
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
@@ -26,19 +28,28 @@ MOST_HELD_IDS = 4 << 20
 BATCH_WINDOWS = 200
 
 
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of all items of runs, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Encoder:
     """Ids of texts by a tokenizer that drops white space and splits words by ``pattern``.
 
-    Each distinct word of a slice is looked at once. A word of plain characters is folded and
-    split here as the tokenizer's file says, and its parts, of which most were met before, go
-    to the tokenizer's model; any other word goes through the whole tokenizer.
+    Each distinct word of a slice is looked at once. Words of plain characters are folded and
+    split here, all at a time, as the tokenizer's file says. Their distinct parts, of which most
+    were met before, go to the tokenizer's model; any other word goes through the whole tokenizer.
     """
 
-    #: Parts whose ids are remembered (some 70 MB); then the memory is begun anew.
-    MOST_PARTS = 250_000
-    # The tokenizer's own pattern, for the characters of PLAIN.
-    PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+    #: Parts whose ids are remembered (some 100 MB); then the memory is begun anew.
+    MOST_PARTS = 500_000
+    # The characters of which plain words are, what the tokenizer's own pattern takes
+    # each of their folded bytes for (0, a letter or a digit), and the endings it takes for parts:
+    # 's|'t|'re|'ve|'m|'ll|'d|letters|digit|others.
     PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+    KINDS = np.array([1 if i >= 0x80 or chr(i).islower() else 2 * chr(i).isdigit() for i in range(256)], np.int8)
+    ENDINGS = (1, (b"s", b"t", b"m", b"d")), (2, (b"re", b"ve", b"ll"))
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -48,46 +59,84 @@ class Encoder:
         byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         # The tokenizer's spelling of each character outside ASCII that PLAIN allows.
         self.spelled = {i: byte_level.pre_tokenize_str(chr(i))[0][0] for i in range(0xC0, 0x100)}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def _part(self, part: str) -> tuple[int, ...]:
-        ids = tuple([t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.spelled))])
+    def _part(self, part: str) -> bytes:
+        spelled = part if part.isascii() else part.translate(self.spelled)
+        ids = array("i", [t.id for t in self.model.tokenize(spelled)]).tobytes()
         if len(self.known) >= self.MOST_PARTS:
             self.known.clear()
         self.known[part] = ids
         return ids
 
-    def _word_ids(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and the number of ids of each word."""
-        flat: list[int] = []
-        ends = np.zeros(len(distinct), np.int64)
-        parts_of, plain, known = self.PARTS.findall, self.PLAIN.fullmatch, self.known
-        for i, word in enumerate(distinct):
-            ids = known.get(word)
-            if ids is not None:  # a folded part, which is not split
-                flat += ids
-            elif plain(word) and "<|" not in word:
-                for part in parts_of(word.lower()):
-                    ids = known.get(part)
-                    flat += self._part(part) if ids is None else ids
-            else:
-                flat += self.tokenizer.encode(word, add_special_tokens=False).ids
-            ends[i] = len(flat)
-        return np.array(flat, np.int32), np.diff(ends, prepend=0)
+    def _cut(self, plain: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The parts of plain words, folded, and how many each word has."""
+        folded = pc.utf8_lower(plain).cast(pa.string())
+        if not len(folded):
+            return folded, np.zeros(0, np.int64)
+        offsets = np.frombuffer(folded.buffers()[1], np.int32, len(folded) + 1, 4 * folded.offset)
+        data = np.frombuffer(folded.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        kinds, size = self.KINDS[data], len(data)
+        begins = np.ones(size + 1, bool)
+        begins[1:-1] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == 2)
+        begins[offsets] = True
+
+        # An apostrophe alone before letters: it and an ending are a part.
+        mark = np.flatnonzero((data == ord("'")) & begins[:-1])
+        for length, endings in self.ENDINGS:
+            there = mark[mark + length < size]
+            word = np.searchsorted(offsets, there, "right")
+            there = there[there + length < offsets[word]]
+            found = np.zeros(len(there), bool)
+            for ending in endings:
+                found |= np.all([data[there + 1 + i] == c for i, c in enumerate(ending)], axis=0)
+            begins[there[found] + 1] = False
+            begins[there[found] + 1 + length] = True
+
+        cuts = np.flatnonzero(begins).astype(np.int32)
+        parts = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data))
+        return parts, np.diff(np.searchsorted(cuts, offsets))
+
+    def _word_ids(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids, and where in them those of each word begin and how many they are."""
+        marked = pc.match_substring(distinct, "<|")
+        plain = pc.and_not(pc.match_substring_regex(distinct, f"^{self.PLAIN.pattern}$"), marked)
+        parts, counts = self._cut(distinct.filter(plain))
+        parts, odd = parts.dictionary_encode(), distinct.filter(pc.invert(plain))
+
+        held, known = [], self.known
+        for part in parts.dictionary.to_numpy(zero_copy_only=False).tolist():
+            ids = known.get(part)
+            held.append(self._part(part) if ids is None else ids)
+        for word in odd.to_pylist():
+            held.append(array("i", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes())
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        starts = np.cumsum(sizes) - sizes
+
+        # Plain words are runs of parts; the others stand after all parts, in their order.
+        plain = plain.to_numpy(zero_copy_only=False)
+        of_word = np.ones(len(distinct), np.int64)
+        of_word[plain] = counts
+        of_plain = np.repeat(plain, of_word)
+        row = np.empty(len(of_plain), np.int64)
+        row[of_plain] = parts.indices.to_numpy(zero_copy_only=False)
+        row[~of_plain] = np.arange(len(held) - len(odd), len(held))
+        flat = np.frombuffer(b"".join(held), np.int32)[_runs(starts[row], sizes[row])]
+        ends = np.concatenate(([0], np.cumsum(sizes[row])))[np.concatenate(([0], np.cumsum(of_word)))]
+        return flat, ends[:-1], np.diff(ends)
 
     def encode(self, texts: pa.Array, end_id: int) -> Iterator[np.ndarray]:
         """Ids of each text and then ``end_id``."""
         codes, distinct, offsets = words.split_words(texts)
-        flat, counts = self._word_ids(distinct.to_pylist())
-        starts = np.cumsum(counts) - counts
-        for a, b in zip(offsets[:-1], offsets[1:]):
-            own = codes[a:b]
-            sizes = counts[own]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if b > a else 0
-            ids = np.full(total + 1, end_id, np.int32)
-            ids[:total] = flat[np.repeat(starts[own] - (ends - sizes), sizes) + np.arange(total)]
-            yield ids
+        flat, starts, sizes = self._word_ids(distinct)
+        ends = np.concatenate(([0], np.cumsum(sizes[codes])))[offsets]
+        ids = np.full(ends[-1] + len(texts), end_id, np.int32)
+        within = np.repeat(np.arange(len(texts)), np.diff(ends))  # one end stands before each further text
+        ids[np.arange(ends[-1]) + within] = flat[_runs(starts[codes], sizes[codes])]
+        ends += np.arange(len(ends))
+        for a, b in zip(ends[:-1], ends[1:]):
+            yield ids[a:b]
 
 
 class Windows:
