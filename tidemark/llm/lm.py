@@ -8,6 +8,7 @@ at once, order by order; no state is carried along a text.
 from __future__ import annotations
 
 import math
+import pickle
 import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -222,26 +223,46 @@ class Model:
             place = some[a:b][np.argsort(name[some[a:b]])]
             yield part, name[place], place
 
-    def scores(self, replies: pa.Table, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-        """Log10-probabilities of the tokens at all places, and how often their words occur."""
-        held = dict(zip(replies.column("part").to_pylist(), replies.column("sums").to_pylist()))
-        which, order = self.grams.which, self.settings.order
-        logs = np.log10(self.chance[1])[which[1]]
+    def needed(self, k: int, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Contexts of ``k`` tokens whose sums the shard is told, by parts and in the order told."""
+        for part, _, place in self.shared(k, ranges):
+            place = place[self.needs[k][place]]
+            if len(place):
+                yield part, place
+
+    def scores(self, ranges: int) -> tuple[np.ndarray, dict[int, tuple]]:
+        """Log10-probabilities of the tokens at all places, without the weights of failure arcs
+        whose sums other shards share in. These wait, by tokens of the context: how many contexts
+        of each part, their counts, and the places with the number of the context each waits for."""
+        which, order, discount = self.grams.which, self.settings.order, self.settings.discount
+        logs, longest, waits = np.log10(self.chance[1])[which[1]], np.ones(len(which[1]), np.int8), {}
         for k in range(2, order + 1):
-            spent = self.spent[k - 1]
-            for part, _, place in self.shared(k - 1, ranges):
-                place = place[self.needs[k - 1][place]]
-                if len(place):
-                    spent[:, place] = _sums_in(held[part], len(place))
-            taken, arcs, known = spent
-            spent = (taken - self.settings.discount * arcs) / np.maximum(self.count[k - 1], 1)
-            back = np.log10(np.maximum(1 - spent, 1e-9) / np.maximum(1 - known, 1e-9))
+            back = weights(self.spent[k - 1], self.count[k - 1], discount)
             back[~self.kept[k - 1]] = 0  # no such state
+            needed = list(self.needed(k - 1, ranges))
+            context = np.concatenate([place for _, place in needed]) if needed else np.zeros(0, np.int64)
+            back[context], number = 0, np.full(len(back), -1, np.int32)
+            number[context] = np.arange(len(context))
             at = np.flatnonzero(which[k] >= 0)
-            gram = which[k][at]
+            gram, before = which[k][at], which[k - 1][at - 1]
+            kept = self.kept[k][gram]
             arc = np.log10(np.maximum(self.chance[k], 1e-300))
-            logs[at] = np.where(self.kept[k][gram], arc[gram], logs[at] + back[which[k - 1][at - 1]])
-        return logs, self.count[1][which[1]]
+            logs[at] = np.where(kept, arc[gram], logs[at] + back[before])
+            longest[at[kept]] = k
+            wait = ~kept & (number[before] >= 0)
+            parts = [(part, len(place)) for part, place in needed]
+            waits[k - 1] = parts, self.count[k - 1][context], at[wait], number[before[wait]]
+        for k, (parts, counts, at, number) in waits.items():
+            last = longest[at] <= k  # no longer n-gram there is an arc
+            waits[k] = parts, counts, at[last], number[last]
+        return logs, waits
+
+
+def weights(spent: np.ndarray, count: np.ndarray, discount: float) -> np.ndarray:
+    """Log10 of the weights of failure arcs, from the sums over the arcs of contexts."""
+    taken, arcs, known = spent
+    spent = (taken - discount * arcs) / np.maximum(count, 1)
+    return np.log10(np.maximum(1 - spent, 1e-9) / np.maximum(1 - known, 1e-9))
 
 
 def _parts(keys: np.ndarray, k: int, ranges: int) -> Iterator[tuple[int, int, int]]:
@@ -345,8 +366,42 @@ def _given(model: Model, shard: int, ranges: int) -> list[dict]:
     return rows
 
 
+def _scored(model: Model, texts: pa.Table, ranges: int) -> bytes:
+    """The shard's rows, with scores that lack the weights which wait, and these: how many wait in
+    each text, and for which."""
+    grams, totals = model.grams, model.totals
+    log, waits = model.scores(ranges)
+    count, begins = model.count[1][grams.which[1]], grams.begins
+    plain = np.log10(count + 0.5) - math.log10(totals.tokens + 0.5 * (totals.kinds + 1))
+    known = (count > 0).astype(np.int64)
+    log[begins] = plain[begins] = known[begins] = 0
+    log, plain, known = (np.add.reduceat(x, begins) for x in (log, plain, known))
+    rows = pa.table({
+        "id": texts.column("id"), "learned": texts.column("learn"), "n_tokens": grams.sizes, "n_known": known,
+        "train_tokens": np.full(len(known), totals.tokens, np.int64), "base_score": plain, "score": log,
+    })
+    held = {}
+    for k, (parts, counts, at, number) in waits.items():
+        each = np.diff(np.searchsorted(at, np.append(begins, len(grams.learn)))).astype(np.int32)
+        held[k] = parts, _narrow(counts), each, number
+    return pickle.dumps((rows, held))
+
+
+def _completed(scored: bytes, sums: dict[int, bytes], discount: float) -> pa.Table:
+    """The rows of ``_scored`` with the weights that waited."""
+    rows, waits = pickle.loads(scored)
+    score = rows.column("score").to_numpy().copy()
+    for parts, counts, each, number in waits.values():
+        if parts:
+            told = np.hstack([_sums_in(sums[part], n) for part, n in parts])
+            back = weights(told, _wide(counts, told.shape[1]), discount)
+            score += np.bincount(np.repeat(np.arange(len(score)), each), back[number], len(score))
+    return rows.set_column(rows.schema.get_field_index("score"), "score", pa.array(score))
+
+
 def _sums(dealt: DataFrame, replies: DataFrame, settings: Settings, totals: Totals, ranges: int) -> DataFrame:
-    """What the arcs of contexts in several shards take in all, for each shard that needs it.
+    """What the arcs of contexts in several shards take in all, for each shard that needs it, and
+    in rows with a negative part what ``_scored`` says of a shard.
 
     A context's sums matter only where a text leaves it by its failure arc, in an n-gram that no
     training text has; no other sums are answered.
@@ -356,12 +411,16 @@ def _sums(dealt: DataFrame, replies: DataFrame, settings: Settings, totals: Tota
         words.hand_back()
         rows = []
         if left.num_rows:
-            model = Model(Grams(left, settings.order), right, ranges, settings, totals)
-            rows = _given(model, left.column("shard")[0].as_py(), ranges)
+            model, shard = Model(Grams(left, settings.order), right, ranges, settings, totals), left.column("shard")[0].as_py()
+            rows = _given(model, shard, ranges)
+            apart = -1 - int(words.mixed(np.array([shard], np.uint64))[0] >> np.uint64(33))  # spreads shards over tasks
+            rows.append({"part": apart, "shard": shard, "keys": b"", "counts": _scored(model, left, ranges)})
         return pa.Table.from_pylist(rows, _ASKED)
 
     def add(table: pa.Table) -> pa.Table:
         words.hand_back()
+        if table.column("part")[0].as_py() < 0:
+            return table.select(["part", "shard", "counts"]).rename_columns(["part", "shard", "sums"])
         table = table.sort_by("shard")
         keys = [_unpacked(x) for x in table.column("keys").to_pylist()]
         given = np.hstack([_sums_in(x, len(y)) for x, y in zip(table.column("counts").to_pylist(), keys)])
@@ -434,31 +493,18 @@ def score_texts(
     )
     cut = min(max(ones / max(1, ones + 2 * twos), 0.1), 0.9)  # what unigrams are discounted
     totals = Totals(texts, total + texts, kinds + (texts > 0), cut)
-    half = math.log10(totals.tokens + 0.5 * (totals.kinds + 1))
     replies = told.where("shard >= 0").select("part", "shard", "counts", "names")
     for k in range(_BLIND + 1, settings.order + 1):
         more = _stored(_counts(dealt, range(k, k + 1), shards, settings.order, replies), "lm-counts")
         replies = replies.unionByName(more.select("part", "shard", "counts", "names"))
     sums = _stored(_sums(dealt, replies, settings, totals, shards), "lm-sums")
-    both = replies.withColumn("sums", F.lit(None).cast("binary")).unionByName(
-        sums.select("part", "shard", *(F.lit(None).cast("binary").alias(x) for x in ("counts", "names")), "sums")
-    )
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+    def score(rows: pa.Table) -> pa.Table:
         words.hand_back()
-        grams = Grams(left, settings.order)
-        counts, sums = right.filter(pc.is_valid(right.column("counts"))), right.filter(pc.is_valid(right.column("sums")))
-        log, count = Model(grams, counts, shards, settings, totals).scores(sums, shards)
-        log[grams.begins], texts_of = 0, grams.begins
-        plain, known = np.log10(count + 0.5) - half, (count > 0).astype(np.int64)
-        plain[grams.begins] = known[grams.begins] = 0
-        model, plain, known = (np.add.reduceat(x, texts_of) if len(texts_of) else x for x in (log, plain, known))
-        return pa.table({
-            "id": left.column("id"), "learned": left.column("learn"), "n_tokens": grams.sizes, "n_known": known,
-            "train_tokens": np.full(len(known), totals.tokens, np.int64), "base_score": plain, "score": model,
-        })
+        sums = dict(zip(rows.column("part").to_pylist(), rows.column("sums").to_pylist()))
+        return _completed(sums[min(sums)], sums, settings.discount)
 
     schema = f"id {kind}, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = dealt.groupBy("shard").cogroup(both.groupBy("shard")).applyInArrow(score, schema)
+    scored = sums.groupBy("shard").applyInArrow(score, schema)
     return scored.withColumnRenamed("id", id_col)
