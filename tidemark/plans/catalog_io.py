@@ -321,7 +321,8 @@ def article_files(t, label, columns=("url", "channel_name", "pub_date", "text"),
     rows = t.news.select(*columns)
     stored = readers.file_listing(t.spark, f"{t.dir}/documents.parquet").agg(F.sum("length")).first()[0]
     files = max(least, -(-(stored or 0) // FILE_BYTES))
-    rows.repartitionByRange(files, "pub_date", "url").sortWithinPartitions("pub_date", "url").write.parquet(path)
+    ordered = rows.repartitionByRange(files, "pub_date", "url").sortWithinPartitions("pub_date", "url")
+    ordered.write.option("compression", "zstd").parquet(path)
     return path, rows.schema, files
 
 
@@ -344,9 +345,10 @@ def str1(t):
     arriving = new_folder(t.spark, "str1-in")
     # First the older half, then everything: of the second arrival only the newer half is taken.
     for part in (rows.where(F.col("pub_date") < F.lit(MIDDLE).cast(schema["pub_date"].dataType)), rows):
-        part.write.mode("append").parquet(arriving)
+        part.write.mode("append").option("compression", "zstd").parquet(arriving)
         stream = ingest.file_stream(t.spark, arriving, schema, files_per_batch=max(1000, 2 * files))
-        ingest.high_water_ingest(stream, target, mark).awaitTermination()
+        # A share has the rows of a part of a file, so that tasks get many shares and alike rows.
+        ingest.high_water_ingest(stream, target, mark, shares=4 * files).awaitTermination()
     return t.spark.read.schema(schema).parquet(target).select("url", "channel_name")
 
 

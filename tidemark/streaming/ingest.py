@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
-_AT = "__at"
+_AT, _SHARE, _ROW = "__at", "__share", "__row"
 #: Rows of a batch between Spark and its Python workers. A worker holds a batch several times
 #: over, and articles have kilobytes each, so Spark's usual 10,000 rows would take gigabytes.
 BATCH_ROWS = 500
@@ -34,8 +35,36 @@ def _write_batch(df: DataFrame, target: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{target}/batch={batch}")
 
 
+def _newest_times(marked: DataFrame, channel: str) -> DataFrame:
+    """One row per channel of a batch with its newest ``_AT``; rows without a channel have none."""
+    rows, names = marked.select(channel, _AT), [channel, _AT]
+
+    def newest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict = {}
+        for batch in batches:
+            kind = batch.schema.types
+            part = pa.Table.from_batches([batch]).group_by(channel).aggregate([(_AT, "max")])
+            for name, at in zip(part[channel].to_pylist(), part[f"{_AT}_max"].to_pylist(), strict=True):
+                known = found.setdefault(name, at)
+                if at is not None and (known is None or at > known):
+                    found[name] = at
+        if found:
+            columns = zip((found.keys(), found.values()), kind, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in columns], names)
+
+    # Once beside the files and once per channel: few rows are shuffled.
+    once = rows.where(F.col(channel).isNotNull()).mapInArrow(newest, rows.schema)
+    return once.repartition(channel).mapInArrow(newest, rows.schema)
+
+
 def high_water_ingest(
-    stream: DataFrame, target: str, checkpoint: str, channel: str = "channel_name", time: str = "pub_date"
+    stream: DataFrame,
+    target: str,
+    checkpoint: str,
+    channel: str = "channel_name",
+    time: str = "pub_date",
+    shares: int = 1,
+    key: str = "url",
 ) -> StreamingQuery:
     """Append what is strictly newer than the newest item of its channel so far.
 
@@ -43,34 +72,52 @@ def high_water_ingest(
     row per channel, the newest time of the earlier batches; a batch reads its own files and
     the states of its channels, whatever came before. A batch that is run again finds the state
     it began with, and the file sink writes it once. Rows without a channel have no state and
-    are always taken; rows without a time only until their channel has one. A channel's rows of
-    one batch stream through one task, ``BATCH_ROWS`` at a time.
+    are always taken; rows without a time only until their channel has one.
+
+    A channel's rows of one batch are a group, which one task takes and Spark holds as a whole
+    before its Python worker reads it, ``BATCH_ROWS`` at a time. Few channels with many rows
+    need ``shares``: each is dealt by ``key`` and time over so many groups. Every share keeps
+    the mark of its whole channel, as each gets the channel's newest time besides its rows, so
+    what is taken does not depend on them; times and channels are read twice for that. A
+    checkpoint keeps its number of shares.
     """
-    schema = stream.schema
+    schema, names = stream.schema, stream.schema.names
     # Microseconds, so that no time zone takes part in a comparison.
     marked = stream.withColumn(_AT, F.unix_micros(F.col(time).cast("timestamp")))
-    output = T.StructType([*schema.fields, T.StructField(_AT, T.LongType())])
+    shared = (shares,) if shares > 1 else ()
+    groups, kept = [channel], "newest long"
+    if shared:
+        groups, kept = [channel, _SHARE], "newest long, shares int"
+        every = F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))
+        # A null would turn the whole numbers of its batch into floats.
+        zeros = {f.name: F.lit(0).cast(f.dataType) for f in schema.fields if isinstance(f.dataType, T.NumericType) and f.name != channel}
+        newest = _newest_times(marked, channel).withColumns({_SHARE: every, _ROW: F.lit(False)} | zeros)
+        share = F.pmod(F.xxhash64(key, time), F.lit(shares)).cast("int")
+        marked = marked.withColumns({_SHARE: share, _ROW: F.lit(True)}).unionByName(newest, allowMissingColumns=True)
 
     def take(
-        key: tuple[str | None], batches: Iterator[pd.DataFrame], state: GroupState
+        group: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        mark = state.get[0] if state.exists else None
+        mark, *others = state.get if state.exists else (None, *shared)
+        if tuple(others) != shared:
+            raise ValueError(f"the checkpoint has {others[0]} shares of a channel, not {shares}")
         newest = mark
         for rows in batches:
             at = rows[_AT]
-            yield rows if mark is None else rows[at.notna() & (at > mark)]
-            if key[0] is not None and at.notna().any():
+            if group[0] is not None and at.notna().any():
                 newest = max(int(at.max()), newest if newest is not None else int(at.max()))
+            taken = at.notna() & (at > mark) if mark is not None else pd.Series(True, rows.index)
+            yield rows.loc[taken & rows[_ROW].astype(bool) if shared else taken, names]
         if newest is not None:
-            state.update((newest,))
+            state.update((newest, *shared))
 
-    fresh = marked.groupBy(channel).applyInPandasWithState(take, output, "newest long", "append", "NoTimeout")
+    fresh = marked.groupBy(*groups).applyInPandasWithState(take, schema, kept, "append", "NoTimeout")
     # A query keeps the settings it is started with; the caller's stay as they are.
     conf = stream.sparkSession.conf
     usual = conf.get(_BATCH_ROWS)
     conf.set(_BATCH_ROWS, str(min(BATCH_ROWS, int(usual)) if int(usual) > 0 else BATCH_ROWS))
     try:
-        return append_stream(fresh.select(*schema.names), target, checkpoint)
+        return append_stream(fresh, target, checkpoint)
     finally:
         conf.set(_BATCH_ROWS, usual)
 
