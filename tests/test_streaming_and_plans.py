@@ -81,55 +81,52 @@ def test_a_batch_reads_its_own_files_and_can_be_run_again(spark, tmp_path, take)
     assert sorted(r["url"] for r in spark.read.parquet(out).collect()) == sorted([*want, *more])
 
 
-def test_shares_of_a_channel_take_what_its_single_group_takes(spark, tmp_path):
-    """Marks without channel or time, late rows, repeats, a batch run again; long numbers stay whole."""
+def test_files_read_again_give_what_gathered_channels_give(spark, tmp_path):
+    """Marks without channel or time, late rows, repeats, a file without rows, a batch run again; long numbers stay whole."""
     columns = "url string, channel_name string, d string, n long, seen boolean, share double"
     arrivals = [
+        [],
         [("u1", "a", "2024-01-05"), ("u2", None, "2024-01-05"), ("u3", "b", None), ("u4", "c", "2024-01-03")],
         [(f"v{i}", "a", f"2024-01-{i:02d}") for i in range(1, 10)] + [("v6", "a", "2024-01-06"), ("w1", "b", None), ("w2", "b", "2020-01-01")],
         [(None, "a", "2024-01-09"), (None, "a", "2024-01-10"), ("x1", None, None), ("x2", "b", None), ("x3", "b", "2020-01-01"), ("x4", "c", "2024-01-04"), ("x5", "d", None)],
         [("y1", "a", "2024-01-10"), ("y2", "d", "2019-01-01"), ("y3", "c", "2024-01-03"), ("y4", "b", "2020-01-02")],
     ]
-    src, found = str(tmp_path / "src"), {}
-    for number, rows in enumerate(arrivals):
-        df = spark.createDataFrame([(*r, 2**60 + i, i % 2 == 0, i / 4) for i, r in enumerate(rows)], columns)
-        df.withColumn("pub_date", F.col("d").cast("timestamp")).drop("d").coalesce(2).write.mode("append").parquet(src)
-        files = ingest.file_stream(spark, src, spark.read.parquet(src).schema, files_per_batch=100)
-        for shares in (1, 2, 7):
-            out, cp = (str(tmp_path / f"{x}{shares}") for x in ("out", "cp"))
-            ingest.high_water_ingest(files, out, cp, shares=shares).awaitTermination()
-            if number == 2:
-                assert replayed(cp) >= 2
-                ingest.high_water_ingest(files, out, cp, shares=shares).awaitTermination()
-            found[shares] = sorted(map(str, spark.read.parquet(out).select(files.columns).collect()))
-        assert found[1] == found[2] == found[7]
-    assert sorted(str(r["url"]) for r in spark.read.parquet(out).collect()) == sorted(
-        "u1 u2 u3 u4 v6 v6 v7 v8 v9 w1 w2 None x1 x4 x5 y2 y4".split()
-    )
-    assert spark.read.parquet(out).agg(F.min("n")).first()[0] == 2**60
+    src = str(tmp_path / "arriving 100%")
+    schema = spark.createDataFrame([], columns).withColumn("pub_date", F.col("d").cast("timestamp")).drop("d").schema
 
+    def again(files):
+        return spark.read.schema(schema).parquet(*files)
 
-def test_shares_are_groups_that_keep_their_number(spark, tmp_path):
-    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
-    put(spark, src, [(f"u{i}", "a", f"2024-01-{i % 28 + 1:02d}") for i in range(400)])
-    query = ingest.high_water_ingest(stream(spark, src), out, cp, shares=6)
-    query.awaitTermination()
-    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 6
-    put(spark, src, [("late", "a", "2024-01-02")])
-    with pytest.raises(Exception, match="6 shares of a channel, not 8"):
-        ingest.high_water_ingest(stream(spark, src), out, cp, shares=8).awaitTermination()
-    assert spark.read.parquet(out).count() == 400
-
-
-def test_articles_of_few_channels_are_many_groups(spark, monkeypatch):
-    from tidemark.plans import catalog_io
-
-    monkeypatch.setattr(catalog_io, "FILE_BYTES", os.path.getsize(f"{SF}/documents.parquet") // 9)
+    for number, rows in enumerate(arrivals):
+        df = spark.createDataFrame([(*r, 2**60 + i, i % 2 == 0, i / 4) for i, r in enumerate(rows)], columns)
+        df = df.withColumn("pub_date", F.col("d").cast("timestamp")).drop("d")
+        df.repartition(2, "url").write.mode("append").parquet(src)
+        found = []
+        for way in (None, again):
+            out, cp = (str(tmp_path / f"{x}-{way is None}") for x in ("out", "cp"))
+            files = ingest.file_stream(spark, src, schema, files_per_batch=100)
+            query = ingest.high_water_ingest(files, out, cp, again=way)
+            query.awaitTermination()
+            assert sum(p["numInputRows"] for p in query.recentProgress) == len(rows)
+            if number == 3:
+                assert replayed(cp) == number
+                ingest.high_water_ingest(files, out, cp, again=way).awaitTermination()
+            found.append(sorted(map(str, spark.read.schema(schema).parquet(out).select(schema.names).collect())))
+        assert found[0] == found[1]
+    taken = spark.read.schema(schema).parquet(out)
+    assert sorted(str(r["url"]) for r in taken.collect()) == sorted("u1 u2 u3 u4 v6 v6 v7 v8 v9 w1 w2 None x1 x4 x5 y2 y4".split())
+    assert taken.where("url = 'u2'").first()["n"] == 2**60 + 1
+
+
+def test_articles_of_few_channels_are_not_gathered(spark, monkeypatch):
     started, ingested = [], ingest.high_water_ingest
     monkeypatch.setattr(ingest, "high_water_ingest", lambda *a, **b: started.append(ingested(*a, **b)) or started[-1])
     channels = contract.queries()["str1"](spark, SF).select("channel_name").distinct().count()
-    states = [q.lastProgress["stateOperators"][0]["numRowsTotal"] for q in started]
-    assert len(states) == 2 and states[1] >= 10 * channels
+    for query in started:
+        text = query._jsq.explainInternal(False)
+        assert "FlatMapGroupsInPandasWithState" in text and "channel_name#" in text and "text#" not in text
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == channels
+    assert len(started) == 2
 
 
 def test_queue_is_drained_once(spark, tmp_path):

@@ -311,7 +311,7 @@ def snk9(t):
 FILE_BYTES = 16 << 20
 
 
-def article_files(t, label, columns=("url", "channel_name", "pub_date", "text"), least=4):
+def article_files(t, label, columns=("url", "channel_name", "pub_date", "text"), least=4, codec="snappy"):
     """Articles as a folder of files that arrive one by one, plus its schema and the number of files.
 
     Files are as many as the documents need at ``FILE_BYTES`` each, ``least`` at least. Callers
@@ -322,7 +322,7 @@ def article_files(t, label, columns=("url", "channel_name", "pub_date", "text"),
     stored = readers.file_listing(t.spark, f"{t.dir}/documents.parquet").agg(F.sum("length")).first()[0]
     files = max(least, -(-(stored or 0) // FILE_BYTES))
     ordered = rows.repartitionByRange(files, "pub_date", "url").sortWithinPartitions("pub_date", "url")
-    ordered.write.option("compression", "zstd").parquet(path)
+    ordered.write.option("compression", codec).parquet(path)
     return path, rows.schema, files
 
 
@@ -339,16 +339,20 @@ MIDDLE = "2024-07-01"
 )
 def str1(t):
     """High-water ingest of files in time order over several batches, old and new rows mixed."""
-    path, schema, files = article_files(t, "str1")
+    path, schema, files = article_files(t, "str1", codec="zstd")
     target, mark = new_folder(t.spark, "str1-out"), new_folder(t.spark, "str1-cp")
     rows = t.spark.read.schema(schema).parquet(path)
     arriving = new_folder(t.spark, "str1-in")
+
+    def again(names):
+        return t.spark.read.schema(schema).parquet(*names)
+
     # First the older half, then everything: of the second arrival only the newer half is taken.
     for part in (rows.where(F.col("pub_date") < F.lit(MIDDLE).cast(schema["pub_date"].dataType)), rows):
         part.write.mode("append").option("compression", "zstd").parquet(arriving)
         stream = ingest.file_stream(t.spark, arriving, schema, files_per_batch=max(1000, 2 * files))
-        # A share has the rows of a part of a file, so that tasks get many shares and alike rows.
-        ingest.high_water_ingest(stream, target, mark, shares=4 * files).awaitTermination()
+        # The channels are few: their rows are read again by file, not gathered by channel.
+        ingest.high_water_ingest(stream, target, mark, again=again).awaitTermination()
     return t.spark.read.schema(schema).parquet(target).select("url", "channel_name")
 
 

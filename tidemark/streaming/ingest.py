@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
-_AT, _SHARE, _ROW = "__at", "__share", "__row"
+_AT, _FILE, _MARK = "__at", "__file", "__mark"
 #: Rows of a batch between Spark and its Python workers. A worker holds a batch several times
 #: over, and articles have kilobytes each, so Spark's usual 10,000 rows would take gigabytes.
 BATCH_ROWS = 500
@@ -36,25 +37,44 @@ def _write_batch(df: DataFrame, target: str, batch: int) -> None:
 
 
 def _newest_times(marked: DataFrame, channel: str) -> DataFrame:
-    """One row per channel of a batch with its newest ``_AT``; rows without a channel have none."""
-    rows, names = marked.select(channel, _AT), [channel, _AT]
+    """The newest ``_AT`` of each channel in each file of a batch, once per task that reads of it."""
+    rows = marked.select(channel, _AT, F.col("_metadata.file_path").alias(_FILE))
 
     def newest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict = {}
         for batch in batches:
-            kind = batch.schema.types
-            part = pa.Table.from_batches([batch]).group_by(channel).aggregate([(_AT, "max")])
-            for name, at in zip(part[channel].to_pylist(), part[f"{_AT}_max"].to_pylist(), strict=True):
-                known = found.setdefault(name, at)
+            schema = batch.schema
+            part = pa.Table.from_batches([batch]).group_by([channel, _FILE]).aggregate([(_AT, "max")])
+            for *place, at in zip(*(part[c].to_pylist() for c in (channel, _FILE, f"{_AT}_max")), strict=True):
+                known = found.setdefault(tuple(place), at)
                 if at is not None and (known is None or at > known):
-                    found[name] = at
+                    found[tuple(place)] = at
         if found:
-            columns = zip((found.keys(), found.values()), kind, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in columns], names)
+            columns = zip(*((name, at, file) for (name, file), at in found.items()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
-    # Once beside the files and once per channel: few rows are shuffled.
-    once = rows.where(F.col(channel).isNotNull()).mapInArrow(newest, rows.schema)
-    return once.repartition(channel).mapInArrow(newest, rows.schema)
+    return rows.mapInArrow(newest, rows.schema)
+
+
+def _through_marks(
+    marked: DataFrame, channel: str, answer: Callable[[pd.DataFrame, int | None], pd.DataFrame], output: T.StructType
+) -> DataFrame:
+    """``answer`` of each channel's rows and its mark, the newest ``_AT`` of the earlier batches."""
+
+    def take(
+        key: tuple[str | None], batches: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        mark = state.get[0] if state.exists else None
+        newest = mark
+        for rows in batches:
+            at = rows[_AT]
+            yield answer(rows, mark)
+            if key[0] is not None and at.notna().any():
+                newest = max(int(at.max()), newest if newest is not None else int(at.max()))
+        if newest is not None:
+            state.update((newest,))
+
+    return marked.groupBy(channel).applyInPandasWithState(take, output, "newest long", "append", "NoTimeout")
 
 
 def high_water_ingest(
@@ -63,61 +83,54 @@ def high_water_ingest(
     checkpoint: str,
     channel: str = "channel_name",
     time: str = "pub_date",
-    shares: int = 1,
-    key: str = "url",
+    again: Callable[[list[str]], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Append what is strictly newer than the newest item of its channel so far.
 
     As a consequence an article that arrives late is not taken. Spark's state store keeps one
     row per channel, the newest time of the earlier batches; a batch reads its own files and
     the states of its channels, whatever came before. A batch that is run again finds the state
-    it began with, and the file sink writes it once. Rows without a channel have no state and
+    it began with, and its rows are written once. Rows without a channel have no state and
     are always taken; rows without a time only until their channel has one.
 
-    A channel's rows of one batch are a group, which one task takes and Spark holds as a whole
-    before its Python worker reads it, ``BATCH_ROWS`` at a time. Few channels with many rows
-    need ``shares``: each is dealt by ``key`` and time over so many groups. Every share keeps
-    the mark of its whole channel, as each gets the channel's newest time besides its rows, so
-    what is taken does not depend on them; times and channels are read twice for that. A
-    checkpoint keeps its number of shares.
+    Without ``again`` a channel's rows of one batch are one group, whose rows one task sorts and
+    sends to its Python worker, ``BATCH_ROWS`` at a time, and the file sink writes them. Few
+    channels with many rows need ``again``, which reads files of the stream, given their paths,
+    with all their rows. Then only the newest times of each channel and file meet the state, and
+    the files of the batch are read once more beside the marks of its channels, so articles are
+    neither shuffled nor sent to Python. What is taken lies in a folder of the batch's number
+    then, which a batch that is run again replaces. A checkpoint and its target stay with one
+    of both ways.
     """
     schema, names = stream.schema, stream.schema.names
     # Microseconds, so that no time zone takes part in a comparison.
-    marked = stream.withColumn(_AT, F.unix_micros(F.col(time).cast("timestamp")))
-    shared = (shares,) if shares > 1 else ()
-    groups, kept = [channel], "newest long"
-    if shared:
-        groups, kept = [channel, _SHARE], "newest long, shares int"
-        every = F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))
-        # A null would turn the whole numbers of its batch into floats.
-        zeros = {f.name: F.lit(0).cast(f.dataType) for f in schema.fields if isinstance(f.dataType, T.NumericType) and f.name != channel}
-        newest = _newest_times(marked, channel).withColumns({_SHARE: every, _ROW: F.lit(False)} | zeros)
-        share = F.pmod(F.xxhash64(key, time), F.lit(shares)).cast("int")
-        marked = marked.withColumns({_SHARE: share, _ROW: F.lit(True)}).unionByName(newest, allowMissingColumns=True)
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    marked = stream.withColumn(_AT, micros)
 
-    def take(
-        group: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        mark, *others = state.get if state.exists else (None, *shared)
-        if tuple(others) != shared:
-            raise ValueError(f"the checkpoint has {others[0]} shares of a channel, not {shares}")
-        newest = mark
-        for rows in batches:
-            at = rows[_AT]
-            if group[0] is not None and at.notna().any():
-                newest = max(int(at.max()), newest if newest is not None else int(at.max()))
-            taken = at.notna() & (at > mark) if mark is not None else pd.Series(True, rows.index)
-            yield rows.loc[taken & rows[_ROW].astype(bool) if shared else taken, names]
-        if newest is not None:
-            state.update((newest, *shared))
+    def newer(rows: pd.DataFrame, mark: int | None) -> pd.DataFrame:
+        return rows[names] if mark is None else rows.loc[rows[_AT].notna() & (rows[_AT] > mark), names]
+
+    def told(rows: pd.DataFrame, mark: int | None) -> pd.DataFrame:
+        return rows[[channel, _FILE]].assign(**{_MARK: mark})
+
+    def take(batch: DataFrame, number: int) -> None:
+        spark, found = stream.sparkSession, f"{checkpoint}-marks/batch={number}"
+        batch.write.mode("overwrite").parquet(found)
+        stored = spark.read.schema(batch.schema).parquet(found)
+        files = [unquote(r[_FILE]) for r in stored.select(_FILE).distinct().collect()]
+        marks = stored.where(F.col(_MARK).isNotNull()).select(channel, _MARK).distinct()
+        rows = (again(files) if files else spark.createDataFrame([], schema)).join(marks, channel, "left")
+        _write_batch(rows.where(F.col(_MARK).isNull() | (micros > F.col(_MARK))).select(names), target, number)
 
-    fresh = marked.groupBy(*groups).applyInPandasWithState(take, schema, kept, "append", "NoTimeout")
     # A query keeps the settings it is started with; the caller's stay as they are.
     conf = stream.sparkSession.conf
     usual = conf.get(_BATCH_ROWS)
     conf.set(_BATCH_ROWS, str(min(BATCH_ROWS, int(usual)) if int(usual) > 0 else BATCH_ROWS))
     try:
-        return append_stream(fresh, target, checkpoint)
+        if again is None:
+            return append_stream(_through_marks(marked, channel, newer, schema), target, checkpoint)
+        output = T.StructType([schema[channel], T.StructField(_FILE, T.StringType()), T.StructField(_MARK, T.LongType())])
+        return _batches(_through_marks(_newest_times(marked, channel), channel, told, output), take, checkpoint)
     finally:
         conf.set(_BATCH_ROWS, usual)
 
@@ -133,12 +146,7 @@ def drain(
     def take(batch: DataFrame, number: int) -> None:
         _write_batch(work(batch), target, number)
 
-    return (
-        stream.writeStream.foreachBatch(take)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _batches(stream, take, checkpoint)
 
 
 def first_arrivals(stream: DataFrame, target: str, checkpoint: str, key: str = "url") -> StreamingQuery:
@@ -161,3 +169,12 @@ def append_stream(stream: DataFrame, target: str, checkpoint: str) -> StreamingQ
         .trigger(availableNow=True)
         .start()
     )
+
+
+def _batches(stream: DataFrame, take: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    return (
+        stream.writeStream.foreachBatch(take)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
